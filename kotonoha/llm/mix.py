@@ -86,7 +86,8 @@ def slot_table(targets: DataFrame, block: int, n_shards: int, seed: int) -> Data
     each = rows.select("shard", F.explode(F.zip_with("s", "counts", lambda s, n: F.struct(s["rank"].alias("rank"), s["blocks"].alias("blocks"), n.alias("n")))).alias("d")).select("shard", "d.*")
     begun = each.withColumn("first", F.sum("n").over(W.partitionBy("rank").orderBy("shard")) - F.col("n")).where("n > 0")
     dealt = begun.select("rank", "blocks", "shard", (F.col("first") + F.col("n")).alias("end"), F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1, F.lit(SLOT_ROWS).cast("long"))).alias("begin"))
-    spread = dealt.repartition("rank", "begin")
+    tasks = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = dealt.repartition(tasks, "rank", "begin")
     slots = spread.select("rank", "blocks", "shard", F.explode(F.sequence("begin", F.least(F.col("begin") + SLOT_ROWS, F.col("end")) - 1)).alias("slot"))
     turn = F.floor(F.col("slot") / F.col("blocks")).cast("long")
     return slots.select("rank", "shard", "slot", permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("rank"), turn).alias("block"))
@@ -110,7 +111,8 @@ def plan_mix(sized: DataFrame, block: int = BLOCK, n_shards: int = SHARDS, seed:
     named = targets.select(F.col("source").alias("t_source"), "rank")
     ranked = kept.join(named, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
     placed = cut(place(ranked, seed), "placed")
-    taken = slot_table(targets, block, n_shards, seed + 2).join(block_pieces(placed, block), ["rank", "block"])
+    slots = slot_table(targets, block, n_shards, seed + 2).hint("merge")  # few rows unfold into many: never broadcast them
+    taken = slots.join(block_pieces(placed, block), ["rank", "block"])
     return targets, placed, taken
 
 
