@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kotonoha.llm.common import SPACE, cut
+from kotonoha.llm.common import SPACE, cut, slices
 
 #: Two primes under 2^31 and a base: products fit in 64 bits.
 PRIMES = (2_147_483_647, 2_147_483_629)
@@ -53,7 +53,7 @@ def _hash_chunks(primes: tuple[int, ...], chunk: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = [power(BASE, np.arange(chunk), p) for p in primes]
-        for batch in batches:
+        for batch in slices(batches, "piece", 1 << 20):
             piece, at = batch.column("piece"), batch.schema.get_field_index("piece")
             offsets = np.frombuffer(piece.buffers()[1], np.int32)[piece.offset : piece.offset + len(piece) + 1].astype(np.int64) if len(piece) else np.zeros(1, np.int64)
             data = np.frombuffer(piece.buffers()[2], np.uint8) if piece.buffers()[2] else np.zeros(0, np.uint8)
@@ -90,7 +90,7 @@ def fingerprints(docs: DataFrame, primes: tuple[int, int] = PRIMES, chunk: int =
     types = {f.name: f.dataType.simpleString() for f in pieces.schema}
     hashed = pieces.mapInArrow(_hash_chunks(primes, chunk), ", ".join([*[f"`{c}` {types[c]}" for c in kept], "t1 long, t2 long"]))
     rows = F.count_if(F.col("no") == 0)
-    combined = hashed.groupBy("doc_id", "mark", "n_bytes").agg(rows.alias("rows"), F.sum("t1").alias("s1"), F.sum("t2").alias("s2"), *[F.min(c).alias(c) for c in carried])
+    combined = hashed.groupBy("doc_id", "mark", "n_bytes", *carried).agg(rows.alias("rows"), F.sum("t1").alias("s1"), F.sum("t2").alias("s2"))
     fp = lambda s, p: F.expr(f"{s} div rows % {p}")
     return combined.select("doc_id", "mark", "n_bytes", "rows", fp("s1", primes[0]).alias("f1"), fp("s2", primes[1]).alias("f2"), *carried)
 
