@@ -96,7 +96,7 @@ def fingerprints(docs: DataFrame, primes: tuple[int, int] = PRIMES, chunk: int =
 
 
 def exact_groups(docs: DataFrame, primes: tuple[int, int] = PRIMES, chunk: int = CHUNK) -> DataFrame:
-    """``docs`` (doc_id, body binary, and columns that follow from these two) -> the same rows less ``body``, with ``mark``, ``rows``, ``keep_id`` and ``group_size``.
+    """``docs`` (doc_id, body binary, and columns that follow from these two) -> the same rows less ``body``, with ``mark``, ``n_bytes``, ``rows``, ``keep_id`` and ``group_size``.
 
     Rows belong together if their bodies are equal; ``keep_id`` is the smallest doc_id (null
     counts as the largest). Fingerprints, with the length, propose groups. Each member's text is
@@ -127,7 +127,7 @@ def exact_groups(docs: DataFrame, primes: tuple[int, int] = PRIMES, chunk: int =
         wrong = cut(differ.select(*key, "id", "m").distinct(), "unequal")
         if wrong.isEmpty():
             done.append(placed)
-            return reduce(DataFrame.unionByName, done).select("doc_id", "mark", "rows", *extra, "keep_id", "group_size")
+            return reduce(DataFrame.unionByName, done).select("doc_id", "mark", "n_bytes", "rows", *extra, "keep_id", "group_size")
         turn += 1
         members = _again(members, wrong, key, turn)
 
