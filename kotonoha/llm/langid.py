@@ -36,6 +36,7 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     letter, cut = letters()[codes], codes == 0
     keep = letter | cut
     keep[1:] |= letter[:-1] | cut[:-1]  # of a run of others the first stays
+    keep[:1] = True
     codes, letter, cut = np.where(letter | cut, codes, np.uint32(32))[keep], letter[keep], cut[keep]
     owner = np.cumsum(cut)
     found, whose = [], []
