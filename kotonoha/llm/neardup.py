@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kotonoha.llm.common import WORD, cut, slices
@@ -157,17 +158,55 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFra
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
 
 
+def elements(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """``texts`` (id, text) -> (id, element): a hash for each shingle and number of its occurrence, so that multisets become sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1 << 20):
+            ids, found = [], []
+            for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                h = np.sort(shingles(text, size))
+                first = np.searchsorted(h, h)
+                found.append(mixed(h + (np.arange(len(h)) - first).astype(np.uint64) * _GOLDEN))
+                ids.append(np.full(len(h), i, np.int64))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(found).view(np.int64))], names=["id", "element"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, element long")
+
+
+def possible_links(texts: DataFrame, known: DataFrame, similarity: float, size: int) -> DataFrame:
+    """Pairs (a, b) of different roots among ``known`` (id, n, root) that may be linked: all that are, and few others.
+
+    In one order of all elements, rarest first, two texts with an overlap of at least o share an
+    element among the first n - o + 1 of each. So texts meet on their rarest elements alone; an
+    element of one text, and one whose texts have all one root, joins nothing. Near copies
+    differ by elements of their own, which come first: those too far from each other don't meet.
+    """
+    every = elements(texts, size)
+    counts = every.groupBy("element").agg(F.count("*").alias("texts")).where("texts > 1")
+    shared = every.join(counts, "element").withColumn("place", F.row_number().over(W.partitionBy("id").orderBy("texts", "element"))).withColumn("common", F.count("*").over(W.partitionBy("id")))
+    need = lambda a, b: F.ceil((F.col(a) + F.col(b)) * (similarity / (1 + similarity)) - 1e-9)
+    placed = shared.join(known, "id").select("id", "element", "n", "root", (F.col("place") + F.col("n") - F.col("common")).alias("place"))
+    heads = cut(placed.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1), "heads")
+    mixed_ones = heads.groupBy("element").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("element")
+    left, right = (heads.join(mixed_ones, "element", "left_semi").select("element", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "root", "place")]) for x in "ab")
+    near = [F.col(f"place_{x}") <= F.col(f"n_{x}") - need("n_a", "n_b") + 1 for x in "ab"]
+    met = left.join(right, "element").where((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & near[0] & near[1])
+    return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``docs`` (doc_id long, text) -> doc_id, mark, class_id, class_size, a row for each row.
 
     Texts are linked if the multisets of their shingles of ``size`` words overlap by
     ``similarity`` or more; classes are what links connect, and ``class_id`` is a class's
     smallest doc_id. Texts with the same words are one class from the start, and one of them
-    stands for all. In each bucket of a band all texts are compared with the bucket's first
-    one. Two texts of one bucket that then are in different classes are compared as well,
-    unless their numbers of shingles or their distances to the first (the distance is a
-    metric) rule a link out; so no candidate pair is left open, and groups of near copies don't
-    unfold into all pairs. Texts without words (null, empty) are classes of their own, as are
+    stands for all. In each bucket of a band all texts are compared with one of them, the one
+    that meets most others over all bands. Texts of one bucket that then are in different
+    classes may still be linked; which ones can be follows from their rarest shingles, and
+    those are compared as well. So no candidate pair is left open, and groups of near copies
+    don't unfold into all pairs. Texts without words (null, empty) are classes of their own, as are
     rows without a doc_id.
     """
     signed = cut(signatures(docs, size, bands, rows), "signatures")
@@ -176,8 +215,10 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SH
     texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark"), "text")
 
     buckets = same.select("id", "n", F.explode("bands").alias("bucket"))
-    firsts = cut(buckets.groupBy("bucket").agg(F.min("id").alias("first"), F.count("*").alias("members")).where("members > 1"), "buckets")
-    members = cut(buckets.join(firsts, "bucket").select("bucket", "first", "id", "n"), "members")
+    shared = cut(buckets.join(buckets.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "bucket"), "shared")
+    central = shared.groupBy("id").agg(F.sum("members").alias("met"))
+    firsts = shared.join(central, "id").groupBy("bucket").agg(F.max_by("id", F.struct("met", -F.col("id"))).alias("first"))
+    members = cut(shared.join(firsts, "bucket").select("bucket", "first", "id", "n"), "members")
     pairs = cut(members.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct(), "pairs")
     needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     wanted = cut(texts.join(same.join(needed, "id", "left_semi").select("id", "mark"), ["id", "mark"]).dropDuplicates(["id"]).select("id", "text"), "texts")
@@ -185,19 +226,15 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SH
     roots = components(checked.where(F.col("similarity") >= similarity))
 
     placed = members.join(roots.withColumnRenamed("root", "found"), "id", "left").withColumn("root", F.coalesce("found", "id")).drop("found")
-    mixed_buckets = cut(placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket"), "mixed")
-    measured = checked.select(F.col("a").alias("id"), F.col("b").alias("first"), "similarity")
-    open_ones = cut(placed.join(mixed_buckets, "bucket", "left_semi").join(measured, ["id", "first"], "left").select("bucket", "id", "n", "root", "first", (1 - F.coalesce("similarity", F.lit(1.0))).alias("away")), "open")
-    far = 1 - similarity + 1e-9
-    x, y = open_ones.alias("x"), open_ones.where("id <> first").alias("y")
-    may = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.id") != F.col("x.first")) & (F.col("x.root") != F.col("y.root")) & (F.abs(F.col("x.away") - F.col("y.away")) <= far) & (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * (similarity - 1e-9))
-    others = x.join(y, may).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    mixed_buckets = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
+    unsettled = cut(placed.join(mixed_buckets, "bucket", "left_semi").select("id", "n", "root").distinct(), "unsettled")
+    others = cut(possible_links(wanted.join(unsettled.select("id"), "id", "left_semi"), unsettled, similarity, size), "others")
     more = cut(verified(others, wanted, size).where(F.col("similarity") >= similarity), "more")
     if not more.isEmpty():
         links = checked.where(F.col("similarity") >= similarity).select("a", "b").unionByName(more.select("a", "b"))
         roots = components(links)
 
-    classed = cut(same.join(roots, "id", "left").select("w1", "w2", F.coalesce("root", "id").alias("class_id")), "classes")
+    classed = same.join(roots, "id", "left").select("w1", "w2", F.coalesce("root", "id").alias("class_id"))
     rows_out = known.select("doc_id", "mark", "w1", "w2").join(classed, ["w1", "w2"]).select("doc_id", "mark", "class_id")
     rows_out = cut(rows_out.unionByName(signed.where("doc_id is null or n = 0").select("doc_id", "mark", F.col("doc_id").alias("class_id"))), "classed")
     sizes = cut(rows_out.groupBy("class_id").agg(F.count("*").alias("class_size")), "sizes")
