@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kotonoha.sources import epub
 from kotonoha.sources.epub import SKIPPED, XHTML, resolve_path
 
 #: In front of ids of parts of a merged book.
@@ -91,6 +92,30 @@ def merge_parts(parts: DataFrame, prefix: str = PREFIX) -> DataFrame:
     return joined.select("book", "title", F.concat(head, F.array_join("d.div", ""), F.lit("</div></div></body></html>")).alias("html"))
 
 
+def book_record(merged: DataFrame) -> DataFrame:
+    """Title (the document's) and body of merged books."""
+    return merged.select("book", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), F.regexp_extract("html", "(?s)<body>(.*)</body>", 1).alias("body"))
+
+
+def ingest_books(entries: DataFrame, prefix: str = PREFIX) -> dict[str, DataFrame]:
+    """EPUB entries (archive, path, content) -> packages, sections (with characters and start), links (resolved and inlined), stylesheets, and rejects.
+
+    All but the packages are keyed by (book, item), so that large books are many rows.
+    """
+    packages = epub.parse_package(epub.read_epubs(entries))
+    usable = packages.where("error is null")
+    manifest, spine = epub.manifest_rows(usable), epub.spine_rows(usable)
+    content = spine_content(resolve_spine(spine, manifest), entries)
+    kept = content.where("reject is null")
+    parts = epub.item_parts(kept).join(kept.select("book", "item_id", "pos", F.col("href").alias("item_href")), ["book", "item_id"])
+    links = parts.select("book", "item_id", "item_href", F.explode("links").alias("l")).select("book", "item_id", "item_href", "l.*")
+    resolved = resolve_links(links, manifest).withColumnRenamed("error", "lost")
+    inlined = inline_links(resolved, spine, prefix).withColumn("error", F.coalesce("lost", "error")).drop("lost")
+    styles = parts.select("book", "pos", "item_id", F.explode("stylesheets").alias("link"), "item_href").select("book", "pos", "item_id", resolve_path(F.col("item_href"), F.col("link")).alias("href"))
+    rejects = spine_rejects(spine, manifest).select("book", "item_id", F.lit("not in manifest").alias("reason")).unionByName(content.where("reject is not null").select("book", "item_id", F.col("reject").alias("reason")))
+    return {"packages": packages, "sections": section_offsets(parts.select("book", "pos", "item_id", "characters")), "parts": parts.select("book", "pos", "item_id", "body_class", "body"), "links": inlined, "stylesheets": stylesheet_refs(styles), "rejects": rejects}
+
+
 def search_books(books: DataFrame, title: str | None = None, kind: str = "epub") -> DataFrame:
     found = books.where(F.col("type") == kind)
     return found.where(F.contains("primary_title", F.lit(title))) if title else found

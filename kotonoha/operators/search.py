@@ -45,6 +45,18 @@ def search_term_meta(meta: DataFrame, term: str, dictionaries: Sequence[str] = (
     return search(meta, "term", term, "exact", dictionaries)
 
 
+def search_kanji(kanji: DataFrame, query: str, mode: str = "exact", dictionaries: Sequence[str] = (), column: str = "kanji") -> DataFrame:
+    return search(kanji, column, query, mode, dictionaries)
+
+
+def search_tags(tags: DataFrame, query: str, mode: str = "exact", dictionaries: Sequence[str] = (), column: str = "tag") -> DataFrame:
+    return search(tags, column, query, mode, dictionaries)
+
+
+def count_dictionaries(dictionaries: DataFrame) -> DataFrame:
+    return dictionaries.agg(F.count_distinct("title").alias("n"))
+
+
 def imported_dictionaries(dictionaries: DataFrame) -> DataFrame:
     return dictionaries.select("title").distinct()
 

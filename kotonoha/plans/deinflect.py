@@ -55,6 +55,14 @@ def deinflect(df: DataFrame, column: str, rules: list[Rule] | None = None) -> Da
     return df.select(F.col(column).alias("text")).where("text is not null").distinct().mapInPandas(run, SCHEMA)
 
 
+def is_inflected(text: Column, transform: str, rules: list[Rule] | None = None) -> Column:
+    """Whether a rule of ``transform`` fits the end of the text, whatever its conditions."""
+    suffixes = sorted({r.suffix for r in rules or japanese_rules() if r.transform == transform})
+    if not suffixes:
+        raise ValueError(f"no such transform: {transform}")
+    return text.rlike(f"(?:{'|'.join(suffixes)})$")
+
+
 def widened_column(conditions: Column) -> Column:
     """``widened`` for an array column, sorted."""
     known = {c: sorted(widened([c])) for c in {x for r in japanese_rules() for x in (*r.before, *r.after)} | {"v1", "v5", "vk", "vs", "vz", "adj-i", "v"}}

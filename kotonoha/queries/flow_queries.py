@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kotonoha.functions import text as T
+from kotonoha.operators.books import ingest_books as ingest
 from kotonoha.plans.language import Preprocessor
 from kotonoha.plans.language import text_variants as variants
 from kotonoha.queries.adapters import HIRA, KATA, SURFACES_SQL, surfaces, table
@@ -84,24 +86,48 @@ def read_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.parse_tag_bank(B.bank_items(opened, "tag_bank")).groupBy("archive").agg(F.count("*").alias("tags"))
 
 
-@query("SELECT source AS book, 'Book ' || source AS title, 'id-' || source AS identifier, count(*) AS items, 'nav' AS toc_id FROM documents GROUP BY source")
-def read_epubs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A book for each source, zipped as EPUB with a package that lists its documents, opened again and parsed."""
-    d = table(spark, sf_dir, "documents").groupBy("source").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
+def shelf(spark: SparkSession, sf_dir: str, bodies: bool = False) -> DataFrame:
+    """Entries of an EPUB for each source: a package that lists its documents and, with ``bodies``, an XHTML file for each of them."""
+    docs = table(spark, sf_dir, "documents")
+    d = docs.groupBy("source").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
     items = F.array_join(F.transform("ids", lambda i: F.concat(F.lit('<item id="d'), i.cast("string"), F.lit('" href="text/../d'), i.cast("string"), F.lit('.xhtml" media-type="application/xhtml+xml"/>'))), "")
     refs = F.array_join(F.transform("ids", lambda i: F.concat(F.lit('<itemref idref="d'), i.cast("string"), F.lit('"/>'))), "")
     opf = F.concat(F.lit('<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="uid"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="uid">id-'), "source", F.lit("</dc:identifier><dc:title>Book "), "source", F.lit('</dc:title></metadata><manifest><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>'), items, F.lit("</manifest><spine>"), refs, F.lit("</spine></package>"))
     container = '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container" version="1.0"><rootfiles><rootfile full-path="OPS/package.opf" media-type="application/oebps-package+xml"/></rootfiles></container>'
     files = F.array(*[F.struct(F.lit(p).alias("path"), c.cast("binary").alias("content")) for p, c in (("mimetype", F.lit(epub.EPUB)), ("META-INF/container.xml", F.lit(container)), ("OPS/package.opf", opf))])
     entries = d.select(F.col("source").alias("archive"), F.explode(files).alias("f")).select("archive", "f.*")
-    packages = epub.parse_package(epub.read_epubs(_unzipped(zips(entries))))
+    if not bodies:
+        return entries
+    plain = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    following = F.concat(F.lit("d"), (F.col("doc_id") + 1).cast("string"), F.lit(".xhtml"))
+    html = F.concat(F.lit("<html><head></head><body><p>"), plain, F.lit('</p><a href="'), following, F.lit('#top">next</a></body></html>'))
+    return entries.unionByName(docs.select(F.col("source").alias("archive"), F.concat(F.lit("OPS/d"), F.col("doc_id").cast("string"), F.lit(".xhtml")).alias("path"), html.cast("binary").alias("content")))
+
+
+@query("SELECT source AS book, 'Book ' || source AS title, 'id-' || source AS identifier, count(*) AS items, 'nav' AS toc_id FROM documents GROUP BY source")
+def read_epubs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A book for each source, zipped as EPUB, opened again and parsed."""
+    packages = epub.parse_package(epub.read_epubs(_unzipped(zips(shelf(spark, sf_dir)))))
     return packages.select("book", F.col("titles")[0].alias("title"), "identifier", F.size("spine").cast("long").alias("items"), "toc_id")
 
 
+@query(f"""WITH c AS (SELECT source AS book, 'd' || doc_id AS item_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1)::INT AS pos, length(regexp_replace(text, '[^{T.COUNTED_CLASS}]', '', 'g'))::BIGINT AS characters FROM documents)
+    SELECT *, coalesce(sum(characters) OVER (PARTITION BY book ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM c""")
+def ingest_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of the books made of ``documents``: characters of each and before each."""
+    return ingest(shelf(spark, sf_dir, bodies=True))["sections"].select("book", "item_id", "pos", "characters", "start")
+
+
+@query("SELECT source AS book, 'd' || doc_id AS item_id, CASE WHEN n IS NOT NULL THEN '#part-d' || (doc_id + 1) END AS inlined, CASE WHEN n IS NULL THEN 'not in manifest' END AS error FROM documents d LEFT JOIN (SELECT doc_id AS n, source AS s FROM documents) ON n = doc_id + 1 AND s = source")
+def ingest_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of the books made of ``documents`` to the document with the next id, which the same book may have or not."""
+    return ingest(shelf(spark, sf_dir, bodies=True))["links"].select("book", "item_id", "inlined", "error")
+
+
 def _scratch(spark: SparkSession) -> str:
-    """A new folder beside the checkpoints that the session names, else in the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root}/stream-{uuid.uuid4().hex}"
+    """A new folder beside the checkpoints that the session names; a temporary one only where it names none (tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="kotonoha-")
+    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 @query("SELECT user_id AS book, floor(arg_max(value, row(ts, event_id)) / 100 * 1000 + 0.5) / 10 AS progress, count(*) AS n FROM events GROUP BY user_id")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from kotonoha.operators import search as S
 from kotonoha.plans.deinflect import deinflect as deinflected
-from kotonoha.plans.deinflect import deinflect_by_joins, filter_by_conditions as fitting
+from kotonoha.plans.deinflect import deinflect_by_joins, is_inflected as ends_in
+from kotonoha.plans.deinflect import filter_by_conditions as fitting
 from kotonoha.plans.rules import japanese_rules, widened
 from kotonoha.queries.adapters import KANA, LETTERS, META_SQL, SURFACES_SQL, TERMS_SQL, TOKENS_SQL, kana, surfaces, tags, terms, terms_meta, tokens
 from kotonoha.queries.registry import query
@@ -70,6 +71,25 @@ def search_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.search_by_sequence(terms(spark, sf_dir), 7, ["dict3"]).select(*_SHOWN)
 
 
+@query("SELECT p_name AS tag, p_brand AS dictionary, p_type AS category FROM part WHERE suffix(p_name, 't') AND p_brand IN ('Brand#2', 'Brand#17')")
+def search_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_name").alias("tag"), F.col("p_brand").alias("dictionary"), F.col("p_type").alias("category"))
+    return S.search_tags(named, "t", "prefix", ["Brand#2", "Brand#17"])
+
+
+@query(f"WITH {TERMS_SQL} SELECT count(DISTINCT dictionary) AS n FROM terms")
+def count_dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.count_dictionaries(terms(spark, sf_dir).withColumnRenamed("dictionary", "title"))
+
+
+_TA = "|".join(sorted({x.suffix for x in japanese_rules() if x.transform == "continuative"}))
+
+
+@query(f"WITH {SURFACES_SQL} SELECT w, regexp_matches(s, '(?:{_TA})$') AS inflected FROM surfaces")
+def is_inflected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surfaces(spark, sf_dir).select("w", ends_in(F.col("s"), "continuative").alias("inflected"))
+
+
 @query(f"WITH {TOKENS_SQL}, {META_SQL} SELECT term, dictionary, meta_type, frequency, downstep_position, transcription FROM meta WHERE term = 'たはて' AND dictionary = 'freq1'")
 def term_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.search_term_meta(terms_meta(spark, sf_dir), "たはて", ["freq1"])
