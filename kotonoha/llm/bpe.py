@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import struct
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -56,54 +58,68 @@ def serialise(ranks: dict[bytes, int]) -> bytes:
 
 
 def encoder(model: bytes, pattern: str):
-    """text -> list of ranks."""
+    """text -> its ranks as a compact array of ints."""
     pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
-    symbol, split = byte_symbols(), compiled(pattern).findall
+    symbol, split = byte_symbols(), compiled(pattern).finditer
 
-    def ids(piece: str) -> list[int]:
-        return [i - 1 for i in pieces.encode("".join([symbol[b] for b in piece.encode()]), out_type=int)]
+    def ids(piece: str) -> array:
+        return array("i", [i - 1 for i in pieces.encode("".join([symbol[b] for b in piece.encode()]), out_type=int)])
 
-    memo = Memo(ids)
+    memo = Memo(ids, most=100_000)
 
-    def encode(text: str) -> list[int]:
-        out: list[int] = []
-        for found in map(memo.__getitem__, split(text)):
-            out += found
+    def encode(text: str) -> array:
+        out = array("i")
+        for match in split(text):
+            out += memo[match[0]]
         return out
 
     return encode
 
 
-def encode_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Add ``ids`` (array<int>) to ``docs``: the ranks of each whole text's tokens.
+def decoder(ranks: dict[bytes, int]):
+    """list of ranks -> bytes."""
+    by_rank = {rank: token for token, rank in ranks.items()}
+    token = [by_rank[i] for i in range(len(by_rank))]
+    return lambda ids: b"".join([token[i] for i in ids])
+
+
+def encode_texts(docs: DataFrame, path: str, pattern: str, decoded: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """Add ``ids`` (array<int>) to ``docs``: the ranks of each whole text's tokens; with ``decoded`` also the bytes that they decode to.
 
-    Each match of ``pattern`` is encoded by itself, without special tokens. The model (bounded
-    by the vocabulary at ``path``) is broadcast. Null counts as empty: no ids. All columns stay;
-    an input column ``ids`` is replaced.
+    Each match of ``pattern`` is encoded by itself, without special tokens. The ranks (bounded
+    by the vocabulary at ``path``) are broadcast. Null counts as empty: no ids. The columns in
+    ``keep`` stay (all of them by default); input columns ``ids`` and ``decoded`` are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(serialise(read_ranks(path)))
-    rows = without(docs, "ids")
+    ranks = read_ranks(path)
+    shared = docs.sparkSession.sparkContext.broadcast((serialise(ranks), ranks if decoded else {}))
+    rows = without(docs, "ids", *["decoded"] * decoded)
+    kept = [f for f in rows.schema.fields if keep is None or f.name in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(shared.value, pattern)
-        for batch in slices(batches, "text", 1 << 20):
-            found = [encode(text) if text else [] for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))], names=[*batch.schema.names, "ids"])
+        model, table = shared.value
+        encode, decode = encoder(model, pattern), decoder(table)
+        for batch in slices(batches, "text", 1 << 18):
+            found = [encode(text or "") for text in batch.column("text").to_pylist()]
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
+            made = [ids, *[pa.array(map(decode, found), pa.binary()) for _ in range(decoded)]]
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], *made], names=[*[f.name for f in kept], "ids", *["decoded"] * decoded])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return rows.mapInArrow(run, T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType())), *[T.StructField("decoded", T.BinaryType())] * decoded]))
 
 
 def decode_ids(docs: DataFrame, path: str) -> DataFrame:
     """Add ``decoded`` (binary) to ``docs`` (a column ``ids``): the tokens' bytes behind one another. Null and empty ids give no bytes; an unknown id fails; an input column ``decoded`` is replaced."""
-    shared = docs.sparkSession.sparkContext.broadcast({rank: token for token, rank in read_ranks(path).items()})
+    shared = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
     rows = without(docs, "decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        token = [table[i] for i in range(len(table))]
+        decode = decoder(shared.value)
         for batch in batches:
-            decoded = [b"".join([token[i] for i in ids.values.to_numpy()]) if ids.is_valid else b"" for ids in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], names=[*batch.schema.names, "decoded"])
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                decoded = pa.array([decode(ids.values.to_numpy()) if ids.is_valid else b"" for ids in part.column("ids")], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, decoded], names=[*part.schema.names, "decoded"])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("decoded", T.BinaryType())]))
 

@@ -69,7 +69,7 @@ def held_out(doc_id: Column) -> Column:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, np.ndarray] = {}
     docs: dict[str, int] = {}
-    for batch in slices(batches, "text", 1 << 20):
+    for batch in slices(batches, "text", 1 << 18):
         buckets, sizes = grams(batch.column("text").to_pylist())
         langs = batch.column("lang").to_pylist()
         names = sorted(set(langs))
@@ -111,7 +111,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, table, prior = shared.value
-        for batch in slices(batches, "text", 1 << 19):
+        for batch in slices(batches, "text", 1 << 18):
             buckets, sizes = grams(batch.column("text").to_pylist())
             full = np.flatnonzero(sizes)
             names, scores = np.full(len(sizes), "und", object), np.zeros(len(sizes))

@@ -27,8 +27,7 @@ def op2_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(RANKS)
-    encoded = bpe.encode_texts(documents(spark, sf_dir).select("doc_id", "text"), path, public_tokenizers.PATTERN)
-    return bpe.digests(bpe.decode_ids(encoded.select("doc_id", "ids"), path))
+    return bpe.digests(bpe.encode_texts(documents(spark, sf_dir).select("doc_id", "text"), path, public_tokenizers.PATTERN, decoded=True, keep=["doc_id"]))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
