@@ -47,9 +47,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each text's token ids, with their number and whether they decode to the text."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    decoded = bpe.decode_ids(bpe.encode_texts(docs, path, public_tokenizers.PATTERN), path)
-    same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    return decoded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
+    marked = docs.select("doc_id", "lang", "source", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    encoded = bpe.encode_texts(marked, path, public_tokenizers.PATTERN, decoded=True, keep=["doc_id", "lang", "source", "digest"])
+    return encoded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.sha2("decoded", 256) == F.col("digest")).alias("round_trip"))
 
 
 STAGES = [("language ID", language_id), ("exact dedup", exact_dedup), ("MinHash near-dedup", near_dedup), ("mixing sources", mix_sources), ("byte-level BPE", encode)]
