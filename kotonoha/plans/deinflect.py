@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,22 +18,27 @@ SCHEMA = "text string, cand_pos int, candidate string, conditions array<string>,
 MOST_CANDIDATES = 1000
 
 
-def rule_index(rules: list[Rule]) -> dict[str, list[tuple[int, Rule, frozenset[str]]]]:
-    """Suffix -> its rules with their place in the table and what their conditions widen to."""
+def rule_index(rules: list[Rule]) -> dict[str, list[tuple]]:
+    """Suffix -> its rules: place in the table, the rule, and what its conditions before and after widen to."""
     index: dict[str, list] = {}
     for place, rule in enumerate(rules):
-        index.setdefault(rule.suffix, []).append((place, rule, widened(rule.before)))
+        index.setdefault(rule.suffix, []).append((place, rule, widened(rule.before), widened(rule.after)))
     return index
 
 
 def candidates(text: str, index: dict, longest: int, most: int = MOST_CANDIDATES) -> list[tuple[str, tuple[str, ...], tuple]]:
     """The text itself and all that rules lead to, breadth first; within one step in the order of the rule table. Equal results are not merged."""
     found: list[tuple[str, tuple[str, ...], tuple]] = [(text, (), ())]
-    for form, conditions, chain in found:  # grows while it is read
-        held = widened(conditions)
-        fitting = [hit for n in range(1, min(longest, len(form)) + 1) for hit in index.get(form[-n:], ()) if not conditions or hit[2] == held]
-        for _, rule, _ in sorted(fitting, key=lambda hit: hit[0]):
+    holds: list[frozenset[str]] = [frozenset()]
+    for (form, _, chain), held in zip(found, holds):  # both grow while they are read
+        fitting = []
+        for n in range(1, min(longest, len(form)) + 1):
+            if (hits := index.get(form[-n:])) is not None:
+                fitting += [hit for hit in hits if not held or hit[2] == held]
+        fitting.sort(key=itemgetter(0))
+        for _, rule, _, after in fitting:
             found.append((form[: len(form) - len(rule.suffix)] + rule.plain, rule.after, (*chain, (rule.transform, rule.rule_no, form))))
+            holds.append(after)
         if len(found) > most:
             raise ValueError(f"over {most} candidates for one text: {text[:50]!r}")
     return found

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache
 
 # Conditions and the conditions below them; godan endings and their stem rows.
 CONDITIONS = {"v": ["v1", "v5", "vk", "vs", "vz"], "v1": ["v1d", "v1p"], "v5": ["v5d", "v5s"], "v5s": ["v5ss", "v5sp"]}
@@ -182,6 +183,7 @@ def japanese_rules() -> list[Rule]:
     return [Rule(name, t, r, suffix, plain, before, after) for t, (name, parts) in enumerate(_tables().items()) for r, (before, (suffix, plain, after)) in enumerate(parts)]
 
 
+@cache
 def ancestors() -> dict[str, frozenset[str]]:
     """Each condition with all conditions above it."""
     up = {child: parent for parent, children in CONDITIONS.items() for child in children}
