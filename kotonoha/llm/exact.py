@@ -113,17 +113,15 @@ def exact_groups(docs: DataFrame, primes: tuple[int, int] = PRIMES, chunk: int =
         best = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("mark"))).alias("best")
         groups = cut(members.groupBy(*key).agg(best, F.sum("rows").alias("group_size"), F.count("*").alias("texts")).select(*key, F.col("best.doc_id").alias("keep_id"), F.col("best.mark").alias("keep_mark"), "group_size", "texts"), "groups")
         placed = members.join(groups, key)  # a hot group's rows are split by AQE: both sides are plain exchanges
-        several = placed.where((F.col("texts") > 1))
         salts = F.ceil(F.col("texts") / SALT_ROWS).cast("long")
-        compared = several.where(~(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("mark") == F.col("keep_mark"))))
-        same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-        theirs = compared.select(*key, F.col("doc_id").alias("id"), F.col("mark").alias("m"), F.pmod(F.xxhash64("doc_id", "mark"), salts).alias("salt"))
-        ours = groups.where("texts > 1").select(*key, "keep_id", "keep_mark", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
-        other = body.withColumnRenamed("n_bytes", "bytes")
-        mine = chunks(other.join(theirs, same("doc_id", "id") & (F.col("mark") == F.col("m")) & (F.col("bytes") == F.col("n_bytes"))).select(*key, "id", "m", "salt", "body").dropDuplicates(["id", "m", *key]), chunk).drop("behind")
-        kept = chunks(other.join(groups.where("texts > 1").select(*key, "keep_id", "keep_mark"), same("doc_id", "keep_id") & (F.col("mark") == F.col("keep_mark")) & (F.col("bytes") == F.col("n_bytes"))).select(*key, "body").dropDuplicates(key), chunk).drop("behind")
-        held = kept.withColumnRenamed("piece", "kept_piece").join(ours.drop("keep_id", "keep_mark"), key)
-        differ = mine.join(held, [*key, "no", "salt"]).where(F.col("piece") != F.col("kept_piece"))
+        kept_row = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("mark") == F.col("keep_mark"))
+        wanted = placed.where("texts > 1").select(*key, F.col("doc_id").alias("id"), F.col("mark").alias("m"), kept_row.alias("kept"), salts.alias("salts"))
+        same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("m")) & (F.col("bytes") == F.col("n_bytes"))
+        held = body.withColumnRenamed("n_bytes", "bytes").join(wanted, same).select(*key, "id", "m", "kept", "salts", "body")
+        pieces = cut(chunks(held, chunk).drop("behind"), "pieces")
+        theirs = pieces.where("not kept").withColumn("salt", F.pmod(F.xxhash64("id", "m"), F.col("salts")))
+        once = pieces.where("kept").dropDuplicates([*key, "no"]).select(*key, "no", F.col("piece").alias("kept_piece"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+        differ = theirs.join(once, [*key, "no", "salt"]).where(F.col("piece") != F.col("kept_piece"))
         wrong = cut(differ.select(*key, "id", "m").distinct(), "unequal")
         if wrong.isEmpty():
             done.append(placed)
