@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kotonoha.llm.common import SPACE, cut, without
+from kotonoha.llm.common import cut, without
 
 #: A line on so many distinct sites is boilerplate.
 MIN_SITES = 10
@@ -19,13 +19,13 @@ BROADCAST_LINES = 200_000
 
 
 def trimmed(line: Column) -> Column:
-    return F.regexp_replace(line, rf"^{SPACE}|{SPACE}$", "")
+    return F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
 
 
 def line_table(docs: DataFrame, site: str) -> DataFrame:
-    """A row for each line of ``docs`` that has a word: doc_id, mark (hash of the text), pos, site, and the line's two hashes a and b."""
+    """A row for each line of ``docs`` that has a word: doc_id, mark (hash of the text), pos, site (its hash, null for none), and the line's two hashes a and b."""
     lines = F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "line")
-    rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.col(f"`{site}`").alias("site"), lines).withColumn("line", trimmed(F.col("line"))).where("line <> ''")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.when(F.col(f"`{site}`").isNotNull(), F.xxhash64(f"`{site}`")).alias("site"), lines).withColumn("line", trimmed(F.col("line"))).where("line <> ''")
     return rows.select("doc_id", "mark", "pos", "site", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
 
 
@@ -55,7 +55,7 @@ def drop_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN
     doc_id and text are cut alike. Input columns of the added names are replaced.
     """
     rows = without(docs, "n_lines", "n_removed")
-    lines = line_table(rows, site)
+    lines = cut(line_table(rows, site), "lines")
     found = cut(boilerplate_lines(lines, min_sites), "boilerplate")
     found = F.broadcast(found) if found.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES else found
     gone = lines.join(found, ["a", "b"], "left_semi").groupBy("doc_id", "mark").agg(F.collect_set("pos").alias("gone")).select(F.col("doc_id").alias("g_id"), F.col("mark").alias("g_mark"), "gone")

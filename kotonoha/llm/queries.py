@@ -72,7 +72,7 @@ ORACLES = {
     "op2_line_spread": r"""
         WITH lines AS (
             SELECT doc_id, source, pos, line, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS core
-            FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos FROM documents)),
+            FROM (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS pos FROM documents)),
         gone AS (SELECT core FROM lines WHERE core <> '' GROUP BY core HAVING count(DISTINCT source) >= 10)
         SELECT doc_id, count(*) FILTER (core <> '') AS n_lines, count(*) FILTER (core IN (SELECT core FROM gone)) AS n_removed,
             sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (core NOT IN (SELECT core FROM gone)), '')) AS text_sha256
