@@ -74,7 +74,7 @@ def place(sized: DataFrame, seed: int) -> DataFrame:
     dealt = sized.withColumns({"part": F.pmod(row_hash(sized, seed), F.lit(parts)), "order": row_hash(sized, seed + 1)})
     sums = dealt.groupBy("rank", "part").agg(F.sum("size").alias("n")).select("rank", "part", (F.sum("n").over(W.partitionBy("rank").orderBy("part")) - F.col("n")).alias("before"))
     inside = F.sum("size").over(W.partitionBy("rank", "part").orderBy("order").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
-    return dealt.withColumn("inside", inside).join(sums, ["rank", "part"]).select(*sized.columns, (F.col("before") + F.col("inside")).alias("start"))
+    return dealt.withColumn("inside", inside).join(sums.hint("merge"), ["rank", "part"]).select(*sized.columns, (F.col("before") + F.col("inside")).alias("start"))
 
 
 def slot_table(targets: DataFrame, block: int, n_shards: int, seed: int) -> DataFrame:
