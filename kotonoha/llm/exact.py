@@ -144,7 +144,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     groups = exact_groups(docs.select("doc_id", body.alias("body")))
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
     # one doc_id may stand for several bodies, and for one body in several spellings of white space
-    keys = kept.select(F.col("doc_id").alias("k_id"), F.col("mark").alias("k_mark"), F.col("n_bytes").alias("k_bytes"))
-    marked = docs.select(F.struct("*").alias("row"), F.xxhash64(body).alias("r_mark"), F.octet_length(body).cast("long").alias("r_bytes"))
-    met = marked.join(keys, F.col("row.doc_id").eqNullSafe(F.col("k_id")) & (F.col("r_mark") == F.col("k_mark")) & (F.col("r_bytes") == F.col("k_bytes")))
-    return met.dropDuplicates(["k_id", "k_mark", "k_bytes"]).select("row.*")
+    key = lambda i, mark, n: {"k_id": F.coalesce(i, F.lit(0).cast(docs.schema["doc_id"].dataType)), "k_null": i.isNull(), "k_mark": mark, "k_bytes": n}
+    keys = kept.select(*[c.alias(k) for k, c in key(F.col("doc_id"), F.col("mark"), F.col("n_bytes")).items()])
+    marked = docs.select(F.struct("*").alias("row"), *[c.alias(k) for k, c in key(F.col("doc_id"), F.xxhash64(body), F.octet_length(body).cast("long")).items()])
+    return marked.join(keys, keys.columns).dropDuplicates(keys.columns).select("row.*")
