@@ -34,14 +34,15 @@ def boilerplate_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame
 
     Lines whose least and greatest site differ get a HyperLogLog sketch of their sites, merged
     by partial aggregation; where the estimate lies near the threshold, exact distinct counts
-    decide.
+    decide. Repeats of a line on one site are dropped before anything is brought together by
+    line, so a line that a third of all rows have is a row for each site.
     """
-    pairs = lines.where("site is not null")
+    pairs = lines.where("site is not null").select("a", "b", "site").distinct()
     several = pairs.groupBy("a", "b").agg(F.min("site").alias("lo"), F.max("site").alias("hi")).where("lo < hi").select("a", "b") if min_sites > 1 else pairs.select("a", "b").distinct()
     spread = cut(pairs.join(several, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LOG_K))).alias("about")), "spread")
     sure = spread.where(F.col("about") > min_sites * (1 + MARGIN)).select("a", "b")
     near = spread.where(F.col("about").between(min_sites * (1 - MARGIN), min_sites * (1 + MARGIN))).select("a", "b")
-    counted = pairs.join(near, ["a", "b"], "left_semi").select("a", "b", "site").distinct().groupBy("a", "b").agg(F.count("*").alias("n"))
+    counted = pairs.join(near, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.count("*").alias("n"))
     return sure.unionByName(counted.where(F.col("n") >= min_sites).select("a", "b"))
 
 
