@@ -149,6 +149,33 @@ def test_bands_reject_repetition_and_noise():
     assert not quality.within_bands(half, c)[2]
 
 
+def test_limits_reject_text_that_does_not_compress_as_prose():
+    import base64
+    import random
+    import string
+
+    r = random.Random(2)
+    c = zstandard.ZstdCompressor(level=quality.LEVEL)
+    for n in (500, 2_000, 20_000):
+        assert not quality.within_bands(base64.b64encode(r.randbytes(n))[:n], c)[2]
+        assert not quality.within_bands("".join(r.choices(string.ascii_letters, k=n)).encode(), c)[2]
+        words = "".join(r.choices(string.ascii_letters + string.digits + "      ", k=n))
+        assert not quality.within_bands(words.encode(), c)[2]
+
+
+def test_limits_separate_labelled_rows(sf):
+    import pyarrow.parquet as pq
+
+    c = zstandard.ZstdCompressor(level=quality.LEVEL)
+    label = {x["doc_id"]: x["quality"] for x in pq.read_table(f"{sf}/labels.parquet").to_pylist()}
+    kept = {0: [], 1: []}
+    for x in pq.read_table(f"{sf}/documents.parquet").to_pylist():
+        words = re.findall(r"[^\x20\x09-\x0D]+", x["text"] or "")
+        if x["doc_id"] in label and len(words) >= quality.MIN_WORDS and 100 * quality.repeated_words(words) <= quality.MAX_REPEAT_PERCENT * len(words):
+            kept[label[x["doc_id"]]].append(quality.within_bands(x["text"].encode(), c)[2])
+    assert sum(kept[1]) > 0.99 * len(kept[1]) and sum(kept[0]) < 0.6 * len(kept[0])
+
+
 def brute_url(url, rules):
     host = path = ""
     if url and "://" in url:
