@@ -29,9 +29,9 @@ LIMITS = (
 #: Shorter texts have no limits: they have little to repeat and carry the frame's overhead.
 LEAST = 100
 
-#: Chunks of so many bytes; a text of two or more fails if more than this share of its full
-#: chunks lies outside the band.
-CHUNK, CHUNK_BAND, CHUNK_SHARE = 4_096, (0.10, 0.90), 0.5
+#: Chunks of so many bytes, a rest under LEAST joined to the last; a text fails if more than this
+#: share of its chunks lies outside the limits of their length.
+CHUNK, CHUNK_SHARE = 4_096, 0.2
 
 LEVEL = 3
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -53,13 +53,22 @@ def within_limits(ratio: float, n: int) -> bool:
     return float(np.interp(at, _bytes, _lowest)) <= ratio <= float(np.interp(at, _bytes, _highest))
 
 
+def chunks(data: bytes) -> list[bytes]:
+    """All of ``data`` in order, in pieces of CHUNK bytes; a rest under LEAST stays with the piece before it."""
+    starts = list(range(0, len(data), CHUNK)) or [0]
+    if len(starts) > 1 and len(data) - starts[-1] < LEAST:
+        starts.pop()
+    return [data[i:j] for i, j in zip(starts, [*starts[1:], len(data)], strict=True)]
+
+
 def within_bands(data: bytes, compressor: zstandard.ZstdCompressor) -> tuple[float, float, bool]:
-    """Ratio of the whole text, share of full chunks outside their band, and whether the text passes."""
+    """Ratio of the whole text, share of chunks outside their limits, and whether the text passes."""
     ratio = ratio_of(data, compressor)
-    full = len(data) // CHUNK
-    odd = sum(not CHUNK_BAND[0] <= ratio_of(data[i * CHUNK : (i + 1) * CHUNK], compressor) <= CHUNK_BAND[1] for i in range(full)) if full > 1 else 0
-    share = odd / full if full > 1 else 0.0
-    return ratio, share, within_limits(ratio, len(data)) and share <= CHUNK_SHARE
+    passes, parts = within_limits(ratio, len(data)), chunks(data)
+    if len(parts) == 1:
+        return ratio, float(not passes), passes
+    share = sum(not within_limits(ratio_of(x, compressor), len(x)) for x in parts) / len(parts)
+    return ratio, share, passes and share <= CHUNK_SHARE
 
 
 def repeated_words(words: list[str]) -> int:
@@ -105,7 +114,8 @@ def judge_quality(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) -> doc_id, the base counts, the compression figures and ``kept``, a row for each row.
 
     ``ratio`` is compressed over plain bytes of the whole text, ``odd_chunks`` the share of its
-    full chunks outside CHUNK_BAND. A text is kept if it passes the base rule and both bands.
+    chunks outside the limits. A text is kept if it passes the base rule, its
+    ratio is within the limits, and so are those of most chunks.
     Null and empty texts have no words, so they fail the base rule. Extra columns are left out.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -176,6 +176,24 @@ def test_limits_separate_labelled_rows(sf):
     assert sum(kept[1]) > 0.99 * len(kept[1]) and sum(kept[0]) < 0.6 * len(kept[0])
 
 
+def test_every_chunk_counts():
+    import random
+
+    r = random.Random(3)
+    c = zstandard.ZstdCompressor(level=quality.LEVEL)
+    words = ["".join(r.choices("etaoinshr", k=r.randint(2, 9))) for _ in range(20_000)]
+    prose = " ".join(words).encode()
+    for n in (0, 1, 99, 100, 4_095, 4_096, 4_097, 4_195, 4_196, 8_192, 20_001):
+        parts = quality.chunks(prose[:n])
+        assert b"".join(parts) == prose[:n] and all(len(x) < quality.CHUNK + quality.LEAST for x in parts)
+        assert all(len(x) >= quality.LEAST for x in parts[1:])
+    assert quality.within_bands(prose[:32_000], c)[2]
+    assert quality.within_bands(b"a" * 3_000, c)[1:] == (1.0, False)
+    for start, filler in ((4_096, 4_096), (32_000, 35_000), (8_192, 4_000)):
+        _, share, passes = quality.within_bands(prose[:start] + b"a" * filler, c)
+        assert share > quality.CHUNK_SHARE and not passes
+
+
 def brute_url(url, rules):
     host = path = ""
     if url and "://" in url:
