@@ -34,8 +34,19 @@ _KANA = Preprocessor("kana", [T.hiragana_to_katakana])
         UNION ALL SELECT text, translate(w, '{T._ALNUM}', '{T._WIDE}') || translate('った', '{HIRA}', '{KATA}'), [1, 1] FROM t)
     SELECT text, (row_number() OVER (PARTITION BY text ORDER BY o) - 1)::INT AS variant_no, variant FROM v""")
 def text_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = surfaces(spark, sf_dir).where("length(w) <= 6").select(F.concat("w", F.lit("った")).alias("text"))
-    return variants(texts, "text", [_WIDE, _KANA])
+    """Those of short surfaces; ``text_variants_all`` takes all of them."""
+    return _variants(surfaces(spark, sf_dir).where("length(w) <= 6"))
+
+
+def _variants(words: DataFrame) -> DataFrame:
+    return variants(words.select(F.concat("w", F.lit("った")).alias("text")), "text", [_WIDE, _KANA])
+
+
+@query(f"""WITH {SURFACES_SQL}, v AS (SELECT w || 'った' AS text, p || q AS variant, [i, j] AS o
+        FROM (SELECT w, unnest([w, translate(w, '{T._ALNUM}', '{T._WIDE}')]) AS p, unnest([0, 1]) AS i FROM surfaces), (VALUES ('った', 0), (translate('った', '{HIRA}', '{KATA}'), 1)) k(q, j))
+    SELECT text, (row_number() OVER (PARTITION BY text ORDER BY o) - 1)::INT AS variant_no, variant FROM v""")
+def text_variants_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _variants(surfaces(spark, sf_dir))
 
 
 @query("SELECT lower(regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g')) AS archive, min(p_partkey) % 4 <> 0 AND min(p_partkey) % 4 <> 1 AS ok, (['index', 'numbering', NULL, NULL])[min(p_partkey) % 4 + 1] AS reason FROM part GROUP BY ALL")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from pathlib import Path
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from kotonoha.queries.adapters import surfaces
 
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
@@ -42,3 +44,17 @@ def test_query(spark, db, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.fixture
+def small(spark, tmp_path):
+    """Words of one letter to sixteen, some of them in terms."""
+    texts = ["a ab abc abcd abcde abcdefg internationalise internationalisation", "b international nation"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "abcdefgh internationalise"), (1, "ab nation b")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return str(tmp_path)
+
+
+def test_variants_of_long_words(spark, small):
+    got = Counter(r.text for r in QUERIES["text_variants_all"](spark, small).collect())
+    assert got == dict.fromkeys([r.w + "った" for r in surfaces(spark, small).collect()], 4)
