@@ -121,5 +121,13 @@ def definition_html(definition: str | None, dictionary: str | None, base: str =
 
 @F.pandas_udf(types.StringType())
 def structured_html(definition: pd.Series, dictionary: pd.Series) -> pd.Series:
-    """Each definition (JSON) of a dictionary as HTML."""
-    return pd.Series([definition_html(d, x) for d, x in zip(definition, dictionary, strict=True)], dtype=object)
+    """Each definition (JSON) of a dictionary as HTML; null for one that is malformed."""
+
+    def shown(d: str | None, x: str | None) -> str | None:
+        try:
+            html = definition_html(d, x)
+        except (ValueError, KeyError, IndexError, TypeError, AttributeError):
+            return None
+        return html if isinstance(html, str) else None
+
+    return pd.Series([shown(d, x) for d, x in zip(definition, dictionary, strict=True)], dtype=object)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 from operator import itemgetter
 
@@ -17,6 +18,9 @@ SCHEMA = "text string, cand_pos int, candidate string, conditions array<string>,
 #: A text with more candidates points to a rule table that runs in circles.
 MOST_CANDIDATES = 1000
 
+#: So does a text to which more rules apply in a row.
+MOST_STEPS = 64
+
 
 def rule_index(rules: list[Rule]) -> dict[str, list[tuple]]:
     """Suffix -> its rules: place in the table, the rule, and what its conditions before and after widen to."""
@@ -90,15 +94,24 @@ def rules_frame(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "transform string, transform_no int, rule_no int, suffix string, plain string, before string, after string, conditions string")
 
 
-def deinflect_by_joins(df: DataFrame, column: str, steps: int = 8) -> DataFrame:
-    """As ``deinflect`` (text, cand_pos, candidate, conditions as one string), by joins with the rule table on suffixes; for checks, as its number of steps is fixed."""
+def deinflect_by_joins(df: DataFrame, column: str, steps: int = MOST_STEPS) -> DataFrame:
+    """As ``deinflect`` (text, cand_pos, candidate, conditions as one string), by joins with the rule table on suffixes, until no row is new. An error after more than ``steps`` rules in a row.
+
+    Each step's rows are checkpointed, in a temporary folder where the session names none (tests).
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kotonoha-"))
     rules = F.broadcast(rules_frame(df.sparkSession))
     front = df.select(F.col(column).alias("text")).where("text is not null").distinct().withColumns({"candidate": F.col("text"), "held": F.lit(""), "conditions": F.lit(""), "path": F.array().cast("array<int>")})
-    out = front
-    for _ in range(steps):
+    front = front.checkpoint()
+    out, done = front, 0
+    while not front.isEmpty():
+        if done > steps:
+            raise ValueError(f"over {steps} rules in a row for one text: {front.first().text[:50]!r}")
         ends = front.withColumn("suffix", F.explode(F.transform(F.sequence(F.lit(1), F.lit(6)), lambda n: F.when(n <= F.length("candidate"), F.right(F.col("candidate"), n))))).where("suffix is not null")
         met = ends.drop("conditions").join(rules, "suffix").where("held = '' or held = before")
-        front = met.select("text", F.concat(F.expr("left(candidate, length(candidate) - length(suffix))"), "plain").alias("candidate"), F.col("after").alias("held"), "conditions", F.concat("path", F.array(F.col("transform_no") * 100 + F.col("rule_no"))).alias("path"))
-        out = out.unionByName(front)
+        front = met.select("text", F.concat(F.expr("left(candidate, length(candidate) - length(suffix))"), "plain").alias("candidate"), F.col("after").alias("held"), "conditions", F.concat("path", F.array(F.col("transform_no") * 100 + F.col("rule_no"))).alias("path")).checkpoint()
+        out, done = out.unionByName(front), done + 1
     place = F.row_number().over(W.partitionBy("text").orderBy(F.size("path"), "path")) - 1
     return out.select("text", place.alias("cand_pos"), "candidate", "conditions")

@@ -185,4 +185,11 @@ def media_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""SELECT p_partkey, CASE p_partkey % 6 WHEN 2 THEN p_type || '<br><span style=" font-size:' || p_size || 'px;">' || p_name || '</span>'
     WHEN 3 THEN '<details><summary> </summary><img width="' || p_size || '" height="0" title="" alt="" description="" src="/dictionaryMedia/' || p_brand || '/a/' || p_size || '.png"></details>' ELSE p_name END AS html FROM part WHERE p_partkey % 6 < 5""")
 def structured_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return definitions(spark, sf_dir).where("p_partkey % 6 < 5").select("p_partkey", structured.structured_html("definition", "p_brand").alias("html"))
+    return structured_html_all(spark, sf_dir).where("p_partkey % 6 < 5")
+
+
+@query(r"""SELECT p_partkey, CASE p_partkey % 6 WHEN 2 THEN p_type || '<br><span style=" font-size:' || p_size || 'px;">' || p_name || '</span>' WHEN 5 THEN NULL
+    WHEN 3 THEN '<details><summary> </summary><img width="' || p_size || '" height="0" title="" alt="" description="" src="/dictionaryMedia/' || p_brand || '/a/' || p_size || '.png"></details>' ELSE p_name END AS html FROM part""")
+def structured_html_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All definitions, the malformed ones included, which have no HTML."""
+    return definitions(spark, sf_dir).select("p_partkey", structured.structured_html("definition", "p_brand").alias("html"))

@@ -104,12 +104,22 @@ def kanji_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {SURFACES_SQL}, {TERMS_SQL}, q AS (SELECT s AS text FROM surfaces WHERE length(s) BETWEEN 3 AND 4) SELECT text, term, dictionary, sequence_number FROM q JOIN terms ON prefix(term, text) UNION ALL SELECT text, term, dictionary, sequence_number FROM q JOIN terms ON contains(term, text) AND NOT prefix(term, text)")
 def batch_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms that contain a surface of three or four characters: those that begin with it, and those that have it further on."""
-    q = surfaces(spark, sf_dir).where("length(s) between 3 and 4").select(F.col("s").alias("text"))
-    begun = S.batch_lookup(q, terms(spark, sf_dir), "suffix", key="text")
-    inside = S.batch_lookup(q, terms(spark, sf_dir), "contains", key="text").where(~F.startswith("term", "text"))
+    return _containing(surfaces(spark, sf_dir).where("length(s) between 3 and 4"), terms(spark, sf_dir))
+
+
+def _containing(words: DataFrame, found: DataFrame) -> DataFrame:
+    q = words.select(F.col("s").alias("text"))
+    begun = S.batch_lookup(q, found, "suffix", key="text")
+    inside = S.batch_lookup(q, found, "contains", key="text").where(~F.startswith("term", "text"))
     return begun.unionByName(inside).select("text", "term", "dictionary", "sequence_number")
 
 
+@query()
+def batch_lookup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``batch_lookup`` for surfaces of every length; SQL would compare each with each term, so brute force tests it."""
+    return _containing(surfaces(spark, sf_dir), terms(spark, sf_dir))
+
+
 _META_TEXT_SQL = "CASE meta_type WHEN 'frequency' THEN 'Frequency: ' || frequency::BIGINT WHEN 'pitch' THEN 'Pitch: ' || downstep_position WHEN 'ipa' THEN 'IPA: ' || transcription END"
 _ATTACHED_SQL = f"g AS (SELECT term, list({_META_TEXT_SQL} ORDER BY dictionary, {_META_TEXT_SQL}) AS m FROM meta GROUP BY term), attached AS (SELECT terms.*, coalesce(m, []) AS m FROM terms LEFT JOIN g USING (term))"
 
@@ -145,10 +155,16 @@ def deinflect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {SURFACES_SQL}, {DEINFLECT_SQL} SELECT text, cand_pos, candidate, conditions FROM deinflected WHERE length(text) <= 4")
 def deinflect_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same candidates by joins with the rule table, for short surfaces (their paths end within the fixed number of steps)."""
+    """The same candidates by joins with the rule table, for short surfaces."""
     return deinflect_by_joins(surfaces(spark, sf_dir).where("length(s) <= 4"), "s")
 
 
+@query(f"WITH RECURSIVE {SURFACES_SQL}, {DEINFLECT_SQL} SELECT text, cand_pos, candidate, conditions FROM deinflected")
+def deinflect_joins_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for surfaces of every length."""
+    return deinflect_by_joins(surfaces(spark, sf_dir), "s")
+
+
 @query(f"{LOOKUP_SQL} SELECT text, cand_pos, term, dictionary, sequence_number FROM found")
 def deinflect_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found(spark, sf_dir).select("text", "cand_pos", "term", "dictionary", "sequence_number")

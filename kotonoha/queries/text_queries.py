@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kotonoha.functions import text as T
-from kotonoha.queries.adapters import HIRA, KATA, LETTERS, PAGES_SQL, SURFACES_SQL, TOKENS_SQL, kana, pages, surfaces, table, tokens
+from kotonoha.queries.adapters import HIRA, KATA, LETTERS, PAGES_SQL, SURFACES_SQL, TERMS_SQL, TOKENS_SQL, kana, pages, surfaces, table, terms, tokens
 from kotonoha.queries.registry import query
 
 _HALF_LETTERS = "ｱｶﾊﾋｻﾀﾁﾂﾄﾎﾌﾍﾅﾝﾞﾟｦｳｯｰﾏﾐﾔﾗﾜｸ"
@@ -140,5 +140,17 @@ def stem_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SURFACES_SQL}, p AS (SELECT w, s, i, n FROM surfaces, range(1, length(s) + 1) a(i), range(1, 5) b(n) WHERE i + n - 1 <= length(s))
     SELECT w, count(*) AS n, string_agg(s[i : i + n - 1], '|' ORDER BY i, n DESC) AS parts FROM p GROUP BY w""")
 def substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = T.substrings(F.col("s"), 4)
-    return surfaces(spark, sf_dir).select("w", F.size(parts).cast("long").alias("n"), F.array_join(parts, "|").alias("parts"))
+    return _substrings(surfaces(spark, sf_dir), 4)
+
+
+def _substrings(words: DataFrame, longest: int) -> DataFrame:
+    parts = T.substrings(F.col("s"), longest)
+    return words.select("w", F.size(parts).cast("long").alias("n"), F.array_join(parts, "|").alias("parts"))
+
+
+@query(f"""WITH {SURFACES_SQL}, {TERMS_SQL}, m AS (SELECT coalesce(max(length(term)), 0) AS most FROM terms), p AS (SELECT w, s, i, unnest(range(1, least(most, length(s) - i + 1) + 1)) AS n FROM surfaces, m, range(1, length(s) + 1) a(i))
+    SELECT w, count(*) AS n, string_agg(s[i : i + n - 1], '|' ORDER BY i, n DESC) AS parts FROM p GROUP BY w""")
+def substrings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Substrings up to the length of the longest term."""
+    longest = terms(spark, sf_dir).agg(F.max(F.length("term"))).first()[0]
+    return _substrings(surfaces(spark, sf_dir), longest or 0)

@@ -52,3 +52,13 @@ def test_helper_and_joins_agree(spark):
     a = {(r.text, r.cand_pos, r.candidate, " ".join(r.conditions)) for r in D.deinflect(df, "w").collect()}
     b = {(r.text, r.cand_pos, r.candidate, r.conditions) for r in D.deinflect_by_joins(df, "w", steps=7).collect()}
     assert a == b and {t for t, *_ in a} == set(words)
+
+
+def test_joins_end_where_no_row_is_new(spark):
+    long = "食べ" + "てい" * 10 + "た"
+    df = spark.createDataFrame([(long,), ("食べた",)], "w string")
+    a = {(r.text, r.cand_pos, r.candidate, " ".join(r.conditions)) for r in D.deinflect(df, "w").collect()}
+    assert max(len(r.chain) for r in D.deinflect(df, "w").collect()) > 8
+    assert {(r.text, r.cand_pos, r.candidate, r.conditions) for r in D.deinflect_by_joins(df, "w").collect()} == a
+    with pytest.raises(ValueError):
+        D.deinflect_by_joins(df, "w", steps=8)

@@ -110,3 +110,9 @@ def test_structured_content():
         html('{"type":"structured-content","content":{"tag":"img"}}', "D")
     deep = '{"type":"structured-content","content":' + '{"tag":"span","content":' * 300 + '"x"' + "}" * 300 + "}"
     assert html(deep, "D").count("<span>") == 300
+
+
+def test_malformed_definitions_have_no_html(spark):
+    given = ['"plain"', "7", "[]", "{}", "null", "no JSON", '{"type":"text"}', '{"type":"structured-content","content":7}', '{"type":"text","text":"x"}', None]
+    got = spark.createDataFrame(list(enumerate(given)), "i int, d string").select("i", structured.structured_html("d", F.lit("D")).alias("h")).collect()
+    assert {r.i: r.h for r in got if r.h is not None} == {0: "plain", 8: "x"} and len(got) == len(given)
