@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kotonoha.functions import structured
@@ -21,10 +22,18 @@ def item(*fields: Column | str) -> Column:
     return F.concat(F.lit("["), F.concat_ws(",", *fields), F.lit("]"))
 
 
-def archives_of(rows: DataFrame, kind: str, number: int = 1) -> DataFrame:
-    """Rows (archive, item) as one bank file for each archive."""
-    grouped = rows.groupBy("archive").agg(F.concat(F.lit("["), F.array_join(F.collect_list("item"), ","), F.lit("]")).alias("json"))
-    return B.route_entries(grouped.select("archive", F.lit(f"{kind}_{number}.json").alias("path"), F.col("json").cast("binary").alias("content")))
+#: Items of a bank, on average, where an archive has more than that.
+BANK_ITEMS = 5_000
+
+
+def archives_of(rows: DataFrame, kind: str, most: int = BANK_ITEMS) -> DataFrame:
+    """Rows (archive, item) as bank files of about ``most`` items, numbered from 1 on in each archive. The items are dealt by a hash; only the numbers of an archive's banks meet in one task."""
+    sizes = rows.groupBy("archive").agg(F.ceil(F.count("*") / most).alias("banks"))
+    dealt = rows.select("archive", "item").join(sizes, "archive").withColumn("part", F.pmod(F.xxhash64("item"), F.col("banks")))
+    numbers = dealt.select("archive", "part").distinct().withColumn("number", F.row_number().over(W.partitionBy("archive").orderBy("part")))
+    grouped = dealt.groupBy("archive", "part").agg(F.concat(F.lit("["), F.array_join(F.collect_list("item"), ","), F.lit("]")).alias("json"))
+    path = F.concat(F.lit(f"{kind}_"), F.col("number").cast("string"), F.lit(".json"))
+    return B.route_entries(grouped.join(numbers, ["archive", "part"]).select("archive", path.alias("path"), F.col("json").cast("binary").alias("content")))
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,7 +54,7 @@ def validate_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An archive for each brand with a tag bank; by its first part some lack an index, and some have a bank numbered 2 alone."""
     tags = parts(spark, sf_dir).select("archive", "p_partkey", item(js("p_type"), js("p_brand"), F.lit("1"), js("p_name"), F.lit("2")).alias("item"))
     kind = parts(spark, sf_dir).groupBy("archive").agg((F.min("p_partkey") % 4).alias("k"))
-    bank = archives_of(tags, "tag_bank").join(kind, "archive").withColumn("path", F.when(F.col("k") == 1, "tag_bank_2.json").otherwise(F.col("path"))).select("archive", "path", "content")
+    bank = archives_of(tags, "tag_bank").join(kind, "archive").withColumn("path", F.when(F.col("k") == 1, F.concat(F.lit("tag_bank_"), (F.col("bank_no") + 1).cast("string"), F.lit(".json"))).otherwise(F.col("path"))).select("archive", "path", "content")
     index = kind.where("k <> 0").select("archive", F.lit("index.json").alias("path"), F.concat(F.lit('{"revision":"1","format":3,"title":"'), "archive", F.lit('"}')).cast("binary").alias("content"))
     return B.validate_archive(B.route_entries(bank.unionByName(index)))
 
@@ -85,8 +85,15 @@ def _unzipped(files: DataFrame) -> DataFrame:
     return files.mapInPandas(run, B.ENTRY)
 
 
-def zips(entries: DataFrame) -> DataFrame:
-    return entries.select("archive", "path", "content").groupBy("archive").applyInPandas(lambda g: next(_zipped(iter([g]))), "path string, content binary")
+#: Entries of a zip, on average, where an archive has more than that.
+ZIP_ENTRIES = 64
+
+
+def zips(entries: DataFrame, most: int = ZIP_ENTRIES) -> DataFrame:
+    """Zips (path, content) of the entries; an archive of more than ``most`` comes as several zips of its name, its entries dealt by a hash of their paths."""
+    sizes = entries.groupBy("archive").agg(F.ceil(F.count("*") / most).alias("zips"))
+    dealt = entries.select("archive", "path", "content").join(sizes, "archive").withColumn("part", F.pmod(F.xxhash64("path"), F.col("zips")))
+    return dealt.groupBy("archive", "part").applyInPandas(lambda g: next(_zipped(iter([g]))), "path string, content binary")
 
 
 @query("SELECT lower(regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g')) AS archive, count(*) AS tags FROM part GROUP BY ALL")
@@ -159,7 +166,7 @@ def import_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = _scratch(spark)
     rows = parts(spark, sf_dir).select("archive", item(js("p_type"), js("p_brand"), F.lit("1"), js("p_name"), F.lit("2")).alias("item"))
     bank = archives_of(rows, "tag_bank").select("archive", "path", "content")
-    index = bank.select("archive", F.lit("index.json").alias("path"), F.concat(F.lit('{"revision":"1","format":3,"title":"'), "archive", F.lit('"}')).cast("binary").alias("content"))
+    index = bank.select("archive").distinct().select("archive", F.lit("index.json").alias("path"), F.concat(F.lit('{"revision":"1","format":3,"title":"'), "archive", F.lit('"}')).cast("binary").alias("content"))
     bank.unionByName(index).write.parquet(f"{where}/in")
     stream = spark.readStream.schema(B.ENTRY).parquet(f"{where}/in")
     P.import_stream(stream, f"{where}/tables", f"{where}/checkpoint").awaitTermination()

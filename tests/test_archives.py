@@ -172,3 +172,18 @@ def test_imports_as_stream(spark, entries, tmp_path):
     for _ in range(2):
         P.import_stream(spark.readStream.schema(B.ENTRY).parquet(f"{tmp_path}/in"), f"{tmp_path}/t", f"{tmp_path}/cp", lambda d: told.append(d)).awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/t/terms").count() == 5 and len(told) == 1
+
+
+def test_large_archives_are_split(spark):
+    from kotonoha.queries.bank_queries import archives_of
+    from kotonoha.queries.flow_queries import _unzipped, zips
+
+    items = [(("a" if i < 900 else "b"), f'["n{i}","x",1,"y",2]') for i in range(905)]
+    banks = archives_of(spark.createDataFrame(items, "archive string, item string"), "tag_bank", most=50).cache()
+    found = sorted((r.archive, r.bank_no, bytes(r.content).count(b"[") - 1) for r in banks.collect())
+    assert [n for a, n, _ in found if a == "a"] == list(range(1, 19)) and [x for x in found if x[0] == "b"] == [("b", 1, 5)]
+    assert max(n for *_, n in found) < 150
+    packed = zips(banks, most=4).cache()
+    assert packed.where("path = 'a'").count() > 1 and packed.where("path = 'b'").count() == 1
+    tags = B.parse_tag_bank(B.bank_items(B.route_entries(_unzipped(packed)), "tag_bank"))
+    assert sorted((r.archive, r.tag) for r in tags.select("archive", "tag").collect()) == sorted((a, f"n{i}") for i, (a, _) in enumerate(items))
