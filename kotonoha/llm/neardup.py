@@ -206,13 +206,21 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SH
     that meets most others over all bands. Texts of one bucket that then are in different
     classes may still be linked; which ones can be follows from their rarest shingles, and
     those are compared as well. So no candidate pair is left open, and groups of near copies
-    don't unfold into all pairs. Texts without words (null, empty) are classes of their own, as are
+    don't unfold into all pairs. Different texts of one doc_id are texts of their own: those that
+    stand for their words go by a hash of the words until classes are made, and their classes may
+    have the same class_id. Texts without words (null, empty) are classes of their own, as are
     rows without a doc_id.
     """
     signed = cut(signatures(docs, size, bands, rows), "signatures")
     known = signed.where("doc_id is not null and n > 0")
     same = cut(known.groupBy("w1", "w2").agg(F.min_by(F.struct("doc_id", "mark"), F.struct("doc_id", "mark")).alias("r"), F.first("n").alias("n"), F.first("bands").alias("bands")).select("w1", "w2", F.col("r.doc_id").alias("id"), F.col("r.mark").alias("mark"), "n", "bands"), "representatives")
-    texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark"), "text")
+    repeated = cut(same.groupBy("id").agg(F.count("*").alias("texts")).where("texts > 1").select("id"), "repeated")
+    shared_ids = not repeated.isEmpty()
+    same = same.withColumn("doc_id", F.col("id"))
+    if shared_ids:
+        own = same.join(repeated.withColumn("again", F.lit(True)), "id", "left")
+        same = cut(own.withColumn("id", F.when(F.col("again"), F.xxhash64("w1", "w2")).otherwise(F.col("id"))).drop("again"), "representatives")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
 
     buckets = same.select("id", "n", F.explode("bands").alias("bucket"))
     shared = cut(buckets.join(buckets.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "bucket"), "shared")
@@ -221,7 +229,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SH
     members = cut(shared.join(firsts, "bucket").select("bucket", "first", "id", "n"), "members")
     pairs = cut(members.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct(), "pairs")
     needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = cut(texts.join(same.join(needed, "id", "left_semi").select("id", "mark"), ["id", "mark"]).dropDuplicates(["id"]).select("id", "text"), "texts")
+    wanted = cut(texts.join(same.join(needed, "id", "left_semi").select("id", "doc_id", "mark"), ["doc_id", "mark"]).dropDuplicates(["id"]).select("id", "text"), "texts")
     checked = cut(verified(pairs, wanted, size), "checked")
     roots = components(checked.where(F.col("similarity") >= similarity))
 
@@ -234,11 +242,16 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SH
         links = checked.where(F.col("similarity") >= similarity).select("a", "b").unionByName(more.select("a", "b"))
         roots = components(links)
 
-    classed = same.join(roots, "id", "left").select("w1", "w2", F.coalesce("root", "id").alias("class_id"))
-    rows_out = known.select("doc_id", "mark", "w1", "w2").join(classed, ["w1", "w2"]).select("doc_id", "mark", "class_id")
-    rows_out = cut(rows_out.unionByName(signed.where("doc_id is null or n = 0").select("doc_id", "mark", F.col("doc_id").alias("class_id"))), "classed")
-    sizes = cut(rows_out.groupBy("class_id").agg(F.count("*").alias("class_size")), "sizes")
-    return rows_out.join(sizes.withColumnRenamed("class_id", "c"), F.col("class_id").eqNullSafe(F.col("c"))).drop("c")
+    classed = same.join(roots, "id", "left").select("w1", "w2", F.coalesce("root", "id").alias("root"), "doc_id")
+    if shared_ids:
+        classed = cut(classed, "rooted")
+        classed = classed.drop("doc_id").join(classed.groupBy("root").agg(F.min("doc_id").alias("class_id")), "root")
+    else:
+        classed = classed.drop("doc_id").withColumn("class_id", F.col("root"))
+    rows_out = known.select("doc_id", "mark", "w1", "w2").join(classed, ["w1", "w2"]).select("doc_id", "mark", "class_id", "root", F.lit(True).alias("worded"))
+    rows_out = cut(rows_out.unionByName(signed.where("doc_id is null or n = 0").select("doc_id", "mark", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("root"), F.lit(False).alias("worded"))), "classed")
+    sizes = cut(rows_out.groupBy("root", "worded").agg(F.count("*").alias("class_size")), "sizes").withColumnsRenamed({"root": "r", "worded": "w"})
+    return rows_out.join(sizes, F.col("root").eqNullSafe(F.col("r")) & (F.col("worded") == F.col("w"))).select("doc_id", "mark", "class_id", "class_size")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

@@ -172,3 +172,12 @@ def test_boilerplate_lines_match_brute_force(spark, odd, none, least):
         got = lines.drop_boilerplate(df, min_sites=least).collect()
         key = lambda t: tuple((x is None, x or "") for x in map(lambda v: v if v is None else str(v), t))
         assert sorted(((x.doc_id, x.text, x.n_removed) for x in got), key=key) == sorted(brute_lines(df.collect(), least), key=key)
+
+
+def test_one_id_of_two_texts(spark):
+    words = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    rows = [(3, words("a")), (5, words("b")), (5, words("a") + " end"), (7, words("b") + " end"), (9, words("a") + " new"), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.text): (r.class_id, r.class_size) for r in neardup.near_classes(df).join(df.withColumn("mark", F.xxhash64("text")), ["doc_id", "mark"]).collect()}
+    assert got == dict(zip(rows, [(3, 3), (5, 2), (3, 3), (5, 2), (3, 3), (5, 1)], strict=True))
+    assert sorted(map(tuple, neardup.drop_near_copies(df).collect())) == [(3, words("a")), (5, ""), (5, words("b"))]
