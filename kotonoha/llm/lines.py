@@ -32,39 +32,49 @@ def line_table(docs: DataFrame, site: str) -> DataFrame:
 def boilerplate_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """The lines (a, b) on ``min_sites`` distinct sites or more; a null site is none.
 
-    Lines whose least and greatest site differ get a HyperLogLog sketch of their sites, merged
-    by partial aggregation; where the estimate lies near the threshold, exact distinct counts
-    decide. Repeats of a line on one site are dropped before anything is brought together by
-    line, so a line that a third of all rows have is a row for each site.
+    One aggregation over all lines merges a HyperLogLog sketch of each line's sites, made by
+    each task from what it reads, with the least and the greatest site; a line on one site
+    alone, as most are, ends there. An estimate well over the threshold is taken, one well
+    under it dropped, and only lines near it have their distinct sites counted. Both
+    aggregations are partial before rows meet by line, so a line that a third of all rows have
+    sends a sketch, or a row for each site, from each task.
     """
-    pairs = lines.where("site is not null").select("a", "b", "site").distinct()
-    several = pairs.groupBy("a", "b").agg(F.min("site").alias("lo"), F.max("site").alias("hi")).where("lo < hi").select("a", "b") if min_sites > 1 else pairs.select("a", "b").distinct()
-    spread = cut(pairs.join(several, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LOG_K))).alias("about")), "spread")
+    about = F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LOG_K))).alias("about")
+    sketched = lines.where("site is not null").groupBy("a", "b").agg(about, F.min("site").alias("lo"), F.max("site").alias("hi"))
+    spread = cut(sketched.where((F.col("lo") < F.col("hi")) if min_sites > 1 else F.lit(True)).select("a", "b", "about"), "spread")
     sure = spread.where(F.col("about") > min_sites * (1 + MARGIN)).select("a", "b")
-    near = spread.where(F.col("about").between(min_sites * (1 - MARGIN), min_sites * (1 + MARGIN))).select("a", "b")
-    counted = pairs.join(near, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.count("*").alias("n"))
+    near = small(spread.where(F.col("about").between(min_sites * (1 - MARGIN), min_sites * (1 + MARGIN))).select("a", "b"))
+    counted = lines.where("site is not null").join(near, ["a", "b"], "left_semi").select("a", "b", "site").distinct().groupBy("a", "b").agg(F.count("*").alias("n"))
     return sure.unionByName(counted.where(F.col("n") >= min_sites).select("a", "b"))
 
 
+def small(lines: DataFrame) -> DataFrame:
+    """``lines`` to be broadcast if there are up to BROADCAST_LINES of them; else as they are, for a join by shuffle."""
+    return F.broadcast(lines) if lines.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES else lines
+
+
 def drop_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """``docs`` (doc_id, text, and a column ``site``) with boilerplate lines cut from ``text``, and ``n_lines`` and ``n_removed`` (long).
 
     A line is a piece between newlines, compared without white space at its ends; lines without
     a word are never removed or counted. Every copy of a boilerplate line goes, also within one
     site. A null text stays null and counts as without lines. Lines are known by 128 bits of
-    hash; only positions of removed lines move, not texts with their lines. Rows that agree in
-    doc_id and text are cut alike. Input columns of the added names are replaced.
+    hash; only positions of removed lines move, not texts with their lines. The work on a text
+    grows with its length alone, however many of its lines go. Rows that agree in doc_id and
+    text are cut alike; an empty table gives no rows. Input columns of the added names are
+    replaced.
     """
     rows = without(docs, "n_lines", "n_removed")
     lines = cut(line_table(rows, site), "lines")
-    found = cut(boilerplate_lines(lines, min_sites), "boilerplate")
-    found = F.broadcast(found) if found.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES else found
+    found = small(cut(boilerplate_lines(lines, min_sites), "boilerplate"))
     gone = lines.join(found, ["a", "b"], "left_semi").groupBy("doc_id", "mark").agg(F.collect_set("pos").alias("gone")).select(F.col("doc_id").alias("g_id"), F.col("mark").alias("g_mark"), "gone")
     marked = rows.select(F.struct("*").alias("row"), F.xxhash64("text").alias("g_m"))
     met = marked.join(gone, F.col("row.doc_id").eqNullSafe(F.col("g_id")) & (F.col("g_m") == F.col("g_mark")), "left")
     listed = F.coalesce("gone", F.array().cast("array<int>"))
-    split = F.split("row.text", "\n", -1)
-    kept = F.array_join(F.filter(split, lambda _, i: ~F.array_contains(listed, i)), "\n")
-    full = F.size(F.filter(F.coalesce(split, F.array().cast("array<string>")), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long")
-    text = F.when(F.size(listed) > 0, kept).otherwise(F.col("row.text"))
+    split = F.split(F.coalesce("row.text", F.lit("")), "\n", -1)
+    # array_except looks positions up in a hash set, and the lines are split once for all of them
+    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), listed)
+    cut_out = F.transform(F.array(F.struct(split.alias("lines"), left.alias("left"))), lambda v: F.array_join(F.transform(v["left"], lambda i: F.get(v["lines"], i)), "\n"))[0]
+    full = F.size(F.filter(split, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long")
+    text = F.when(F.size(listed) > 0, cut_out).otherwise(F.col("row.text"))
     return met.select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in rows.columns], full.alias("n_lines"), F.size(listed).cast("long").alias("n_removed"))
