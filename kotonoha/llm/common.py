@@ -21,21 +21,46 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in ``spark.checkpoint.dir``. A temporary one where none is set, in local mode alone: on a cluster the executors would not see it, so that there it is an error."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if where:
         return where.rstrip("/")
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="kotonoha-"))
-    return sc.getCheckpointDir().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kotonoha-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later steps neither recompute it nor depend on the executors that made it."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Write ``df`` to the shared folder and read it back: later steps neither recompute it nor depend on the executors that made it.
+
+    The table is removed when the driver ends (``deleteOnExit`` of its file system), as results
+    are read from it until then.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bits of a bitmap of wanted keys: 16 for each, within these bounds (64 MB at most).
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29
+
+
+def likely_wanted(rows: DataFrame, wanted: DataFrame, key: str, n: int) -> DataFrame:
+    """The rows of ``rows`` whose ``key`` is one of the ``n`` in ``wanted``, and few others: a bitmap of hashes is broadcast, so that what a later join would drop isn't moved first.
+
+    The bitmap's size is bounded; with more keys than it holds it lets more rows through, never fewer. Null is a key.
+    """
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * n).bit_length()))
+    place = F.pmod(F.xxhash64(key), F.lit(bits)) + 1
+    maps = wanted.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("_bits"))
+    placed = rows.withColumn("_place", place).join(F.broadcast(maps), F.bitmap_bucket_number("_place") == F.col("_bucket"))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(F.bitmap_bit_position("_place") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.expr("cast(bitmap_bit_position(_place) % 8 as int)")
+    return placed.where(F.call_function("shiftright", byte, bit).bitwiseAND(F.lit(1)) == 1).select(*[F.col(f"`{c}`") for c in rows.columns])
 
 
 def row_hash(df: DataFrame, seed: int, columns: list[str] | None = None) -> Column:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kotonoha.llm.common import SPACE, cut, slices
+from kotonoha.llm.common import SPACE, cut, likely_wanted, slices
 
 #: Two primes under 2^31 and a base: products fit in 64 bits.
 PRIMES = (2_147_483_647, 2_147_483_629)
@@ -101,8 +101,10 @@ def exact_groups(docs: DataFrame, primes: tuple[int, int] = PRIMES, chunk: int =
     Rows belong together if their bodies are equal; ``keep_id`` is the smallest doc_id (null
     counts as the largest). Fingerprints, with the length, propose groups. Each member's text is
     then compared with the kept row's, chunk by chunk; members that differ (a collision) form
-    groups of their own and are compared again, until none differs. Copies of one doc_id and body
-    come back as one row with ``rows`` over 1. An empty table gives no rows.
+    groups of their own and are compared again, until none differs. Texts without a partner are
+    left out before anything is moved, by a bitmap of the ids that have one. Copies of one doc_id and body
+    come back as one row with ``rows`` over 1. A null doc_id is an id like others; a very long text
+    is compared as chunks that many tasks hold. An empty table gives no rows.
     """
     key = ["f1", "f2", "n_bytes", "turn"]
     members = cut(fingerprints(docs, primes, chunk).withColumn("turn", F.lit(0)), "fingerprints")
@@ -117,7 +119,8 @@ def exact_groups(docs: DataFrame, primes: tuple[int, int] = PRIMES, chunk: int =
         kept_row = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("mark") == F.col("keep_mark"))
         wanted = placed.where("texts > 1").select(*key, F.col("doc_id").alias("id"), F.col("mark").alias("m"), kept_row.alias("kept"), salts.alias("salts"))
         same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("m")) & (F.col("bytes") == F.col("n_bytes"))
-        held = body.withColumnRenamed("n_bytes", "bytes").join(wanted, same).select(*key, "id", "m", "kept", "salts", "body")
+        paired = groups.where("texts > 1").agg(F.coalesce(F.sum("texts"), F.lit(0)).alias("n")).first().n
+        held = likely_wanted(body, wanted.select(F.col("id").alias("doc_id")), "doc_id", paired).withColumnRenamed("n_bytes", "bytes").join(wanted, same).select(*key, "id", "m", "kept", "salts", "body")
         pieces = cut(chunks(held, chunk).drop("behind"), "pieces")
         theirs = pieces.where("not kept").withColumn("salt", F.pmod(F.xxhash64("id", "m"), F.col("salts")))
         once = pieces.where("kept").dropDuplicates([*key, "no"]).select(*key, "no", F.col("piece").alias("kept_piece"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
