@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,8 +14,8 @@ from kotonoha.llm.draws import binomial, let, permuted, uniform
 #: Words of a block, output shards, greatest number of times that a source is repeated.
 BLOCK, SHARDS, MOST_REPEATS = 128, 16, 3
 WEIGHTS = (1, 2, 3)
-#: Rows whose sizes are summed in one sort; slots that one row unfolds into.
-PART_ROWS, SLOT_ROWS = 20_000, 4_096
+#: Rows whose sizes are summed in one sort; slots that one row unfolds into, and that one task makes.
+PART_ROWS, SLOT_ROWS, TASK_SLOTS = 2_048, 4_096, 1 << 20
 
 
 def word_count(text: Column) -> Column:
@@ -26,7 +28,8 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     Sources share the sum of all sizes by weight; a target stops at ``most`` times its source's
     size and the rest is shared again. The level at which this ends comes from one pass in the
     order of cap over weight: a source is full while its cap is under its share of what the
-    earlier ones leave. The table has a row for each source, not for each document.
+    earlier ones leave. The windows over all sources sort a table of a row for each source, not
+    for each document, in one task, which spills: some ten million sources (such as sites) fit.
     """
     by_name, by_level = W.orderBy(F.col("source").asc_nulls_last()), W.orderBy("level", "rank")
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("rank", F.row_number().over(by_name) - 1)
@@ -40,14 +43,13 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return opened.select("source", "rank", "source_size", target.alias("target"))
 
 
-def shard_counts(quotas: Column, n_shards: int, seed: int) -> Column:
+def dealt_counts(quotas: Column, sizes: Column, seed: Column) -> Column:
     """For each shard the number of slots that each source fills: array<array<long>>.
 
-    Shards have equal numbers of slots. Each draws from a multinomial law whose probabilities
-    are what the sources' ``quotas`` still hold; a draw never exceeds what is left, so over all
-    shards each source fills its quota exactly.
+    Shard s takes ``sizes[s]`` slots (the sizes' sum is that of the quotas), drawn from a
+    multinomial law whose probabilities are what the sources' ``quotas`` still hold; a draw never
+    exceeds what is left, so over all shards each source fills its quota exactly.
     """
-    total = F.aggregate(quotas, F.lit(0).cast("long"), lambda a, b: a + b)
 
     def shard(acc: Column, s: Column) -> Column:
         def source(inner: Column, i: Column) -> Column:
@@ -56,13 +58,30 @@ def shard_counts(quotas: Column, n_shards: int, seed: int) -> Column:
             drawn = F.greatest(inner["n"] - rest, F.least(binomial(inner["n"], p, uniform(seed, s, i)), acc["left"][i], inner["n"]))
             return let(drawn, lambda x: F.struct((inner["n"] - x).alias("n"), rest.alias("pool"), F.concat(inner["row"], F.array(x)).alias("row")))
 
-        n = F.floor(acc["total"] * (s + 1) / n_shards).cast("long") - F.floor(acc["total"] * s / n_shards).cast("long")
         pool = F.aggregate(acc["left"], F.lit(0).cast("long"), lambda a, b: a + b)
-        row = F.aggregate(F.sequence(F.lit(0), F.size(acc["left"]) - 1), F.struct(n.alias("n"), pool.alias("pool"), F.array().cast("array<long>").alias("row")), source)["row"]
-        return let(row, lambda x: F.struct(F.zip_with(acc["left"], x, lambda a, b: a - b).alias("left"), F.concat(acc["rows"], F.array(x)).alias("rows"), acc["total"].alias("total")))
+        row = F.aggregate(F.sequence(F.lit(0), F.size(acc["left"]) - 1), F.struct(F.get(sizes, s).alias("n"), pool.alias("pool"), F.array().cast("array<long>").alias("row")), source)["row"]
+        return let(row, lambda x: F.struct(F.zip_with(acc["left"], x, lambda a, b: a - b).alias("left"), F.concat(acc["rows"], F.array(x)).alias("rows")))
+
+    zero = F.struct(quotas.alias("left"), F.array().cast("array<array<long>>").alias("rows"))
+    return F.aggregate(F.sequence(F.lit(0), F.size(sizes) - 1), zero, shard)["rows"]
 
-    zero = F.struct(quotas.alias("left"), F.array().cast("array<array<long>>").alias("rows"), total.alias("total"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(n_shards - 1)), zero, shard)["rows"]
+
+def shard_counts(planned: DataFrame, n_sources: int, n_shards: int, seed: int) -> DataFrame:
+    """``planned`` (rank, blocks, quota) -> (rank, blocks, shard, n): the slots of each shard that each source fills, when the shards have equal numbers of slots.
+
+    Drawn in two levels, groups of sources and then the sources of each group, so that no row
+    holds more than about the square root of their number.
+    """
+    width = math.isqrt(max(1, n_sources - 1)) + 1
+    listed = lambda *c: F.array_sort(F.collect_list(F.struct(*c)))
+    groups = planned.groupBy(F.floor(F.col("rank") / width).cast("long").alias("g")).agg(F.sum("quota").alias("quota"), listed("rank", "blocks", "quota").alias("s"))
+    total = F.aggregate("gs.quota", F.lit(0).cast("long"), lambda a, b: a + b)
+    ends = let(total, lambda t: F.transform(F.sequence(F.lit(0), F.lit(n_shards - 1)), lambda i: F.floor(t * (i + 1) / n_shards).cast("long") - F.floor(t * i / n_shards).cast("long")))
+    top = groups.groupBy().agg(listed("g", "quota").alias("gs")).where(F.size("gs") > 0).withColumn("sizes", ends)
+    drawn = top.select("gs", dealt_counts(F.col("gs.quota"), F.col("sizes"), F.lit(seed)).alias("rows"))
+    shares = drawn.select("rows", F.posexplode("gs").alias("j", "x")).select("x.g", F.transform("rows", lambda row: F.get(row, F.col("j"))).alias("sizes"))
+    each = groups.join(shares, "g").select("s", F.posexplode(dealt_counts(F.col("s.quota"), F.col("sizes"), F.xxhash64(F.lit(seed + 1), "g"))).alias("shard", "counts"))
+    return each.select("shard", F.explode(F.zip_with("s", "counts", lambda s, n: F.struct(s["rank"].alias("rank"), s["blocks"].alias("blocks"), n.alias("n")))).alias("d")).select("d.rank", "d.blocks", "shard", "d.n")
 
 
 def place(sized: DataFrame, seed: int) -> DataFrame:
@@ -81,12 +100,11 @@ def slot_table(targets: DataFrame, block: int, n_shards: int, seed: int) -> Data
     """A row for each block that the mix takes: rank, shard, slot (the source's count so far), block."""
     blocks = F.ceil(F.col("source_size") / block).cast("long")
     planned = targets.where("source_size > 0").withColumn("blocks", blocks).withColumn("quota", F.least(F.col("blocks") * MOST_REPEATS, F.round(F.col("target") / F.col("source_size") * F.col("blocks")).cast("long")))
-    drawn = planned.groupBy().agg(F.array_sort(F.collect_list(F.struct("rank", "blocks", "quota"))).alias("s")).where(F.size("s") > 0)
-    rows = drawn.select("s", F.posexplode(shard_counts(F.col("s.quota"), n_shards, seed)).alias("shard", "counts"))
-    each = rows.select("shard", F.explode(F.zip_with("s", "counts", lambda s, n: F.struct(s["rank"].alias("rank"), s["blocks"].alias("blocks"), n.alias("n")))).alias("d")).select("shard", "d.*")
+    size = planned.agg(F.count("*").alias("sources"), F.sum("quota").alias("slots")).first()
+    each = shard_counts(planned, size.sources, n_shards, seed)
     begun = each.withColumn("first", F.sum("n").over(W.partitionBy("rank").orderBy("shard")) - F.col("n")).where("n > 0")
     dealt = begun.select("rank", "blocks", "shard", (F.col("first") + F.col("n")).alias("end"), F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1, F.lit(SLOT_ROWS).cast("long"))).alias("begin"))
-    tasks = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(size.slots or 0) // TASK_SLOTS))
     spread = dealt.repartition(tasks, "rank", "begin")
     slots = spread.select("rank", "blocks", "shard", F.explode(F.sequence("begin", F.least(F.col("begin") + SLOT_ROWS, F.col("end")) - 1)).alias("slot"))
     turn = F.floor(F.col("slot") / F.col("blocks")).cast("long")
@@ -117,7 +135,13 @@ def plan_mix(sized: DataFrame, block: int = BLOCK, n_shards: int = SHARDS, seed:
 
 
 def mixed_sizes(sized: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``sized`` (doc_id, source, size) -> doc_id, source, size, source_size, target, taken: words of each row that the mix takes, repeats counted. A row for each row."""
+    """``sized`` (doc_id, source, size) -> doc_id, source, size, source_size, target, taken: words of each row that the mix takes, repeats counted. A row for each row.
+
+    A null source is a source. A row may be longer than many blocks, and its pieces are taken each
+    by itself, up to MOST_REPEATS times. Rows without words take part with 0 words; repeated rows
+    are rows of their own, which may be taken differently; an empty table gives no rows. Extra
+    columns are left out.
+    """
     targets, placed, taken = plan_mix(sized.select("doc_id", "source", "size"), block)
     sums = taken.groupBy("rank", "start").agg(F.sum("words").alias("taken"))
     full = placed.where("size > 0").join(sums, ["rank", "start"], "left").unionByName(placed.where("size = 0"), allowMissingColumns=True)
@@ -129,18 +153,18 @@ def mix_texts(docs: DataFrame, block: int = BLOCK, n_shards: int = SHARDS, n_cha
 
     Streams of words are packed into blocks of ``block`` words; a block holds pieces of
     neighbouring documents, each with the white space behind its words. A column ``n_chars``
-    becomes the piece's length. Null and empty texts have no words and give no rows; input
-    columns ``shard`` and ``slot`` are replaced. Rows equal in doc_id, source and text share
-    their pieces.
+    becomes the piece's length. Null and empty texts have no words and give no rows, nor does an
+    empty table; a null source is a source; input columns ``shard`` and ``slot`` are replaced.
+    Rows equal in doc_id, source and text share their pieces, with the other columns of one of them.
     """
     rows = without(docs, "shard", "slot")
-    marked = rows.withColumn("_mark", F.struct(F.xxhash64("doc_id", "source", "text"), F.xxhash64(F.lit(1), "doc_id", "source", "text")))
-    _, placed, taken = plan_mix(marked.select("source", "_mark", word_count(F.col("text")).alias("size")), block, n_shards)
-    pieces = taken.join(placed.where("size > 0").select("rank", "start", "_mark"), ["rank", "start"]).select("_mark", "shard", "slot", "skip", "words")
-    listed = pieces.groupBy("_mark").agg(F.collect_list(F.struct("shard", "slot", "skip", "words")).alias("_pieces"))
-    met = marked.dropDuplicates(["_mark"]).join(listed, "_mark")
-    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    marked = rows.select(F.struct("*").alias("row"), F.struct(F.xxhash64("doc_id", "source", "text"), F.xxhash64(F.lit(1), "doc_id", "source", "text")).alias("mark"))
+    _, placed, taken = plan_mix(marked.select("row.source", "mark", word_count(F.col("row.text")).alias("size")), block, n_shards)
+    pieces = taken.join(placed.where("size > 0").select("rank", "start", "mark"), ["rank", "start"]).select("mark", "shard", "slot", "skip", "words")
+    listed = pieces.groupBy("mark").agg(F.collect_list(F.struct("shard", "slot", "skip", "words")).alias("pieces"))
+    met = marked.dropDuplicates(["mark"]).join(listed, "mark")
+    words = F.regexp_extract_all("row.text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
     cut_out = lambda w, p: F.array_join(F.slice(w, (p["skip"] + 1).cast("int"), p["words"].cast("int")), "")
-    opened = met.withColumn("_piece", F.explode(let(words, lambda w: F.transform("_pieces", lambda p: F.struct(cut_out(w, p).alias("text"), p["shard"].alias("shard"), p["slot"].alias("slot"))))))
-    made = {"text": F.col("_piece.text")} | ({n_chars: F.length("_piece.text").cast("long")} if n_chars in rows.columns else {})
-    return opened.select(*[made[c].alias(c) if c in made else F.col(f"`{c}`") for c in rows.columns], "_piece.shard", "_piece.slot")
+    opened = met.withColumn("piece", F.explode(let(words, lambda w: F.transform("pieces", lambda p: F.struct(cut_out(w, p).alias("text"), p["shard"].alias("shard"), p["slot"].alias("slot"))))))
+    made = {"text": F.col("piece.text")} | ({n_chars: F.length("piece.text").cast("long")} if n_chars in rows.columns else {})
+    return opened.select(*[made[c].alias(c) if c in made else F.col(f"row.`{c}`") for c in rows.columns], "piece.shard", "piece.slot")
