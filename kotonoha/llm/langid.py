@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -12,10 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kotonoha.llm.common import slices
+from kotonoha.llm.common import slices, without
 
 ORDERS, BUCKETS, SMOOTHING = (1, 2, 3), 1 << 15, 0.5
 
+#: Languages of one model: its counts come to the driver and its table (8 bytes for each bucket and
+#: language, 64 MB at most) goes to all executors. More are an error.
+MOST_LANGUAGES = 256
+
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
@@ -82,56 +87,76 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([name] * (len(full) + 1)), pa.array([*full, -1], pa.int32()), pa.array([*row[full], docs[name]], pa.int64())], names=["lang", "bucket", "n"])
 
 
-def train(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """From ``docs`` (text, lang): the languages in order, log P(bucket | language) as (BUCKETS, languages), and log P(language).
+class Model(NamedTuple):
+    """Languages in order, log P(bucket | language) as (BUCKETS, languages), log P(language), and the mean of the first over each language's training n-grams."""
+
+    langs: list[str]
+    table: np.ndarray
+    prior: np.ndarray
+    usual: np.ndarray
+
+
+def train(docs: DataFrame) -> Model:
+    """A model of ``docs`` (text, lang); rows without a language teach nothing.
 
     Counts are made by each task, then added up by Spark; what comes to the driver has at most
-    BUCKETS + 1 rows for each language.
+    BUCKETS + 1 rows for each of at most MOST_LANGUAGES languages.
     """
-    counted = docs.where("lang is not null").select("text", "lang").mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
+    labelled = docs.where("lang is not null").select("text", "lang")
+    if labelled.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} languages")
+    counted = labelled.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
     langs = sorted({r.lang for r in counted})
-    table, prior = np.zeros((BUCKETS, len(langs))), np.zeros(len(langs))
+    counts, prior = np.zeros((BUCKETS, len(langs))), np.zeros(len(langs))
     for r in counted:
         if r.bucket < 0:
             prior[langs.index(r.lang)] = r.n
         else:
-            table[r.bucket, langs.index(r.lang)] = r.n
-    table += SMOOTHING
-    return langs, np.log(table / table.sum(axis=0)), np.log((prior + 1) / (prior + 1).sum())
+            counts[r.bucket, langs.index(r.lang)] = r.n
+    table = np.log((counts + SMOOTHING) / (counts + SMOOTHING).sum(axis=0))
+    return Model(langs, table, np.log((prior + 1) / (prior + 1).sum()), (counts * table).sum(axis=0) / np.maximum(1, counts.sum(axis=0)))
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with ``lang_pred`` and ``score``; only the text counts.
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` (doc_id, text, ...) with ``lang_pred``, ``score`` and ``fit``; only the text counts.
 
-    ``score`` is the posterior probability of the language. A null text, one without a letter,
-    and any text where nothing was learned give ``und`` with score 0.
+    ``score`` is the posterior probability of the language among those learned. ``fit`` is the
+    mean log-probability of the text's n-grams less that of the language's training n-grams: about 0
+    for a text of the language, well below for one in none of those learned, of which ``score``
+    can't tell. A null text, one without a letter, and any text where nothing was learned give
+    ``und`` with score 0 and no ``fit``. A very long text is scored whole, a batch by itself.
+    Repeated rows are scored each, an empty table gives no rows; input columns of the added
+    names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = docs.schema.fields
+    rows = without(docs, "lang_pred", "score", "fit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, table, prior = shared.value
+        langs, table, prior, usual = shared.value
         for batch in slices(batches, "text", 1 << 18):
             buckets, sizes = grams(batch.column("text").to_pylist())
             full = np.flatnonzero(sizes)
-            names, scores = np.full(len(sizes), "und", object), np.zeros(len(sizes))
+            names, scores, fits = np.full(len(sizes), "und", object), np.zeros(len(sizes)), np.full(len(sizes), np.nan)
             if len(full) and langs:
                 starts = (np.cumsum(sizes) - sizes)[full]
-                logs = np.stack([np.add.reduceat(table[buckets, k], starts) for k in range(len(langs))], axis=1) + prior
-                best = logs.argmax(axis=1)
-                top = logs[np.arange(len(full)), best]
+                likely = np.stack([np.add.reduceat(table[buckets, k], starts) for k in range(len(langs))], axis=1)
+                logs = likely + prior
+                best, each = logs.argmax(axis=1), np.arange(len(full))
                 names[full] = np.array(langs, object)[best]
-                scores[full] = 1 / np.exp(logs - top[:, None]).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)], names=[*batch.schema.names, "lang_pred", "score"])
+                scores[full] = 1 / np.exp(logs - logs[each, best][:, None]).sum(axis=1)
+                fits[full] = likely[each, best] / sizes[full] - usual[best]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores), pa.array(fits, from_pandas=True)], names=[*batch.schema.names, "lang_pred", "score", "fit"])
 
-    return docs.mapInArrow(run, T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("fit", T.DoubleType())]
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *added]))
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, lang) -> doc_id, held_out, lang_pred, score, a row for each row.
 
     The model learns from rows with a language whose doc_id isn't held out (crc32 of the id's
-    digits mod 3 is not 1; a null id isn't held out). Extra columns are left out.
+    digits mod 3 is not 1; a null id isn't held out). Nulls, very long texts and repeated rows as
+    for ``predict``. Extra columns are left out.
     """
     model = train(docs.where(~held_out(F.col("doc_id"))))
     out = predict(docs.select("doc_id", "text"), model)

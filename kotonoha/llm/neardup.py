@@ -175,25 +175,39 @@ def elements(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
     return texts.select("id", "text").mapInArrow(run, "id long, element long")
 
 
+#: Texts under one shared shingle that meet one copy of the shorter texts under it.
+SALT_TEXTS = 2_000
+
+
 def possible_links(texts: DataFrame, known: DataFrame, similarity: float, size: int) -> DataFrame:
     """Pairs (a, b) of different roots among ``known`` (id, n, root) that may be linked: all that are, and few others.
 
     In one order of all elements, rarest first, two texts with an overlap of at least o share an
-    element among the first n - o + 1 of each. So texts meet on their rarest elements alone; an
-    element of one text, and one whose texts have all one root, joins nothing. Near copies
-    differ by elements of their own, which come first: those too far from each other don't meet.
+    element among the first n - o + 1 of each. What o is at least follows for the shorter of the
+    two from its own length and the same length again, for the longer one from its own. So each
+    text is entered under the elements that it may share with texts as long or longer, and sought
+    under those (a few more) that it may share with shorter ones; an element of one text, and one
+    whose texts have all one root, joins nothing. What all texts made from one template share is
+    among the first elements only of texts that differ in less than they need to be linked by it,
+    so texts that stay apart don't meet on it. The seekers of an element that many
+    share are dealt to several tasks.
     """
+    least = lambda share: F.ceil(F.col("n") * share - 1e-9)
     every = elements(texts, size)
     counts = every.groupBy("element").agg(F.count("*").alias("texts")).where("texts > 1")
     shared = every.join(counts, "element").withColumn("place", F.row_number().over(W.partitionBy("id").orderBy("texts", "element"))).withColumn("common", F.count("*").over(W.partitionBy("id")))
-    need = lambda a, b: F.ceil((F.col(a) + F.col(b)) * (similarity / (1 + similarity)) - 1e-9)
     placed = shared.join(known, "id").select("id", "element", "n", "root", (F.col("place") + F.col("n") - F.col("common")).alias("place"))
-    heads = cut(placed.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1), "heads")
-    mixed_ones = heads.groupBy("element").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("element")
-    left, right = (heads.join(mixed_ones, "element", "left_semi").select("element", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "root", "place")]) for x in "ab")
-    near = [F.col(f"place_{x}") <= F.col(f"n_{x}") - need("n_a", "n_b") + 1 for x in "ab"]
-    met = left.join(right, "element").where((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & near[0] & near[1])
-    return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    heads = cut(placed.where(F.col("place") <= F.col("n") - least(similarity) + 1).withColumn("entered", F.col("place") <= F.col("n") - least(2 * similarity / (1 + similarity)) + 1), "heads")
+    met = heads.groupBy("element").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("entered").alias("any"), F.count("*").alias("texts"))
+    salted = met.where("lo < hi and any").select("element", F.ceil(F.col("texts") / SALT_TEXTS).cast("long").alias("salts"))
+    named = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "root", "place")]
+    short = heads.where("entered").join(salted, "element").select("element", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), *named("a"))
+    long = heads.join(salted, "element").select("element", F.pmod(F.xxhash64("id"), F.col("salts")).alias("salt"), *named("b"))
+    need = F.ceil((F.col("n_a") + F.col("n_b")) * (similarity / (1 + similarity)) - 1e-9)
+    ordered = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("id_a") < F.col("id_b")))
+    near = (F.col("place_a") <= F.col("n_a") - need + 1) & (F.col("place_b") <= F.col("n_b") - need + 1)
+    pairs = short.join(long, ["element", "salt"]).where(ordered & (F.col("root_a") != F.col("root_b")) & near)
+    return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
