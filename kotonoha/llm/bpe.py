@@ -49,6 +49,8 @@ def serialise(ranks: dict[bytes, int]) -> bytes:
     by_rank = {rank: token for token, rank in ranks.items()}
     if sorted(by_rank) != list(range(len(ranks))):
         raise ValueError("ranks must run from 0 without gaps")
+    if missing := [b for b in range(256) if bytes([b]) not in ranks]:
+        raise ValueError(f"the vocabulary has no token for the bytes {missing}")
     for rank in range(len(ranks)):
         piece = "".join(symbol[b] for b in by_rank[rank]).encode()
         out.append(_bytes(PIECES, _bytes(PIECE, piece) + _varint(SCORE << 3 | 5) + struct.pack("<f", -rank) + _number(TYPE, NORMAL)))
@@ -58,12 +60,15 @@ def serialise(ranks: dict[bytes, int]) -> bytes:
 
 
 def encoder(model: bytes, pattern: str):
-    """text -> its ranks as a compact array of ints."""
+    """text -> its ranks as a compact array of ints. An unknown piece, which a vocabulary with all bytes never gives, is an error."""
     pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
     symbol, split = byte_symbols(), compiled(pattern).finditer
 
     def ids(piece: str) -> array:
-        return array("i", [i - 1 for i in pieces.encode("".join([symbol[b] for b in piece.encode()]), out_type=int)])
+        found = pieces.encode("".join([symbol[b] for b in piece.encode()]), out_type=int)
+        if 0 in found:
+            raise ValueError(f"not in the vocabulary: {piece[:50]!r}")
+        return array("i", [i - 1 for i in found])
 
     memo = Memo(ids, most=100_000)
 
@@ -77,18 +82,19 @@ def encoder(model: bytes, pattern: str):
 
 
 def decoder(ranks: dict[bytes, int]):
-    """list of ranks -> bytes."""
+    """list of ranks -> bytes; an id that is no rank is an error."""
     by_rank = {rank: token for token, rank in ranks.items()}
-    token = [by_rank[i] for i in range(len(by_rank))]
-    return lambda ids: b"".join([token[i] for i in ids])
+    return lambda ids: b"".join([by_rank[i] for i in ids])
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, decoded: bool = False, keep: list[str] | None = None) -> DataFrame:
     """Add ``ids`` (array<int>) to ``docs``: the ranks of each whole text's tokens; with ``decoded`` also the bytes that they decode to.
 
     Each match of ``pattern`` is encoded by itself, without special tokens. The ranks (bounded
-    by the vocabulary at ``path``) are broadcast. Null counts as empty: no ids. The columns in
-    ``keep`` stay (all of them by default); input columns ``ids`` and ``decoded`` are replaced.
+    by the vocabulary at ``path``) are broadcast. Null counts as empty: no ids. A very long text
+    is encoded as a whole in one task, a batch by itself; repeated rows are encoded each, an empty
+    table gives no rows. The columns in ``keep`` stay (all of them by default); input columns
+    ``ids`` and ``decoded`` are replaced.
     """
     ranks = read_ranks(path)
     shared = docs.sparkSession.sparkContext.broadcast((serialise(ranks), ranks if decoded else {}))
@@ -118,7 +124,7 @@ def decode_ids(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                decoded = pa.array([decode(ids.values.to_numpy()) if ids.is_valid else b"" for ids in part.column("ids")], pa.binary())
+                decoded = pa.array([decode(ids.values.to_pylist()) if ids.is_valid else b"" for ids in part.column("ids")], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, decoded], names=[*part.schema.names, "decoded"])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("decoded", T.BinaryType())]))

@@ -58,7 +58,9 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, limit: int = 512) ->
     Counts by the merges of the byte-level ``tokenizer.json`` at ``path``: each match of
     ``pattern`` is merged by itself, added tokens inside a text count as one, no tokens are
     put around a text, and no identifiers are made. The merges (bounded by the vocabulary)
-    are broadcast. Null counts as empty: no bytes, no tokens. Extra columns are left out.
+    are broadcast. Null counts as empty: no bytes, no tokens. A pre-token of n bytes, however
+    long, costs n log n; a very long text is counted in one task, a batch by itself. Repeated rows
+    are counted each, an empty table gives no rows. Extra columns are left out.
     """
     merges, added = read_merges(path)
     shared = docs.sparkSession.sparkContext.broadcast((merges, added))

@@ -31,9 +31,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def read_merges(path: str) -> tuple[list[tuple[str, str]], list[str]]:
-    """The merges of a byte-level ``tokenizer.json`` in order of rank, and the added tokens that are cut out of a text first."""
+    """The merges of a byte-level ``tokenizer.json`` in order of rank, and the added tokens that are cut out of a text first. Files that change texts before merging, or match added tokens otherwise than literally, are an error."""
     with open(path, encoding="utf-8") as f:
         data = json.load(f)
+    if data.get("normalizer") or any(t.get(k) for t in data.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word")):
+        raise ValueError(f"{path}: normalizers and added tokens with lstrip, rstrip or single_word are not supported")
     merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in data["model"]["merges"]]
     return merges, [t["content"] for t in data.get("added_tokens", [])]
 

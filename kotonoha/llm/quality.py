@@ -114,9 +114,11 @@ def judge_quality(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) -> doc_id, the base counts, the compression figures and ``kept``, a row for each row.
 
     ``ratio`` is compressed over plain bytes of the whole text, ``odd_chunks`` the share of its
-    chunks outside the limits. A text is kept if it passes the base rule, its
-    ratio is within the limits, and so are those of most chunks.
-    Null and empty texts have no words, so they fail the base rule. Extra columns are left out.
+    chunks outside the limits of their length. A text is kept if it passes the base rule, its
+    ratio is within the limits of its length, and at most CHUNK_SHARE of its chunks are odd.
+    Null and empty texts have no words, so they fail the base rule. A very long text is judged
+    whole in one task, a batch by itself, in time that grows with its length. Repeated rows are
+    judged each, an empty table gives no rows. Extra columns are left out.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(_judge, f"doc_id {kind}, " + ", ".join(f"{k} {v}" for k, v in COLUMNS.items()))
