@@ -181,3 +181,60 @@ def test_one_id_of_two_texts(spark):
     got = {(r.doc_id, r.text): (r.class_id, r.class_size) for r in neardup.near_classes(df).join(df.withColumn("mark", F.xxhash64("text")), ["doc_id", "mark"]).collect()}
     assert got == dict(zip(rows, [(3, 3), (5, 2), (3, 3), (5, 2), (3, 3), (5, 1)], strict=True))
     assert sorted(map(tuple, neardup.drop_near_copies(df).collect())) == [(3, words("a")), (5, ""), (5, words("b"))]
+
+
+def test_texts_of_one_template_do_not_meet(spark):
+    """Many texts that share most of their words, but less than a link needs: no pairs, and no links."""
+    shared = [f"w{i}" for i in range(100)]
+    for changed in (13, 8):
+        texts = {i: " ".join(shared[:40] + [f"x{i}y{k}" for k in range(changed)] + shared[40 + changed :]) for i in range(400)}
+        df = spark.createDataFrame(list(texts.items()), "id long, text string")
+        known = df.select("id", F.lit(96).cast("long").alias("n"), F.col("id").alias("root"))
+        assert neardup.possible_links(df, known, 0.8, 5).count() == 0
+    assert all(r.class_size == 1 for r in neardup.near_classes(df.withColumnRenamed("id", "doc_id")).collect())
+
+
+def test_possible_links_lose_none(spark):
+    r = random.Random(12)
+    texts = {}
+    for i in range(150):
+        words = [f"w{k}" for k in range(r.randint(60, 110))]
+        for _ in range(r.randint(0, 4)):
+            words[r.randrange(len(words))] = f"x{r.randrange(40)}"
+        texts[i] = " ".join(words)
+    sets = {i: weighted(t) for i, t in texts.items()}
+    df = spark.createDataFrame(list(texts.items()), "id long, text string")
+    known = spark.createDataFrame([(i, sum(s.values()), i) for i, s in sets.items()], "id long, n long, root long")
+    got = {tuple(sorted((p.a, p.b))) for p in neardup.possible_links(df, known, 0.8, 5).collect()}
+    linked = set()
+    for a in texts:
+        for b in range(a + 1, len(texts)):
+            both = sum((sets[a] & sets[b]).values())
+            if both >= 0.8 * (sum(sets[a].values()) + sum(sets[b].values()) - both):
+                linked.add((a, b))
+    assert linked and linked <= got
+
+
+def test_a_document_of_boilerplate_lines(spark):
+    """Copies of a text of 50,000 lines on twelve sites, all of which go but one, and a word of a megabyte."""
+    text = "\n".join(f"line {i}" for i in range(50_000))
+    rows = [(i, f"{text}\nown {i}", f"s{i}") for i in range(12)] + [(20, "x" * 1_000_000, "s1")]
+    got = {r.doc_id: r for r in lines.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[i].text == f"own {i}" and got[i].n_removed == 50_000 for i in range(12)) and got[20].n_removed == 0 and len(got[20].text) == 1_000_000
+
+
+def test_sites_near_and_far_from_the_threshold(spark):
+    """Sketches decide far from the threshold, exact counts near it; repeats on one site count once."""
+    rows = [(1000 * n + 10 * i + k, f"on {n} sites", f"s{i}") for n in (1, 2, 7, 9, 10, 11, 40) for i in range(n) for k in range(2)]
+    got = lines.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_sites=10).collect()
+    assert {r.doc_id // 1000 for r in got if r.n_removed} == {10, 11, 40} and {r.doc_id // 1000 for r in got if not r.n_removed} == {1, 2, 7, 9}
+
+
+def test_long_texts_in_near_dedup(spark):
+    r = random.Random(2)
+    words = ["".join(r.choices("abcdefgh", k=5)) for _ in range(120_000)]
+    near = list(words)
+    near[60_000] = "changed"
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, "y" * 1_000_000), (4, " ".join(reversed(words)))]
+    got = {x.doc_id: x.class_id for x in neardup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -35,17 +36,33 @@ def test_permutation_is_one(spark):
         assert n < 7 or got != list(range(n))
 
 
-def test_matrix_margins_and_uniformity(spark):
+def test_matrix_margins(spark):
     sizes = spark.createDataFrame([(p, 5 + p) for p in range(9)], "part long, n long")
     n = sum(5 + p for p in range(9))
-    corner = []
-    for seed in range(60):
-        got = {r.part: r.counts for r in shard.communication_matrix(sizes, 4, n, 9, seed).collect()} if seed < 3 else None
-        if got:
-            assert all(sum(got[p]) == 5 + p for p in range(9))
-            assert [sum(got[p][s] for p in range(9)) for s in range(4)] == [n // 4 + (s < n % 4) for s in range(4)]
-            corner.append(got[8][0])
-    assert min(corner) >= 0
+    got = {r.part: r.counts for r in shard.communication_matrix(sizes, 4, n, 9, 3).collect()}
+    assert all(sum(got[p]) == 5 + p for p in range(9))
+    assert [sum(got[p][s] for p in range(9)) for s in range(4)] == [n // 4 + (s < n % 4) for s in range(4)]
+
+
+def test_matrix_has_the_law_of_a_uniform_shuffle(spark):
+    """The first two entries of 3,000 matrices against their exact joint law, by chi-square."""
+    sizes, capacity = F.array(*[F.lit(x).cast("long") for x in (3, 2, 4)]), F.array(*[F.lit(x).cast("long") for x in (4, 3, 2)])
+    rows = spark.range(3000).select(shard._spread(sizes, capacity, F.xxhash64("id")).alias("m"))
+    seen = Counter((r.m[0][0], r.m[1][0]) for r in rows.collect())
+    places = [0] * 3 + [1] * 2 + [2] * 4  # the part of each of nine rows; any four of them may form the first shard
+    law = Counter((sum(places[i] == 0 for i in c), sum(places[i] == 1 for i in c)) for c in combinations(range(9), 4))
+    total = sum(law.values())
+    assert set(seen) <= set(law)
+    chi = sum((seen[k] - 3000 * w / total) ** 2 / (3000 * w / total) for k, w in law.items())
+    assert chi < len(law) - 1 + 5 * np.sqrt(2 * (len(law) - 1))
+
+
+def test_repeated_rows_spread(spark):
+    df = spark.range(1, 4001).select(F.when(F.col("id") > 3000, F.col("id")).otherwise(0).alias("doc_id"), F.lit("x").alias("v"))
+    got = shard.shard_rows(df, 4, part_rows=200)
+    assert got.count() == 4000 and Counter(r.doc_id for r in got.collect())[0] == 3000
+    of = Counter(r.shard for r in got.where("doc_id = 0").collect())
+    assert all(abs(of[s] - 750) < 100 for s in range(4))
 
 
 def test_shards_are_exact(spark, odd, none):
@@ -76,6 +93,42 @@ def test_targets_reshare_the_excess(spark):
     assert [got[s]["rank"] for s in ("a", "b", "c", None)] == [0, 1, 2, 3]
 
 
+def brute_targets(sizes, weights=(1, 2, 3), most=3):
+    """Share the rest by weight again and again, until no source is above its cap."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    target, rest, open_ = dict.fromkeys(order, 0.0), float(sum(sizes.values())), set(order)
+    while open_ and rest > 1e-9:
+        share = rest / sum(weight[s] for s in open_)
+        rest = 0.0
+        for s in list(open_):
+            target[s] += share * weight[s]
+            if target[s] >= most * sizes[s]:
+                rest += target[s] - most * sizes[s]
+                target[s] = float(most * sizes[s])
+                open_.discard(s)
+    return target
+
+
+def test_targets_equal_iterative_resharing(spark):
+    r = np.random.default_rng(4)
+    for n in (1, 2, 5, 40):
+        sizes = {None if i == n // 2 else f"s{i}": int(x) for i, x in enumerate(r.pareto(0.7, n) * 50)}
+        got = {x.source: x.target for x in mix.source_targets(spark.createDataFrame(list(sizes.items()), "source string, size long")).collect()}
+        wanted = brute_targets(sizes)
+        assert all(abs(got[s] - wanted[s]) < 1e-6 * (1 + wanted[s]) for s in sizes)
+
+
+def test_draws_in_two_levels_meet_all_quotas(spark):
+    quotas = [(i, 10 + i, 3 * i % 17 * 5) for i in range(30)]
+    got = mix.shard_counts(spark.createDataFrame(quotas, "rank int, blocks long, quota long"), 30, 7, 5).collect()
+    by, per = Counter(), Counter()
+    for r in got:
+        by[r.rank] += r.n
+        per[r.shard] += r.n
+    assert all(by[i] == q for i, _, q in quotas) and max(per.values()) - min(per.values()) <= 1 and min(r.n for r in got) >= 0
+
+
 def test_mix_nears_its_targets(spark):
     rows = [(i, f"s{i % 7}" if i % 7 else None, (i * 37) % 400) for i in range(1500)]
     got = mix.mixed_sizes(spark.createDataFrame(rows, "doc_id long, source string, size long"), block=16).toPandas()

@@ -1,7 +1,12 @@
 from __future__ import annotations
 
+import base64
 import hashlib
+import json
+import math
+import random
 import re
+from collections import Counter
 
 import public_tokenizers as P
 import pytest
@@ -10,7 +15,9 @@ import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from kotonoha.llm import bpe, counts, langid, pretokens, quality, urls
+from tests.llm.conftest import PROSE
 
 RANKS, JSON = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json")
 
@@ -94,6 +101,91 @@ def test_languages_of_held_out_documents(spark, sf):
     assert got.where("score < 0 or score > 1").count() == 0
 
 
+def test_scores_equal_plain_naive_bayes(spark):
+    """A count of n-grams in dictionaries, and Bayes' rule, against the matrix."""
+    r = random.Random(6)
+    word = {"x": "abcdef", "y": "cdefgh", "z": "ghiéß"}
+    rows = [(i, " ".join("".join(r.choices(word[k], k=r.randint(1, 6))) + r.choice(["", "!", "7"]) for _ in range(r.randint(1, 8))), k) for i, k in enumerate(r.choices("xyz", k=120))]
+    docs = spark.createDataFrame([(i, t, k if i % 5 else None) for i, t, k in rows], "doc_id long, text string, lang string")
+
+    def bucket(gram):
+        h = len(gram)
+        for k, c in enumerate(gram):
+            h = (h ^ ord(c)) * int(langid._MIX[k]) % 2**32
+            h ^= h >> 15
+        return h * int(langid._MIX[0]) % 2**32 * langid.BUCKETS >> 32
+
+    def plain(text):
+        letters = re.sub(r"[^a-zéß]+", " ", f" {text.lower()} ")
+        return Counter(bucket(letters[k : k + n]) for n in (1, 2, 3) for k in range(len(letters) - n + 1) if letters[k : k + n].strip())
+
+    table = {k: Counter() for k in "xyz"}
+    count = Counter()
+    for r_ in docs.where("lang is not null and crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1").collect():
+        table[r_.lang].update(plain(r_.text))
+        count[r_.lang] += 1
+    total = {k: sum(t.values()) for k, t in table.items()}
+    got = {x.doc_id: x for x in langid.identify(docs).collect()}
+    for i, t, _ in rows:
+        logs = {k: math.log((count[k] + 1) / (sum(count.values()) + 3)) + sum(n * math.log((table[k][g] + langid.SMOOTHING) / (total[k] + langid.SMOOTHING * langid.BUCKETS)) for g, n in plain(t).items()) for k in "xyz"}
+        best = max(logs, key=logs.get)
+        score = 1 / sum(math.exp(v - logs[best]) for v in logs.values())
+        assert got[i].lang_pred == best and abs(got[i].score - score) < 1e-9
+
+
+def test_texts_of_no_learned_language_do_not_fit(spark, sf):
+    r = random.Random(8)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    odd_ones = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=400)), base64.b64encode(r.randbytes(300)).decode(), "съешь ещё этих мягких французских булок " * 5, "日本語の文章" * 30]
+    model = langid.train(docs)
+    fits = [x.fit for x in langid.predict(spark.createDataFrame([(t,) for t in odd_ones], "text string"), model).collect()]
+    assert max(fits) < corpus_pipeline.LEAST_FIT
+    clean = langid.predict(docs, model).where("fit is not null")
+    assert clean.where(F.col("fit") < corpus_pipeline.LEAST_FIT).count() == 0 and abs(clean.agg(F.avg("fit")).first()[0]) < 0.2
+
+
+def test_too_many_languages_are_an_error(spark):
+    many = spark.range(langid.MOST_LANGUAGES + 1).select(F.lit("text").alias("text"), F.col("id").cast("string").alias("lang"))
+    with pytest.raises(ValueError):
+        langid.train(many)
+
+
+def test_columns_of_predictions_are_replaced(spark):
+    docs = spark.createDataFrame([("ab", "q", 1, "keep")], "text string, LANG_PRED string, fit int, more string")
+    assert langid.predict(docs, langid.train(spark.createDataFrame([("ab", "en")], "text string, lang string"))).columns == ["text", "more", "lang_pred", "score", "fit"]
+
+
+def test_long_texts(spark, theirs, library):
+    """Texts of megabytes: many words, one word, and one line after another."""
+    r = random.Random(9)
+    words = ["".join(r.choices("etaoinshr", k=r.randint(2, 9))) for _ in range(4_000)]
+    texts = [" ".join(r.choices(words, k=250_000)), "x" * 1_000_000, "\n".join(r.choices(words, k=200_000)), PROSE]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    encoded = {x.doc_id: x.ids for x in bpe.encode_texts(docs.where("doc_id <> 1"), RANKS, P.PATTERN).collect()}
+    assert all(encoded[i] == theirs.encode_ordinary(texts[i]) for i in (0, 2, 3))
+    counted = {x.doc_id: x.n_tokens for x in counts.count_tokens(docs, JSON, P.PATTERN).collect()}
+    assert all(counted[i] == len(encoded[i]) for i in encoded) and counted[1] == len(library.encode(texts[1], add_special_tokens=False).ids)
+    assert {x.lang_pred for x in langid.identify(docs).collect()} == {"en"}
+    judged = {x.doc_id: x for x in quality.judge_quality(docs).collect()}
+    assert judged[0].n_words == 250_000 and judged[1].n_words == 1 and judged[1].base_failed and judged[2].word_chars == sum(map(len, texts[2].split()))
+
+
+def test_unknown_ids_and_missing_bytes_are_errors(spark):
+    decode = bpe.decoder(pretokens.read_ranks(RANKS))
+    for bad in ([-1], [50_256]):
+        with pytest.raises(KeyError):
+            decode(bad)
+    with pytest.raises(ValueError):
+        bpe.serialise({bytes([b]): b for b in range(255)})
+
+
+def test_unsupported_added_tokens_are_errors(tmp_path):
+    for more in ({"added_tokens": [{"content": "<x>", "lstrip": True}]}, {"normalizer": {"type": "NFC"}}):
+        (tmp_path / "t.json").write_text(json.dumps({"model": {"merges": []}, **more}))
+        with pytest.raises(ValueError):
+            pretokens.read_merges(str(tmp_path / "t.json"))
+
+
 def test_languages_of_odd_rows(spark, odd, none):
     got = langid.identify(odd).collect()
     assert len(got) == odd.count()
@@ -136,6 +228,31 @@ def test_base_quality_by_brute_force(odd, none):
     assert all(not r.kept for r in got if r.base_failed) and quality.judge_quality(none).count() == 0
 
 
+def test_verdicts_by_brute_force(spark, sf):
+    """Ratio, chunks and verdict of every document by a plain reading of the limits."""
+    c = zstandard.ZstdCompressor(level=quality.LEVEL)
+
+    def outside(data):
+        if len(data) < quality.LEAST:
+            return False
+        x, ratio = math.log(len(data)), len(c.compress(data)) / len(data)
+        marks = [(math.log(n), low, high) for n, low, high in quality.LIMITS]
+        below, above = max([m for m in marks if m[0] <= x], default=marks[0]), min([m for m in marks if m[0] >= x], default=marks[-1])
+        t = (x - below[0]) / (above[0] - below[0]) if above[0] > below[0] else 0.0
+        return not below[1] + t * (above[1] - below[1]) - 1e-12 <= ratio <= below[2] + t * (above[2] - below[2]) + 1e-12
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in quality.judge_quality(docs).collect():
+        data = (texts[r.doc_id] or "").encode()
+        parts = [data[i : i + quality.CHUNK] for i in range(0, max(1, len(data)), quality.CHUNK)]
+        if len(parts) > 1 and len(parts[-1]) < quality.LEAST:
+            parts[-2:] = [parts[-2] + parts[-1]]
+        odd_share = sum(map(outside, parts)) / len(parts)
+        passes = not outside(data) and (len(parts) == 1 or odd_share <= quality.CHUNK_SHARE)
+        assert abs(r.odd_chunks - odd_share) < 1e-9 and r.kept == (passes and not r.base_failed)
+
+
 def test_bands_reject_repetition_and_noise():
     import random
 
@@ -217,6 +334,14 @@ def test_urls_by_brute_force(spark):
     assert sorted(((r.page_id, r.url, r.host, r.path, r.rule, r.verdict) for r in got), key=key) == sorted(((i % 50, u, *brute_url(u, rules)) for i, u in enumerate(given)), key=key)
 
 
+def test_hosts_of_many_labels_and_rules_that_join_up(spark):
+    rules = urls.rules_frame(spark, [("exa", "mple.com", "block"), ("com", "", "allow"), ("b.example.com", "/x", "block")])
+    long = "a." * 20_000 + "b.example.com"
+    given = ["http://example.com", "http://example.com/x", f"http://{long}/x", f"http://{long}/y"]
+    got = urls.judge_urls(spark.createDataFrame(list(enumerate(given)), "page_id int, url string"), rules)
+    assert {r.page_id: (r.rule, r.verdict) for r in got.collect()} == {0: ("com", "allow"), 1: ("com", "allow"), 2: ("b.example.com/x", "block"), 3: ("com", "allow")}
+
+
 def test_urls_without_rules_or_rows(spark):
     df = spark.createDataFrame([(1, "http://net/")], "page_id long, url string")
     none = urls.rules_frame(spark).limit(0)
