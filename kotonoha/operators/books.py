@@ -50,14 +50,31 @@ def resolve_links(links: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def inline_links(resolved: DataFrame, spine: DataFrame, prefix: str = PREFIX) -> DataFrame:
-    """Resolved links (book, attribute, resolved, target) with ``inlined`` and ``error``: links to documents of the spine become ``#<prefix>-<id>``, those to other items are errors; media keep theirs and may not have a fragment."""
+    """Resolved links (book, attribute, resolved, target, href, perhaps in_svg and error) with ``inlined``, the value for a merged book, and ``error``.
+
+    Links (``href`` outside SVG) to documents of the spine become ``#<prefix>-<id>``, without their
+    fragment; those to other items are errors. Media (``src``, and any ``href`` inside SVG) become the
+    name of their file beside the book and may not have a fragment. An error in the input stays,
+    and what has an error has no value.
+    """
     inside = spine.select("book", F.col("item_id").alias("target")).distinct().withColumn("in_spine", F.lit(True))
     joined = resolved.join(inside, ["book", "target"], "left")
-    internal, media = F.startswith("resolved", F.lit("!")), F.col("attribute").isin("src", "xlink:src", "xlink:href")
-    document = internal & ~media
-    inlined = F.when(document & F.col("in_spine"), F.concat(F.lit(f"#{prefix}-"), "target")).when(document, F.lit(None).cast("string")).otherwise(F.col("resolved"))
-    error = F.when(document & F.col("in_spine").isNull(), "not in spine").when(internal & media & F.contains("resolved", F.lit(" #")), "media with fragment")
-    return joined.withColumns({"inlined": inlined, "error": error}).drop("in_spine")
+    in_svg = F.coalesce(F.col("in_svg"), F.lit(False)) if "in_svg" in resolved.columns else F.lit(False)
+    internal = F.coalesce(F.startswith("resolved", F.lit("!")), F.lit(False))
+    document = internal & (F.col("attribute") == "href") & ~in_svg
+    error = F.when(document & F.col("in_spine").isNull(), "not in spine").when(internal & ~document & F.contains("resolved", F.lit(" #")), "media with fragment")
+    if "error" in resolved.columns:
+        error = F.coalesce(F.col("error"), error)
+    value = F.when(document, F.concat(F.lit(f"#{prefix}-"), "target")).when(internal, asset_name(F.col("target"), F.col("href"))).otherwise(F.col("resolved"))
+    return joined.withColumn("error", error).withColumn("inlined", F.when(F.col("error").isNull(), value)).drop("in_spine")
+
+
+def relinked(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """Parts (book, item_id, pieces, links, ...) with their ``body`` made anew from the pieces and the values of ``links`` (book, item_id, no, inlined); a link without a value keeps the one it had."""
+    placed = links.groupBy("book", "item_id").agg(F.array_sort(F.collect_list(F.struct("no", "inlined"))).alias("made"))
+    joined = parts.join(placed, ["book", "item_id"], "left")
+    values = F.zip_with("links.value", "made.inlined", lambda old, new: F.coalesce(new, old))
+    return joined.withColumn("values", F.when(F.col("made").isNull(), F.col("links.value")).otherwise(values)).withColumn("body", epub.filled("pieces", "values")).drop("made", "values")
 
 
 def section_offsets(sections: DataFrame) -> DataFrame:
@@ -77,18 +94,34 @@ def stylesheet_refs(styles: DataFrame) -> DataFrame:
     return styles.groupBy("book", "href").agg(F.array_sort(F.collect_list(F.struct("pos", "item_id"))).alias("u")).select("book", "href", F.col("u.item_id").alias("items"))
 
 
+def asset_name(item_id: Column, href: Column) -> Column:
+    return F.concat(item_id, F.lit("-"), F.regexp_extract(href, "([^/]*)$", 1))
+
+
 def asset_paths(manifest: DataFrame) -> DataFrame:
     """Manifest items with the name that their file has beside a merged book."""
-    return manifest.withColumn("asset", F.concat("item_id", F.lit("-"), F.regexp_extract("href", "([^/]*)$", 1)))
+    return manifest.withColumn("asset", asset_name(F.col("item_id"), F.col("href")))
+
 
+def join_media(manifest: DataFrame, entries: DataFrame) -> DataFrame:
+    """Files that lie beside a merged book: (book, item_id, path, content), the path being ``<book>/<asset>``; ``missing`` where the archive has no such entry."""
+    media = asset_paths(manifest.where(F.col("media_type") != XHTML))
+    files = entries.select(F.col("archive").alias("book"), F.col("path").alias("href"), "content")
+    joined = media.join(files, ["book", "href"], "left")
+    return joined.select("book", "item_id", F.concat("book", F.lit("/"), "asset").alias("path"), "content", F.col("content").isNull().alias("missing"))
 
-def merge_parts(parts: DataFrame, prefix: str = PREFIX) -> DataFrame:
+
+#: Style of the element around all parts.
+WRAPPER = "margin: 0 auto; max-width: 100%;"
+
+
+def merge_parts(parts: DataFrame, prefix: str = PREFIX, style: str = WRAPPER) -> DataFrame:
     """Parts (book, title, pos, item_id, body_class, body) -> (book, title, html), a document for each book with a ``div`` for each part in order. Sizes follow the books, so it belongs at the end of a job."""
-    klass = F.when(F.col("body_class").isNotNull(), F.concat(F.lit(' class="'), "body_class", F.lit('"'))).otherwise("")
-    div = F.concat(F.lit(f'<div id="{prefix}-'), "item_id", F.lit('"'), klass, F.lit(">"), "body", F.lit("</div>"))
+    quoted = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    klass = F.when(F.col("body_class").isNotNull(), F.concat(F.lit(' class="'), quoted("body_class"), F.lit('"'))).otherwise("")
+    div = F.concat(F.lit(f'<div id="{prefix}-'), quoted("item_id"), F.lit('"'), klass, F.lit(">"), "body", F.lit("</div>"))
     joined = parts.select("book", "title", "pos", div.alias("div")).groupBy("book", "title").agg(F.array_sort(F.collect_list(F.struct("pos", "div"))).alias("d"))
-    style = "display: flex; flex-direction: column; justify-content: center; align-items: center;"
-    head = F.concat(F.lit('<!DOCTYPE html><html><head><meta charset="UTF-8"/><title>'), "title", F.lit(f'</title></head><body><div id="wrapper-{prefix}" style="{style}"><div id="main-{prefix}">'))
+    head = F.concat(F.lit('<!DOCTYPE html><html><head><meta charset="UTF-8"/><title>'), quoted(F.coalesce("title", F.lit(""))), F.lit(f'</title></head><body><div id="wrapper-{prefix}" style="{style}"><div id="main-{prefix}">'))
     return joined.select("book", "title", F.concat(head, F.array_join("d.div", ""), F.lit("</div></div></body></html>")).alias("html"))
 
 
@@ -97,10 +130,29 @@ def book_record(merged: DataFrame) -> DataFrame:
     return merged.select("book", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), F.regexp_extract("html", "(?s)<body>(.*)</body>", 1).alias("body"))
 
 
+def chapters_of(packages: DataFrame, manifest: DataFrame, entries: DataFrame) -> DataFrame:
+    """(book, item_id, chapter): for each item that the table of contents names, the first title it has there."""
+    listed = packages.select("book", "version", F.col("toc_id").alias("item_id")).join(manifest.select("book", "item_id", F.col("href").alias("toc_href")), ["book", "item_id"])
+    files = entries.select(F.col("archive").alias("book"), F.col("path").alias("toc_href"), F.col("content").cast("string").alias("xml"))
+    contents = listed.join(files, ["book", "toc_href"])
+    named = epub.toc_entries(contents.select("book", "version", "xml")).join(contents.select("book", "toc_href"), "book")
+    placed = named.withColumn("href", resolve_path(F.col("toc_href"), F.regexp_replace("target", "[?#].*$", ""))).join(manifest.select("book", "href", "item_id"), ["book", "href"])
+    return placed.groupBy("book", "item_id").agg(F.min_by("title", "no").alias("chapter"))
+
+
+def library_rows(packages: DataFrame, manifest: DataFrame, sections: DataFrame) -> DataFrame:
+    """The books as the library lists them: book, primary_title, other_titles, author_string, type, length (counted characters), cover_path."""
+    lengths = sections.groupBy("book").agg(F.sum("characters").alias("length"))
+    covers = packages.select("book", F.col("cover_id").alias("item_id")).join(manifest, ["book", "item_id"]).select("book", F.col("href").alias("cover_path"))
+    named = packages.select("book", F.get("titles", F.lit(0)).alias("primary_title"), F.slice("titles", F.lit(2), F.greatest(F.size("titles") - 1, F.lit(0))).alias("other_titles"), F.array_join("authors", ", ").alias("author_string"), F.lit("epub").alias("type"))
+    return named.join(lengths, "book", "left").join(covers, "book", "left").withColumn("length", F.coalesce("length", F.lit(0).cast("long")))
+
+
 def ingest_books(entries: DataFrame, prefix: str = PREFIX) -> dict[str, DataFrame]:
-    """EPUB entries (archive, path, content) -> packages, sections (with characters and start), links (resolved and inlined), stylesheets, and rejects.
+    """EPUB entries (archive, path, content) -> packages, sections (with characters, start and chapter), parts (bodies with their links rewritten), links (resolved and inlined), media, stylesheets, rejects, library and merged books.
 
-    All but the packages are keyed by (book, item), so that large books are many rows.
+    All but the packages, the library and the merged books are keyed by (book, item), so that
+    large books are many rows; a merged book is one row.
     """
     packages = epub.parse_package(epub.read_epubs(entries))
     usable = packages.where("error is null")
@@ -108,12 +160,15 @@ def ingest_books(entries: DataFrame, prefix: str = PREFIX) -> dict[str, DataFram
     content = spine_content(resolve_spine(spine, manifest), entries)
     kept = content.where("reject is null")
     parts = epub.item_parts(kept).join(kept.select("book", "item_id", "pos", F.col("href").alias("item_href")), ["book", "item_id"])
-    links = parts.select("book", "item_id", "item_href", F.explode("links").alias("l")).select("book", "item_id", "item_href", "l.*")
-    resolved = resolve_links(links, manifest).withColumnRenamed("error", "lost")
-    inlined = inline_links(resolved, spine, prefix).withColumn("error", F.coalesce("lost", "error")).drop("lost")
+    links = parts.select("book", "item_id", "item_href", F.posexplode("links").alias("no", "l")).select("book", "item_id", "item_href", "no", "l.*")
+    inlined = inline_links(resolve_links(links, manifest), spine, prefix)
     styles = parts.select("book", "pos", "item_id", F.explode("stylesheets").alias("link"), "item_href").select("book", "pos", "item_id", resolve_path(F.col("item_href"), F.col("link")).alias("href"))
     rejects = spine_rejects(spine, manifest).select("book", "item_id", F.lit("not in manifest").alias("reason")).unionByName(content.where("reject is not null").select("book", "item_id", F.col("reject").alias("reason")))
-    return {"packages": packages, "sections": section_offsets(parts.select("book", "pos", "item_id", "characters")), "parts": parts.select("book", "pos", "item_id", "body_class", "body"), "links": inlined, "stylesheets": stylesheet_refs(styles), "rejects": rejects}
+    titled = parts.select("book", "pos", "item_id", "characters").join(chapters_of(usable, manifest, entries), ["book", "item_id"], "left")
+    sections = section_chapters(section_offsets(titled))
+    bodies = relinked(parts, inlined).select("book", "pos", "item_id", "body_class", "body")
+    merged = merge_parts(bodies.join(usable.select("book", F.get("titles", F.lit(0)).alias("title")), "book"), prefix)
+    return {"packages": packages, "sections": sections, "parts": bodies, "links": inlined, "media": join_media(manifest, entries), "stylesheets": stylesheet_refs(styles), "rejects": rejects, "library": library_rows(usable, manifest, sections), "books": merged}
 
 
 def search_books(books: DataFrame, title: str | None = None, kind: str = "epub") -> DataFrame:

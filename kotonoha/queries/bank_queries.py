@@ -100,6 +100,26 @@ def parse_kanji(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("kanji", F.col("archive").alias("dictionary"), _text("onyomi").alias("onyomi"), _text("kunyomi").alias("kunyomi"), _text("definitions").alias("definitions"), F.col("stats")["strokes"].alias("strokes"))
 
 
+@query(f"SELECT p_name AS kanji, {_ARCHIVE_SQL}, 'a ' || p_size AS onyomi, CASE WHEN p_size % 2 = 0 THEN '' ELSE p_type END AS kunyomi, '\"' || p_type || '\" \"x\"' AS definitions, 0 AS stats FROM part")
+def parse_kanji_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items in both layouts of version 1."""
+    size = F.col("p_size").cast("string")
+    fixed = F.concat_ws(",", js("p_name"), js(F.concat(F.lit("a "), size)), js(F.when(F.col("p_size") % 2 == 0, "").otherwise(F.col("p_type"))), js(F.lit("t")))
+    defs = F.concat_ws(",", js("p_type"), js(F.lit("x")))
+    rows = parts(spark, sf_dir).select("archive", F.when(F.col("p_partkey") % 2 == 0, item(item(fixed), defs)).otherwise(item(fixed, defs)).alias("item"))
+    out = B.parse_kanji_bank_v1(B.bank_items(archives_of(rows, "kanji_bank"), "kanji_bank"))
+    return out.select("kanji", F.col("archive").alias("dictionary"), _text("onyomi").alias("onyomi"), _text("kunyomi").alias("kunyomi"), _text("definitions").alias("definitions"), F.size("stats").alias("stats"))
+
+
+@query(f"""SELECT p_name AS term, {_ARCHIVE_SQL}, '{{"type":"structured-content","content":{{"tag":"' || p_size || '","style":{{"marginLeft":"1","margin":"0"}},"content":"' || p_type || '"}}}} "' || p_type || '" ["z",["a"]]' AS definitions FROM part""")
+def parse_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definitions as they are written, their keys in their order."""
+    node = F.concat(F.lit('{"type":"structured-content","content":{"tag":"'), F.col("p_size").cast("string"), F.lit('","style":{"marginLeft":"1","margin":"0"},"content":'), js("p_type"), F.lit("}}"))
+    rows = parts(spark, sf_dir).select("archive", item(js("p_name"), js(F.lit("")), F.lit("null"), js(F.lit("")), F.lit("1"), item(node, js("p_type"), F.lit('["z",["a"]]')), F.lit("1"), js(F.lit(""))).alias("item"))
+    out = B.parse_term_bank(B.bank_items(archives_of(rows, "term_bank"), "term_bank"))
+    return out.select("term", F.col("archive").alias("dictionary"), _text("definitions").alias("definitions"))
+
+
 def _meta_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata items of all forms, by p_partkey % 7."""
     k, n = F.col("p_partkey") % 7, F.col("p_size").cast("string")
@@ -131,6 +151,19 @@ def parse_term_meta_ipa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.parse_term_meta_ipa(_meta_items(spark, sf_dir)).select("term", F.col("archive").alias("dictionary"), "reading", "transcription")
 
 
+_FREQ_SQL = f"SELECT p_name AS term, {_ARCHIVE_SQL}, 'frequency' AS meta_type, CASE WHEN p_partkey % 7 IN (3, 4) THEN 'r' || p_size ELSE p_name END AS reading, coalesce(CASE p_partkey % 7 WHEN 1 THEN p_size::VARCHAR WHEN 2 THEN p_size || 'x' WHEN 4 THEN p_size || 'x' END, p_size::VARCHAR) AS shown FROM part WHERE p_partkey % 7 < 5"
+
+
+@query(f"""{_FREQ_SQL} UNION ALL SELECT p_name, {_ARCHIVE_SQL}, 'pitch', 'r' || p_size, (CASE i WHEN 0 THEN p_size ELSE 0 END)::VARCHAR FROM part, range(2) t(i) WHERE p_partkey % 7 = 5
+    UNION ALL SELECT p_name, {_ARCHIVE_SQL}, 'ipa', 'r' || p_size, '/' || p_size || '/' FROM part WHERE p_partkey % 7 = 6 UNION ALL SELECT p_name, {_ARCHIVE_SQL}, 'odd', NULL, NULL FROM part""")
+def parse_term_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata of all types in one bank, and for each part an item of an unknown type."""
+    odd = parts(spark, sf_dir).select("archive", item(js("p_name"), js(F.lit("odd")), F.lit("1")).alias("item"))
+    out = B.parse_term_meta_bank(_meta_items(spark, sf_dir).unionByName(B.bank_items(archives_of(odd, "term_meta_bank"), "term_meta_bank")))
+    shown = F.coalesce("display_frequency", F.col("frequency").cast("long").cast("string"), F.col("downstep_position").cast("string"), "transcription")
+    return out.select("term", F.col("archive").alias("dictionary"), "meta_type", "reading", shown.alias("shown"))
+
+
 @query(f"SELECT p_name AS kanji, {_ARCHIVE_SQL}, p_size::DOUBLE AS frequency, CASE WHEN p_partkey % 2 = 0 THEN p_size || 'x' END AS display_frequency FROM part")
 def parse_kanji_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("p_size").cast("string")
@@ -180,7 +213,7 @@ def image_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.select("p_partkey", *[F.col(f"i.{c}") for c in ("path", "title", "width", "height", "pixelated", "background", "collapsed", "collapsible", "imageRendering", "appearance")])
 
 
-@query("SELECT p_partkey, ' background-color:' || p_brand || '; font-size:' || p_size || 'px;' AS style FROM part")
+@query("SELECT p_partkey, ' font-size:' || p_size || 'px; background-color:' || p_brand || ';' AS style FROM part")
 def style_string(spark: SparkSession, sf_dir: str) -> DataFrame:
     styles = F.create_map(F.lit("fontSize"), F.concat(F.col("p_size").cast("string"), F.lit("px")), F.lit("backgroundColor"), F.col("p_brand"))
     return table(spark, sf_dir, "part").select("p_partkey", structured.style_string(styles).alias("style"))
@@ -191,14 +224,17 @@ def media_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", structured.media_path(F.col("p_brand"), F.concat(F.col("p_size").cast("string"), F.lit(".png")), "/base").alias("path"))
 
 
-@query(r"""SELECT p_partkey, CASE p_partkey % 6 WHEN 2 THEN p_type || '<br><span style=" font-size:' || p_size || 'px;">' || p_name || '</span>'
-    WHEN 3 THEN '<details><summary> </summary><img width="' || p_size || '" height="0" title="" alt="" description="" src="/dictionaryMedia/' || p_brand || '/a/' || p_size || '.png"></details>' ELSE p_name END AS html FROM part WHERE p_partkey % 6 < 5""")
-def structured_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structured_html_all(spark, sf_dir).where("p_partkey % 6 < 5")
-
-
 @query(r"""SELECT p_partkey, CASE p_partkey % 6 WHEN 2 THEN p_type || '<br><span style=" font-size:' || p_size || 'px;">' || p_name || '</span>' WHEN 5 THEN NULL
-    WHEN 3 THEN '<details><summary> </summary><img width="' || p_size || '" height="0" title="" alt="" description="" src="/dictionaryMedia/' || p_brand || '/a/' || p_size || '.png"></details>' ELSE p_name END AS html FROM part""")
-def structured_html_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    WHEN 3 THEN '<details><summary> </summary><img width="' || p_size || '" height="0" title="" alt="" description="" appearance="auto" src="/dictionaryMedia/' || p_brand || '/a/' || p_size || '.png"></details>' ELSE p_name END AS html FROM part""")
+def structured_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All definitions, the malformed ones included, which have no HTML."""
     return definitions(spark, sf_dir).select("p_partkey", structured.structured_html("definition", "p_brand").alias("html"))
+
+
+@query("SELECT source AS archive, 'img/' || doc_id || '.png' AS path, doc_id % 5 <> 4 AS missing, CASE WHEN doc_id % 5 = 4 THEN md5(text) END AS content_md5 FROM documents")
+def extract_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file declared for each document, of which the archives hold those routed as media."""
+    d = table(spark, sf_dir, "documents")
+    path = F.concat(F.lit("img/"), F.col("doc_id").cast("string"), F.lit(".png"))
+    held = B.route_entries(file_entries(spark, sf_dir)).where("kind = 'media'").join(d.select(F.col("source").alias("archive"), path.alias("path"), F.col("text").cast("binary").alias("content")), ["archive", "path"])
+    return B.extract_media(held, d.select(F.col("source").alias("archive"), path.alias("path"))).select("archive", "path", "missing", F.md5("content").alias("content_md5"))

@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import io
-import tempfile
-import uuid
 import zipfile
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kotonoha.functions import text as T
+from kotonoha.functions.scratch import scratch
+from kotonoha.operators.books import WRAPPER
 from kotonoha.operators.books import ingest_books as ingest
 from kotonoha.plans.language import Preprocessor
 from kotonoha.plans.language import text_variants as variants
@@ -27,147 +26,202 @@ _WIDE = Preprocessor("width", [T.to_fullwidth_alnum])
 _KANA = Preprocessor("kana", [T.hiragana_to_katakana])
 
 
-@query(f"""WITH {SURFACES_SQL}, t AS (SELECT w || 'った' AS text, w, s FROM surfaces WHERE length(w) <= 6),
-    v AS (SELECT text, text AS variant, [0, 0] AS o FROM t
-        UNION ALL SELECT text, w || translate('った', '{HIRA}', '{KATA}'), [0, 1] FROM t
-        UNION ALL SELECT text, translate(w, '{T._ALNUM}', '{T._WIDE}') || 'った', [1, 0] FROM t
-        UNION ALL SELECT text, translate(w, '{T._ALNUM}', '{T._WIDE}') || translate('った', '{HIRA}', '{KATA}'), [1, 1] FROM t)
-    SELECT text, (row_number() OVER (PARTITION BY text ORDER BY o) - 1)::INT AS variant_no, variant FROM v""")
-def text_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Those of short surfaces; ``text_variants_all`` takes all of them."""
-    return _variants(surfaces(spark, sf_dir).where("length(w) <= 6"))
-
-
-def _variants(words: DataFrame) -> DataFrame:
-    return variants(words.select(F.concat("w", F.lit("った")).alias("text")), "text", [_WIDE, _KANA])
-
-
 @query(f"""WITH {SURFACES_SQL}, v AS (SELECT w || 'った' AS text, p || q AS variant, [i, j] AS o
         FROM (SELECT w, unnest([w, translate(w, '{T._ALNUM}', '{T._WIDE}')]) AS p, unnest([0, 1]) AS i FROM surfaces), (VALUES ('った', 0), (translate('った', '{HIRA}', '{KATA}'), 1)) k(q, j))
     SELECT text, (row_number() OVER (PARTITION BY text ORDER BY o) - 1)::INT AS variant_no, variant FROM v""")
-def text_variants_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _variants(surfaces(spark, sf_dir))
-
-
-@query("SELECT lower(regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g')) AS archive, min(p_partkey) % 4 <> 0 AND min(p_partkey) % 4 <> 1 AS ok, (['index', 'numbering', NULL, NULL])[min(p_partkey) % 4 + 1] AS reason FROM part GROUP BY ALL")
-def validate_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An archive for each brand with a tag bank; by its first part some lack an index, and some have a bank numbered 2 alone."""
-    tags = parts(spark, sf_dir).select("archive", "p_partkey", item(js("p_type"), js("p_brand"), F.lit("1"), js("p_name"), F.lit("2")).alias("item"))
-    kind = parts(spark, sf_dir).groupBy("archive").agg((F.min("p_partkey") % 4).alias("k"))
-    bank = archives_of(tags, "tag_bank").join(kind, "archive").withColumn("path", F.when(F.col("k") == 1, F.concat(F.lit("tag_bank_"), (F.col("bank_no") + 1).cast("string"), F.lit(".json"))).otherwise(F.col("path"))).select("archive", "path", "content")
-    index = kind.where("k <> 0").select("archive", F.lit("index.json").alias("path"), F.concat(F.lit('{"revision":"1","format":3,"title":"'), "archive", F.lit('"}')).cast("binary").alias("content"))
-    return B.validate_archive(B.route_entries(bank.unionByName(index)))
+def text_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants(surfaces(spark, sf_dir).select(F.concat("w", F.lit("った")).alias("text")), "text", [_WIDE, _KANA])
 
 
-def _zipped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        out = []
-        for archive, group in frame.groupby("archive"):
-            buffer = io.BytesIO()
-            with zipfile.ZipFile(buffer, "w") as z:
-                for path, content in zip(group["path"], group["content"], strict=True):
-                    z.writestr(path, content)
-            out.append((archive, buffer.getvalue()))
-        yield pd.DataFrame(out, columns=["path", "content"])
+def tag_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives (one for each brand) with tag banks made of ``part`` and an index."""
+    rows = parts(spark, sf_dir).select("archive", item(js("p_type"), js("p_brand"), F.lit("1"), js("p_name"), F.lit("2")).alias("item"))
+    bank = archives_of(rows, "tag_bank").select("archive", "path", "content")
+    index = bank.select("archive").distinct().select("archive", F.lit("index.json").alias("path"), F.concat(F.lit('{"revision":"1","format":3,"title":"'), "archive", F.lit('"}')).cast("binary").alias("content"))
+    return bank.unionByName(index)
 
 
-def _unzipped(files: DataFrame) -> DataFrame:
-    """As ``read_archives`` for zips that are rows of a DataFrame."""
+_BRANDS_SQL = "lower(regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g'))"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for archive, content in zip(frame["path"], frame["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    rows += [(archive, name, z.read(name)) for name in z.namelist()]
-            yield pd.DataFrame(rows, columns=["archive", "path", "content"])
 
-    return files.mapInPandas(run, B.ENTRY)
+@query(f"""SELECT {_BRANDS_SQL} AS archive, min(p_partkey) % 7 NOT IN (0, 1, 3, 5, 6) AS ok, (['index', 'numbering', NULL, 'items', NULL, 'index', 'items'])[min(p_partkey) % 7 + 1] AS reason FROM part GROUP BY ALL""")
+def validate_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive for each brand with a tag bank and a term bank; by its first part it lacks an index, has a bank numbered from 2, is sound, has a bank that is cut short, is sound in version 1, names an unknown language, or has items of no version."""
+    own = parts(spark, sf_dir)
+    k = F.col("k")
+    kind = own.groupBy("archive").agg((F.min("p_partkey") % 7).alias("k"))
+    tags = own.select("archive", item(js("p_type"), js("p_brand"), F.lit("1"), js("p_name"), F.lit("2")).alias("item"))
+    old = item(js("p_name"), js(F.lit("")), js(F.lit("n")), js(F.lit("v1")), F.lit("1"), js("p_type"))
+    new = item(js("p_name"), js(F.lit("")), F.lit("null"), js(F.lit("")), F.lit("1"), item(js("p_type")), F.lit("7"), js(F.lit("")))
+    wrong = item(js("p_name"), js(F.lit("")), F.lit("[]"))
+    terms = own.join(kind, "archive").select("archive", F.when(k == 4, old).when(k == 6, wrong).otherwise(new).alias("item"))
+    later = F.concat(F.lit("tag_bank_"), (F.col("bank_no") + 1).cast("string"), F.lit(".json"))
+    text = F.col("content").cast("string")
+    cut_short = F.when((k == 3) & (F.col("bank_no") == 1), F.left(text, F.length(text) - 1)).otherwise(text).cast("binary")
+    tag_banks = archives_of(tags, "tag_bank").join(kind, "archive").select("archive", F.when(k == 1, later).otherwise(F.col("path")).alias("path"), "content")
+    term_banks = archives_of(terms, "term_bank").join(kind, "archive").select("archive", "path", cut_short.alias("content"))
+    language = F.when(k == 5, "xx").otherwise("ja")
+    index = kind.where("k <> 0").select("archive", F.lit("index.json").alias("path"), F.concat(F.lit('{"revision":"1","sourceLanguage":"'), language, F.lit('","format":'), F.when(k.isin(4, 6), "1").otherwise("3"), F.lit(',"title":"'), "archive", F.lit('"}')).cast("binary").alias("content"))
+    return B.validate_archive(B.route_entries(tag_banks.unionByName(term_banks).unionByName(index)))
 
 
 #: Entries of a zip, on average, where an archive has more than that.
 ZIP_ENTRIES = 64
 
 
+def _zipped(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        for path, content in zip(group["path"], group["content"], strict=True):
+            z.writestr(path, content)
+    return pd.DataFrame({"path": [f"{key[0]}/{key[1]}.zip"], "content": [buffer.getvalue()]})
+
+
 def zips(entries: DataFrame, most: int = ZIP_ENTRIES) -> DataFrame:
-    """Zips (path, content) of the entries; an archive of more than ``most`` comes as several zips of its name, its entries dealt by a hash of their paths."""
+    """Zips (path, content) of the entries, in a folder for each archive; one of more than ``most`` comes as several, its entries dealt by a hash of their paths."""
     sizes = entries.groupBy("archive").agg(F.ceil(F.count("*") / most).alias("zips"))
     dealt = entries.select("archive", "path", "content").join(sizes, "archive").withColumn("part", F.pmod(F.xxhash64("path"), F.col("zips")))
-    return dealt.groupBy("archive", "part").applyInPandas(lambda g: next(_zipped(iter([g]))), "path string, content binary")
+    return dealt.groupBy("archive", "part").applyInPandas(_zipped, "path string, content binary")
+
 
+def unpacked(spark: SparkSession, entries: DataFrame, most: int = ZIP_ENTRIES) -> DataFrame:
+    """The entries after a way through zip files, which are written and read again."""
+    where = scratch(spark)
+    B.write_files(zips(entries, most), where)
+    return B.read_archives(spark, where).withColumn("archive", F.regexp_extract("archive", r"([^/]+)/[^/]+\.zip$", 1))
 
-@query("SELECT lower(regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g')) AS archive, count(*) AS tags FROM part GROUP BY ALL")
+
+@query(f"SELECT {_BRANDS_SQL} AS archive, count(*) AS tags FROM part GROUP BY ALL")
 def read_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tag banks made of ``part``, zipped, opened again and parsed."""
-    rows = parts(spark, sf_dir).select("archive", item(js("p_type"), js("p_brand"), F.lit("1"), js("p_name"), F.lit("2")).alias("item"))
-    opened = B.route_entries(_unzipped(zips(archives_of(rows, "tag_bank"))))
+    opened = B.route_entries(unpacked(spark, tag_entries(spark, sf_dir)))
     return B.parse_tag_bank(B.bank_items(opened, "tag_bank")).groupBy("archive").agg(F.count("*").alias("tags"))
 
 
+#: Documents of a book: their ids share all but what is under this.
+BOOK_IDS = 1_000
+#: A document in so many begins a chapter.
+CHAPTER = 7
+_BOOK_SQL = f"source || '-' || (doc_id // {BOOK_IDS})"
+
+
 def shelf(spark: SparkSession, sf_dir: str, bodies: bool = False) -> DataFrame:
-    """Entries of an EPUB for each source: a package that lists its documents and, with ``bodies``, an XHTML file for each of them."""
-    docs = table(spark, sf_dir, "documents")
-    d = docs.groupBy("source").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
-    items = F.array_join(F.transform("ids", lambda i: F.concat(F.lit('<item id="d'), i.cast("string"), F.lit('" href="text/../d'), i.cast("string"), F.lit('.xhtml" media-type="application/xhtml+xml"/>'))), "")
-    refs = F.array_join(F.transform("ids", lambda i: F.concat(F.lit('<itemref idref="d'), i.cast("string"), F.lit('"/>'))), "")
-    opf = F.concat(F.lit('<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="uid"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="uid">id-'), "source", F.lit("</dc:identifier><dc:title>Book "), "source", F.lit('</dc:title></metadata><manifest><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>'), items, F.lit("</manifest><spine>"), refs, F.lit("</spine></package>"))
+    """Entries of EPUBs, for each source one for every BOOK_IDS ids: a package that lists its documents, a table of contents, a picture and, with ``bodies``, an XHTML file for each document."""
+    book = F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / BOOK_IDS).cast("string")).alias("archive")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", book)
+    d = docs.groupBy("archive").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
+    listed = lambda ids, parts: F.array_join(F.transform(ids, lambda i: F.concat(*[F.lit(x) if x else i.cast("string") for x in parts])), "")
+    items = listed("ids", ['<item id="d', "", '" href="text/../d', "", '.xhtml" media-type="application/xhtml+xml"/>'])
+    refs = listed("ids", ['<itemref idref="d', "", '"/>'])
+    chapters = listed(F.filter("ids", lambda i: i % CHAPTER == 0), ['<a href="./d', "", '.xhtml#top">Chapter ', "", "</a>"])
+    opf = F.concat(F.lit('<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="uid"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="uid">id-'), "archive", F.lit("</dc:identifier><dc:title>Book "), "archive", F.lit('</dc:title><dc:creator>A</dc:creator></metadata><manifest><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/><item id="pic" href="img/p.png" media-type="image/png" properties="cover-image"/>'), items, F.lit("</manifest><spine>"), refs, F.lit("</spine></package>"))
+    nav = F.concat(F.lit("<html><body><nav>"), chapters, F.lit("</nav></body></html>"))
     container = '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container" version="1.0"><rootfiles><rootfile full-path="OPS/package.opf" media-type="application/oebps-package+xml"/></rootfiles></container>'
-    files = F.array(*[F.struct(F.lit(p).alias("path"), c.cast("binary").alias("content")) for p, c in (("mimetype", F.lit(epub.EPUB)), ("META-INF/container.xml", F.lit(container)), ("OPS/package.opf", opf))])
-    entries = d.select(F.col("source").alias("archive"), F.explode(files).alias("f")).select("archive", "f.*")
+    files = F.array(*[F.struct(F.lit(p).alias("path"), c.cast("binary").alias("content")) for p, c in (("mimetype", F.lit(epub.EPUB)), ("META-INF/container.xml", F.lit(container)), ("OPS/package.opf", opf), ("OPS/nav.xhtml", nav), ("OPS/img/p.png", F.lit("png")))])
+    entries = d.select("archive", F.explode(files).alias("f")).select("archive", "f.*")
     if not bodies:
         return entries
-    plain = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    plain = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     following = F.concat(F.lit("d"), (F.col("doc_id") + 1).cast("string"), F.lit(".xhtml"))
-    html = F.concat(F.lit("<html><head></head><body><p>"), plain, F.lit('</p><a href="'), following, F.lit('#top">next</a></body></html>'))
-    return entries.unionByName(docs.select(F.col("source").alias("archive"), F.concat(F.lit("OPS/d"), F.col("doc_id").cast("string"), F.lit(".xhtml")).alias("path"), html.cast("binary").alias("content")))
+    html = F.concat(F.lit("<html><head></head><body><p>"), plain, F.lit("</p><img src='img/p.png'/><a href=\""), following, F.lit('#top">next</a></body></html>'))
+    return entries.unionByName(docs.select("archive", F.concat(F.lit("OPS/d"), F.col("doc_id").cast("string"), F.lit(".xhtml")).alias("path"), html.cast("binary").alias("content")))
+
 
+_ESCAPED_SQL = "replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;')"
+_SHELF_SQL = f"docs AS (SELECT *, {_BOOK_SQL} AS book, 'd' || doc_id AS item_id, replace({_ESCAPED_SQL}, '>', '&gt;') AS escaped FROM documents), c AS (SELECT book, item_id, doc_id, (row_number() OVER (PARTITION BY book ORDER BY doc_id) - 1)::INT AS pos, length(regexp_replace(coalesce(text, ''), '[^{T.COUNTED_CLASS}]', '', 'g'))::BIGINT AS characters FROM docs)"
 
-@query("SELECT source AS book, 'Book ' || source AS title, 'id-' || source AS identifier, count(*) AS items, 'nav' AS toc_id FROM documents GROUP BY source")
+
+@query(f"SELECT {_BOOK_SQL} AS book, 'Book ' || {_BOOK_SQL} AS title, 'id-' || {_BOOK_SQL} AS identifier, count(*) AS items, 'nav' AS toc_id FROM documents GROUP BY ALL")
 def read_epubs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A book for each source, zipped as EPUB, opened again and parsed."""
-    packages = epub.parse_package(epub.read_epubs(_unzipped(zips(shelf(spark, sf_dir)))))
+    """Books of each source, zipped as EPUB, opened again and parsed."""
+    packages = epub.parse_package(epub.read_epubs(unpacked(spark, shelf(spark, sf_dir))))
     return packages.select("book", F.col("titles")[0].alias("title"), "identifier", F.size("spine").cast("long").alias("items"), "toc_id")
 
 
-@query(f"""WITH c AS (SELECT source AS book, 'd' || doc_id AS item_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1)::INT AS pos, length(regexp_replace(text, '[^{T.COUNTED_CLASS}]', '', 'g'))::BIGINT AS characters FROM documents)
-    SELECT *, coalesce(sum(characters) OVER (PARTITION BY book ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM c""")
+@query(f"""WITH {_SHELF_SQL} SELECT book, item_id, pos, characters, coalesce(sum(characters) OVER (PARTITION BY book ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
+    coalesce(last_value(CASE WHEN doc_id % {CHAPTER} = 0 THEN 'Chapter ' || doc_id END IGNORE NULLS) OVER (PARTITION BY book ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'Preface') AS chapter FROM c""")
 def ingest_books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections of the books made of ``documents``: characters of each and before each."""
-    return ingest(shelf(spark, sf_dir, bodies=True))["sections"].select("book", "item_id", "pos", "characters", "start")
+    """Sections of the books made of ``documents``: characters of each and before each, and the chapter by the table of contents."""
+    return ingest(shelf(spark, sf_dir, bodies=True))["sections"].select("book", "item_id", "pos", "characters", "start", "chapter")
 
 
-@query("SELECT source AS book, 'd' || doc_id AS item_id, CASE WHEN n IS NOT NULL THEN '#part-d' || (doc_id + 1) END AS inlined, CASE WHEN n IS NULL THEN 'not in manifest' END AS error FROM documents d LEFT JOIN (SELECT doc_id AS n, source AS s FROM documents) ON n = doc_id + 1 AND s = source")
+@query(f"""WITH {_SHELF_SQL} SELECT d.book, d.item_id, v AS attribute, CASE v WHEN 'src' THEN 'pic-p.png' ELSE CASE WHEN n.doc_id IS NOT NULL THEN '#part-d' || (d.doc_id + 1) END END AS inlined, CASE WHEN v = 'href' AND n.doc_id IS NULL THEN 'not in manifest' END AS error
+    FROM docs d CROSS JOIN (VALUES ('src'), ('href')) t(v) LEFT JOIN docs n ON n.doc_id = d.doc_id + 1 AND n.book = d.book""")
 def ingest_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links of the books made of ``documents`` to the document with the next id, which the same book may have or not."""
-    return ingest(shelf(spark, sf_dir, bodies=True))["links"].select("book", "item_id", "inlined", "error")
+    """Links of these books: a picture, and the document with the next id, which the same book may have or not."""
+    return ingest(shelf(spark, sf_dir, bodies=True))["links"].select("book", "item_id", "attribute", "inlined", "error")
+
+
+@query(f"""WITH {_SHELF_SQL}, p AS (SELECT d.book, d.doc_id, '<div id="part-d' || d.doc_id || '"><p>' || d.escaped || '</p><img src="pic-p.png"/><a href="' || CASE WHEN n.doc_id IS NULL THEN 'd' || (d.doc_id + 1) || '.xhtml#top' ELSE '#part-d' || (d.doc_id + 1) END || '">next</a></div>' AS div FROM docs d LEFT JOIN docs n ON n.doc_id = d.doc_id + 1 AND n.book = d.book)
+    SELECT book, md5('<!DOCTYPE html><html><head><meta charset="UTF-8"/><title>Book ' || book || '</title></head><body><div id="wrapper-part" style="{WRAPPER}"><div id="main-part">' || string_agg(div, '' ORDER BY doc_id) || '</div></div></body></html>') AS digest FROM p GROUP BY book""")
+def ingest_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merged books, whose links lead to their own parts and to files beside them."""
+    return ingest(shelf(spark, sf_dir, bodies=True))["books"].select("book", F.md5("html").alias("digest"))
+
 
+@query(f"WITH {_SHELF_SQL} SELECT book, 'Book ' || book AS primary_title, 'A' AS author_string, 'epub' AS type, sum(characters)::BIGINT AS length, 'OPS/img/p.png' AS cover_path FROM c GROUP BY book")
+def ingest_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same books as the library lists them."""
+    return ingest(shelf(spark, sf_dir, bodies=True))["library"].select("book", "primary_title", "author_string", "type", "length", "cover_path")
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder beside the checkpoints that the session names; a temporary one only where it names none (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="kotonoha-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+@query(f"SELECT DISTINCT {_BOOK_SQL} AS book, 'pic' AS item_id, {_BOOK_SQL} || '/pic-p.png' AS path, false AS missing, 'png' AS content FROM documents")
+def join_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that lie beside the merged books."""
+    return ingest(shelf(spark, sf_dir))["media"].withColumn("content", F.col("content").cast("string"))
+
+
+@query(f"WITH {_SHELF_SQL} SELECT book, item_id, length(regexp_replace(escaped, '[^{T.COUNTED_CLASS}]', '', 'g'))::BIGINT AS characters FROM docs")
+def raw_entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters of each document's XHTML with entities counted by their letters."""
+    files = shelf(spark, sf_dir, bodies=True).where("path like 'OPS/d%'")
+    items = files.select(F.col("archive").alias("book"), F.regexp_extract("path", r"(d\d+)\.xhtml$", 1).alias("item_id"), F.col("content").cast("string").alias("html"))
+    return epub.item_parts(items, raw_entities=True).select("book", "item_id", "characters")
 
 
 @query("SELECT user_id AS book, floor(arg_max(value, row(ts, event_id)) / 100 * 1000 + 0.5) / 10 AS progress, count(*) AS n FROM events GROUP BY user_id")
 def progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` read as a stream; each batch's changed books are written, and the last state of each is read back."""
-    where = _scratch(spark)
+    where = scratch(spark)
     schema = table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(sf_dir)
-    sink = lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{where}/out")
+    sink = lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{where}/out/at={n}")
     P.progress_stream(events, f"{where}/checkpoint", sink).awaitTermination()
     out = spark.read.parquet(f"{where}/out")
     return out.groupBy("book").agg(F.max_by(F.struct("progress", "n"), "batch").alias("s")).select("book", "s.progress", "s.n")
 
 
-@query("SELECT lower(regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g')) AS dictionary, count(*) AS n FROM part GROUP BY ALL")
+_TAGS_SQL = f"SELECT {_BRANDS_SQL} AS dictionary, count(*) AS n FROM part GROUP BY ALL"
+
+
+@query(_TAGS_SQL)
 def import_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives made of ``part`` arrive as files of entries; the stream imports them, and the tags they left are counted."""
-    where = _scratch(spark)
-    rows = parts(spark, sf_dir).select("archive", item(js("p_type"), js("p_brand"), F.lit("1"), js("p_name"), F.lit("2")).alias("item"))
-    bank = archives_of(rows, "tag_bank").select("archive", "path", "content")
-    index = bank.select("archive").distinct().select("archive", F.lit("index.json").alias("path"), F.concat(F.lit('{"revision":"1","format":3,"title":"'), "archive", F.lit('"}')).cast("binary").alias("content"))
-    bank.unionByName(index).write.parquet(f"{where}/in")
+    where = scratch(spark)
+    tag_entries(spark, sf_dir).write.parquet(f"{where}/in")
     stream = spark.readStream.schema(B.ENTRY).parquet(f"{where}/in")
     P.import_stream(stream, f"{where}/tables", f"{where}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{where}/tables/tags").groupBy("dictionary").agg(F.count("*").alias("n"))
+    return B.read_table(spark, f"{where}/tables", "tags").groupBy("dictionary").agg(F.count("*").alias("n"))
+
+
+@query(_TAGS_SQL)
+def import_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One batch of archives three times under one id: broken off before it is published, whole, and once more. The tags are there once."""
+    where = scratch(spark)
+    entries = tag_entries(spark, sf_dir)
+    tables = B.import_dictionaries(B.route_entries(entries))
+    B.write_dictionaries({"tags": tables["tags"]}, f"{where}/tables", "one")
+    for _ in range(2):
+        P.import_batch(entries, f"{where}/tables", "one")
+    return B.read_table(spark, f"{where}/tables", "tags").groupBy("dictionary").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT 'copy' AS kept, count(*) AS tags, count(DISTINCT {_BRANDS_SQL}) AS dictionaries FROM part UNION ALL SELECT 'reset', 0, 0")
+def export_and_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imported tables are copied, then emptied."""
+    where = scratch(spark)
+    B.write_dictionaries(B.import_dictionaries(B.route_entries(tag_entries(spark, sf_dir))), f"{where}/tables")
+    B.export_tables(spark, f"{where}/tables", f"{where}/copy", ["tags"])
+    B.reset_tables(spark, f"{where}/tables", ["tags"])
+    counted = lambda name, path: B.read_table(spark, path, "tags").agg(F.lit(name).alias("kept"), F.count("*").alias("tags"), F.count_distinct("dictionary").alias("dictionaries"))
+    return counted("copy", f"{where}/copy").unionByName(counted("reset", f"{where}/tables"))

@@ -3,20 +3,35 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kotonoha.functions.scratch import scratch
+
 ENTRY = "archive string, path string, content binary"
 
-# Bank kinds, their items' widths, allowed formats, and metadata types.
+# Bank kinds, the kinds of their items' values (see ``value_kinds``), allowed formats, metadata types, language codes.
 KINDS = ["term_bank", "term_meta_bank", "kanji_bank", "kanji_meta_bank", "tag_bank"]
-WIDTHS = {"term_bank": 8, "term_meta_bank": 3, "kanji_bank": 6, "kanji_meta_bank": 3, "tag_bank": 5}
+SHAPES = {"term_bank": "ss[s0]sdads", "term_meta_bank": "ss[dso]", "kanji_bank": "ssssao", "kanji_meta_bank": "ss[dso]", "tag_bank": "ssdsd"}
+SHAPES_V1 = {"term_bank": "ss[s0]sd", "kanji_bank": "ssss"}
 FORMATS = [1, 3]
 META_TYPES = {"term_meta_bank": ["freq", "pitch", "ipa"], "kanji_meta_bank": ["freq"]}
+FREQUENCY_MODES = ["occurrence-based", "rank-based"]
+LANGUAGES = (
+    "aa ab ae af ak am an ar as av ay az ba be bg bh bi bm bn bo br bs ca ce ch co cr cs cu cv cy da de dv dz ee el en eo es et eu fa ff fi fj fo fr fy ga gd gl gn grc gu gv "
+    "ha he hi ho hr ht hu hy hz ia id ie ig ii ik io is it iu ja jv ka kg ki kj kk kl km kn ko kr ks ku kv kw ky la lb lg li ln lo lt lu lv mg mh mi mk ml mn mr ms mt my "
+    "na nb nd ne ng nl nn no nr nv ny oc oj om or os pa pi pl ps pt qu rm rn ro ru rw sa sc sd se sg sh si sk sl sm sn so sq sr ss st su sv sw ta te tg th ti tk tl tn to tr ts tt tw ty "
+    "ug uk ur uz ve vi vo wa wo xh yi yo za zh zu"
+).split()
+
+#: Partition column of the imports in a table's folder.
+IMPORT = "import"
 
 
 def read_archives(spark: SparkSession, path: str, glob: str = "*.zip") -> DataFrame:
@@ -46,20 +61,41 @@ def _text(entries: DataFrame, kind: str) -> DataFrame:
 
 
 def bank_items(entries: DataFrame, kind: str) -> DataFrame:
-    """(archive, item): a row for each item of the banks of one kind, as JSON text."""
+    """(archive, item): a row for each item of the banks of one kind, as JSON text with its keys in their order. A file that is no JSON array has none; ``broken_banks`` names it."""
     return _text(entries, kind).select("archive", F.explode(F.from_json("json", "array<string>")).alias("item"))
 
 
-def field(i: int, item: str = "item") -> Column:
-    """Position ``i`` of an item as text; JSON null is null."""
-    return F.expr(f"variant_get(try_parse_json({item}), '$[{i}]', 'string')")
+def broken_banks(entries: DataFrame) -> DataFrame:
+    """Bank files (archive, path) that are no JSON array, such as ones cut short."""
+    banks = entries.where(F.col("kind").isin(KINDS))
+    return banks.where(F.json_array_length(F.col("content").cast("string")).isNull()).select("archive", "path")
+
+
+def opened(items: DataFrame, item: str = "item") -> DataFrame:
+    """Items with ``at``, the values of their positions: texts as they are, anything else as JSON with its keys in their order. Each item is parsed once."""
+    return items.withColumn("at", F.from_json(item, "array<string>"))
+
+
+def field(i: int) -> Column:
+    """Position ``i`` of an opened item; JSON null is null."""
+    return F.get("at", F.lit(i))
 
 
 def raw(i: int, item: str = "item") -> Column:
-    """Position ``i`` of an item as JSON."""
+    """Position ``i`` of an item as JSON, by which texts and numbers differ; keys come in any order."""
     return F.to_json(F.expr(f"variant_get(try_parse_json({item}), '$[{i}]', 'variant')"))
 
 
+def _variants(array: str) -> Column:
+    return F.expr(f"transform(variant_get(try_parse_json({array}), '$', 'array<variant>'), d -> to_json(d))")
+
+
+def value_kinds(array: str) -> Column:
+    """A letter for each value of a JSON array: s text, d number, b boolean, 0 null, a array, o object. Null for what is no array."""
+    letter = lambda v: F.translate(F.substring(v, 1, 1), '"[{tfn-0123456789', "saobb0ddddddddddd")
+    return F.array_join(F.transform(_variants(array), letter), "")
+
+
 def split_words(c: Column, clean_tags: bool = True) -> Column:
     """Space-separated words; the empty word that an empty text would give is left out unless ``clean_tags`` is false."""
     words = F.split(F.coalesce(c, F.lit("")), " ")
@@ -67,12 +103,14 @@ def split_words(c: Column, clean_tags: bool = True) -> Column:
 
 
 def parse_index(entries: DataFrame) -> DataFrame:
-    """A row for each archive with a usable index: title, revision and one of format and version. ``rank-based`` gives rank, anything else occurrence."""
+    """A row for each archive with a usable index: title, revision and one of format and version, languages by their codes and a known frequency mode where given. ``rank-based`` gives rank, otherwise occurrence."""
     schema = "title string, revision string, sequenced boolean, format int, version int, author string, url string, description string, attribution string, sourceLanguage string, targetLanguage string, frequencyMode string"
     read = _text(entries, "index").select("archive", F.from_json("json", schema).alias("i"))
     css = _text(entries, "styles").select("archive", F.col("json").alias("css"))
     empty = lambda c: F.coalesce(f"i.{c}", F.lit(""))
-    rows = read.where("i.title is not null and i.revision is not null").select(
+    known = lambda c, values: F.col(f"i.{c}").isNull() | F.col(f"i.{c}").isin(values)
+    usable = known("sourceLanguage", LANGUAGES) & known("targetLanguage", LANGUAGES) & known("frequencyMode", FREQUENCY_MODES)
+    rows = read.where("i.title is not null and i.revision is not null").where(usable).select(
         "archive", "i.title", "i.revision", F.coalesce("i.sequenced", F.lit(False)).alias("sequenced"), F.coalesce("i.format", "i.version").alias("format"),
         empty("author").alias("author"), empty("url").alias("url"), empty("description").alias("description"), empty("attribution").alias("attribution"),
         empty("sourceLanguage").alias("source_lang"), empty("targetLanguage").alias("target_lang"), F.when(F.col("i.frequencyMode") == "rank-based", "rank").otherwise("occurrence").alias("frequency_mode"),
@@ -81,37 +119,41 @@ def parse_index(entries: DataFrame) -> DataFrame:
 
 
 def json_values(array: str) -> Column:
-    """The values of a JSON array, each as JSON."""
-    return F.expr(f"transform(variant_get(try_parse_json({array}), '$', 'array<variant>'), d -> to_json(d))")
+    """The values of a JSON array, each as JSON with its keys in their order."""
+    return F.zip_with(F.from_json(array, "array<string>"), _variants(array), lambda x, v: F.when(x.isNull() | F.startswith(v, F.lit('"')), v).otherwise(x))
 
 
 def parse_term_bank(items: DataFrame) -> DataFrame:
-    """Items of eight positions -> terms; definitions stay JSON."""
-    rows = items.withColumn("d", raw(5))
+    """Items of eight positions -> terms; definitions stay JSON as they are written."""
+    rows = opened(items).withColumn("d", field(5))
     return rows.select("archive", field(0).alias("term"), field(1).alias("reading"), json_values("d").alias("definitions"), split_words(field(7)).alias("term_tags"), split_words(field(2)).alias("definition_tags"), split_words(field(3)).alias("inflection_rules"), field(4).cast("double").alias("popularity"), field(6).cast("long").alias("sequence_number"))
 
 
+def _nested(item: str = "item") -> Column:
+    return F.startswith(item, F.lit("[["))
+
+
 def _v1(items: DataFrame, fixed: int) -> DataFrame:
-    """Both layouts of version 1, ``[[fixed ...], def ...]`` and ``[fixed ..., def ...]``, as head and defs."""
-    nested = F.startswith(raw(0), F.lit("["))
-    return items.select("archive", F.when(nested, raw(0)).otherwise(F.col("item")).alias("head"), F.when(nested, F.slice(json_values("item"), F.lit(2), F.size(json_values("item")))).otherwise(F.slice(json_values("item"), F.lit(fixed + 1), F.size(json_values("item")))).alias("definitions"))
+    """Both layouts of version 1, ``[[fixed ...], def ...]`` and ``[fixed ..., def ...]``, as the positions of the head and the defs."""
+    values = opened(items).withColumn("values", json_values("item"))
+    head = F.when(_nested(), F.from_json(field(0), "array<string>")).otherwise(F.col("at"))
+    defs = lambda n: F.slice("values", F.lit(n), F.size("values"))
+    return values.select("archive", head.alias("at"), F.when(_nested(), defs(2)).otherwise(defs(fixed + 1)).alias("definitions"))
 
 
 def parse_term_bank_v1(items: DataFrame) -> DataFrame:
     """An empty reading is the term; there are no term tags and the sequence is 0."""
-    f = lambda i: field(i, "head")
-    reading = F.when(F.coalesce(f(1), F.lit("")) == "", f(0)).otherwise(f(1))
-    return _v1(items, 5).select("archive", f(0).alias("term"), reading.alias("reading"), "definitions", F.array().cast("array<string>").alias("term_tags"), split_words(f(2)).alias("definition_tags"), split_words(f(3)).alias("inflection_rules"), f(4).cast("double").alias("popularity"), F.lit(0).cast("long").alias("sequence_number"))
+    reading = F.when(F.coalesce(field(1), F.lit("")) == "", field(0)).otherwise(field(1))
+    return _v1(items, 5).select("archive", field(0).alias("term"), reading.alias("reading"), "definitions", F.array().cast("array<string>").alias("term_tags"), split_words(field(2)).alias("definition_tags"), split_words(field(3)).alias("inflection_rules"), field(4).cast("double").alias("popularity"), F.lit(0).cast("long").alias("sequence_number"))
 
 
 def parse_kanji_bank(items: DataFrame) -> DataFrame:
-    rows = items.withColumn("d", raw(4))
+    rows = opened(items).withColumn("d", field(4))
     return rows.select("archive", field(0).alias("kanji"), split_words(field(1)).alias("onyomi"), split_words(field(2)).alias("kunyomi"), split_words(field(3)).alias("tags"), json_values("d").alias("definitions"), F.from_json(field(5), "map<string,string>").alias("stats"))
 
 
 def parse_kanji_bank_v1(items: DataFrame) -> DataFrame:
-    f = lambda i: field(i, "head")
-    return _v1(items, 4).select("archive", f(0).alias("kanji"), split_words(f(1)).alias("onyomi"), split_words(f(2)).alias("kunyomi"), split_words(f(3)).alias("tags"), "definitions", F.create_map().cast("map<string,string>").alias("stats"))
+    return _v1(items, 4).select("archive", field(0).alias("kanji"), split_words(field(1)).alias("onyomi"), split_words(field(2)).alias("kunyomi"), split_words(field(3)).alias("tags"), "definitions", F.create_map().cast("map<string,string>").alias("stats"))
 
 
 def unquoted(json: Column) -> Column:
@@ -128,7 +170,7 @@ def frequency_of(json: Column) -> tuple[Column, Column]:
 
 def parse_term_meta_freq(items: DataFrame) -> DataFrame:
     """Frequencies; with a reading if the item has one, else of the term read as itself."""
-    rows = items.where(field(1) == "freq").withColumn("data", raw(2)).withColumn("reading", F.when(F.startswith("data", F.lit("{")), F.get_json_object("data", "$.reading")))
+    rows = opened(items).where(field(1) == "freq").withColumn("data", raw(2)).withColumn("reading", F.when(F.startswith("data", F.lit("{")), F.get_json_object("data", "$.reading")))
     inner = F.to_json(F.expr("variant_get(try_parse_json(data), '$.frequency', 'variant')"))
     number, shown = frequency_of(F.when(F.col("reading").isNotNull(), inner).otherwise(F.col("data")))
     return rows.select("archive", field(0).alias("term"), F.coalesce("reading", field(0)).alias("reading"), F.lit("frequency").alias("meta_type"), number.alias("frequency"), shown.alias("display_frequency"))
@@ -142,32 +184,32 @@ def _positions(c: str) -> Column:
 def parse_term_meta_pitch(items: DataFrame) -> DataFrame:
     """A row for each pitch of each item."""
     schema = "reading string, pitches array<struct<position:int,nasal:string,devoice:string,tags:array<string>>>"
-    rows = items.where(field(1) == "pitch").select("archive", field(0).alias("term"), F.from_json(field(2), schema).alias("p"))
-    opened = rows.select("archive", "term", F.coalesce("p.reading", "term").alias("reading"), F.explode("p.pitches").alias("x")).select("archive", "term", "reading", "x.*")
-    return opened.select("archive", "term", "reading", F.lit("pitch").alias("meta_type"), F.col("position").alias("downstep_position"), _positions("nasal").alias("nasal_positions"), _positions("devoice").alias("devoice_positions"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
+    rows = opened(items).where(field(1) == "pitch").select("archive", field(0).alias("term"), F.from_json(field(2), schema).alias("p"))
+    each = rows.select("archive", "term", F.coalesce("p.reading", "term").alias("reading"), F.explode("p.pitches").alias("x")).select("archive", "term", "reading", "x.*")
+    return each.select("archive", "term", "reading", F.lit("pitch").alias("meta_type"), F.col("position").alias("downstep_position"), _positions("nasal").alias("nasal_positions"), _positions("devoice").alias("devoice_positions"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
 
 
 def parse_term_meta_ipa(items: DataFrame) -> DataFrame:
     """A row for each transcription of each item."""
-    rows = items.where(field(1) == "ipa").select("archive", field(0).alias("term"), F.from_json(field(2), "reading string, transcriptions array<struct<ipa:string,tags:array<string>>>").alias("p"))
-    opened = rows.select("archive", "term", F.coalesce("p.reading", "term").alias("reading"), F.explode("p.transcriptions").alias("x"))
-    return opened.select("archive", "term", "reading", F.lit("ipa").alias("meta_type"), F.col("x.ipa").alias("transcription"), F.coalesce("x.tags", F.array().cast("array<string>")).alias("tags"))
+    rows = opened(items).where(field(1) == "ipa").select("archive", field(0).alias("term"), F.from_json(field(2), "reading string, transcriptions array<struct<ipa:string,tags:array<string>>>").alias("p"))
+    each = rows.select("archive", "term", F.coalesce("p.reading", "term").alias("reading"), F.explode("p.transcriptions").alias("x"))
+    return each.select("archive", "term", "reading", F.lit("ipa").alias("meta_type"), F.col("x.ipa").alias("transcription"), F.coalesce("x.tags", F.array().cast("array<string>")).alias("tags"))
 
 
 def parse_term_meta_bank(items: DataFrame) -> DataFrame:
     """All metadata of terms; items of unknown type give a row with their type and nothing else, for the checks to reject."""
     known = parse_term_meta_freq(items).unionByName(parse_term_meta_pitch(items), allowMissingColumns=True).unionByName(parse_term_meta_ipa(items), allowMissingColumns=True)
-    unknown = items.where(~F.coalesce(field(1), F.lit("")).isin(META_TYPES["term_meta_bank"])).select("archive", field(0).alias("term"), field(1).alias("meta_type"))
+    unknown = opened(items).where(~F.coalesce(field(1), F.lit("")).isin(META_TYPES["term_meta_bank"])).select("archive", field(0).alias("term"), field(1).alias("meta_type"))
     return known.unionByName(unknown, allowMissingColumns=True)
 
 
 def parse_kanji_meta_bank(items: DataFrame) -> DataFrame:
     number, shown = frequency_of(raw(2))
-    return items.select("archive", field(0).alias("kanji"), number.alias("frequency"), shown.alias("display_frequency"))
+    return opened(items).select("archive", field(0).alias("kanji"), number.alias("frequency"), shown.alias("display_frequency"))
 
 
 def parse_tag_bank(items: DataFrame) -> DataFrame:
-    return items.select("archive", field(0).alias("tag"), field(1).alias("category"), field(2).cast("double").alias("sorting_order"), field(3).alias("notes"), field(4).cast("double").alias("popularity"))
+    return opened(items).select("archive", field(0).alias("tag"), field(1).alias("category"), field(2).cast("double").alias("sorting_order"), field(3).alias("notes"), field(4).cast("double").alias("popularity"))
 
 
 def bank_contiguity(entries: DataFrame) -> DataFrame:
@@ -176,27 +218,39 @@ def bank_contiguity(entries: DataFrame) -> DataFrame:
     return numbered.agg(F.count("*").alias("files"), F.max("bank_no").alias("highest")).withColumn("contiguous", F.col("files") == F.col("highest"))
 
 
-def validate_items(items: DataFrame, kind: str) -> DataFrame:
-    """(archive, items, bad): items with the wrong width, without a text in front, or of an unknown metadata type."""
-    width = F.json_array_length("item")
-    good = (width == WIDTHS[kind]) & F.startswith(raw(0), F.lit('"'))
+def good_item(kind: str, version: int = 3) -> Column:
+    """Whether an opened item (item, at, kinds) has the values that its kind of bank asks for, by number and kind."""
+    if version == 1 and kind in SHAPES_V1:
+        shape = SHAPES_V1[kind]
+        return F.when(_nested(), value_kinds("at[0]").rlike(f"^{shape}$")).otherwise(F.col("kinds").rlike(f"^{shape}"))
+    good = F.col("kinds").rlike(f"^{SHAPES[kind]}$")
     if kind in META_TYPES:
         good = good & F.coalesce(field(1), F.lit("")).isin(META_TYPES[kind])
-    return items.groupBy("archive").agg(F.count("*").alias("items"), F.count_if(~F.coalesce(good, F.lit(False))).alias("bad"))
+    if kind == "term_meta_bank":
+        parts = {"pitch": "$.pitches[0].position", "ipa": "$.transcriptions[0].ipa"}
+        for name, path in parts.items():
+            good = good & ((field(1) != name) | (F.endswith("kinds", F.lit("o")) & F.get_json_object(field(2), path).isNotNull()))
+    return good
+
+
+def validate_items(items: DataFrame, kind: str, version: int = 3) -> DataFrame:
+    """(archive, items, bad): items whose values differ in number or kind from what the bank asks for, or that are of an unknown metadata type."""
+    rows = opened(items).withColumn("kinds", value_kinds("item"))
+    return rows.groupBy("archive").agg(F.count("*").alias("items"), F.count_if(~F.coalesce(good_item(kind, version), F.lit(False))).alias("bad"))
 
 
 def validate_archive(entries: DataFrame) -> DataFrame:
-    """(archive, ok, reason) of routed entries: the first of a missing or unusable index, a bad format, a gap in a bank's numbers, items that fail."""
-    archives = entries.select("archive").distinct()
+    """(archive, ok, reason) of routed entries: the first of a missing or unusable index, a bad format, a gap in a bank's numbers, bank files that are no JSON array or items that fail the checks of the archive's format."""
     index = parse_index(entries).select("archive", "format")
     gaps = bank_contiguity(entries).where("not contiguous").select("archive").distinct().withColumn("gap", F.lit(True))
-    checked = [validate_items(bank_items(entries, kind), kind).where("bad > 0").select("archive") for kind in KINDS]
-    bad = checked[0]
-    for other in checked[1:]:
-        bad = bad.unionByName(other)
-    joined = archives.join(index, "archive", "left").join(gaps, "archive", "left").join(bad.distinct().withColumn("bad", F.lit(True)), "archive", "left")
-    v1 = F.col("format") == 1
-    reason = F.when(F.col("format").isNull(), "index").when(~F.col("format").isin(FORMATS), "format").when(F.col("gap"), "numbering").when(F.col("bad") & ~v1, "items")
+    banks = entries.where(F.col("kind").isin(KINDS)).withColumn("json", F.col("content").cast("string")).join(index, "archive")
+    # a file that is no array has one item, null, which is bad as well
+    items = banks.select("archive", "kind", "format", F.explode_outer(F.when(F.json_array_length("json") > 0, F.from_json("json", "array<string>"))).alias("item"), (F.json_array_length("json") == 0).alias("empty"))
+    rows = opened(items.where("empty is null or not empty")).withColumn("kinds", value_kinds("item"))
+    good = F.coalesce(*[F.when((F.col("kind") == kind) & (F.col("format") == version), good_item(kind, version)) for kind in KINDS for version in FORMATS], F.lit(False))
+    bad = rows.where(~good).select("archive").distinct().withColumn("bad", F.lit(True))
+    joined = entries.select("archive").distinct().join(index, "archive", "left").join(gaps, "archive", "left").join(bad, "archive", "left")
+    reason = F.when(F.col("format").isNull(), "index").when(~F.col("format").isin(FORMATS), "format").when(F.col("gap"), "numbering").when(F.col("bad"), "items")
     return joined.select("archive", reason.isNull().alias("ok"), reason.alias("reason"))
 
 
@@ -214,14 +268,35 @@ def extract_media(entries: DataFrame, declared: DataFrame) -> DataFrame:
     return declared.join(entries.select("archive", "path", "content"), ["archive", "path"], "left").withColumn("missing", F.col("content").isNull())
 
 
+def write_files(files: DataFrame, folder: str) -> int:
+    """Write each row's ``content`` (binary) to the file ``path`` in ``folder``, and give the number of files. Null contents are left out; a task that runs again writes the same files again; a path that leads out of the folder is an error."""
+    where, root = fs.FileSystem.from_uri(folder)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"], strict=True):
+                if path.startswith("/") or ".." in path.split("/"):
+                    raise ValueError(f"not inside the folder: {path!r}")
+                name = f"{root}/{path}"
+                where.create_dir(name.rsplit("/", 1)[0], recursive=True)
+                with where.open_output_stream(name) as out:
+                    out.write(content)
+            yield pd.DataFrame({"n": [len(frame)]})
+
+    return files.where("content is not null").select("path", "content").mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+
+
 def import_dictionaries(entries: DataFrame, existing: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Tables of all valid archives whose title is new: dictionaries, terms, kanji, terms_meta, kanji_meta, tags, each with its ``dictionary``."""
+    """Tables of all valid archives whose title is new: dictionaries, terms, kanji, terms_meta, kanji_meta, tags, each with its ``dictionary``. What is valid is worked out once and written to the scratch folder."""
     valid = validate_archive(entries).where("ok").select("archive")
     dictionaries = parse_index(entries).join(valid, "archive", "left_semi")
     if existing is not None:
         dictionaries = dictionaries.join(existing.select("title").distinct(), "title", "left_anti")
+    where = scratch(entries.sparkSession)
+    dictionaries.write.parquet(where)
+    dictionaries = entries.sparkSession.read.schema(dictionaries.schema).parquet(where)
     of = dictionaries.select("archive", F.col("title").alias("dictionary"), "format")
-    items = lambda kind, v1: bank_items(entries, kind).join(F.broadcast(of.where("format = 1" if v1 else "format <> 1").select("archive")), "archive", "left_semi")
+    items = lambda kind, v1: bank_items(entries, kind).join(of.where("format = 1" if v1 else "format <> 1").select("archive"), "archive", "left_semi")
     named = lambda df: df.join(of.select("archive", "dictionary"), "archive").drop("archive")
     both = lambda kind, new, old: named(new(items(kind, False)).unionByName(old(items(kind, True))))
     every = lambda kind, parse: named(parse(bank_items(entries, kind)))
@@ -235,22 +310,47 @@ def import_dictionaries(entries: DataFrame, existing: DataFrame | None = None) -
     }
 
 
-def write_dictionaries(tables: dict[str, DataFrame], path: str, mode: str = "append") -> None:
-    """Each table as Parquet under ``path``, partitioned by dictionary. The list of dictionaries is written last: a dictionary counts as imported only once it is there."""
+def exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def write_dictionaries(tables: dict[str, DataFrame], path: str, import_id: str | None = None) -> str:
+    """Publish the tables of one import under ``path``, all or nothing, and give its id.
+
+    A table is a folder with a partition for each import. The rows are written first, sorted by
+    dictionary and key within files, so that searches skip most of them; the import's list of
+    dictionaries is written last, as one file. ``read_table`` takes rows of listed imports alone, so
+    that an import which breaks off shows nothing; one that comes again with the same id replaces
+    what it left.
+    """
+    import_id = f"id-{import_id or uuid.uuid4().hex}"
     for name in sorted(tables, key=lambda n: n == "dictionaries"):
-        df = tables[name]
+        df, folder = tables[name], f"{path}/{name}/{IMPORT}={import_id}"
         if name == "dictionaries":
-            df.write.mode(mode).parquet(f"{path}/{name}")
+            df.coalesce(1).write.mode("overwrite").parquet(folder)
         else:
-            df.repartition("dictionary", F.pmod(F.xxhash64(*df.columns[:1]), F.lit(16))).write.mode(mode).partitionBy("dictionary").option("maxRecordsPerFile", 5_000_000).parquet(f"{path}/{name}")
+            key = df.columns[0]
+            dealt = df.repartition("dictionary", F.pmod(F.xxhash64(key), F.lit(16))).sortWithinPartitions("dictionary", key)
+            dealt.write.mode("overwrite").option("maxRecordsPerFile", 5_000_000).parquet(folder)
+    return import_id
+
+
+def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table's rows of all published imports."""
+    rows = spark.read.parquet(f"{path}/{name}")
+    if name != "dictionaries":
+        rows = rows.join(spark.read.parquet(f"{path}/dictionaries").select(IMPORT).distinct(), IMPORT, "left_semi")
+    return rows.drop(IMPORT)
 
 
 def export_tables(spark: SparkSession, path: str, to: str, names: list[str]) -> None:
-    for name in names:
-        spark.read.parquet(f"{path}/{name}").write.mode("overwrite").parquet(f"{to}/{name}")
+    """A copy of the published rows of the named tables, as one import of its own."""
+    write_dictionaries({name: read_table(spark, path, name) for name in {*names, "dictionaries"}}, to, "export")
 
 
-def reset_tables(tables: dict[str, DataFrame], path: str) -> None:
-    """Empty tables with the same schemas."""
-    for name, df in tables.items():
-        df.limit(0).write.mode("overwrite").parquet(f"{path}/{name}")
+def reset_tables(spark: SparkSession, path: str, names: list[str]) -> None:
+    """Empty tables with the schemas they have; the list of dictionaries first, so that nothing half reset shows."""
+    empty = {name: read_table(spark, path, name).schema for name in {*names, "dictionaries"}}
+    for name in sorted(empty, key=lambda n: n != "dictionaries"):
+        spark.createDataFrame([], empty[name]).withColumn(IMPORT, F.lit("id-none")).write.mode("overwrite").parquet(f"{path}/{name}")

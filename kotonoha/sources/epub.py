@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from html import escape, unescape
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kotonoha.functions.text import COUNTED
+from kotonoha.functions.text import count_characters
 
 # Media types, package versions, and attributes that refer to files.
 EPUB, OPF, XHTML = "application/epub+zip", "application/oebps-package+xml", "application/xhtml+xml"
@@ -71,30 +73,45 @@ def toc_entries(documents: DataFrame) -> DataFrame:
     return documents.select("book", F.posexplode(F.when(F.col("version") == "3.0", nav).otherwise(ncx)).alias("no", "t")).select("book", "no", "t.title", "t.target")
 
 
+_ATTRIBUTE = re.compile(r"""\s([^\s=/>"']+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
+
+
 class _Parts(HTMLParser):
-    """One walk over an XHTML item: its links, its counted characters, and its body's child elements."""
+    """One walk over an XHTML item: its links, its counted text, and its body's child elements, cut where the links' values stand."""
 
     VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
-    def __init__(self) -> None:
+    def __init__(self, raw_entities: bool) -> None:
         super().__init__(convert_charrefs=True)
+        self.raw_entities = raw_entities
         self.open: list[str] = []
         self.links: list[tuple[str, str, str, bool]] = []
         self.styles: list[str] = []
         self.body_class: str | None = None
-        self.characters = 0
-        self.html: list[str] = []
+        self.counted: list[str] = []
+        self.pieces: list[list[str]] = [[]]
 
     def _inside(self) -> bool:
         return "body" in self.open
 
+    def _cut(self, tag: str) -> None:
+        """The text of a start tag, cut at the values of the attributes that refer to files."""
+        text, at = self.get_starttag_text() or "", 0
+        for m in _ATTRIBUTE.finditer(text):
+            if (name := m[1].lower()) in REFERENCES:
+                value = m[2]
+                self.pieces[-1].append(f'{text[at : m.start(2)]}"')
+                self.pieces.append(['"'])
+                self.links.append((tag, name, unescape(value[1:-1] if value[0] in "\"'" else value), "svg" in self.open or tag == "svg"))
+                at = m.end(2)
+        self.pieces[-1].append(text[at:])
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         given = dict(attrs)
         if tag == "body":
             self.body_class = given.get("class")
         elif self._inside():
-            self.links += [(tag, k, given[k] or "", "svg" in self.open) for k in REFERENCES if k in given]
-            self.html.append(self.get_starttag_text() or "")
+            self._cut(tag)
         elif tag == "link" and given.get("rel") == "stylesheet" and given.get("href"):
             self.styles.append(given["href"])
         if tag not in self.VOID:
@@ -110,28 +127,41 @@ class _Parts(HTMLParser):
             while self.open.pop() != tag:
                 pass
             if self._inside():
-                self.html.append(f"</{tag}>")
+                self.pieces[-1].append(f"</{tag}>")
 
     def handle_data(self, data: str) -> None:
         inside = self.open[self.open.index("body") + 1 :] if self._inside() else []
         if inside:
-            self.html.append(data)
+            self.pieces[-1].append(data if self.cdata_elem else escape(data, quote=False))
             if "p" in inside and inside[-1] not in UNCOUNTED:
-                self.characters += sum(1 + (ord(c) > 0xFFFF) for c in data if any(a <= ord(c) <= b for a, b in COUNTED))
+                self.counted.append(escape(data, quote=False) if self.raw_entities else data)
 
 
-def item_parts(items: DataFrame) -> DataFrame:
-    """(book, item_id, html) -> (book, item_id, characters, body_class, body, links, stylesheets). Text directly in the body is dropped, entities are decoded before counting."""
-    schema = "book string, item_id string, characters long, body_class string, body string, links array<struct<tag:string,attribute:string,value:string,in_svg:boolean>>, stylesheets array<string>"
+def item_parts(items: DataFrame, raw_entities: bool = False) -> DataFrame:
+    """(book, item_id, html) -> (book, item_id, characters, body_class, body, pieces, links, stylesheets).
+
+    ``characters`` counts the text of paragraphs but for ruby readings; entities are decoded
+    first, or, with ``raw_entities``, counted by their letters. Text directly in the body is dropped.
+    ``pieces`` is the body cut at the values of its ``links`` (one piece more than links), into
+    which ``books.relinked`` puts others; ``body`` has the values as they were.
+    """
+    schema = "book string, item_id string, counted string, body_class string, pieces array<string>, links array<struct<tag:string,attribute:string,value:string,in_svg:boolean>>, stylesheets array<string>"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for book, item, html in zip(frame["book"], frame["item_id"], frame["html"], strict=True):
-                p = _Parts()
+                p = _Parts(raw_entities)
                 p.feed(html or "")
                 p.close()
-                rows.append((book, item, p.characters, p.body_class, "".join(p.html), [dict(zip(("tag", "attribute", "value", "in_svg"), x)) for x in p.links], p.styles))
-            yield pd.DataFrame(rows, columns=["book", "item_id", "characters", "body_class", "body", "links", "stylesheets"])
+                rows.append((book, item, "".join(p.counted), p.body_class, ["".join(x) for x in p.pieces], [dict(zip(("tag", "attribute", "value", "in_svg"), x)) for x in p.links], p.styles))
+            yield pd.DataFrame(rows, columns=["book", "item_id", "counted", "body_class", "pieces", "links", "stylesheets"])
+
+    walked = items.select(F.col("book").cast("string").alias("book"), "item_id", "html").mapInPandas(run, schema)
+    return walked.select("book", "item_id", count_characters(F.col("counted")).cast("long").alias("characters"), "body_class", filled("pieces", "links.value").alias("body"), "pieces", "links", "stylesheets")
+
 
-    return items.select(F.col("book").cast("string").alias("book"), "item_id", "html").mapInPandas(run, schema)
+def filled(pieces: str, values: str) -> Column:
+    """Pieces of markup with the values of attributes between them, escaped. A null value is an empty one."""
+    quoted = lambda v: F.replace(F.replace(F.coalesce(v, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;"))
+    return F.array_join(F.zip_with(pieces, values, lambda p, v: F.concat(F.coalesce(p, F.lit("")), quoted(v))), "")

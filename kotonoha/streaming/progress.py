@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -34,19 +35,32 @@ def progress_stream(events: DataFrame, checkpoint: str, sink: Callable[[DataFram
 
 
 def import_stream(entries: DataFrame, path: str, checkpoint: str, after: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
-    """A stream of archive entries (archive, path, content): each batch's new dictionaries are written under ``path``, then ``after`` gets their titles. An archive's entries must arrive together."""
-
-    def one(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        try:
-            known = spark.read.parquet(f"{path}/dictionaries").select("title")
-        except Exception as e:  # nothing is imported yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            known = None
-        tables = banks.import_dictionaries(banks.route_entries(batch).persist(), known)
-        banks.write_dictionaries(tables, path)
-        if after:
-            after(tables["dictionaries"].select("title"))
+    """A stream of archive entries (archive, path, content): each batch's new dictionaries are published under ``path``, then ``after`` gets their titles. An archive's entries must arrive together.
+
+    The import's id is that of the stream and the batch: a batch that comes again after it was
+    published is left out, one that broke off before is written anew.
+    """
+    stream = hashlib.md5(checkpoint.encode()).hexdigest()[:8]
+
+    def one(batch: DataFrame, number: int) -> None:
+        import_batch(batch, path, f"{stream}-{number}", after)
 
     return entries.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def import_batch(batch: DataFrame, path: str, import_id: str, after: Callable[[DataFrame], None] | None = None) -> bool:
+    """Import archive entries once under ``import_id``; false if that was published before."""
+    spark, known = batch.sparkSession, None
+    if banks.exists(spark, f"{path}/dictionaries"):
+        listed = spark.read.parquet(f"{path}/dictionaries")
+        if not listed.where(F.col(banks.IMPORT) == f"id-{import_id}").isEmpty():
+            return False
+        known = listed.select("title")
+    routed = banks.route_entries(batch).persist()
+    try:
+        banks.write_dictionaries(banks.import_dictionaries(routed, known), path, import_id)
+    finally:
+        routed.unpersist()
+    if after:
+        after(spark.read.parquet(f"{path}/dictionaries").where(F.col(banks.IMPORT) == f"id-{import_id}").select("title"))
+    return True

@@ -20,6 +20,7 @@ def spark(tmp_path_factory):
         .config("spark.driver.memory", "6g")
         .config("spark.executorEnv.PYTHONPATH", str(Path(__file__).resolve().parent.parent))
         .config("spark.local.dir", str(tmp_path_factory.mktemp("spark")))
+        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
         .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
         .getOrCreate()
     )

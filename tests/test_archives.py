@@ -44,6 +44,13 @@ ARCHIVES = {
     "gap": {"index.json": index("Gap", format=3), "term_bank_2.json": []},
     "narrow": {"index.json": index("Narrow", format=3), "tag_bank_1.json": [["n", "pos", 1, "noun"]]},
     "broken": {"index.json": "{", "tag_bank_1.json": []},
+    "short": {"index.json": index("Short", format=3), "term_bank_1.json": '[["a", "", "", "", 1, ["x"], 1, ""], ["b", "",', "term_bank_2.json": [["c", "", "", "", 1, ["x"], 1, ""]]},
+    "types": {"index.json": index("Types", format=3), "term_bank_1.json": [["a", "", "", "", "1", ["x"], 1, ""]]},
+    "new_in_old": {"index.json": index("Mixed", version=1), "kanji_bank_1.json": [["犬", "ケン", 7, "t"]]},
+    "language": {"index.json": index("Language", format=3, sourceLanguage="english")},
+    "mode": {"index.json": index("Mode", format=3, frequencyMode="other")},
+    "meta": {"index.json": index("Meta", format=3), "term_meta_bank_1.json": [["a", "pitch", {"reading": "x"}]]},
+    "empty": {"index.json": index("Empty", format=3, targetLanguage="ja"), "term_bank_1.json": []},
 }
 
 
@@ -59,13 +66,15 @@ def entries(spark, tmp_path_factory):
 def test_routing_and_checks(entries):
     kinds = {(r.archive, r.path): (r.kind, r.bank_no) for r in entries.collect()}
     assert kinds["good", "term_bank_2.json"] == ("term_bank", 2) and kinds["good", "img/x.png"] == ("media", None) and kinds["good", "odd_bank_1.json"] == ("ignored", None) and kinds["good", "index.json"][0] == "index"
-    assert {r.archive: r.reason for r in B.validate_archive(entries).collect()} == {"good": None, "old": None, "no_index": "index", "format2": "format", "gap": "numbering", "narrow": "items", "broken": "index"}
+    assert {r.archive: r.reason for r in B.validate_archive(entries).collect()} == {
+        "good": None, "old": None, "no_index": "index", "format2": "format", "gap": "numbering", "narrow": "items", "broken": "index", "short": "items", "types": "items", "new_in_old": "items", "language": "index", "mode": "index", "meta": "items", "empty": None,
+    }
 
 
 def test_import_write_and_import_again(spark, entries, tmp_path):
     tables = B.import_dictionaries(entries)
     terms = {r.term: r for r in tables["terms"].collect()}
-    assert terms["食べる"].definitions == ['"eat"', '{"text":"to eat","type":"text"}', '["食う",["-"]]'] and terms["食べる"].term_tags == ["n", "p"] and terms["食べる"].sequence_number == 7
+    assert terms["食べる"].definitions == ['"eat"', '{"type":"text","text":"to eat"}', '["食う",["-"]]'] and terms["食べる"].term_tags == ["n", "p"] and terms["食べる"].sequence_number == 7
     assert terms["猫"].definition_tags == [] and terms["猫"].reading == "" and terms["猫"].popularity == 1.5
     assert terms["食う"].reading == "食う" and terms["食う"].definitions == ['"d1"', '"d2"'] and terms["飲む"].definitions == ['"d3"'] and terms["飲む"].sequence_number == 0
     assert {r.dictionary for r in terms.values()} == {"Good", "Old"}
@@ -76,12 +85,29 @@ def test_import_write_and_import_again(spark, entries, tmp_path):
     d = {r.title: r for r in tables["dictionaries"].collect()}
     assert d["Good"].frequency_mode == "rank" and d["Good"].css_style == "p{}" and d["Good"].sequenced and d["Old"].format == 1
     B.write_dictionaries(tables, str(tmp_path))
-    assert spark.read.parquet(f"{tmp_path}/terms").count() == 5
-    again = B.import_dictionaries(entries, spark.read.parquet(f"{tmp_path}/dictionaries"))
+    assert B.read_table(spark, str(tmp_path), "terms").count() == 5
+    again = B.import_dictionaries(entries, B.read_table(spark, str(tmp_path), "dictionaries"))
     assert all(df.count() == 0 for df in again.values())
     B.export_tables(spark, str(tmp_path), f"{tmp_path}/copy", ["terms"])
-    B.reset_tables({"terms": tables["terms"]}, str(tmp_path))
-    assert spark.read.parquet(f"{tmp_path}/copy/terms").count() == 5 and spark.read.schema(tables["terms"].schema).parquet(f"{tmp_path}/terms").count() == 0
+    B.reset_tables(spark, str(tmp_path), ["terms"])
+    assert B.read_table(spark, f"{tmp_path}/copy", "terms").count() == 5 and B.read_table(spark, str(tmp_path), "terms").count() == B.read_table(spark, str(tmp_path), "dictionaries").count() == 0
+
+
+def test_an_import_that_breaks_off_shows_nothing(spark, entries, tmp_path):
+    some = entries.where("archive in ('good', 'old')").select("archive", "path", "content")
+    tables, path, told = B.import_dictionaries(B.route_entries(some)), str(tmp_path), []
+    B.write_dictionaries({"dictionaries": tables["dictionaries"].limit(0), "terms": tables["terms"].limit(0)}, path, "zero")
+    B.write_dictionaries({"terms": tables["terms"]}, path, "one")
+    assert B.read_table(spark, path, "terms").count() == 0
+    assert P.import_batch(some, path, "one", lambda d: told.append(d.count())) and not P.import_batch(some, path, "one")
+    assert B.read_table(spark, path, "terms").count() == 5 and B.read_table(spark, path, "dictionaries").count() == 2 and told == [2]
+
+
+def test_files_are_written(spark, tmp_path):
+    files = spark.createDataFrame([("a/x.bin", bytearray(b"1")), ("a/b/y.bin", bytearray(b"2")), ("none", None)], "path string, content binary")
+    assert B.write_files(files, str(tmp_path)) == 2 and (tmp_path / "a/b/y.bin").read_bytes() == b"2" and not (tmp_path / "none").exists()
+    with pytest.raises(Exception, match="not inside the folder"):
+        B.write_files(spark.createDataFrame([("a/../../x", bytearray(b"1"))], "path string, content binary"), str(tmp_path))
 
 
 def test_media(spark, entries):
@@ -131,11 +157,33 @@ def test_from_spine_to_merged_book(shelf):
     got = {r.value: (r.resolved, r.error) for r in resolved.collect()}
     assert got == {"../c2.xhtml#x": ("!c2 #x", None), "../i/p.png": ("!pic", None), "http://e.org/": ("http://e.org/", None), "gone.xhtml": (None, "not in manifest")}
     inlined = {r.value: (r.inlined, r.error) for r in K.inline_links(resolved.drop("error"), spine, "k").collect()}
-    assert inlined["../c2.xhtml#x"] == ("#k-c2", None) and inlined["../i/p.png"] == ("!pic", None) and inlined["http://e.org/"] == ("http://e.org/", None)
+    assert inlined["../c2.xhtml#x"] == ("#k-c2", None) and inlined["../i/p.png"] == ("pic-p.png", None) and inlined["http://e.org/"] == ("http://e.org/", None)
     merged = K.merge_parts(parts.join(content.select("book", "item_id", "pos"), ["book", "item_id"]).withColumn("title", F.lit("本")), "k").first()
     assert merged.html.index('id="k-c2"') < merged.html.index('<div id="k-c1" class="b">') and "<title>本</title>" in merged.html
 
 
+def test_parts_keep_their_markup(spark):
+    html = '<html><body><p title="a href=b">1 &lt; 2 &amp; 3</p><svg viewBox="0 0 1 1"><image xlink:href="x.png"/></svg><A HREF=\'q?a=1&amp;b=2\' id="k">t</A><script>a < b</script></body></html>'
+    part = epub.item_parts(spark.createDataFrame([("b", "i", html)], "book string, item_id string, html string")).first()
+    assert [(x.tag, x.attribute, x.value, x.in_svg) for x in part.links] == [("image", "xlink:href", "x.png", True), ("a", "href", "q?a=1&b=2", False)]
+    assert part.body == '<p title="a href=b">1 &lt; 2 &amp; 3</p><svg viewBox="0 0 1 1"><image xlink:href="x.png"/></svg><A HREF="q?a=1&amp;b=2" id="k">t</a><script>a < b</script>' and part.characters == 3
+    raw = epub.item_parts(spark.createDataFrame([("b", "i", html)], "book string, item_id string, html string"), raw_entities=True).first()
+    assert raw.characters == 8
+
+
+def test_ingested_books(spark, shelf):
+    picture = spark.createDataFrame([("v3", "OPS/i/p.png", bytearray(b"p")), ("v3", "OPS/nav.xhtml", bytearray(b'<html><body><nav><a href="text/c1.xhtml">One</a><a href="text/c1.xhtml#b">Again</a></nav></body></html>'))], B.ENTRY)
+    got = K.ingest_books(shelf.unionByName(picture), "k")
+    html = {r.book: r.html for r in got["books"].collect()}
+    assert set(html) == {"v3", "v2", "bare"} and '<a href="#k-c2">n</a><img src="pic-p.png"/><a href="http://e.org/">e</a><a href="gone.xhtml">g</a>' in html["v3"]
+    assert {r.item_id: r.chapter for r in got["sections"].where("book = 'v3'").collect()} == {"c1": "One", "c2": "Preface"}
+    media = {(r.book, r.path): (r.content and bytes(r.content), r.missing) for r in got["media"].collect()}
+    assert media["v3", "v3/pic-p.png"] == (b"p", False) and media["bare", "bare/pic-p.png"] == (None, True)
+    library = {r.book: r for r in got["library"].collect()}
+    assert library["v3"].primary_title == "本" and library["v3"].other_titles == ["Two"] and library["v3"].length == 5 and library["v3"].cover_path == "OPS/i/p.png" and library["bare"].cover_path is None
+    assert {r.error for r in got["links"].collect()} == {None, "not in manifest"}
+
+
 def test_sections(spark):
     rows = [(1, p, n, c) for p, (n, c) in enumerate([(5, None), (3, "One"), (0, None), (4, "Two"), (2, None)])]
     df = spark.createDataFrame(rows, "book int, pos int, characters long, chapter string")
@@ -171,19 +219,19 @@ def test_imports_as_stream(spark, entries, tmp_path):
     told: list = []
     for _ in range(2):
         P.import_stream(spark.readStream.schema(B.ENTRY).parquet(f"{tmp_path}/in"), f"{tmp_path}/t", f"{tmp_path}/cp", lambda d: told.append(d)).awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/t/terms").count() == 5 and len(told) == 1
+    assert B.read_table(spark, f"{tmp_path}/t", "terms").count() == 5 and len(told) == 1
 
 
 def test_large_archives_are_split(spark):
     from kotonoha.queries.bank_queries import archives_of
-    from kotonoha.queries.flow_queries import _unzipped, zips
+    from kotonoha.queries.flow_queries import unpacked, zips
 
     items = [(("a" if i < 900 else "b"), f'["n{i}","x",1,"y",2]') for i in range(905)]
     banks = archives_of(spark.createDataFrame(items, "archive string, item string"), "tag_bank", most=50).cache()
     found = sorted((r.archive, r.bank_no, bytes(r.content).count(b"[") - 1) for r in banks.collect())
     assert [n for a, n, _ in found if a == "a"] == list(range(1, 19)) and [x for x in found if x[0] == "b"] == [("b", 1, 5)]
     assert max(n for *_, n in found) < 150
-    packed = zips(banks, most=4).cache()
-    assert packed.where("path = 'a'").count() > 1 and packed.where("path = 'b'").count() == 1
-    tags = B.parse_tag_bank(B.bank_items(B.route_entries(_unzipped(packed)), "tag_bank"))
+    names = [r.path.split("/")[0] for r in zips(banks, most=4).collect()]
+    assert names.count("a") > 1 and names.count("b") == 1
+    tags = B.parse_tag_bank(B.bank_items(B.route_entries(unpacked(spark, banks, most=4)), "tag_bank"))
     assert sorted((r.archive, r.tag) for r in tags.select("archive", "tag").collect()) == sorted((a, f"n{i}") for i, (a, _) in enumerate(items))
