@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -90,30 +91,29 @@ def common(a: str, b: str) -> int:
     return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
+def first_characters(segments: list[Segment], n: int) -> list[Segment]:
+    """The segments of the first ``n`` characters; one that goes on behind them has no reading."""
+    ends = list(accumulate(len(text) for text, _ in segments))
+    cut = [(text[: max(0, n - end + len(text))], read if end <= n else "") for (text, read), end in zip(segments, ends)]
+    return [s for s in cut if s[0]]
+
+
 def align_inflected(term: str, reading: str, source: str) -> list[Segment]:
-    """As ``align`` for an inflected ``source`` of the term: the stem it shares with the term (or, if longer, with the reading) is aligned, what follows has no reading."""
+    """The reading of an inflected ``source`` of the term.
+
+    A source that agrees with the reading as far as with the term, or further, is in kana and
+    needs none. Otherwise the stem that it shares with the term keeps what the whole term's
+    alignment gives it, and the ending has no reading.
+    """
     plain = hiragana(source)
-    stem, by_reading = common(hiragana(term), plain), common(hiragana(reading), plain)
-    base = term
-    if by_reading and by_reading >= stem:
-        base, stem = reading, by_reading
-        reading = source[:stem] + reading[stem:]
-    out: list[Segment] = []
-    left = stem
-    for text, read in align(source[:stem] + base[stem:], reading) if stem else []:
-        if len(text) > left:
-            out += [(text[:left], "")] if left else []
-            break
-        out.append((text, read))
-        left -= len(text)
-        if not left:
-            break
-    rest = source[stem:]
-    if rest and out and not out[-1][1]:
-        out[-1] = (out[-1][0] + rest, "")
-    elif rest:
-        out.append((rest, ""))
-    return out
+    stem, in_kana = common(hiragana(term), plain), common(hiragana(reading), plain)
+    if not stem or in_kana >= stem:
+        return [(source, "")] if source else []
+    kept = first_characters(align(source[:stem] + term[stem:], reading), stem)
+    ending = source[stem:]
+    if ending and not kept[-1][1]:
+        return [*kept[:-1], (kept[-1][0] + ending, "")]
+    return kept + [(ending, "")] * bool(ending)
 
 
 def _frame(segments: list[list[Segment]]) -> pd.Series:

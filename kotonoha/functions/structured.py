@@ -16,7 +16,7 @@ IMAGE_FLAGS = {"pixelated": False, "background": True, "collapsed": False, "coll
 RENDERINGS = {"pixelated": "pixelated", "crisp-edges": "crispEdges"}
 #: Attributes of an image that become styles.
 STYLED = {"verticalAlign": "vertical-align", "border": "border", "borderRadius": "border-radius", "imageRendering": "image-rendering"}
-DROPPED = {"pixelated", "background", "appearance"}
+DROPPED = {"pixelated", "background"}
 
 
 def definition_kind(c: Column) -> Column:
@@ -44,9 +44,8 @@ def camel_to_param(c: Column) -> Column:
 
 
 def style_string(styles: Column) -> Column:
-    """A map of styles as `` k:v;`` for each entry in order of key."""
-    entries = F.array_sort(F.map_entries(styles))
-    return F.array_join(F.transform(entries, lambda e: F.concat(F.lit(" "), camel_to_param(e["key"]), F.lit(":"), e["value"], F.lit(";"))), "")
+    """A map of styles as `` k:v;`` for each entry in the map's order, on which their meaning may depend."""
+    return F.array_join(F.transform(F.map_entries(styles), lambda e: F.concat(F.lit(" "), camel_to_param(e["key"]), F.lit(":"), e["value"], F.lit(";"))), "")
 
 
 def media_path(dictionary: Column, path: Column, base: str = "") -> Column:
@@ -67,7 +66,8 @@ def image_html(attributes: dict, media: str) -> str:
     """An ``img`` tag, inside ``details`` where it is collapsible; attributes that are styles are left out, as a tag without content has no style."""
     if "path" not in attributes:
         raise ValueError("an image needs a path")
-    plain = {k: v for k, v in attributes.items() if k not in STYLED and k not in DROPPED and k not in ("path", "collapsible", "collapsed")}
+    hidden = {*STYLED, *DROPPED, "path", "collapsible", "collapsed"} | ({"appearance"} if attributes.get("appearance") == "monochrome" else set())
+    plain = {k: v for k, v in attributes.items() if k not in hidden}
     image = _open_tag("img", {**plain, "src": attributes["path"]}, None, media)
     if attributes.get("collapsible") is not True:
         return image

@@ -188,10 +188,10 @@ def pitch_category(c: Column, downstep: Column, verb_or_adjective: Column) -> Co
 
 
 def stem_length(a: Column, b: Column) -> Column:
-    """Length of the common prefix."""
+    """Length of the common prefix, in time that grows with the shorter text."""
     n = F.least(F.length(a), F.length(b))
-    same = F.filter(F.sequence(F.lit(1), n), lambda i: a.substr(F.lit(1), i) == b.substr(F.lit(1), i))
-    return F.when(n == 0, 0).otherwise(F.size(same))
+    pairs = F.zip_with(F.split(F.left(a, n), ""), F.split(F.left(b, n), ""), lambda x, y: x == y)
+    return F.when(n > 0, F.coalesce(F.nullif(F.array_position(pairs, False), F.lit(0)) - 1, n)).when(n == 0, 0).cast("int")
 
 
 def clamp(c: Column, n: int) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kotonoha.functions.structured import structured_html
 from kotonoha.plans.deinflect import deinflect
 
 MODES = ("exact", "prefix", "suffix", "contains")
@@ -65,6 +66,12 @@ def is_imported(dictionaries: DataFrame, title: str) -> bool:
     return not dictionaries.where(F.col("title") == title).isEmpty()
 
 
+def are_imported(dictionaries: DataFrame, titles: DataFrame) -> DataFrame:
+    """``titles`` (title, ...) with ``imported``: whether there is such a dictionary."""
+    known = dictionaries.select("title").distinct().withColumn("imported", F.lit(True))
+    return titles.join(known, "title", "left").withColumn("imported", F.coalesce("imported", F.lit(False)))
+
+
 def new_dictionaries(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """Incoming rows whose title is not among the existing ones."""
     return incoming.join(existing.select("title").distinct(), "title", "left_anti")
@@ -75,43 +82,57 @@ def batch_lookup(queries: DataFrame, terms: DataFrame, mode: str = "exact", key:
 
     ``exact`` is an equi-join. The others are made equi-joins on the first (``suffix``) or last
     (``prefix``) ``least`` characters, or (``contains``) on all runs of ``least`` characters of
-    the term against the query's first run; the full condition then decides. Shorter queries
-    share no such key and are matched by a join on the condition alone.
+    the term against the query's first run; the full condition then decides. Queries shorter
+    than that are joined in the same way on as many characters as they have; an empty query, which all
+    terms match, on the condition alone.
     """
     if mode == "exact":
         return queries.join(terms, F.col(key) == F.col("term"))
-    n = F.lit(least)
-    if mode == "suffix":
-        query_key, term_keys = F.left(key, n), F.array(F.left("term", n))
-    elif mode == "prefix":
-        query_key, term_keys = F.right(key, n), F.array(F.right("term", n))
-    else:
-        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length("term") - least + 1, F.lit(1))), lambda i: F.substr("term", i, n))
-        query_key, term_keys = F.left(key, n), F.array_distinct(runs)
-    long, short = queries.where(F.length(key) >= least), queries.where(F.length(key) < least)
-    keyed = terms.withColumn("_run", F.explode(term_keys))
-    met = long.withColumn("_key", query_key).join(keyed, F.col("_key") == F.col("_run")).where(matches(F.col("term"), F.col(key), mode)).drop("_key", "_run")
-    return met.unionByName(short.join(terms, matches(F.col("term"), F.col(key), mode)))
-
-
-def search_terms(texts: DataFrame, terms: DataFrame, column: str = "text", mode: str = "exact", dictionaries: Sequence[str] = (), deinflected: bool = True) -> DataFrame:
-    """Terms found for each distinct text, by all its candidates in order (``cand_pos``); duplicates stay. Without ``deinflected`` by the text alone."""
+    out = queries.where(F.length(key) == 0).join(terms, matches(F.col("term"), F.col(key), mode))
+    # a lambda is built at once, so that it sees this turn's size
+    for n in range(1, least + 1):
+        size = F.lit(n)
+        if mode == "suffix":
+            query_key, term_keys = F.left(key, size), F.array(F.left("term", size))
+        elif mode == "prefix":
+            query_key, term_keys = F.right(key, size), F.array(F.right("term", size))
+        else:
+            runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length("term") - n + 1, F.lit(1))), lambda i: F.substr("term", i, size))
+            query_key, term_keys = F.left(key, size), F.array_distinct(runs)
+        asked = queries.where(F.length(key) == n if n < least else F.length(key) >= n).withColumn("_key", query_key)
+        keyed = terms.withColumn("_run", F.explode(term_keys))
+        out = out.unionByName(asked.join(keyed, F.col("_key") == F.col("_run")).where(matches(F.col("term"), F.col(key), mode)).drop("_key", "_run"))
+    return out
+
+
+def search_terms(texts: DataFrame, terms: DataFrame, column: str = "text", mode: str = "exact", dictionaries: Sequence[str] = (), deinflected: bool = True, chains: bool = False) -> DataFrame:
+    """Terms found for each distinct text, by all its candidates in order (``cand_pos``), with ``chains`` also by which rules; duplicates stay. Without ``deinflected`` by the text alone."""
     wanted = terms.where(F.col("dictionary").isin(*dictionaries)) if dictionaries else terms
     if deinflected:
-        return batch_lookup(deinflect(texts, column), wanted, mode)
+        return batch_lookup(deinflect(texts, column, chains=chains), wanted, mode)
     plain = texts.select(F.col(column).alias("text")).where("text is not null").distinct().withColumn("candidate", F.col("text"))
     return batch_lookup(plain, wanted, mode)
 
 
-def meta_text(meta_type: Column, frequency: Column, downstep: Column, transcription: Column) -> Column:
-    """What a reader sees of one metadata row."""
-    number = F.when(frequency == F.floor(frequency), F.floor(frequency).cast("string")).otherwise(frequency.cast("string"))
-    return F.when(meta_type == "frequency", F.concat(F.lit("Frequency: "), number)).when(meta_type == "pitch", F.concat(F.lit("Pitch: "), downstep.cast("string"))).when(meta_type == "ipa", F.concat(F.lit("IPA: "), transcription))
+def meta_text(meta: DataFrame) -> Column:
+    """What a reader sees of a row of metadata: its dictionary, and below it the frequency as displayed and as it is, the pitch with its morae and tags, or the transcription with its tags. Null for an unknown type. Whole numbers are shown without decimals; columns that ``meta`` lacks count as null."""
+    have = lambda c, kind: F.col(c) if c in meta.columns else F.lit(None).cast(kind)
+    number = have("frequency", "double")
+    shown = F.when(number == F.floor(number), F.floor(number).cast("string")).otherwise(number.cast("string"))
+    listed = lambda label, c: F.when(F.size(c) > 0, F.concat(F.lit(label), F.array_join(c.cast("array<string>"), " ")))
+    tags = listed("<br> Tags: ", have("tags", "array<string>"))
+    texts = {
+        "frequency": F.concat_ws(" ", F.concat(F.lit("Frequency: "), have("display_frequency", "string")), F.concat(F.lit("Actual Value: "), shown)),
+        "pitch": F.concat_ws(" ", F.concat(F.lit("Downstep on mora "), have("downstep_position", "int").cast("string")), listed("<br>Devoice on these morae: ", have("devoice_positions", "array<int>")), listed("<br>Nasal on these morae: ", have("nasal_positions", "array<int>")), tags),
+        "ipa": F.concat_ws(" ", F.concat(F.lit("Transcription: "), have("transcription", "string")), tags),
+    }
+    chosen = F.coalesce(*[F.when(F.col("meta_type") == kind, text) for kind, text in texts.items()])
+    return F.concat("dictionary", F.lit("<br>"), chosen)
 
 
 def attach_term_meta(terms: DataFrame, meta: DataFrame) -> DataFrame:
-    """Terms with ``meta``, the sorted texts of all metadata of the term, in all dictionaries; grouped before the join, so that frequent terms don't multiply."""
-    shown = meta.select("term", "dictionary", meta_text(F.col("meta_type"), F.col("frequency"), F.col("downstep_position"), F.col("transcription")).alias("shown"))
+    """Terms with ``meta``, the texts of all metadata of the term, in order of dictionary and text; grouped before the join, so that frequent terms don't multiply. Terms without any have an empty list."""
+    shown = meta.select("term", "dictionary", meta_text(meta).alias("shown")).where("shown is not null")
     grouped = shown.groupBy("term").agg(F.array_sort(F.collect_list(F.struct("dictionary", "shown"))).alias("m")).select("term", F.col("m.shown").alias("meta"))
     return terms.join(grouped, "term", "left").withColumn("meta", F.coalesce("meta", F.array().cast("array<string>")))
 
@@ -123,10 +144,11 @@ def attach_tags(terms: DataFrame, tags: DataFrame, column: str = "term_tags") ->
 
 
 def render_lookup(terms: DataFrame) -> DataFrame:
-    """A row for each definition of each term (with ``meta``): the term's heading and the definition, apart by ``<br>``."""
-    listed = lambda label, c: F.when(F.size(c) > 0, F.concat(F.lit(f"<br>{label}: "), F.array_join(c, ", "))).otherwise("")
+    """A row for each definition (JSON) of each term (with ``meta``): the term's heading and, below it, the definition as HTML. A malformed definition has no HTML."""
+    listed = lambda label, c: F.when(F.size(c) > 0, F.concat(F.lit(f"<br>{label}: "), F.array_join(c, " "))).otherwise("")
     heading = F.concat(F.array_join("meta", "<br>"), listed("Term Tags", "term_tags"), listed("Definition Tags", "definition_tags"))
-    return terms.withColumn("heading", heading).select("*", F.posexplode("definitions").alias("def_no", "definition")).withColumn("html", F.concat("heading", F.lit("<br>"), "definition")).drop("heading")
+    opened = terms.withColumn("heading", heading).select("*", F.posexplode("definitions").alias("def_no", "definition")).withColumn("shown", structured_html("definition", "dictionary"))
+    return opened.withColumn("html", F.concat("heading", F.when(F.col("heading") != "", "<br>").otherwise(""), "shown")).drop("heading", "shown")
 
 
 def distinct_candidates(candidates: DataFrame) -> DataFrame:
@@ -135,18 +157,29 @@ def distinct_candidates(candidates: DataFrame) -> DataFrame:
 
 
 def dedupe_lookup(found: DataFrame, entry: Sequence[str], source: str = "text") -> DataFrame:
-    """For each entry the match with the longest source text; ``source_kind`` is ``both`` if matches of that length came from more than one kind."""
-    length = F.length(source)
+    """For each entry the matches (with ``rules``, the names of the rules that led to it, and ``kind``) of the longest source text: the text, their number, and their chains.
+
+    ``chains`` is an array of (rules, kind), each chain once and in order; a chain that was found
+    in more than one kind has ``both``. Chains are merged before they meet by entry.
+    """
     best = W.partitionBy(*entry)
-    longest = found.withColumn("_n", length).withColumn("_most", F.max("_n").over(best)).where("_n = _most")
-    return longest.groupBy(*entry).agg(F.min(source).alias("source"), F.count("*").alias("chains"), F.when(F.count_distinct("kind") > 1, "both").otherwise(F.min("kind")).alias("source_kind"))
+    longest = found.withColumn("_n", F.length(source)).withColumn("_most", F.max("_n").over(best)).where("_n = _most")
+    kind = F.when(F.min("kind") == F.max("kind"), F.min("kind")).otherwise("both").alias("kind")
+    merged = longest.groupBy(*entry, "rules").agg(kind, F.min(source).alias("source"), F.count("*").alias("n"))
+    return merged.groupBy(*entry).agg(F.min("source").alias("source"), F.sum("n").alias("matches"), F.array_sort(F.collect_list(F.struct("rules", "kind"))).alias("chains"))
 
 
 def dictionary_deinflections(found: DataFrame, terms: DataFrame) -> DataFrame:
-    """Entries whose definition is ``[uninflected, [rules]]`` lead to the uninflected term's entries; kind ``dictionary``."""
-    pointed = found.select("text", F.col("term").alias("via"), F.explode("definitions").alias("definition")).where(F.startswith("definition", F.lit("[")))
-    named = pointed.withColumn("uninflected", F.get_json_object("definition", "$[0]")).where("uninflected is not null")
-    return named.join(terms, F.col("uninflected") == F.col("term")).withColumn("kind", F.lit("dictionary"))
+    """Entries whose definition is ``[uninflected, [rules]]`` lead to the uninflected term's entries.
+
+    ``rules`` is the chain that led to the entry (a column ``rules`` of ``found``, none without
+    it) and behind it the definition's own; ``kind`` is ``dictionary``, or ``both`` behind a chain.
+    """
+    led = F.col("rules") if "rules" in found.columns else F.array().cast("array<string>")
+    pointed = found.select("text", F.col("term").alias("via"), led.alias("led"), F.explode("definitions").alias("definition")).where(F.startswith("definition", F.lit("[")))
+    own = F.coalesce(F.from_json(F.get_json_object("definition", "$[1]"), "array<string>"), F.array().cast("array<string>"))
+    named = pointed.select("text", "via", F.get_json_object("definition", "$[0]").alias("uninflected"), F.concat("led", own).alias("rules"), F.when(F.size("led") > 0, "both").otherwise("dictionary").alias("kind"))
+    return named.where("uninflected <> ''").join(terms, F.col("uninflected") == F.col("term"))
 
 
 def rank_terms(found: DataFrame, key: Sequence[str], top: int | None = None) -> DataFrame:

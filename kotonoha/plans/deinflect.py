@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 from operator import itemgetter
 
@@ -11,9 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kotonoha.plans.rules import Rule, japanese_rules, widened
+from kotonoha.functions.scratch import scratch_root
+from kotonoha.plans.rules import CONDITIONS, SINGLE_CONDITIONS, Rule, japanese_rules, widened
 
-SCHEMA = "text string, cand_pos int, candidate string, conditions array<string>, chain array<struct<transform:string,rule:int,input:string>>"
+SCHEMA, CHAIN = "text string, cand_pos int, candidate string, conditions array<string>", "chain array<struct<transform:string,rule:int,input:string>>"
 
 #: A text with more candidates points to a rule table that runs in circles.
 MOST_CANDIDATES = 1000
@@ -48,8 +48,8 @@ def candidates(text: str, index: dict, longest: int, most: int = MOST_CANDIDATES
     return found
 
 
-def deinflect(df: DataFrame, column: str, rules: list[Rule] | None = None) -> DataFrame:
-    """Distinct texts in ``column`` -> text, cand_pos, candidate, conditions, chain: a row for each candidate, the text itself at 0. Nulls are left out.
+def deinflect(df: DataFrame, column: str, rules: list[Rule] | None = None, chains: bool = True) -> DataFrame:
+    """Distinct texts in ``column`` -> text, cand_pos, candidate, conditions, and with ``chains`` the chain of rules: a row for each candidate, the text itself at 0. Nulls are left out.
 
     Texts are made distinct first, so the work follows the number of surface forms, not of occurrences.
     """
@@ -59,10 +59,13 @@ def deinflect(df: DataFrame, column: str, rules: list[Rule] | None = None) -> Da
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = rule_index(table)
         for frame in frames:
-            rows = [(text, i, form, list(conditions), [dict(zip(("transform", "rule", "input"), step)) for step in chain]) for text in frame["text"] for i, (form, conditions, chain) in enumerate(candidates(text, index, longest))]
-            yield pd.DataFrame(rows, columns=["text", "cand_pos", "candidate", "conditions", "chain"])
+            found = [(text, i, *row) for text in frame["text"] for i, row in enumerate(candidates(text, index, longest))]
+            out = pd.DataFrame([row[:4] for row in found], columns=["text", "cand_pos", "candidate", "conditions"])
+            if chains:
+                out["chain"] = [[dict(zip(("transform", "rule", "input"), step)) for step in row[4]] for row in found]
+            yield out
 
-    return df.select(F.col(column).alias("text")).where("text is not null").distinct().mapInPandas(run, SCHEMA)
+    return df.select(F.col(column).alias("text")).where("text is not null").distinct().mapInPandas(run, f"{SCHEMA}, {CHAIN}" if chains else SCHEMA)
 
 
 def is_inflected(text: Column, transform: str, rules: list[Rule] | None = None) -> Column:
@@ -73,18 +76,18 @@ def is_inflected(text: Column, transform: str, rules: list[Rule] | None = None)
     return text.rlike(f"(?:{'|'.join(suffixes)})$")
 
 
-def widened_column(conditions: Column) -> Column:
-    """``widened`` for an array column, sorted."""
-    known = {c: sorted(widened([c])) for c in {x for r in japanese_rules() for x in (*r.before, *r.after)} | {"v1", "v5", "vk", "vs", "vz", "adj-i", "v"}}
-    table = F.create_map(*[x for c, up in known.items() for x in (F.lit(c), F.array(*map(F.lit, up)))])
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(conditions, lambda c: F.coalesce(F.element_at(table, c), F.array(c))))))
+def fitting_rules() -> dict[str, list[str]]:
+    """For each condition the inflection rules of entries that fit it: itself, those above and those below."""
+    named = {c for r in japanese_rules() for c in (*r.before, *r.after)} | set(CONDITIONS) | set(SINGLE_CONDITIONS)
+    up = {c: widened([c]) for c in named}
+    return {c: sorted(r for r in named if r in up[c] or c in up[r]) for c in named}
 
 
 def filter_by_conditions(lookup: DataFrame, conditions: str = "conditions", rules: str = "inflection_rules") -> DataFrame:
-    """Entries whose inflection rules fit their candidate's conditions: no conditions, or a rule is one of them, or lies above or below one."""
-    fits = F.size(conditions) == 0
-    below = F.exists(rules, lambda r: F.arrays_overlap(widened_column(F.array(r)), F.col(conditions)))
-    return lookup.where(fits | below | F.arrays_overlap(F.col(rules), widened_column(F.col(conditions))))
+    """Entries whose inflection rules fit their candidate's conditions: no conditions, or a rule is one of them, or lies above or below one. What fits is looked up in a map of all conditions."""
+    table = F.create_map(*[x for c, fit in sorted(fitting_rules().items()) for x in (F.lit(c), F.array(*map(F.lit, fit)))])
+    fits = F.flatten(F.transform(conditions, lambda c: F.coalesce(F.element_at(table, c), F.array(c))))
+    return lookup.where((F.size(conditions) == 0) | F.arrays_overlap(F.col(rules), fits))
 
 
 def rules_frame(spark: SparkSession) -> DataFrame:
@@ -97,11 +100,11 @@ def rules_frame(spark: SparkSession) -> DataFrame:
 def deinflect_by_joins(df: DataFrame, column: str, steps: int = MOST_STEPS) -> DataFrame:
     """As ``deinflect`` (text, cand_pos, candidate, conditions as one string), by joins with the rule table on suffixes, until no row is new. An error after more than ``steps`` rules in a row.
 
-    Each step's rows are checkpointed, in a temporary folder where the session names none (tests).
+    Each step's rows are checkpointed.
     """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kotonoha-"))
+        sc.setCheckpointDir(scratch_root(df.sparkSession))
     rules = F.broadcast(rules_frame(df.sparkSession))
     front = df.select(F.col(column).alias("text")).where("text is not null").distinct().withColumns({"candidate": F.col("text"), "held": F.lit(""), "conditions": F.lit(""), "path": F.array().cast("array<int>")})
     front = front.checkpoint()

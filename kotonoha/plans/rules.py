@@ -16,13 +16,33 @@ ONBIN = [("い", "く", False), ("い", "ぐ", True), ("し", "す", False), ("
 IKU = ["いく", "行く", "逝く", "往く"]
 KOU = ["こう", "とう", "請う", "乞う", "恋う", "問う", "訪う", "宣う", "曰う", "給う", "賜う", "揺蕩う"]
 TAMAU = {"のたまう": "のたもう", "たまう": "たもう", "たゆたう": "たゆとう"}
-#: Slang and dialect pairs (inflected/plain) that follow no paradigm.
-CONTRACTED_BA = "けりゃ/ければ きゃ/ければ や/えば きゃ/けば ぎゃ/げば しゃ/せば ちゃ/てば にゃ/ねば びゃ/べば みゃ/めば りゃ/れば"
-CONTINUATIVE = "い/いる え/える き/きる ぎ/ぎる け/ける げ/げる じ/じる せ/せる ぜ/ぜる ち/ちる て/てる で/でる に/にる ね/ねる ひ/ひる び/びる へ/へる べ/べる み/みる め/める り/りる れ/れる"
-SLANG_E = "ねえ/ない めえ/むい みい/むい ちぇえ/つい ちい/つい せえ/すい ええ/いい ええ/わい ええ/よい いぇえ/よい うぇえ/わい けえ/かい げえ/がい げえ/ごい せえ/さい めえ/まい ぜえ/ずい っぜえ/ずい れえ/らい れえ/らい ちぇえ/ちゃい でえ/どい れえ/れい べえ/ばい てえ/たい"
-SLANG_SMALL_E = "ねぇ/ない めぇ/むい みぃ/むい ちぃ/つい せぇ/すい けぇ/かい げぇ/がい げぇ/ごい せぇ/さい めぇ/まい ぜぇ/ずい っぜぇ/ずい れぇ/らい でぇ/どい れぇ/れい べぇ/ばい てぇ/たい"
-KANSAI_TE = "う/っ おう/あっ こう/かっ ごう/がっ そう/さっ ぞう/ざっ とう/たっ どう/だっ のう/なっ ほう/はっ ぼう/ばっ もう/まっ ろう/らっ よう/やっ ゆう/いっ"
-KANSAI_KU = "う/く こう/かく ごう/がく そう/さく とう/たく のう/なく ぼう/ばく もう/まく ろう/らく よう/よく しゅう/しく"
+# Contracted, continuative, slang and dialect endings with their plain forms. れえ for らい is there twice, which gives a candidate twice.
+CONTRACTED_BA = [
+    ("けりゃ", "ければ"), ("きゃ", "ければ"), ("や", "えば"), ("きゃ", "けば"), ("ぎゃ", "げば"), ("しゃ", "せば"), ("ちゃ", "てば"), ("にゃ", "ねば"), ("びゃ", "べば"), ("みゃ", "めば"),
+    ("りゃ", "れば"),
+]
+CONTINUATIVE = [
+    ("い", "いる"), ("え", "える"), ("き", "きる"), ("ぎ", "ぎる"), ("け", "ける"), ("げ", "げる"), ("じ", "じる"), ("せ", "せる"), ("ぜ", "ぜる"), ("ち", "ちる"),
+    ("て", "てる"), ("で", "でる"), ("に", "にる"), ("ね", "ねる"), ("ひ", "ひる"), ("び", "びる"), ("へ", "へる"), ("べ", "べる"), ("み", "みる"), ("め", "める"),
+    ("り", "りる"), ("れ", "れる"),
+]
+SLANG_E = [
+    ("ねえ", "ない"), ("めえ", "むい"), ("みい", "むい"), ("ちぇえ", "つい"), ("ちい", "つい"), ("せえ", "すい"), ("ええ", "いい"), ("ええ", "わい"), ("ええ", "よい"), ("いぇえ", "よい"),
+    ("うぇえ", "わい"), ("けえ", "かい"), ("げえ", "がい"), ("げえ", "ごい"), ("せえ", "さい"), ("めえ", "まい"), ("ぜえ", "ずい"), ("っぜえ", "ずい"), ("れえ", "らい"), ("れえ", "らい"),
+    ("ちぇえ", "ちゃい"), ("でえ", "どい"), ("れえ", "れい"), ("べえ", "ばい"), ("てえ", "たい"),
+]
+SLANG_SMALL_E = [
+    ("ねぇ", "ない"), ("めぇ", "むい"), ("みぃ", "むい"), ("ちぃ", "つい"), ("せぇ", "すい"), ("けぇ", "かい"), ("げぇ", "がい"), ("げぇ", "ごい"), ("せぇ", "さい"), ("めぇ", "まい"),
+    ("ぜぇ", "ずい"), ("っぜぇ", "ずい"), ("れぇ", "らい"), ("でぇ", "どい"), ("れぇ", "れい"), ("べぇ", "ばい"), ("てぇ", "たい"),
+]
+KANSAI_TE = [
+    ("う", "っ"), ("おう", "あっ"), ("こう", "かっ"), ("ごう", "がっ"), ("そう", "さっ"), ("ぞう", "ざっ"), ("とう", "たっ"), ("どう", "だっ"), ("のう", "なっ"), ("ほう", "はっ"),
+    ("ぼう", "ばっ"), ("もう", "まっ"), ("ろう", "らっ"), ("よう", "やっ"), ("ゆう", "いっ"),
+]
+KANSAI_KU = [
+    ("う", "く"), ("こう", "かく"), ("ごう", "がく"), ("そう", "さく"), ("とう", "たく"), ("のう", "なく"), ("ぼう", "ばく"), ("もう", "まく"), ("ろう", "らく"), ("よう", "よく"),
+    ("しゅう", "しく"),
+]
 
 
 @dataclass(frozen=True)
@@ -39,8 +59,8 @@ class Rule:
 Part = tuple[str, str, tuple[str, ...]]
 
 
-def _pairs(text: str, *after: str, add: str = "") -> list[Part]:
-    return [(a + add, b + add, after) for a, b in (x.split("/") for x in text.split())]
+def _pairs(pairs: list[tuple[str, str]], *after: str, add: str = "") -> list[Part]:
+    return [(a + add, b + add, after) for a, b in pairs]
 
 
 def _godan(row: str, suffix: str, order: str = ENDINGS, after: tuple[str, ...] = ("v5",)) -> list[Part]:

@@ -54,16 +54,21 @@ def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def terms_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A metadata row for each word of two letters or more in ``documents``: frequency, pitch or ipa by its length."""
-    n = F.length("w") % 3
-    counted = tokens(spark, sf_dir).where(F.length("w") > 1).groupBy("w").agg(F.count("*").alias("n"))
+    """A metadata row for each word in ``documents``: frequency (a number, a display text, or both), pitch (with morae and tags, or not) or ipa by its length and count."""
+    n, c = F.length("w") % 3, F.col("n")
+    counted = tokens(spark, sf_dir).groupBy("w").agg(F.count("*").alias("n"))
+    numbers = lambda when, *x: F.when(n == 1, F.when(when, F.array(*x)).otherwise(F.array().cast("array<int>")))
     return counted.select(
         kana(F.col("w")).alias("term"),
         F.concat(F.lit("freq"), (F.length("w") % 2).cast("string")).alias("dictionary"),
         F.when(n == 0, "frequency").when(n == 1, "pitch").otherwise("ipa").alias("meta_type"),
-        F.when(n == 0, F.col("n").cast("double")).alias("frequency"),
-        F.when(n == 1, (F.col("n") % 5).cast("int")).alias("downstep_position"),
+        F.when((n == 0) & (c % 3 != 1), c.cast("double")).alias("frequency"),
+        F.when((n == 0) & (c % 3 != 0), F.concat(c.cast("string"), F.lit("x"))).alias("display_frequency"),
+        F.when(n == 1, (c % 5).cast("int")).alias("downstep_position"),
+        numbers(c % 2 == 0, F.lit(1), (c % 4).cast("int")).alias("devoice_positions"),
+        numbers(c % 3 == 0, F.lit(2)).alias("nasal_positions"),
         F.when(n == 2, F.concat(F.lit("/"), F.col("w"), F.lit("/"))).alias("transcription"),
+        F.when((n > 0) & (c % 5 == 0), F.array(F.lit("t"), F.lit("u"))).when(n > 0, F.array().cast("array<string>")).alias("tags"),
     )
 
 
@@ -90,9 +95,11 @@ TERMS_SQL = f"""terms AS (
 META_SQL = f"""meta AS (
     SELECT translate(w, '{LETTERS}', '{KANA}') AS term, 'freq' || (length(w) % 2) AS dictionary,
         CASE length(w) % 3 WHEN 0 THEN 'frequency' WHEN 1 THEN 'pitch' ELSE 'ipa' END AS meta_type,
-        CASE WHEN length(w) % 3 = 0 THEN n::DOUBLE END AS frequency, CASE WHEN length(w) % 3 = 1 THEN (n % 5)::INT END AS downstep_position,
-        CASE WHEN length(w) % 3 = 2 THEN '/' || w || '/' END AS transcription
-    FROM (SELECT w, count(*) AS n FROM tokens WHERE length(w) > 1 GROUP BY w))"""
+        CASE WHEN length(w) % 3 = 0 AND n % 3 <> 1 THEN n::DOUBLE END AS frequency, CASE WHEN length(w) % 3 = 0 AND n % 3 <> 0 THEN n || 'x' END AS display_frequency,
+        CASE WHEN length(w) % 3 = 1 THEN (n % 5)::INT END AS downstep_position,
+        CASE WHEN length(w) % 3 = 1 THEN CASE WHEN n % 2 = 0 THEN [1, n % 4] ELSE [] END END AS devoice_positions, CASE WHEN length(w) % 3 = 1 THEN CASE WHEN n % 3 = 0 THEN [2] ELSE [] END END AS nasal_positions,
+        CASE WHEN length(w) % 3 = 2 THEN '/' || w || '/' END AS transcription, CASE WHEN length(w) % 3 > 0 THEN CASE WHEN n % 5 = 0 THEN ['t', 'u'] ELSE [] END END AS tags
+    FROM (SELECT w, count(*) AS n FROM tokens GROUP BY w))"""
 PAGES_SQL = r"""spine AS (
     SELECT page_id // 10 AS book, (page_id % 10)::INT AS pos, 'p' || page_id AS item_id, regexp_extract(url, '://[^/]*(/[^?#]*)', 1) AS href, html
     FROM pages)"""

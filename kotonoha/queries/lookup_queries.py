@@ -18,13 +18,15 @@ _key = lambda c: " ".join(sorted(widened(c)))
 
 #: The rule table and the candidates of all surfaces, as recursive SQL.
 DEINFLECT_SQL = f"""rules(t, r, suffix, plain, before, after, conditions) AS (VALUES {", ".join(f"({x.transform_no}, {x.rule_no}, '{x.suffix}', '{x.plain}', '{_key(x.before)}', '{_key(x.after)}', '{' '.join(x.after)}')" for x in japanese_rules())}),
-    d(text, candidate, held, conditions, path) AS (
-        SELECT s, s, '', '', []::INT[] FROM surfaces
+    d(text, candidate, held, conditions, path, inputs) AS (
+        SELECT s, s, '', '', []::INT[], []::VARCHAR[] FROM surfaces
         UNION ALL
-        SELECT text, left(candidate, length(candidate) - length(suffix)) || plain, after, rules.conditions, list_append(path, t * 100 + r)
+        SELECT text, left(candidate, length(candidate) - length(suffix)) || plain, after, rules.conditions, list_append(path, t * 100 + r), list_append(inputs, candidate)
         FROM (SELECT *, right(candidate, n::INT) AS tail FROM d, range(1, 7) g(n) WHERE n <= length(candidate)) JOIN rules ON tail = suffix AND (held = '' OR held = before)),
-    deinflected AS (SELECT text, (row_number() OVER (PARTITION BY text ORDER BY len(path), path) - 1)::INT AS cand_pos, candidate, conditions FROM d)"""
+    deinflected AS (SELECT text, (row_number() OVER (PARTITION BY text ORDER BY len(path), path) - 1)::INT AS cand_pos, candidate, conditions, path, inputs FROM d)"""
 _UP = {c: sorted(widened([c])) for c in ("v1", "v5", "adj-i", "vs")}
+_NAMES = {x.transform_no: x.transform for x in japanese_rules()}
+_NAMES_SQL = "MAP {" + ", ".join(f"{n}: '{name}'" for n, name in _NAMES.items()) + "}"
 _CONDITION_NAMES = sorted({c for x in japanese_rules() for c in x.after})
 _FITS_PAIRS = ", ".join(f"('{r}', '{c}')" for r in _UP for c in _CONDITION_NAMES if c in widened([r]) or r in widened([c]))
 LOOKUP_SQL = f"WITH RECURSIVE {SURFACES_SQL}, {TERMS_SQL}, {DEINFLECT_SQL}, found AS (SELECT * FROM deinflected JOIN terms ON candidate = term), fits(r, c) AS (VALUES {_FITS_PAIRS}), kept AS (SELECT * FROM found WHERE conditions = '' OR EXISTS (SELECT 1 FROM fits WHERE list_contains(inflection_rules, r) AND list_contains(string_split(conditions, ' '), c)))"
@@ -90,37 +92,44 @@ def is_inflected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surfaces(spark, sf_dir).select("w", ends_in(F.col("s"), "continuative").alias("inflected"))
 
 
-@query(f"WITH {TOKENS_SQL}, {META_SQL} SELECT term, dictionary, meta_type, frequency, downstep_position, transcription FROM meta WHERE term = 'たはて' AND dictionary = 'freq1'")
+@query(f"WITH {TOKENS_SQL}, {META_SQL} SELECT term, dictionary, meta_type, frequency, display_frequency, downstep_position, transcription FROM meta WHERE term = 'たはて' AND dictionary = 'freq1'")
 def term_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.search_term_meta(terms_meta(spark, sf_dir), "たはて", ["freq1"])
+    return S.search_term_meta(terms_meta(spark, sf_dir), "たはて", ["freq1"]).select("term", "dictionary", "meta_type", "frequency", "display_frequency", "downstep_position", "transcription")
 
 
 @query(f"WITH {TERMS_SQL} SELECT DISTINCT left(term, 1) AS kanji, dictionary FROM terms WHERE left(reading, 1) = 'ハ'")
 def kanji_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     kanji = terms(spark, sf_dir).select(F.left("term", F.lit(1)).alias("kanji"), F.left("reading", F.lit(1)).alias("onyomi"), "dictionary").distinct()
-    return S.search(kanji, "onyomi", "ハ").select("kanji", "dictionary")
+    return S.search_kanji(kanji, "ハ", column="onyomi").select("kanji", "dictionary")
 
 
-@query(f"WITH {SURFACES_SQL}, {TERMS_SQL}, q AS (SELECT s AS text FROM surfaces WHERE length(s) BETWEEN 3 AND 4) SELECT text, term, dictionary, sequence_number FROM q JOIN terms ON prefix(term, text) UNION ALL SELECT text, term, dictionary, sequence_number FROM q JOIN terms ON contains(term, text) AND NOT prefix(term, text)")
-def batch_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms that contain a surface of three or four characters: those that begin with it, and those that have it further on."""
-    return _containing(surfaces(spark, sf_dir).where("length(s) between 3 and 4"), terms(spark, sf_dir))
+@query(f"WITH {TERMS_SQL} SELECT DISTINCT dictionary AS title FROM terms")
+def imported_dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.imported_dictionaries(terms(spark, sf_dir).withColumnRenamed("dictionary", "title"))
+
+
+@query(f"WITH {TERMS_SQL} SELECT DISTINCT source AS title, replace(source, 'src', 'dict') IN (SELECT dictionary FROM terms) AS imported FROM documents")
+def is_imported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of ``documents`` as titles, and whether each is a dictionary."""
+    titles = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", F.replace("source", F.lit("src"), F.lit("dict")).alias("title")).distinct()
+    return S.are_imported(terms(spark, sf_dir).select(F.col("dictionary").alias("title")), titles).select(F.col("source").alias("title"), "imported")
 
 
-def _containing(words: DataFrame, found: DataFrame) -> DataFrame:
-    q = words.select(F.col("s").alias("text"))
+@query(f"WITH {SURFACES_SQL}, {TERMS_SQL}, q AS (SELECT DISTINCT s AS text FROM surfaces), p AS (SELECT term, dictionary, sequence_number, unnest(list_distinct(flatten(list_transform(range(1, length(term) + 1), lambda i: list_transform(range(i, length(term) + 1), lambda j: term[i:j]))))) AS part FROM terms) SELECT text, term, dictionary, sequence_number FROM q JOIN p ON text = part")
+def batch_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms that contain a surface: those that begin with it, and those that have it further on."""
+    q, found = surfaces(spark, sf_dir).select(F.col("s").alias("text")), terms(spark, sf_dir)
     begun = S.batch_lookup(q, found, "suffix", key="text")
     inside = S.batch_lookup(q, found, "contains", key="text").where(~F.startswith("term", "text"))
     return begun.unionByName(inside).select("text", "term", "dictionary", "sequence_number")
 
 
-@query()
-def batch_lookup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``batch_lookup`` for surfaces of every length; SQL would compare each with each term, so brute force tests it."""
-    return _containing(surfaces(spark, sf_dir), terms(spark, sf_dir))
-
-
-_META_TEXT_SQL = "CASE meta_type WHEN 'frequency' THEN 'Frequency: ' || frequency::BIGINT WHEN 'pitch' THEN 'Pitch: ' || downstep_position WHEN 'ipa' THEN 'IPA: ' || transcription END"
+#: The texts of metadata and of headings as a reader of the dictionary sees them.
+_META_TEXT_SQL = """dictionary || '<br>' || CASE meta_type
+    WHEN 'frequency' THEN concat_ws(' ', 'Frequency: ' || display_frequency, 'Actual Value: ' || frequency::BIGINT)
+    WHEN 'pitch' THEN concat_ws(' ', 'Downstep on mora ' || downstep_position, CASE WHEN len(devoice_positions) > 0 THEN '<br>Devoice on these morae: ' || array_to_string(devoice_positions, ' ') END,
+        CASE WHEN len(nasal_positions) > 0 THEN '<br>Nasal on these morae: ' || array_to_string(nasal_positions, ' ') END, CASE WHEN len(tags) > 0 THEN '<br> Tags: ' || array_to_string(tags, ' ') END)
+    ELSE concat_ws(' ', 'Transcription: ' || transcription, CASE WHEN len(tags) > 0 THEN '<br> Tags: ' || array_to_string(tags, ' ') END) END"""
 _ATTACHED_SQL = f"g AS (SELECT term, list({_META_TEXT_SQL} ORDER BY dictionary, {_META_TEXT_SQL}) AS m FROM meta GROUP BY term), attached AS (SELECT terms.*, coalesce(m, []) AS m FROM terms LEFT JOIN g USING (term))"
 
 
@@ -129,10 +138,18 @@ def attach_term_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.attach_term_meta(terms(spark, sf_dir), terms_meta(spark, sf_dir)).select("term", "dictionary", "sequence_number", F.array_join("meta", "|").alias("meta"))
 
 
-@query(f"""WITH {TOKENS_SQL}, {META_SQL}, {TERMS_SQL}, {_ATTACHED_SQL} SELECT term, dictionary, sequence_number, (i - 1)::INT AS def_no,
-    array_to_string(m, '<br>') || '<br>Term Tags: ' || array_to_string(term_tags, ', ') || '<br>Definition Tags: ' || array_to_string(definition_tags, ', ') || '<br>' || definitions[i] AS html FROM attached, range(1, 3) t(i)""")
+@query(f"""WITH {TOKENS_SQL}, {META_SQL}, {TERMS_SQL}, {_ATTACHED_SQL}, h AS (
+        SELECT *, array_to_string(m, '<br>') || CASE WHEN len(tt) > 0 THEN '<br>Term Tags: ' || array_to_string(tt, ' ') ELSE '' END || CASE WHEN len(dt) > 0 THEN '<br>Definition Tags: ' || array_to_string(dt, ' ') ELSE '' END AS heading
+        FROM (SELECT *, CASE WHEN sequence_number % 3 = 0 THEN [] ELSE term_tags END AS tt, CASE WHEN sequence_number % 3 = 0 THEN [] ELSE definition_tags END AS dt FROM attached))
+    SELECT term, dictionary, sequence_number, i AS def_no, heading || CASE WHEN heading <> '' THEN '<br>' ELSE '' END || CASE i WHEN 0 THEN definitions[1] WHEN 1 THEN '<b lang="en" style=" margin:0; margin-left:1;">' || definitions[2] || '</b>' END AS html
+    FROM h, (VALUES (0), (1), (2)) t(i)""")
 def render_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.render_lookup(S.attach_term_meta(terms(spark, sf_dir), terms_meta(spark, sf_dir))).select("term", "dictionary", "sequence_number", "def_no", "html")
+    """Headings and definitions of all terms: a plain one, structured content, and a malformed one, which has no HTML. Every third sequence has no tags."""
+    bare = F.col("sequence_number") % 3 == 0
+    none = F.array().cast("array<string>")
+    node = F.to_json(F.struct(F.lit("structured-content").alias("type"), F.struct(F.lit("b").alias("tag"), F.lit("en").alias("lang"), F.struct(F.lit("0").alias("margin"), F.lit("1").alias("marginLeft")).alias("style"), F.col("definitions")[1].alias("content")).alias("content")))
+    made = terms(spark, sf_dir).withColumns({"definitions": F.array(F.concat(F.lit('"'), F.col("definitions")[0], F.lit('"')), node, F.lit("{")), "term_tags": F.when(bare, none).otherwise(F.col("term_tags")), "definition_tags": F.when(bare, none).otherwise(F.col("definition_tags"))})
+    return S.render_lookup(S.attach_term_meta(made, terms_meta(spark, sf_dir))).select("term", "dictionary", "sequence_number", "def_no", "html")
 
 
 @query(f"""WITH {TERMS_SQL}, t(tag, category, sorting_order, notes, popularity) AS (VALUES ('n', 'partOfSpeech', 1.0, 'noun', 0.0), ('common', 'frequent', 2.0, 'common word', 10.0), ('d0', 'misc', 3.0, 'zero', 1.0), ('d1', 'misc', 4.0, 'one', 1.0), ('d3', 'misc', 5.0, 'three', 1.0)),
@@ -148,20 +165,16 @@ def new_dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.new_dictionaries(incoming, terms(spark, sf_dir).select(F.col("dictionary").alias("title"))).select(F.col("name").alias("title"))
 
 
-@query(f"WITH RECURSIVE {SURFACES_SQL}, {DEINFLECT_SQL} SELECT text, cand_pos, candidate, conditions FROM deinflected")
+@query(f"WITH RECURSIVE {SURFACES_SQL}, {DEINFLECT_SQL} SELECT text, cand_pos, candidate, conditions, array_to_string(list_transform(list_zip(path, inputs), lambda z: {_NAMES_SQL}[z[1] // 100] || ':' || (z[1] % 100) || ':' || z[2]), '|') AS chain FROM deinflected")
 def deinflect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deinflected(surfaces(spark, sf_dir), "s").select("text", "cand_pos", "candidate", F.array_join("conditions", " ").alias("conditions"))
-
-
-@query(f"WITH RECURSIVE {SURFACES_SQL}, {DEINFLECT_SQL} SELECT text, cand_pos, candidate, conditions FROM deinflected WHERE length(text) <= 4")
-def deinflect_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same candidates by joins with the rule table, for short surfaces."""
-    return deinflect_by_joins(surfaces(spark, sf_dir).where("length(s) <= 4"), "s")
+    """All candidates of all surfaces, with the rules that lead to them and what each was applied to."""
+    chain = F.array_join(F.transform("chain", lambda x: F.concat_ws(":", x["transform"], x["rule"].cast("string"), x["input"])), "|")
+    return deinflected(surfaces(spark, sf_dir), "s").select("text", "cand_pos", "candidate", F.array_join("conditions", " ").alias("conditions"), chain.alias("chain"))
 
 
 @query(f"WITH RECURSIVE {SURFACES_SQL}, {DEINFLECT_SQL} SELECT text, cand_pos, candidate, conditions FROM deinflected")
-def deinflect_joins_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for surfaces of every length."""
+def deinflect_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same candidates by joins with the rule table."""
     return deinflect_by_joins(surfaces(spark, sf_dir), "s")
 
 
@@ -175,23 +188,34 @@ def filter_by_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fitting(found(spark, sf_dir)).select("text", "cand_pos", "term", "dictionary", "sequence_number")
 
 
-@query(f"""WITH {SURFACES_SQL}, {TERMS_SQL}, p AS (SELECT term AS text, dictionary, left(term, length(term) - 1) AS uninflected FROM terms WHERE length(term) > 2)
-    SELECT text, uninflected, terms.term, terms.dictionary, sequence_number FROM p JOIN terms ON uninflected = terms.term""")
+@query(f"""WITH {SURFACES_SQL}, {TERMS_SQL}, p AS (SELECT term AS text, left(term, length(term) - 1) AS uninflected, sequence_number % 2 = 0 AS led FROM terms WHERE length(term) > 1)
+    SELECT text, uninflected, terms.term, terms.dictionary, terms.sequence_number, CASE WHEN led THEN '-た|own' ELSE 'own' END AS rules, CASE WHEN led THEN 'both' ELSE 'dictionary' END AS kind FROM p JOIN terms ON uninflected = terms.term""")
 def dictionary_deinflections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms of three characters or more point to themselves without the last one, as ``[uninflected, [rules]]``."""
+    """Terms point to themselves without the last character, as ``[uninflected, [rules]]``; a term of one character points to nothing. Half of them were led to by a rule."""
     base = terms(spark, sf_dir)
     shorter = F.expr("left(term, length(term) - 1)")
-    pointing = base.where("length(term) > 2").select(F.col("term").alias("text"), "term", F.array(F.to_json(F.array(shorter, F.lit("rule")))).alias("definitions"))
-    return S.dictionary_deinflections(pointing, base).select("text", "uninflected", "term", "dictionary", "sequence_number")
+    led = F.when(F.col("sequence_number") % 2 == 0, F.array(F.lit("-た"))).otherwise(F.array().cast("array<string>"))
+    pointed = F.concat(F.lit("["), F.concat(F.lit('"'), shorter, F.lit('"')), F.lit(',["own"]]'))
+    pointing = base.select(F.col("term").alias("text"), "term", led.alias("rules"), F.array(F.lit('"plain"'), pointed).alias("definitions"))
+    out = S.dictionary_deinflections(pointing, base)
+    return out.select("text", "uninflected", "term", "dictionary", "sequence_number", F.array_join("rules", "|").alias("rules"), "kind")
 
 
 _ENTRY = ["term", "dictionary", "sequence_number"]
 
 
-@query(f"{LOOKUP_SQL}, k AS (SELECT *, CASE WHEN cand_pos = 0 THEN 'dictionary' ELSE 'algorithm' END AS kind, length(text) AS n, max(length(text)) OVER (PARTITION BY term, dictionary, sequence_number) AS most FROM kept) SELECT term, dictionary, sequence_number, min(text) AS source, count(*) AS chains, CASE WHEN count(DISTINCT kind) > 1 THEN 'both' ELSE min(kind) END AS source_kind FROM k WHERE n = most GROUP BY term, dictionary, sequence_number")
+@query(f"""{LOOKUP_SQL}, k AS (SELECT *, CASE WHEN cand_pos = 0 THEN 'dictionary' ELSE 'algorithm' END AS kind, max(length(text)) OVER (PARTITION BY term, dictionary, sequence_number) AS most,
+        list_transform(path, lambda p: {_NAMES_SQL}[p // 100]) AS rules FROM kept),
+    both_ways AS (SELECT * FROM k UNION ALL BY NAME SELECT * REPLACE ('dictionary' AS kind) FROM k WHERE cand_pos = 1),
+    m AS (SELECT term, dictionary, sequence_number, rules, min(text) AS source, count(*) AS n, CASE WHEN min(kind) = max(kind) THEN min(kind) ELSE 'both' END AS kind FROM both_ways WHERE length(text) = most GROUP BY ALL)
+    SELECT term, dictionary, sequence_number, min(source) AS source, sum(n)::BIGINT AS matches, string_agg(array_to_string(rules, '>') || ':' || kind, '|' ORDER BY array_to_string(rules, '>'), kind) AS chains FROM m GROUP BY term, dictionary, sequence_number""")
 def dedupe_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = fitting(found(spark, sf_dir)).withColumn("kind", F.when(F.col("cand_pos") == 0, "dictionary").otherwise("algorithm"))
-    return S.dedupe_lookup(kinds, _ENTRY)
+    """Entries found in the corpus by their longest surfaces, with the chains that lead there. The first candidates of all surfaces count as found by the dictionary as well, so that chains have both kinds."""
+    matched = fitting(S.search_terms(surfaces(spark, sf_dir), terms(spark, sf_dir), "s", chains=True))
+    kinds = matched.withColumns({"kind": F.when(F.col("cand_pos") == 0, "dictionary").otherwise("algorithm"), "rules": F.col("chain.transform")}).select("text", *_ENTRY, "cand_pos", "kind", "rules")
+    both = kinds.unionByName(kinds.where("cand_pos = 1").withColumn("kind", F.lit("dictionary")))
+    shown = F.array_sort(F.transform("chains", lambda c: F.struct(F.array_join(c["rules"], ">").alias("r"), c["kind"].alias("k"))))
+    return S.dedupe_lookup(both, _ENTRY).select(*_ENTRY, "source", "matches", F.array_join(F.transform(shown, lambda c: F.concat(c["r"], F.lit(":"), c["k"])), "|").alias("chains"))
 
 
 @query(f"{LOOKUP_SQL} SELECT text, term, dictionary, sequence_number, rank FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY popularity DESC NULLS LAST, term, dictionary, sequence_number)::INT AS rank FROM (SELECT DISTINCT text, term, dictionary, sequence_number, popularity FROM kept)) WHERE rank <= 3")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kotonoha.functions import text as T
+from kotonoha.plans.language import JAPANESE, text_variants
 from kotonoha.queries.adapters import HIRA, KATA, LETTERS, PAGES_SQL, SURFACES_SQL, TERMS_SQL, TOKENS_SQL, kana, pages, surfaces, table, terms, tokens
 from kotonoha.queries.registry import query
 
@@ -137,20 +138,33 @@ def stem_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surfaces(spark, sf_dir).select("w", T.stem_length(F.col("w"), F.reverse("w")).alias("n"))
 
 
-@query(f"""WITH {SURFACES_SQL}, p AS (SELECT w, s, i, n FROM surfaces, range(1, length(s) + 1) a(i), range(1, 5) b(n) WHERE i + n - 1 <= length(s))
+@query(f"""WITH {SURFACES_SQL}, {TERMS_SQL}, m AS (SELECT coalesce(max(length(term)), 0) AS most FROM terms), p AS (SELECT w, s, i, unnest(range(1, least(most, length(s) - i + 1) + 1)) AS n FROM surfaces, m, range(1, length(s) + 1) a(i))
     SELECT w, count(*) AS n, string_agg(s[i : i + n - 1], '|' ORDER BY i, n DESC) AS parts FROM p GROUP BY w""")
 def substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _substrings(surfaces(spark, sf_dir), 4)
+    """Substrings of all surfaces, up to the length of the longest term."""
+    longest = terms(spark, sf_dir).agg(F.max(F.length("term"))).first()[0]
+    parts = T.substrings(F.col("s"), longest or 0)
+    return surfaces(spark, sf_dir).select("w", F.size(parts).cast("long").alias("n"), F.array_join(parts, "|").alias("parts"))
 
 
-def _substrings(words: DataFrame, longest: int) -> DataFrame:
-    parts = T.substrings(F.col("s"), longest)
-    return words.select("w", F.size(parts).cast("long").alias("n"), F.array_join(parts, "|").alias("parts"))
+_VARIED_LETTERS = "カきっッーいうえおきくけこすせソそはヒふへホまっーるみむめ"
+_MID = "v[length(regexp_extract(v, '^[っッー]*')) + 1 : length(v) - length(regexp_extract(v, '[っッー]*$'))]"
+_COLLAPSED = "CASE WHEN regexp_extract(v, '^[っッー]*') = v THEN v ELSE regexp_extract(v, '^[っッー]*') || {} || regexp_extract(v, '[っッー]*$') END"
+_PARTLY = _COLLAPSED.format(rf"regexp_replace(regexp_replace(regexp_replace({_MID}, 'っ+', 'っ', 'g'), 'ッ+', 'ッ', 'g'), 'ー+', 'ー', 'g')")
+_FULLY = _COLLAPSED.format(f"regexp_replace({_MID}, '[っッー]', '', 'g')")
+_KANA_FORM = f"list_reduce(list_concat([''], string_split(translate(text, '{T._SHIFTED}', '{T._HIRA}'), '')), lambda a, x: a || CASE WHEN x = 'ー' THEN coalesce(CASE WHEN a = '' THEN NULL ELSE {_vowel_sql('right(a, 1)')} END, x) ELSE x END)"
 
 
-@query(f"""WITH {SURFACES_SQL}, {TERMS_SQL}, m AS (SELECT coalesce(max(length(term)), 0) AS most FROM terms), p AS (SELECT w, s, i, unnest(range(1, least(most, length(s) - i + 1) + 1)) AS n FROM surfaces, m, range(1, length(s) + 1) a(i))
-    SELECT w, count(*) AS n, string_agg(s[i : i + n - 1], '|' ORDER BY i, n DESC) AS parts FROM p GROUP BY w""")
-def substrings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Substrings up to the length of the longest term."""
-    longest = terms(spark, sf_dir).agg(F.max(F.length("term"))).first()[0]
-    return _substrings(surfaces(spark, sf_dir), longest or 0)
+def _merged_sql(rows: str) -> str:
+    """Of equal variants of a text the one made first."""
+    return f"SELECT text, v, min(o) AS o FROM ({rows}) GROUP BY text, v"
+
+
+@query(f"""WITH {TERMS_SQL}, t AS (SELECT DISTINCT translate(definitions[1], '{LETTERS}', '{_VARIED_LETTERS}') AS text FROM terms),
+    k AS ({_merged_sql(f"SELECT text, unnest([text, translate(text, '{HIRA}', '{KATA}'), {_KANA_FORM}]) AS v, unnest([[0], [1], [2]]) AS o FROM t")}),
+    e AS ({_merged_sql(f"SELECT text, unnest([v, {_PARTLY}, {_FULLY}]) AS v, unnest([list_append(o, 0), list_append(o, 1), list_append(o, 2)]) AS o FROM k")})
+    SELECT text, (row_number() OVER (PARTITION BY text ORDER BY o) - 1)::INT AS variant_no, v AS variant FROM e""")
+def japanese_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the eight shipped preprocessors make of the dictionary's words in kana with emphatic marks. Six of them leave these alone."""
+    words = terms(spark, sf_dir).select(F.translate(F.col("definitions")[0], LETTERS, _VARIED_LETTERS).alias("text"))
+    return text_variants(words, "text", JAPANESE.preprocessors)

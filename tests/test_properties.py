@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -24,6 +26,34 @@ def test_segments_rebuild_the_term(term, reading):
         assert hiragana("".join(r or t for t, r in got)) == hiragana(reading)
 
 
+@given(st.text("あかのアノー山本", max_size=6), st.text("あかのアノー", max_size=8))
+@settings(max_examples=400, deadline=None)
+def test_alignment_by_counting_the_ways(term, reading):
+    """The runs of the term with every way to deal the reading to them; a run with two ways to go on has none."""
+    runs = re.findall(r"[\u3040-\u30ff]+|[^\u3040-\u30ff]+", term)
+    plain, n = hiragana(reading), len(reading)
+
+    def ways(g, p):
+        if g == len(runs):
+            return [[]] if p == n else []
+        kana = "\u3040" <= runs[g][0] <= "\u30ff"
+        stops = [p + len(runs[g])] if kana else [n] if g == len(runs) - 1 else range(p + len(runs[g]), n + 1)
+        on = [[(p, e), *rest] for e in stops if e - p >= len(runs[g]) and e <= n and (not kana or plain[p:e] == hiragana(runs[g])) for rest in ways(g + 1, e)]
+        return on if len(on) == 1 else []
+
+    found = ways(0, 0) if len(plain) == n and term != reading else []
+    got, at, p = align(term, reading), 0, 0
+    if not found or not runs:
+        assert got == [(term, reading if term != reading else "")]
+        return
+    for run, (p, e) in zip(runs, found[0]):
+        part = ""
+        while len(part) < len(run):
+            part, read, at = part + got[at][0], got[at][1], at + 1
+            assert read in ("", *(reading[p:e][i:j] for i in range(e - p) for j in range(i + 1, e - p + 1)))
+        assert part == run
+
+
 @given(st.text(KANA + KANJI, min_size=1, max_size=6), st.text(KANA, min_size=1, max_size=8), st.text(KANA + KANJI, min_size=1, max_size=6))
 @settings(max_examples=300, deadline=None)
 def test_inflected_segments_rebuild_the_source(term, reading, source):

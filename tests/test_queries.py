@@ -56,7 +56,7 @@ def small(spark, tmp_path):
 
 
 def test_variants_of_long_words(spark, small):
-    got = Counter(r.text for r in QUERIES["text_variants_all"](spark, small).collect())
+    got = Counter(r.text for r in QUERIES["text_variants"](spark, small).collect())
     assert got == dict.fromkeys([r.w + "った" for r in surfaces(spark, small).collect()], 4)
 
 
@@ -64,10 +64,10 @@ def test_all_surfaces_by_brute_force(spark, small):
     words = {r.w: r.s for r in surfaces(spark, small).collect()}
     found = [(r.term, r.dictionary, r.sequence_number) for r in terms(spark, small).collect()]
     longest = max(len(t) for t, *_ in found)
-    got = Counter(map(tuple, QUERIES["batch_lookup_all"](spark, small).collect()))
+    got = Counter(map(tuple, QUERIES["batch_lookup"](spark, small).collect()))
     assert got == Counter((s, *t) for s in words.values() for t in found if s in t[0])
-    parts = {r.w: r.parts.split("|") for r in QUERIES["substrings_all"](spark, small).collect()}
+    parts = {r.w: r.parts.split("|") for r in QUERIES["substrings"](spark, small).collect()}
     assert parts == {w: [s[i : i + n] for i in range(len(s)) for n in range(min(longest, len(s) - i), 0, -1)] for w, s in words.items()}
-    joined = {(r.text, r.cand_pos, r.candidate, r.conditions) for r in QUERIES["deinflect_joins_all"](spark, small).collect()}
+    joined = {(r.text, r.cand_pos, r.candidate, r.conditions) for r in QUERIES["deinflect_joins"](spark, small).collect()}
     assert joined == {(r.text, r.cand_pos, r.candidate, r.conditions) for r in QUERIES["deinflect"](spark, small).collect()}
     assert {t for t, *_ in joined} == set(words.values())

@@ -11,7 +11,7 @@ TERMS = "term string, reading string, dictionary string, definitions array<strin
 
 @pytest.fixture(scope="module")
 def terms(spark):
-    rows = [("食べる", "たべる", "A", ["eat", "consume"], ["v"], ["d"], ["v1"], 2.0, 1), ("食ぶ", "たぶ", "A", ["old eat"], [], [], ["v5"], 1.0, 2), ("食べる", "たべる", "B", ["essen"], [], [], ["v1"], 3.0, 1), ("100%_x", "x", "A", ["p"], [], [], [], None, 3), ("猫", "ねこ", "B", ['["食べる",["v1"]]'], [], [], [], 1.0, 4)]
+    rows = [("食べる", "たべる", "A", ['"eat"', '{"type":"text","text":"consume"}', "{"], ["v"], ["d"], ["v1"], 2.0, 1), ("食ぶ", "たぶ", "A", ['"old eat"'], [], [], ["v5"], 1.0, 2), ("食べる", "たべる", "B", ['"essen"'], [], [], ["v1"], 3.0, 1), ("100%_x", "x", "A", ['"p"'], [], [], [], None, 3), ("猫", "ねこ", "B", ['["食べる",["v1"]]'], [], [], [], 1.0, 4)]
     return spark.createDataFrame(rows, TERMS)
 
 
@@ -48,13 +48,33 @@ def test_batch_lookup_equals_single_searches(spark, terms, mode):
 
 def test_pointing_definitions(terms):
     got = S.dictionary_deinflections(terms.withColumn("text", F.col("term")), terms).collect()
-    assert {(r.via, r.term, r.dictionary) for r in got} == {("猫", "食べる", "A"), ("猫", "食べる", "B")}
+    assert {(r.via, r.term, r.dictionary, tuple(r.rules), r.kind) for r in got} == {("猫", "食べる", "A", ("v1",), "dictionary"), ("猫", "食べる", "B", ("v1",), "dictionary")}
+    led = S.dictionary_deinflections(terms.withColumn("text", F.col("term")).withColumn("rules", F.array(F.lit("-た"))), terms).first()
+    assert led.rules == ["-た", "v1"] and led.kind == "both"
+
+
+def test_matches_of_one_entry_are_merged(spark):
+    rows = [("e", "食べた", ["-た"], "algorithm"), ("e", "食べた", ["-た"], "dictionary"), ("e", "食べだ", ["x"], "algorithm"), ("e", "食べ", [], "dictionary"), ("f", "飲む", [], "dictionary"), ("f", "読む", [], "dictionary")]
+    got = S.dedupe_lookup(spark.createDataFrame(rows, "entry string, text string, rules array<string>, kind string"), ["entry"]).collect()
+    assert {r.entry: (r.source, r.matches, [(c.rules, c.kind) for c in r.chains]) for r in got} == {"e": ("食べた", 3, [(["-た"], "both"), (["x"], "algorithm")]), "f": ("読む", 2, [([], "dictionary")])}
+
+
+META = "term string, dictionary string, meta_type string, frequency double, display_frequency string, downstep_position int, devoice_positions array<int>, nasal_positions array<int>, transcription string, tags array<string>"
 
 
 def test_rendering(spark, terms):
-    meta = spark.createDataFrame([("食べる", "F", "frequency", 5.0, None, None), ("食べる", "P", "pitch", None, 2, None), ("x", "P", "ipa", None, None, "[x]")], "term string, dictionary string, meta_type string, frequency double, downstep_position int, transcription string")
+    rows = [
+        ("食べる", "F", "frequency", 5.0, "5位", None, None, None, None, None), ("食べる", "G", "frequency", None, "12x", None, None, None, None, None), ("食べる", "H", "frequency", 2.5, None, None, None, None, None, None),
+        ("食べる", "P", "pitch", None, None, 2, [1, 3], [2], None, ["t", "u"]), ("食べる", "Q", "pitch", None, None, 0, [], [], None, []), ("x", "P", "ipa", None, None, None, None, None, "[x]", ["t"]), ("x", "P", "odd", None, None, None, None, None, None, None),
+    ]
+    meta = spark.createDataFrame(rows, META)
+    texts = ["F<br>Frequency: 5位 Actual Value: 5", "G<br>Frequency: 12x", "H<br>Actual Value: 2.5", "P<br>Downstep on mora 2 <br>Devoice on these morae: 1 3 <br>Nasal on these morae: 2 <br> Tags: t u", "Q<br>Downstep on mora 0"]
     got = S.render_lookup(S.attach_term_meta(terms.where("dictionary = 'A' and popularity = 2"), meta)).orderBy("def_no").collect()
-    assert [r.html for r in got] == ["Frequency: 5<br>Pitch: 2<br>Term Tags: v<br>Definition Tags: d<br>" + d for d in ("eat", "consume")]
+    assert [r.html for r in got] == ["<br>".join([*texts, "Term Tags: v", "Definition Tags: d", d]) for d in ("eat", "consume")] + [None]
+    bare = S.render_lookup(S.attach_term_meta(terms.where("dictionary = 'B' and popularity = 3"), meta.where("term = 'x'"))).first()
+    assert bare.html == "essen"
+    few = spark.createDataFrame([("x", "P", "ipa", "[x]")], "term string, dictionary string, meta_type string, transcription string")
+    assert few.select(S.meta_text(few)).first()[0] == "P<br>Transcription: [x]"
 
 
 def test_ranks(spark, terms):

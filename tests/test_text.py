@@ -62,6 +62,17 @@ def test_pitch(spark):
     assert all(r.c == r.w for r in got)
 
 
+def test_stem_length(spark):
+    rows = [("abc", "abd", 2), ("abc", "abc", 3), ("abc", "abcd", 3), ("x", "y", 0), ("", "a", 0), ("a" * 30_000, "a" * 29_999 + "b", 29_999)]
+    got = spark.createDataFrame(rows, "a string, b string, w int").select(T.stem_length(F.col("a"), F.col("b")).alias("n"), "w").collect()
+    assert all(r.n == r.w for r in got)
+
+
+def test_styles_keep_their_order(spark):
+    one = spark.range(1).select(structured.style_string(F.create_map(F.lit("marginLeft"), F.lit("1"), F.lit("margin"), F.lit("0"))).alias("s")).first()
+    assert one.s == " margin-left:1; margin:0;"
+
+
 def test_inverse_functions(spark):
     hira = T.chars(0x3041, 0x3094)
     assert one(spark, hira, lambda c: T.katakana_to_hiragana(T.hiragana_to_katakana(c), True)) == hira
@@ -104,6 +115,7 @@ def test_structured_content():
     node = '{"type":"structured-content","content":[{"tag":"div","data":{"a":"b"},"lang":"ja","style":{"fontSize":"1em"},"content":["x",{"tag":"br"}]},"<raw>"]}'
     assert html(node, "D") == '<div a="b" lang="ja" style=" font-size:1em;">x<br></div><raw>'
     image = '{"type":"structured-content","content":{"tag":"img","path":"a.png","collapsible":true,"collapsed":false,"border":"1px","title":"t"}}'
+    assert html('{"type":"image","path":"a","appearance":"monochrome","collapsible":false}', "D").count("appearance") == 0 and 'appearance="auto"' in html('{"type":"image","path":"a","collapsible":false}', "D")
     assert html(image, "D", "/b") == '<details open=""><summary> </summary><img title="t" src="/b/dictionaryMedia/D/a.png"></details>'
     assert html('"plain"', "D") == "plain" and html('["食う",["v5"]]', "D") == "食う" and html(None, "D") is None
     with pytest.raises(ValueError):
