@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 from array import array
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -59,23 +60,34 @@ def serialise(ranks: dict[bytes, int]) -> bytes:
     return b"".join([*out, _bytes(TRAINER, trainer), _bytes(NORMALIZER, normalizer)])
 
 
+#: Characters of a text whose pre-tokens are listed at once.
+LISTED = 1 << 20
+
+
 def encoder(model: bytes, pattern: str):
     """text -> its ranks as a compact array of ints. An unknown piece, which a vocabulary with all bytes never gives, is an error."""
-    pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
-    symbol, split = byte_symbols(), compiled(pattern).finditer
+    pieces, symbol, split = sentencepiece.SentencePieceProcessor(model_proto=model), byte_symbols(), compiled(pattern)
 
-    def ids(piece: str) -> array:
-        found = pieces.encode("".join([symbol[b] for b in piece.encode()]), out_type=int)
-        if 0 in found:
-            raise ValueError(f"not in the vocabulary: {piece[:50]!r}")
-        return array("i", [i - 1 for i in found])
+    def ids(some: list[str]) -> list[bytes]:
+        found = pieces.encode(["".join([symbol[b] for b in piece.encode()]) for piece in some], out_type=int, num_threads=1)
+        if any(0 in x for x in found):
+            raise ValueError(f"not in the vocabulary: one of {some[:10]!r}")
+        return [array("i", [i - 1 for i in x]).tobytes() for x in found]
 
-    memo = Memo(ids, most=100_000)
+    memo = Memo(lambda piece: ids([piece])[0])
 
     def encode(text: str) -> array:
+        # the same pre-tokens either way; those of a very long text are not listed at once
+        if len(text) <= LISTED and not split.groups:
+            parts = split.findall(text)
+            if fresh := [p for p in set(parts) if p not in memo and len(p) <= memo.longest]:
+                if len(memo) + len(fresh) > memo.most:
+                    memo.clear()
+                memo.update(zip(fresh, ids(fresh)))
+        else:
+            parts = map(itemgetter(0), split.finditer(text))
         out = array("i")
-        for match in split(text):
-            out += memo[match[0]]
+        out.frombytes(b"".join(map(memo.__getitem__, parts)))
         return out
 
     return encode
@@ -84,7 +96,14 @@ def encoder(model: bytes, pattern: str):
 def decoder(ranks: dict[bytes, int]):
     """list of ranks -> bytes; an id that is no rank is an error."""
     by_rank = {rank: token for token, rank in ranks.items()}
-    return lambda ids: b"".join([by_rank[i] for i in ids])
+    token = [by_rank[i] for i in range(len(by_rank))].__getitem__
+
+    def decode(ids) -> bytes:
+        if len(ids) and np.asarray(ids).min() < 0:
+            raise IndexError("ids are not negative")
+        return b"".join(map(token, ids.tolist() if isinstance(ids, array) else ids))
+
+    return decode
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, decoded: bool = False, keep: list[str] | None = None) -> DataFrame:
