@@ -13,6 +13,9 @@ from kotonoha.plans.deinflect import deinflect
 
 MODES = ("exact", "prefix", "suffix", "contains")
 
+#: Parts in which all terms meet an empty query.
+SPREAD = 64
+
 
 def matches(column: Column, query: Column | str, mode: str = "exact", like_compat: bool = False) -> Column:
     """The condition of one search. ``prefix`` means that the text ends with the query, ``suffix`` that it starts with it.
@@ -77,32 +80,35 @@ def new_dictionaries(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     return incoming.join(existing.select("title").distinct(), "title", "left_anti")
 
 
-def batch_lookup(queries: DataFrame, terms: DataFrame, mode: str = "exact", key: str = "candidate", least: int = 2) -> DataFrame:
-    """Each row of ``queries`` with each row of ``terms`` that its ``key`` finds.
+def batch_lookup(queries: DataFrame, terms: DataFrame, mode: str = "exact", key: str = "candidate", least: int = 3) -> DataFrame:
+    """Each row of ``queries`` with each row of ``terms`` that its ``key`` finds; null finds nothing.
 
-    ``exact`` is an equi-join. The others are made equi-joins on the first (``suffix``) or last
-    (``prefix``) ``least`` characters, or (``contains``) on all runs of ``least`` characters of
-    the term against the query's first run; the full condition then decides. Queries shorter
-    than that are joined in the same way on as many characters as they have; an empty query, which all
-    terms match, on the condition alone.
+    ``exact`` is an equi-join. The others are made one equi-join on the first (``suffix``) or last
+    (``prefix``) ``least`` characters, or (``contains``) on the query's first ones against all runs
+    of as many in the term; a shorter query has as many characters as it is long, so terms have
+    keys of each size. The full condition then decides. An empty query, which all terms match,
+    meets them in SPREAD parts.
     """
     if mode == "exact":
         return queries.join(terms, F.col(key) == F.col("term"))
-    out = queries.where(F.length(key) == 0).join(terms, matches(F.col("term"), F.col(key), mode))
-    # a lambda is built at once, so that it sees this turn's size
-    for n in range(1, least + 1):
+    end = F.right if mode == "prefix" else F.left
+
+    def keys(n: int) -> Column:
         size = F.lit(n)
-        if mode == "suffix":
-            query_key, term_keys = F.left(key, size), F.array(F.left("term", size))
-        elif mode == "prefix":
-            query_key, term_keys = F.right(key, size), F.array(F.right("term", size))
+        if mode == "contains":
+            starts = F.sequence(F.lit(1), F.greatest(F.length("term") - n + 1, F.lit(1)))
+            found = F.array_distinct(F.transform(starts, lambda i: F.substr("term", i, size)))
         else:
-            runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length("term") - n + 1, F.lit(1))), lambda i: F.substr("term", i, size))
-            query_key, term_keys = F.left(key, size), F.array_distinct(runs)
-        asked = queries.where(F.length(key) == n if n < least else F.length(key) >= n).withColumn("_key", query_key)
-        keyed = terms.withColumn("_run", F.explode(term_keys))
-        out = out.unionByName(asked.join(keyed, F.col("_key") == F.col("_run")).where(matches(F.col("term"), F.col(key), mode)).drop("_key", "_run"))
-    return out
+            found = F.array(end("term", size))
+        return F.transform(found, lambda k: F.struct(size.alias("n"), k.alias("k")))
+
+    size = F.least(F.length(key), F.lit(least))
+    parts = F.transform(F.sequence(F.lit(0), F.lit(SPREAD - 1)), lambda i: i.cast("string"))
+    part = F.pmod(F.xxhash64("term"), F.lit(SPREAD)).cast("string")
+    asked = queries.where(F.col(key).isNotNull()).withColumns({"_n": size, "_k": F.explode(F.when(size == 0, parts).otherwise(F.array(end(F.col(key), size))))})
+    keyed = terms.where("term is not null").withColumn("_run", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("n"), part.alias("k"))), *map(keys, range(1, least + 1)))))
+    met = asked.join(keyed, (F.col("_n") == F.col("_run.n")) & (F.col("_k") == F.col("_run.k")))
+    return met.where(matches(F.col("term"), F.col(key), mode)).drop("_n", "_k", "_run")
 
 
 def search_terms(texts: DataFrame, terms: DataFrame, column: str = "text", mode: str = "exact", dictionaries: Sequence[str] = (), deinflected: bool = True, chains: bool = False) -> DataFrame:

@@ -13,6 +13,9 @@ from kotonoha.plans.rules import japanese_rules, widened
 from kotonoha.queries.adapters import KANA, LETTERS, META_SQL, SURFACES_SQL, TERMS_SQL, TOKENS_SQL, kana, surfaces, tags, terms, terms_meta, tokens
 from kotonoha.queries.registry import query
 
+#: Parts of the rows of one word where they meet the dictionary.
+SALTS = 16
+
 _SHOWN = ["term", "reading", "dictionary", "popularity", "sequence_number"]
 _key = lambda c: " ".join(sorted(widened(c)))
 
@@ -42,8 +45,10 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entry_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document, how many of them the dictionary knows in some inflected form, and by how many terms (over its distinct surfaces)."""
     counted = tokens(spark, sf_dir).groupBy("doc_id", kana(F.col("w")).alias("text")).agg(F.count("*").alias("n"))
-    best = fitting(S.search_terms(counted, terms(spark, sf_dir))).groupBy("text").agg(F.count_distinct("term").alias("terms"))
-    joined = counted.join(best, "text", "left")
+    best = fitting(S.search_terms(surfaces(spark, sf_dir), terms(spark, sf_dir), "s")).groupBy("text").agg(F.count_distinct("term").alias("terms"))
+    # a common word has a row for nearly every document: its rows are dealt to SALTS parts, and what is known of it to each of them
+    dealt = counted.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    joined = dealt.join(best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["text", "salt"], "left")
     known = F.when(F.col("terms").isNotNull(), F.col("n")).otherwise(0)
     return joined.groupBy("doc_id").agg(F.sum("n").alias("words"), F.sum(known).cast("long").alias("found_words"), F.coalesce(F.sum("terms"), F.lit(0)).alias("found_terms"))
 

@@ -40,8 +40,8 @@ def test_lookup_by_inflected_form(spark, terms):
 
 @pytest.mark.parametrize("mode", ["prefix", "suffix", "contains"])
 def test_batch_lookup_equals_single_searches(spark, terms, mode):
-    words = ["食", "べる", "食べ", "る", "100", "%_", "x", "zz", "食べる"]
-    queries = spark.createDataFrame([(w,) for w in words], "q string")
+    words = ["食", "べる", "食べ", "る", "100", "%_", "x", "zz", "食べる", ""]
+    queries = spark.createDataFrame([*[(w,) for w in words], (None,)], "q string")
     got = sorted((r.q, r.term, r.dictionary) for r in S.batch_lookup(queries, terms, mode, key="q").collect())
     assert got == sorted((w, r.term, r.dictionary) for w in words for r in S.search(terms, "term", w, mode).collect())
 
