@@ -18,6 +18,26 @@ def scratch_root(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="kotonoha-")
 
 
+def _folder(spark: SparkSession, path: str) -> tuple:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, folder = _folder(spark, path)
+    return files.exists(folder)
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new folder name in it."""
-    return f"{scratch_root(spark)}/scratch-{uuid.uuid4().hex}"
+    """A new folder name in it. What is written there is removed when the driver ends, as results may be read from it until then."""
+    path = f"{scratch_root(spark)}/scratch-{uuid.uuid4().hex}"
+    files, folder = _folder(spark, path)
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    return f"{path}/data"
+
+
+def clear(spark: SparkSession, path: str) -> None:
+    """Remove what a folder of ``scratch`` holds before the driver ends."""
+    files, folder = _folder(spark, path)
+    files.delete(folder, True)

@@ -286,15 +286,27 @@ def write_files(files: DataFrame, folder: str) -> int:
     return files.where("content is not null").select("path", "content").mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
 
 
-def import_dictionaries(entries: DataFrame, existing: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Tables of all valid archives whose title is new: dictionaries, terms, kanji, terms_meta, kanji_meta, tags, each with its ``dictionary``. What is valid is worked out once and written to the scratch folder."""
+def staged(entries: DataFrame, where: str) -> DataFrame:
+    """Routed entries less media, written to a folder for each kind and read from there: archives are opened once, and a bank's reader gets its own files alone."""
+    wanted = entries.where(F.col("kind").isin("index", "styles", *KINDS))
+    wanted.write.partitionBy("kind").parquet(where)
+    return entries.sparkSession.read.schema(wanted.schema).parquet(where)
+
+
+def import_dictionaries(entries: DataFrame, existing: DataFrame | None = None, work: str | None = None) -> dict[str, DataFrame]:
+    """Tables of all valid archives whose title is new: dictionaries, terms, kanji, terms_meta, kanji_meta, tags, each with its ``dictionary``.
+
+    The tables are read from what is written to ``work`` first (the scratch folder where it is
+    not given): the banks, and which archives are valid.
+    """
+    spark, work = entries.sparkSession, work or scratch(entries.sparkSession)
+    entries = staged(entries, f"{work}/entries")
     valid = validate_archive(entries).where("ok").select("archive")
     dictionaries = parse_index(entries).join(valid, "archive", "left_semi")
     if existing is not None:
         dictionaries = dictionaries.join(existing.select("title").distinct(), "title", "left_anti")
-    where = scratch(entries.sparkSession)
-    dictionaries.write.parquet(where)
-    dictionaries = entries.sparkSession.read.schema(dictionaries.schema).parquet(where)
+    dictionaries.write.parquet(f"{work}/dictionaries")
+    dictionaries = spark.read.schema(dictionaries.schema).parquet(f"{work}/dictionaries")
     of = dictionaries.select("archive", F.col("title").alias("dictionary"), "format")
     items = lambda kind, v1: bank_items(entries, kind).join(of.where("format = 1" if v1 else "format <> 1").select("archive"), "archive", "left_semi")
     named = lambda df: df.join(of.select("archive", "dictionary"), "archive").drop("archive")
@@ -310,11 +322,6 @@ def import_dictionaries(entries: DataFrame, existing: DataFrame | None = None) -
     }
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-
-
 def write_dictionaries(tables: dict[str, DataFrame], path: str, import_id: str | None = None) -> str:
     """Publish the tables of one import under ``path``, all or nothing, and give its id.
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from kotonoha.functions.scratch import clear, exists, scratch
 from kotonoha.sources import banks
 
 
@@ -51,16 +52,16 @@ def import_stream(entries: DataFrame, path: str, checkpoint: str, after: Callabl
 def import_batch(batch: DataFrame, path: str, import_id: str, after: Callable[[DataFrame], None] | None = None) -> bool:
     """Import archive entries once under ``import_id``; false if that was published before."""
     spark, known = batch.sparkSession, None
-    if banks.exists(spark, f"{path}/dictionaries"):
+    if exists(spark, f"{path}/dictionaries"):
         listed = spark.read.parquet(f"{path}/dictionaries")
         if not listed.where(F.col(banks.IMPORT) == f"id-{import_id}").isEmpty():
             return False
         known = listed.select("title")
-    routed = banks.route_entries(batch).persist()
+    work = scratch(spark)
     try:
-        banks.write_dictionaries(banks.import_dictionaries(routed, known), path, import_id)
+        banks.write_dictionaries(banks.import_dictionaries(banks.route_entries(batch), known, work), path, import_id)
     finally:
-        routed.unpersist()
+        clear(spark, work)
     if after:
         after(spark.read.parquet(f"{path}/dictionaries").where(F.col(banks.IMPORT) == f"id-{import_id}").select("title"))
     return True
