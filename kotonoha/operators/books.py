@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kotonoha.functions.scratch import scratch
 from kotonoha.sources import epub
 from kotonoha.sources.epub import SKIPPED, XHTML, resolve_path
 
@@ -148,18 +149,23 @@ def library_rows(packages: DataFrame, manifest: DataFrame, sections: DataFrame)
     return named.join(lengths, "book", "left").join(covers, "book", "left").withColumn("length", F.coalesce("length", F.lit(0).cast("long")))
 
 
-def ingest_books(entries: DataFrame, prefix: str = PREFIX) -> dict[str, DataFrame]:
+def ingest_books(entries: DataFrame, prefix: str = PREFIX, work: str | None = None) -> dict[str, DataFrame]:
     """EPUB entries (archive, path, content) -> packages, sections (with characters, start and chapter), parts (bodies with their links rewritten), links (resolved and inlined), media, stylesheets, rejects, library and merged books.
 
     All but the packages, the library and the merged books are keyed by (book, item), so that
-    large books are many rows; a merged book is one row.
+    large books are many rows; a merged book is one row. XHTML files are walked once: what was found
+    in them is written to ``work`` (the scratch folder where it is not given), from which all
+    that follows reads its own columns. ``entries`` are read several times.
     """
+    spark, work = entries.sparkSession, work or scratch(entries.sparkSession)
     packages = epub.parse_package(epub.read_epubs(entries))
     usable = packages.where("error is null")
     manifest, spine = epub.manifest_rows(usable), epub.spine_rows(usable)
     content = spine_content(resolve_spine(spine, manifest), entries)
     kept = content.where("reject is null")
-    parts = epub.item_parts(kept).join(kept.select("book", "item_id", "pos", F.col("href").alias("item_href")), ["book", "item_id"])
+    parts = epub.item_parts(kept.withColumn("item_href", F.col("href")), keep=["pos", "item_href"])
+    parts.write.parquet(f"{work}/parts")
+    parts = spark.read.schema(parts.schema).parquet(f"{work}/parts")
     links = parts.select("book", "item_id", "item_href", F.posexplode("links").alias("no", "l")).select("book", "item_id", "item_href", "no", "l.*")
     inlined = inline_links(resolve_links(links, manifest), spine, prefix)
     styles = parts.select("book", "pos", "item_id", F.explode("stylesheets").alias("link"), "item_href").select("book", "pos", "item_id", resolve_path(F.col("item_href"), F.col("link")).alias("href"))

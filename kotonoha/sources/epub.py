@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from html import escape, unescape
 from html.parser import HTMLParser
 
@@ -137,8 +137,8 @@ class _Parts(HTMLParser):
                 self.counted.append(escape(data, quote=False) if self.raw_entities else data)
 
 
-def item_parts(items: DataFrame, raw_entities: bool = False) -> DataFrame:
-    """(book, item_id, html) -> (book, item_id, characters, body_class, body, pieces, links, stylesheets).
+def item_parts(items: DataFrame, raw_entities: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """(book, item_id, html) -> (book, item_id, characters, body_class, body, pieces, links, stylesheets), and the columns ``keep`` as they are.
 
     ``characters`` counts the text of paragraphs but for ruby readings; entities are decoded
     first, or, with ``raw_entities``, counted by their letters. Text directly in the body is dropped.
@@ -146,6 +146,7 @@ def item_parts(items: DataFrame, raw_entities: bool = False) -> DataFrame:
     which ``books.relinked`` puts others; ``body`` has the values as they were.
     """
     schema = "book string, item_id string, counted string, body_class string, pieces array<string>, links array<struct<tag:string,attribute:string,value:string,in_svg:boolean>>, stylesheets array<string>"
+    schema = ", ".join([schema, *[f"`{c}` {items.schema[c].dataType.simpleString()}" for c in keep]])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -155,10 +156,10 @@ def item_parts(items: DataFrame, raw_entities: bool = False) -> DataFrame:
                 p.feed(html or "")
                 p.close()
                 rows.append((book, item, "".join(p.counted), p.body_class, ["".join(x) for x in p.pieces], [dict(zip(("tag", "attribute", "value", "in_svg"), x)) for x in p.links], p.styles))
-            yield pd.DataFrame(rows, columns=["book", "item_id", "counted", "body_class", "pieces", "links", "stylesheets"])
+            yield pd.DataFrame(rows, columns=["book", "item_id", "counted", "body_class", "pieces", "links", "stylesheets"]).assign(**{c: frame[c].to_numpy() for c in keep})
 
-    walked = items.select(F.col("book").cast("string").alias("book"), "item_id", "html").mapInPandas(run, schema)
-    return walked.select("book", "item_id", count_characters(F.col("counted")).cast("long").alias("characters"), "body_class", filled("pieces", "links.value").alias("body"), "pieces", "links", "stylesheets")
+    walked = items.select(F.col("book").cast("string").alias("book"), "item_id", "html", *keep).mapInPandas(run, schema)
+    return walked.select("book", "item_id", count_characters(F.col("counted")).cast("long").alias("characters"), "body_class", filled("pieces", "links.value").alias("body"), "pieces", "links", "stylesheets", *keep)
 
 
 def filled(pieces: str, values: str) -> Column:
