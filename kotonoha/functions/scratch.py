@@ -38,6 +38,9 @@ def scratch(spark: SparkSession) -> str:
 
 
 def clear(spark: SparkSession, path: str) -> None:
-    """Remove what a folder of ``scratch`` holds before the driver ends."""
-    files, folder = _folder(spark, path)
+    """Remove a folder that ``scratch`` named, and what it holds, before the driver ends."""
+    files, folder = _folder(spark, path.removesuffix("/data"))
+    if not folder.getName().startswith("scratch-"):
+        raise ValueError(f"not a scratch folder: {path}")
     files.delete(folder, True)
+    files.cancelDeleteOnExit(folder)

@@ -3,10 +3,12 @@ from __future__ import annotations
 import io
 import json
 import zipfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from kotonoha.functions.scratch import clear, scratch, scratch_root
 from kotonoha.operators import books as K
 from kotonoha.sources import banks as B
 from kotonoha.sources import epub
@@ -103,6 +105,18 @@ def test_an_import_that_breaks_off_shows_nothing(spark, entries, tmp_path):
     assert B.read_table(spark, path, "terms").count() == 5 and B.read_table(spark, path, "dictionaries").count() == 2 and told == [2]
 
 
+def test_an_import_clears_its_scratch_folder(spark, entries, tmp_path):
+    held = lambda: set(Path(scratch_root(spark)).glob("scratch-*"))
+    before = held()
+    assert P.import_batch(entries.where("archive = 'old'").select("archive", "path", "content"), str(tmp_path), "one") and held() == before
+    where = scratch(spark)
+    assert len(held()) == len(before) + 1
+    clear(spark, where)
+    assert held() == before
+    with pytest.raises(ValueError, match="not a scratch folder"):
+        clear(spark, str(tmp_path))
+
+
 def test_files_are_written(spark, tmp_path):
     files = spark.createDataFrame([("a/x.bin", bytearray(b"1")), ("a/b/y.bin", bytearray(b"2")), ("none", None)], "path string, content binary")
     assert B.write_files(files, str(tmp_path)) == 2 and (tmp_path / "a/b/y.bin").read_bytes() == b"2" and not (tmp_path / "none").exists()
