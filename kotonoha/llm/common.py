@@ -49,18 +49,30 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29
 
 
-def likely_wanted(rows: DataFrame, wanted: DataFrame, key: str, n: int) -> DataFrame:
-    """The rows of ``rows`` whose ``key`` is one of the ``n`` in ``wanted``, and few others: a bitmap of hashes is broadcast, so that what a later join would drop isn't moved first.
-
-    The bitmap's size is bounded; with more keys than it holds it lets more rows through, never fewer. Null is a key.
-    """
+def _flagged(rows: DataFrame, wanted: DataFrame, key: str, n: int, how: str) -> DataFrame:
+    """``rows`` with ``_likely``: whether the bit of their ``key`` is set in the bitmap of the ``n`` keys in ``wanted``."""
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * n).bit_length()))
     place = F.pmod(F.xxhash64(key), F.lit(bits)) + 1
     maps = wanted.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("_bits"))
-    placed = rows.withColumn("_place", place).join(F.broadcast(maps), F.bitmap_bucket_number("_place") == F.col("_bucket"))
+    placed = rows.withColumn("_place", place).join(F.broadcast(maps), F.bitmap_bucket_number("_place") == F.col("_bucket"), how)
     byte = F.conv(F.hex(F.substring("_bits", F.floor(F.bitmap_bit_position("_place") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     bit = F.expr("cast(bitmap_bit_position(_place) % 8 as int)")
-    return placed.where(F.call_function("shiftright", byte, bit).bitwiseAND(F.lit(1)) == 1).select(*[F.col(f"`{c}`") for c in rows.columns])
+    return placed.withColumn("_likely", F.call_function("shiftright", byte, bit).bitwiseAND(F.lit(1)) == 1)
+
+
+def likely_wanted(rows: DataFrame, wanted: DataFrame, key: str, n: int) -> DataFrame:
+    """The rows of ``rows`` whose ``key`` is one of the ``n`` in ``wanted``, and few others: a bitmap of hashes is broadcast, so that what a later join would drop isn't moved first.
+
+    The bitmap's size is bounded; with more keys than it holds it lets more rows through, never fewer. Null is a key.
+    """
+    return _flagged(rows, wanted, key, n, "inner").where("_likely").select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
+def split_likely(rows: DataFrame, wanted: DataFrame, key: str, n: int) -> tuple[DataFrame, DataFrame]:
+    """The rows that ``likely_wanted`` gives, and all others, which surely have no ``key`` in ``wanted``."""
+    flagged = _flagged(rows, wanted, key, n, "left").withColumn("_likely", F.coalesce("_likely", F.lit(False)))
+    back = [F.col(f"`{c}`") for c in rows.columns]
+    return flagged.where("_likely").select(*back), flagged.where("not _likely").select(*back)
 
 
 def row_hash(df: DataFrame, seed: int, columns: list[str] | None = None) -> Column:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kotonoha.llm import bpe, counts, exact, langid, lines, mix, neardup, quality, shard, urls
+from kotonoha.llm import bpe, counts, exact, langid, lines, mix, neardup, negatives, quality, repeats, shard, urls, variants
 from kotonoha.llm.common import documents
 
 RANKS, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
@@ -66,7 +66,22 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(pages, urls.rules_frame(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_shard_shuffle, op2_line_spread, op3_byte_bpe, op4_language_id, op5_token_counts, op6_mix_sources, op7_bag_minhash, op8_exact_dedup, op9_compression_bands, op10_url_rules)}
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.drop_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.select("vec_id", label.alias("label"), F.col("embedding").alias("vector")))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(documents(spark, sf_dir).select("doc_id", "text"), damage=variants.DAMAGE)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_shard_shuffle, op2_line_spread, op3_byte_bpe, op4_language_id, op5_token_counts, op6_mix_sources, op7_bag_minhash, op8_exact_dedup, op9_compression_bands, op10_url_rules, op11_suffix_dedup, op12_hard_negatives, op13_spelling_variants)}
 
 ORACLES = {
     "op2_line_spread": r"""
@@ -93,4 +108,13 @@ ORACLES = {
             FROM (SELECT DISTINCT host, path FROM p) JOIN r ON (host = h OR suffix(host, '.' || h)) AND starts_with(path, q) GROUP BY host, path)
         SELECT page_id, p.host, p.path, won.rule AS rule, coalesce(won.verdict, 'allow') AS verdict
         FROM p LEFT JOIN fits ON p.host = fits.host AND p.path = fits.path""",
+    "op12_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS vec
+            FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.vec, b.vec)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+        p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+        SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id)::INT AS rank, id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+        QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) <= 5""",
 }
