@@ -75,11 +75,33 @@ def split_likely(rows: DataFrame, wanted: DataFrame, key: str, n: int) -> tuple[
     return flagged.where("_likely").select(*back), flagged.where("not _likely").select(*back)
 
 
+def drop_special(docs: DataFrame, mark: Column, special: DataFrame) -> DataFrame:
+    """The rows of ``docs`` less those that ``special`` (s_id, s_mark, keep, key) names by doc_id and ``mark``; where ``keep`` is true one of them stays, that with the least hash of its text. Rows that it doesn't name aren't moved."""
+    marked = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("r_id"), mark.alias("r_mark")).withColumn("key", F.xxhash64("r_id", "r_mark"))
+    n = special.agg(F.count("*").alias("all"), F.count_if("keep").alias("keep")).first()
+    named = lambda rows: rows.select(F.col("key").alias("s_key"), "s_id", "s_mark")
+    same = (F.col("key") == F.col("s_key")) & F.col("r_id").eqNullSafe(F.col("s_id")) & (F.col("r_mark") == F.col("s_mark"))
+    likely, others = split_likely(marked, special, "key", n["all"])
+    out = others.select("row.*").unionByName(likely.join(named(special), same, "left_anti").select("row.*"))
+    if n["keep"]:
+        repeated = special.where("keep")
+        found = likely_wanted(marked, repeated, "key", n["keep"]).join(named(repeated), same)
+        out = out.unionByName(found.groupBy("key", "r_id", "r_mark").agg(F.min_by("row", F.xxhash64("row.text")).alias("row")).select("row.*"))
+    return out
+
+
 def row_hash(df: DataFrame, seed: int, columns: list[str] | None = None) -> Column:
     """A 64-bit pseudorandom value that depends on a row's content alone, so that a lost task gives the same value again."""
     return F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in (columns or df.columns)])
 
 
+def unfolded(df: DataFrame, copies: str, number: str, most: int = 4_096) -> DataFrame:
+    """Each row as often as its column ``copies`` (1 or more) says, with ``number`` from 1 in its place; in steps of ``most``, so that no array grows with the number."""
+    kept = [F.col(f"`{c}`") for c in df.columns if c != copies]
+    begun = df.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies), F.lit(most).cast("long"))).alias("_begin"))
+    return begun.select(*kept, F.explode(F.sequence("_begin", F.least(F.col("_begin") + most - 1, F.col(copies)))).alias(number))
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` less the columns that an operator is about to add (in any case of letters)."""
     taken = {n.lower() for n in names}

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kotonoha.llm.common import SPACE, cut, likely_wanted, slices
+from kotonoha.llm.common import SPACE, cut, drop_special, likely_wanted, slices, without
 
 #: Two primes under 2^31 and a base: products fit in 64 bits.
 PRIMES = (2_147_483_647, 2_147_483_629)
@@ -19,6 +19,9 @@ BASE = 1_000_003
 #: Bytes of a chunk: byte times power, summed over a chunk, stays under 2^63.
 CHUNK = 65_536
 
+#: Columns that the operators here add; input columns of these names are left out.
+RESERVED = ("mark", "n_bytes", "rows", "no", "piece", "behind", "bytes", "t1", "t2", "s1", "s2", "f1", "f2", "turn", "keep_id", "keep_mark", "group_size", "texts", "best", "id", "m", "kept", "salts", "salt", "kept_piece")
+
 #: Members of one group that meet one copy of the kept text's chunks.
 SALT_ROWS = 500
 
@@ -79,10 +82,12 @@ def fingerprints(docs: DataFrame, primes: tuple[int, int] = PRIMES, chunk: int =
     """``docs`` (doc_id, body, and columns that follow from them) -> one row for each different doc_id and body: rows long, n_bytes long, f1 and f2 long.
 
     Chunks of all texts are hashed independently and combined by addition once each is shifted
-    by the number of bytes behind it, so that one huge text is many small pieces of work.
+    by the number of bytes behind it, so that a task holds chunks, not texts, and the hash of a
+    text can be made in parts. Columns named as in RESERVED are left out.
     ``mark`` (a hash of the body) tells apart rows with one doc_id; rows that agree in all of
     it add the same terms, so the sum is divided by their number.
     """
+    docs = without(docs, *RESERVED)
     carried = [c for c in docs.columns if c not in ("doc_id", "body")]
     marked = docs.withColumns({"mark": F.xxhash64("body"), "n_bytes": F.octet_length("body").cast("long")})
     pieces = chunks(marked, chunk)
@@ -106,7 +111,7 @@ def exact_groups(docs: DataFrame, primes: tuple[int, int] = PRIMES, chunk: int =
     come back as one row with ``rows`` over 1. A null doc_id is an id like others; a very long text
     is compared as chunks that many tasks hold. An empty table gives no rows.
     """
-    key = ["f1", "f2", "n_bytes", "turn"]
+    docs, key = without(docs, *RESERVED), ["f1", "f2", "n_bytes", "turn"]
     members = cut(fingerprints(docs, primes, chunk).withColumn("turn", F.lit(0)), "fingerprints")
     extra = [c for c in members.columns if c not in (*key, "doc_id", "mark", "rows")]
     body = docs.select("doc_id", F.xxhash64("body").alias("mark"), F.octet_length("body").cast("long").alias("n_bytes"), "body")
@@ -142,12 +147,14 @@ def _again(members: DataFrame, wrong: DataFrame, key: list[str], turn: int) -> D
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, more columns) that stay: of texts equal but for runs of white space the one with the smallest doc_id, in one copy."""
+    """The rows of ``docs`` (doc_id, text, more columns) that stay: of texts equal but for runs of white space the one with the smallest doc_id (null is the largest), in one copy.
+
+    Of several spellings of white space under that doc_id the one with the least hash stays. Null
+    and empty texts are equal; a very long text is compared in chunks; an empty table gives no
+    rows; all columns stay. Only rows that go or are repeated are moved.
+    """
     body = F.encode(normalised(F.col("text")), "UTF-8")
     groups = exact_groups(docs.select("doc_id", body.alias("body")))
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    # one doc_id may stand for several bodies, and for one body in several spellings of white space
-    key = lambda i, mark, n: {"k_id": F.coalesce(i, F.lit(0).cast(docs.schema["doc_id"].dataType)), "k_null": i.isNull(), "k_mark": mark, "k_bytes": n}
-    keys = kept.select(*[c.alias(k) for k, c in key(F.col("doc_id"), F.col("mark"), F.col("n_bytes")).items()])
-    marked = docs.select(F.struct("*").alias("row"), *[c.alias(k) for k, c in key(F.col("doc_id"), F.xxhash64(body), F.octet_length(body).cast("long")).items()])
-    return marked.join(keys, keys.columns).dropDuplicates(keys.columns).select("row.*")
+    keep = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    special = groups.where((~keep) | (F.col("rows") > 1)).select(F.col("doc_id").alias("s_id"), F.col("mark").alias("s_mark"), keep.alias("keep"), F.xxhash64("doc_id", "mark").alias("key"))
+    return drop_special(docs, F.xxhash64(body), cut(special, "copies"))

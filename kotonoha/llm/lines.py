@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kotonoha.llm.common import cut, without
+from kotonoha.llm.common import cut, split_likely, without
 
 #: A line on so many distinct sites is boilerplate.
 MIN_SITES = 10
@@ -59,7 +59,7 @@ def drop_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN
     A line is a piece between newlines, compared without white space at its ends; lines without
     a word are never removed or counted. Every copy of a boilerplate line goes, also within one
     site. A null text stays null and counts as without lines. Lines are known by 128 bits of
-    hash; only positions of removed lines move, not texts with their lines. The work on a text
+    hash; only texts that lose lines move, and the positions of these. The work on a text
     grows with its length alone, however many of its lines go. Rows that agree in doc_id and
     text are cut alike; an empty table gives no rows. Input columns of the added names are
     replaced.
@@ -68,8 +68,10 @@ def drop_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN
     lines = cut(line_table(rows, site), "lines")
     found = small(cut(boilerplate_lines(lines, min_sites), "boilerplate"))
     gone = lines.join(found, ["a", "b"], "left_semi").groupBy("doc_id", "mark").agg(F.collect_set("pos").alias("gone")).select(F.col("doc_id").alias("g_id"), F.col("mark").alias("g_mark"), "gone")
-    marked = rows.select(F.struct("*").alias("row"), F.xxhash64("text").alias("g_m"))
-    met = marked.join(gone, F.col("row.doc_id").eqNullSafe(F.col("g_id")) & (F.col("g_m") == F.col("g_mark")), "left")
+    gone = cut(gone, "gone")
+    marked = rows.select(F.struct("*").alias("row"), F.xxhash64("text").alias("g_m"), F.xxhash64("doc_id", F.xxhash64("text")).alias("key"))
+    likely, others = split_likely(marked, gone.select(F.xxhash64("g_id", "g_mark").alias("key")), "key", gone.count())
+    met = likely.join(gone, F.col("row.doc_id").eqNullSafe(F.col("g_id")) & (F.col("g_m") == F.col("g_mark")), "left").select("row", "gone").unionByName(others.select("row", F.lit(None).cast("array<int>").alias("gone")))
     listed = F.coalesce("gone", F.array().cast("array<int>"))
     split = F.split(F.coalesce("row.text", F.lit("")), "\n", -1)
     # array_except looks positions up in a hash set, and the lines are split once for all of them

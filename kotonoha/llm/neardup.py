@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kotonoha.llm.common import WORD, cut, slices
+from kotonoha.llm.common import WORD, cut, drop_special, likely_wanted, slices, unfolded
 from kotonoha.llm.components import components
 
 #: Words of a shingle, least similarity of a link.
@@ -211,7 +211,7 @@ def possible_links(texts: DataFrame, known: DataFrame, similarity: float, size:
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``docs`` (doc_id long, text) -> doc_id, mark, class_id, class_size, a row for each row.
+    """``docs`` (doc_id long, text) -> doc_id, mark, class_id, class_size, kept, near_id, a row for each row.
 
     Texts are linked if the multisets of their shingles of ``size`` words overlap by
     ``similarity`` or more; classes are what links connect, and ``class_id`` is a class's
@@ -220,57 +220,73 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SH
     that meets most others over all bands. Texts of one bucket that then are in different
     classes may still be linked; which ones can be follows from their rarest shingles, and
     those are compared as well. So no candidate pair is left open, and groups of near copies
-    don't unfold into all pairs. Different texts of one doc_id are texts of their own: those that
-    stand for their words go by a hash of the words until classes are made, and their classes may
-    have the same class_id. Texts without words (null, empty) are classes of their own, as are
-    rows without a doc_id.
+    don't unfold into all pairs. ``kept`` is true for one row of each class: of its smallest
+    doc_id, of several texts of that id the one with the least hash, of equal rows the first.
+    ``near_id`` is the doc_id of a text that ties a row to its class: the one with the same words
+    that stands for them, else the smallest one linked to it; null without any.
+
+    Different texts of one doc_id are texts of their own: those that stand for their words go by a
+    hash of the words until classes are made, and their classes may have the same class_id.
+    Repeated rows are of one class. Rows without words (null, empty) or without a doc_id are
+    classes of their own each, of size 1. A very long text is hashed whole; an empty table gives
+    no rows; other columns are not looked at. Only texts that a pair names are moved.
     """
     signed = cut(signatures(docs, size, bands, rows), "signatures")
     known = signed.where("doc_id is not null and n > 0")
-    same = cut(known.groupBy("w1", "w2").agg(F.min_by(F.struct("doc_id", "mark"), F.struct("doc_id", "mark")).alias("r"), F.first("n").alias("n"), F.first("bands").alias("bands")).select("w1", "w2", F.col("r.doc_id").alias("id"), F.col("r.mark").alias("mark"), "n", "bands"), "representatives")
+    one = F.min(F.struct("doc_id", "mark")).alias("r")
+    same = cut(known.groupBy("w1", "w2").agg(one, F.count("*").alias("members"), F.first("n").alias("n"), F.first("bands").alias("bands")).select("w1", "w2", F.col("r.doc_id").alias("id"), F.col("r.mark").alias("mark"), "members", "n", "bands"), "representatives")
     repeated = cut(same.groupBy("id").agg(F.count("*").alias("texts")).where("texts > 1").select("id"), "repeated")
-    shared_ids = not repeated.isEmpty()
     same = same.withColumn("doc_id", F.col("id"))
-    if shared_ids:
+    if not repeated.isEmpty():
         own = same.join(repeated.withColumn("again", F.lit(True)), "id", "left")
         same = cut(own.withColumn("id", F.when(F.col("again"), F.xxhash64("w1", "w2")).otherwise(F.col("id"))).drop("again"), "representatives")
-    texts = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
 
     buckets = same.select("id", "n", F.explode("bands").alias("bucket"))
-    shared = cut(buckets.join(buckets.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "bucket"), "shared")
+    filled = cut(buckets.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "buckets")
+    shared = cut(likely_wanted(buckets, filled, "bucket", filled.count()).join(filled, "bucket"), "shared")
     central = shared.groupBy("id").agg(F.sum("members").alias("met"))
     firsts = shared.join(central, "id").groupBy("bucket").agg(F.max_by("id", F.struct("met", -F.col("id"))).alias("first"))
     members = cut(shared.join(firsts, "bucket").select("bucket", "first", "id", "n"), "members")
     pairs = cut(members.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct(), "pairs")
     needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = cut(texts.join(same.join(needed, "id", "left_semi").select("id", "doc_id", "mark"), ["doc_id", "mark"]).dropDuplicates(["id"]).select("id", "text"), "texts")
-    checked = cut(verified(pairs, wanted, size), "checked")
-    roots = components(checked.where(F.col("similarity") >= similarity))
+    named = cut(same.join(needed, "id", "left_semi").select("id", "doc_id", "mark", F.xxhash64("doc_id", "mark").alias("key")), "named")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").withColumn("key", F.xxhash64("doc_id", "mark"))
+    wanted = cut(likely_wanted(texts, named, "key", named.count()).join(named, ["key", "doc_id", "mark"]).dropDuplicates(["id"]).select("id", "text"), "texts")
+    checked = cut(verified(pairs, wanted, size).where(F.col("similarity") >= similarity).select("a", "b"), "checked")
+    roots = components(checked)
 
     placed = members.join(roots.withColumnRenamed("root", "found"), "id", "left").withColumn("root", F.coalesce("found", "id")).drop("found")
     mixed_buckets = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
     unsettled = cut(placed.join(mixed_buckets, "bucket", "left_semi").select("id", "n", "root").distinct(), "unsettled")
     others = cut(possible_links(wanted.join(unsettled.select("id"), "id", "left_semi"), unsettled, similarity, size), "others")
-    more = cut(verified(others, wanted, size).where(F.col("similarity") >= similarity), "more")
+    more = cut(verified(others, wanted, size).where(F.col("similarity") >= similarity).select("a", "b"), "more")
+    links = checked.unionByName(more)
     if not more.isEmpty():
-        links = checked.where(F.col("similarity") >= similarity).select("a", "b").unionByName(more.select("a", "b"))
         roots = components(links)
 
-    classed = same.join(roots, "id", "left").select("w1", "w2", F.coalesce("root", "id").alias("root"), "doc_id")
-    if shared_ids:
-        classed = cut(classed, "rooted")
-        classed = classed.drop("doc_id").join(classed.groupBy("root").agg(F.min("doc_id").alias("class_id")), "root")
-    else:
-        classed = classed.drop("doc_id").withColumn("class_id", F.col("root"))
-    rows_out = known.select("doc_id", "mark", "w1", "w2").join(classed, ["w1", "w2"]).select("doc_id", "mark", "class_id", "root", F.lit(True).alias("worded"))
-    rows_out = cut(rows_out.unionByName(signed.where("doc_id is null or n = 0").select("doc_id", "mark", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("root"), F.lit(False).alias("worded"))), "classed")
-    sizes = cut(rows_out.groupBy("root", "worded").agg(F.count("*").alias("class_size")), "sizes").withColumnsRenamed({"root": "r", "worded": "w"})
-    return rows_out.join(sizes, F.col("root").eqNullSafe(F.col("r")) & (F.col("worded") == F.col("w"))).select("doc_id", "mark", "class_id", "class_size")
+    both_ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    tied = both_ways.join(same.select(F.col("id").alias("b"), F.col("doc_id").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
+    rooted = cut(same.join(roots, "id", "left").join(tied, F.col("id") == F.col("a"), "left").select("w1", "w2", F.coalesce("root", "id").alias("root"), "doc_id", "mark", "members", "other"), "rooted")
+    classes = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("kept"), F.sum("members").alias("class_size"))
+    classed = rooted.join(classes, "root").select("w1", "w2", F.col("doc_id").alias("one_id"), F.col("mark").alias("one_mark"), "other", "kept", "class_size")
+    own = (F.col("doc_id") == F.col("one_id")) & (F.col("mark") == F.col("one_mark"))
+    first = (F.col("doc_id") == F.col("kept.doc_id")) & (F.col("mark") == F.col("kept.mark")) & (F.col("copy") == 1)
+    counted = unfolded(known.groupBy("doc_id", "mark", "w1", "w2").agg(F.count("*").alias("copies")), "copies", "copy")
+    near = F.when(~own, F.col("one_id")).otherwise(F.col("other")).alias("near_id")
+    worded = counted.join(classed, ["w1", "w2"]).select("doc_id", "mark", F.col("kept.doc_id").alias("class_id"), "class_size", first.alias("kept"), near)
+    alone = signed.where("doc_id is null or n = 0").select("doc_id", "mark", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"), F.lit(None).cast("long").alias("near_id"))
+    return worded.unionByName(alone)
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, more columns) whose doc_id is that of their class; repeated rows stay once, rows without a doc_id all stay."""
-    classes = near_classes(docs.select("doc_id", "text"))
-    gone = classes.where("doc_id is not null and doc_id <> class_id").select(F.col("doc_id").alias("g_id"), F.col("mark").alias("g_mark")).distinct()
-    marked = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("r_mark"))
-    return marked.join(gone, (F.col("row.doc_id") == F.col("g_id")) & (F.col("r_mark") == F.col("g_mark")), "left_anti").select("row.*")
+    """The rows of ``docs`` (doc_id, text, more columns) that stay: one of each class of ``near_classes``.
+
+    That is the row with the smallest doc_id, of several texts of that id the one with the least
+    hash, of rows equal in both any one. Rows without a doc_id or without words all stay; very
+    long texts are compared whole; an empty table gives no rows; all columns stay. Only rows that
+    may have to go, or that are repeated, are moved.
+    """
+    classes = near_classes(docs.select("doc_id", "text")).where("doc_id is not null")
+    states = classes.groupBy("doc_id", "mark").agg(F.max("kept").alias("keep"), F.count("*").alias("rows"), F.max("class_size").alias("class_size"))
+    special = states.where("class_size > 1 and (not keep or rows > 1)").select(F.col("doc_id").alias("s_id"), F.col("mark").alias("s_mark"), "keep", F.xxhash64("doc_id", "mark").alias("key"))
+    return drop_special(docs, F.xxhash64("text"), cut(special, "near"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kotonoha.llm import bpe, counts, exact, langid, lines, mix, neardup, negatives, quality, repeats, shard, urls, variants
-from kotonoha.llm.common import documents
+from kotonoha.llm.common import documents, unfolded
 
 RANKS, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 
@@ -45,13 +45,13 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = neardup.near_classes(documents(spark, sf_dir).select("doc_id", "text"))
-    return out.select("doc_id", "class_id", "class_size", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "class_id", "class_size", "kept", "near_id")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = exact.normalised(F.col("text"))
     rows = documents(spark, sf_dir).select("doc_id", F.encode(text, "UTF-8").alias("body"), F.sha2(text, 256).alias("text_sha256"))
-    out = exact.exact_groups(rows).withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
+    out = unfolded(exact.exact_groups(rows), "rows", "n")
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n") == 1)
     return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kotonoha.llm.common import cut, row_hash, without
+from kotonoha.llm.common import cut, row_hash, unfolded, without
 from kotonoha.llm.draws import hypergeometric, let, uniform
 
 
@@ -61,7 +61,7 @@ def shard_rows(docs: DataFrame, n_shards: int = 8, seed: int = 17, part_rows: in
     parts, blocks = max(1, -(-n_rows // part_rows)), max(1, -(-n_rows // (n_shards * part_rows)))
     key, order = row_hash(rows, seed), row_hash(rows, seed + 1)
     counted = rows.select(F.struct("*").alias("row"), key.alias("key"), order.alias("r")).groupBy("row", "key", "r").agg(F.count("*").alias("copies"))
-    numbered = counted.withColumn("no", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    numbered = unfolded(counted, "copies", "no")
     keyed = cut(numbered.select("row", F.pmod(F.xxhash64("key", "no"), F.lit(parts)).alias("part"), F.xxhash64("r", "no").alias("r")), "numbered")
     sizes = cut(keyed.groupBy("part").agg(F.count("*").alias("n")), "sizes")
     matrix = communication_matrix(sizes, n_shards, n_rows, parts, seed)

@@ -183,6 +183,35 @@ def test_one_id_of_two_texts(spark):
     assert sorted(map(tuple, neardup.drop_near_copies(df).collect())) == [(3, words("a")), (5, ""), (5, words("b"))]
 
 
+def test_kept_rows_of_classes(spark):
+    """Rows without an id stay apart; of near copies under one id, and of equal rows, one stays."""
+    words = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    a, b, c = words("a"), words("b"), words("c")
+    rows = [(None, a), (None, b), (None, c), (None, None), (5, a), (5, a + " one"), (7, b), (7, b), (7, b), (8, b + " more"), (9, None), (9, ""), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = neardup.near_classes(df)
+    assert got.count() == len(rows)
+    seen = [(r.doc_id, r.class_id, r.class_size, r.kept, r.near_id) for r in got.collect()]
+    assert Counter(x for x in seen if x[0] is None) == {(None, None, 1, True, None): 4}
+    assert Counter(x for x in seen if x[0] == 9) == {(9, 9, 1, True, None): 3}
+    assert sorted((x[1:4]) for x in seen if x[0] == 5) == [(5, 2, False), (5, 2, True)] and all(x[4] == 5 for x in seen if x[0] == 5)
+    assert Counter(x[:4] for x in seen if x[0] in (7, 8)) == {(7, 7, 4, True): 1, (7, 7, 4, False): 2, (8, 7, 4, False): 1}
+    kept = Counter(map(tuple, neardup.drop_near_copies(df.withColumn("key", F.lit(1))).select("doc_id", "text").collect()))
+    five = next(r.text for r in df.where("doc_id = 5").orderBy(F.xxhash64("text")).limit(1).collect())
+    assert kept == Counter([(None, a), (None, b), (None, c), (None, None), (5, five), (7, b), (9, None), (9, ""), (9, "")])
+
+
+def test_copies_under_one_id(spark):
+    """Spellings of white space under one id and repeated rows: one stays, the same in each run; columns with names of the operator's own."""
+    rows = [(1, "a  b", 1), (1, "a b", 2), (1, "a b", 2), (None, "a b", 3), (None, "c", 4), (None, "c", 5), (2, "d", 6), (3, None, 7), (4, "", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, mark int").withColumns({"key": F.lit("k"), "turn": F.lit(0)})
+    for n in (1, 5):
+        got = exact.drop_copies(df.repartition(n)).collect()
+        assert Counter((r.doc_id, r.text) for r in got) == Counter([(1, next(x.text for x in df.where("doc_id = 1").orderBy(F.xxhash64("text")).limit(1).collect())), (None, "c"), (2, "d"), (3, None)])
+    named = df.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("body"), F.lit(1).alias("rows"), F.lit(2).alias("mark"), F.lit(3).alias("turn"), F.lit(4).alias("own"))
+    assert {(r.doc_id, r.rows, r.own) for r in exact.exact_groups(named).collect() if r.doc_id == 1} == {(1, 1, 4), (1, 2, 4)}
+
+
 def test_texts_of_one_template_do_not_meet(spark):
     """Many texts that share most of their words, but less than a link needs: no pairs, and no links."""
     shared = [f"w{i}" for i in range(100)]

@@ -11,6 +11,7 @@ import corpus_pipeline as C
 from kotonoha.llm import pretokens
 from kotonoha.llm.common import cut
 from tests.llm.test_dedup import brute_classes, brute_groups
+from tests.llm.test_shard_mix import brute_targets
 
 
 def test_stages_by_brute_force(spark, sf):
@@ -36,7 +37,8 @@ def test_stages_by_brute_force(spark, sf):
             for r in after:
                 taken[r.source] += len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
             assert sum(taken.values()) and all(n <= 3 * sizes[s] for s, n in taken.items())
-            assert abs(sum(taken.values()) / sum(sizes.values()) - 1) < 0.1
+            targets = brute_targets(sizes)
+            assert set(taken) <= set(sizes) and all(abs(taken[s] - t) <= 1 + 0.02 * t for s, t in targets.items())
         else:
             own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=pretokens.read_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
             assert all(r.round_trip for r in after)

@@ -138,6 +138,35 @@ def test_mix_nears_its_targets(spark):
     assert (abs(sums.taken / sums.target - 1) < 0.01).all()
 
 
+def test_small_sources_near_their_targets(spark):
+    """Sources of one to five blocks, and of fewer words than a block."""
+    r = np.random.default_rng(8)
+    rows = [(i, f"s{i % 40:02d}", int(n)) for i, n in enumerate(r.integers(1, 40, 600))] + [(1000, "tiny", 3), (1001, "none", 0)]
+    got = mix.mixed_sizes(spark.createDataFrame(rows, "doc_id long, source string, size long"), block=128).toPandas()
+    sums = got.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"), whole=("source_size", "first"))
+    assert (got.taken <= 3 * got["size"]).all() and sums.whole.max() < 5 * 128
+    assert (abs(sums.taken - sums.target) <= 1 + 0.05 * sums.target).all()
+
+
+def test_equal_rows_spread_over_parts(spark):
+    """Rows equal in all columns are numbered, so that they fall into parts of bounded size and are taken as planned."""
+    df = spark.range(200_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("s").alias("source"), F.lit(3).cast("long").alias("size"))
+    sized = df.unionByName(spark.createDataFrame([(1, "t", 50)], df.schema))
+    targets, placed, _ = mix.plan_mix(sized, block=16)
+    assert placed.count() == 200_001 and placed.select("rank", "start").distinct().count() == 200_001
+    parts = placed.groupBy(F.pmod(mix.row_hash(placed.select("doc_id", "source", "size", "copy", "rank", "source_size", "blocks"), 29), F.lit(-(-200_001 // mix.PART_ROWS)))).count()
+    assert parts.agg(F.max("count")).first()[0] < 2 * mix.PART_ROWS
+    got = mix.mixed_sizes(sized, block=16).groupBy("source").agg(F.sum("taken").alias("n"), F.first("target").alias("t"), F.max("taken").alias("most")).collect()
+    assert all(abs(r.n - r.t) < 0.01 * r.t + 1 for r in got)
+
+
+def test_pieces_of_equal_rows(spark):
+    df = spark.createDataFrame([(None, "a b c d e", "s")] * 700 + [(2, "f g", "t")], "doc_id long, text string, source string")
+    got = mix.mix_texts(df, block=4).select(F.size(F.split("text", " +")).alias("n"), "text").collect()
+    planned = mix.mixed_sizes(df.select("doc_id", "source", mix.word_count(F.col("text")).alias("size")), block=4).agg(F.sum("taken")).first()[0]
+    assert sum(len(r.text.split()) for r in got) == planned
+
+
 def test_mix_of_odd_and_no_rows(spark, odd, none):
     assert mix.mixed_sizes(none.select("doc_id", "source", mix.word_count(F.col("text")).alias("size"))).count() == 0
     sized = odd.select("doc_id", "source", mix.word_count(F.col("text")).alias("size"))
