@@ -217,8 +217,8 @@ def as_strings(rows: np.ndarray) -> np.ndarray:
 def merged_runs(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Intervals sorted by their begin as those that they cover together."""
     reach = np.maximum.accumulate(end)
-    first = np.flatnonzero(np.r_[True, begin[1:] > reach[:-1]])
-    return begin[first], reach[np.append(first[1:], len(reach)) - 1]
+    first = np.flatnonzero(np.r_[True, begin[1:] > reach[:-1]][: len(begin)])
+    return begin[first], reach[np.append(first[1:], len(reach))[: len(first)] - 1]
 
 
 def span_rows(ids: np.ndarray, null: np.ndarray, marks: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
@@ -226,33 +226,22 @@ def span_rows(ids: np.ndarray, null: np.ndarray, marks: np.ndarray, begin: np.nd
     order = np.lexsort((begin, marks, ids))
     ids, null, marks, begin, end = (x[order] for x in (ids, null, marks, begin, end))
     first = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])]) if len(ids) else np.zeros(0, np.int64)
-    stop = np.append(first[1:], len(ids))
-    spans = [np.stack(merged_runs(begin[a:b], end[a:b]), 1).astype(np.int64).tobytes() for a, b in zip(first, stop, strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(ids[first], pa.int64(), mask=null[first]), pa.array(marks[first], pa.int64()), pa.array(spans, pa.binary())], names=["doc_id", "mark", "spans"])
+    step = end.max(initial=0) + 1  # documents lie behind each other, so that no interval reaches into the next
+    shift = np.repeat(np.arange(len(first)) * step, np.diff(np.append(first, len(ids))))
+    begin, end = merged_runs(begin + shift, end + shift)
+    number = begin // step
+    pairs = np.ascontiguousarray(np.stack([begin - number * step, end - number * step], 1).astype(np.int64))
+    offsets = np.append(np.searchsorted(number, np.arange(len(first))), len(number)).astype(np.int32) * 16
+    spans = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(pairs.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(ids[first], pa.int64(), mask=null[first]), pa.array(marks[first], pa.int64()), spans], names=["doc_id", "mark", "spans"])
 
 
 SPANS = "doc_id long, mark long, spans binary"
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``docs`` (doc_id long, text) -> doc_id, mark (hash of the text), spans: intervals of bytes that are covered by strings of ``length`` bytes which also begin in a document with a smaller doc_id (null is the largest). Several rows for one document may come.
-
-    Every string goes by one of its grams (see ``Strings``), so equal strings go by equal ones,
-    and only grams that several rows have matter. What their strings cover is sent to the shard
-    of the gram, equal pieces of a batch once, with the least doc_id. A shard merges its
-    batches' sorted lists by binary search, builds the suffix array of the different pieces with
-    its common prefixes, and so learns for each string the least doc_id. Grams with very many
-    places go to shards string by string. No shard's work grows with the number of copies of a
-    text beyond one piece for each batch that has it.
-    """
+def handed_on(shared, common, shards: int, length: int, gram: int):
+    """Batches of texts -> for each shard what its grams' strings cover, different pieces once, with the documents that have them; and for each document what the batch already shows to be repeated. ``shared`` and ``common`` are broadcast bitmaps."""
     before, width = length - gram, 2 * length - gram
-    rows = docs.select(F.coalesce("doc_id", F.lit(int(LAST))).alias("order"), F.col("doc_id").isNull().alias("null"), F.xxhash64("text").alias("mark"), "text").where(F.octet_length("text") >= length)
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
-    shards = max(LEAST_SHARDS, -(-size // SHARD_TEXT))
-    grams = cut(shared_grams(rows, shards, length, gram), "grams")
-    sums = grams.agg(F.count("*").alias("n"), F.count_if("common").alias("common")).first()
-    sc = docs.sparkSession.sparkContext
-    shared, common = sc.broadcast(bitmap(grams, sums.n)), sc.broadcast(bitmap(grams.where("common"), sums.common))
 
     def hand_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in large_batches(batches, "text"):
@@ -296,6 +285,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             none = len(full)
             yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary())], names=["shard", "blob", "doc_id", "mark", "spans"])
 
+    return hand_on
+
+
+def settled(length: int, gram: int):
+    """What came to a shard -> (doc_id, mark, spans) of its repeated strings."""
+    before, width = length - gram, 2 * length - gram
+
     def settle(table: pa.Table) -> pa.Table:
         done = table.filter(pc.is_valid(table["spans"])).select(["doc_id", "mark", "spans"])
         blobs = [unpacked(b, f"S{width + 3}", np.int32, np.int64, bool, np.int64, np.int64) for b in table["blob"].to_pylist() if b is not None]
@@ -309,8 +305,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         strings, least = merged(lists)
         rows = strings.view(np.uint8).reshape(-1, width + 3)
         first, last = rows[:, width].astype(np.int64), rows[:, width + 1].astype(np.int64)
-        ordered, place = suffix_array(rows[:, :width], first, last + length, length)
-        prefix = common_prefixes(np.ascontiguousarray(rows[:, :width]), first, last + length, ordered, place, length)
+        ordered, place = suffix_array(rows[:, :width], first, last, last + length)
+        prefix = common_prefixes(rows[:, :width], first, last, last + length, ordered, place, length)
         begin = np.flatnonzero(prefix < length)
         group = np.minimum.reduceat(least[ordered // width], begin)
         smallest = np.full(len(rows) * width, LAST)
@@ -328,8 +324,30 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
                 out.append(pa.Table.from_batches([span_rows(ids[entry], null[entry], marks[entry], start, start + length)]))
         return pa.concat_tables(out)
 
-    handed = rows.mapInArrow(hand_on, f"shard int, blob binary, {SPANS}")
-    return handed.groupBy("shard").applyInArrow(settle, SPANS)
+    return settle
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """``docs`` (doc_id long, text) -> doc_id, mark (hash of the text), spans: intervals of bytes that are covered by strings of ``length`` bytes which also begin in a document with a smaller doc_id (null is the largest). Several rows for one document may come.
+
+    Every string goes by one of its grams (see ``Strings``), so equal strings go by equal ones,
+    and only grams that several rows have matter. What their strings cover is sent to the shard
+    of the gram, equal pieces of a batch once, with the least doc_id. A shard merges its
+    batches' sorted lists by binary search, builds the suffix array of the different pieces with
+    its common prefixes, and so learns for each string the least doc_id. Grams with very many
+    places go to shards string by string. No shard's work grows with the number of copies of a
+    text beyond one piece for each batch that has it.
+    """
+    rows = docs.select(F.coalesce("doc_id", F.lit(int(LAST))).alias("order"), F.col("doc_id").isNull().alias("null"), F.xxhash64("text").alias("mark"), "text").where(F.octet_length("text") >= length)
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+    shards = max(LEAST_SHARDS, -(-size // SHARD_TEXT))
+    grams = cut(shared_grams(rows, shards, length, gram), "grams")
+    sums = grams.agg(F.count("*").alias("n"), F.count_if("common").alias("common")).first()
+    sc = docs.sparkSession.sparkContext
+    shared, common = sc.broadcast(bitmap(grams, sums.n)), sc.broadcast(bitmap(grams.where("common"), sums.common))
+
+    handed = rows.mapInArrow(handed_on(shared, common, shards, length, gram), f"shard int, blob binary, {SPANS}")
+    return handed.groupBy("shard").applyInArrow(settled(length, gram), SPANS)
 
 
 def drop_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:

@@ -27,65 +27,72 @@ def run_starts(keys: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))
 
 
-def suffix_array(rows: np.ndarray, begins: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Larsson and Sadakane's refinement for ``rows`` (n, width) of bytes, of which row r holds ``begins[r]`` to ``ends[r]``: (places in sorted order, rank of each place or -1), by at least ``depth`` bytes.
+def suffix_array(rows: np.ndarray, first: np.ndarray, last: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Larsson and Sadakane's refinement for ``rows`` (n, width) of bytes: (places in sorted order, rank of each place or -1) of the suffixes that begin in row r at ``first[r]`` to ``last[r]`` and end at ``ends[r]``.
 
-    Places are flat indices; a suffix ends with its row. Groups start as what agrees in four
-    bytes; each round sorts the members of each group that isn't single yet by the groups of
-    the suffixes as many bytes further on, which doubles the bytes that a group agrees in.
-    Single groups are left alone. Ties at the end are in order of place.
+    Places are flat indices. Groups start as what agrees in four bytes; each round sorts the
+    members of each group that isn't single yet by the groups of the suffixes as many bytes
+    further on, which doubles the bytes that a group agrees in. Single groups are left alone, and
+    so are suffixes that no later round asks for. Equal suffixes are in order of place.
     """
     n, width = rows.shape
     column = np.arange(width)
-    held = (column >= begins[:, None]) & (column < ends[:, None])
-    flat = np.flatnonzero(held)
+    wanted = [(column >= first[:, None]) & (column <= last[:, None])]
+    reaches = [4]
+    while reaches[-1] * 2 < width:
+        reaches.append(reaches[-1] * 2)
+    for reach in reversed(reaches):  # who is asked for at which depth, from the last round to the first
+        further = wanted[0].copy()
+        further[:, reach:] |= wanted[0][:, :-reach] if reach < width else False
+        wanted.insert(0, further & (column < ends[:, None]))
+    flat = np.flatnonzero(wanted[0])
     padded = np.zeros((n, width + 4), np.int64)
-    padded[:, :width] = np.where(held, rows.astype(np.int64) + 1, 0)
-    word = np.zeros((n, width), np.int64)
-    for k in range(4):
-        word = word * 257 + padded[:, k : k + width]
+    padded[:, :width] = np.where(column < ends[:, None], rows.astype(np.int16) + np.int16(1), 0)
+    word = padded[:, :width] * 257**3 + padded[:, 1 : width + 1] * 257**2 + padded[:, 2 : width + 2] * 257 + padded[:, 3 : width + 3]
     order, keys = sorted_with(word.ravel()[flat], np.zeros(len(flat), np.int64))
     ranks = np.zeros(n * width + 1, np.int64)  # the last place stands for all ends, before everything
     starts = run_starts(keys)
-    ranks[flat[order]] = starts + 1
-    end_of = np.repeat(np.arange(n) * width + ends, ends - begins)
-    place_end = np.zeros(n * width, np.int64)
-    place_end[flat] = end_of
-    left, reach = flat[order], 4
-    size = np.diff(np.append(np.flatnonzero(starts == np.arange(len(starts))), len(starts)))
-    left = left[np.repeat(size > 1, size)]
-    while len(left) and reach < depth:
-        further = left + reach
-        second = ranks[np.where(further < place_end[left], further, n * width)]
-        first = ranks[left]
-        at, keys = sorted_with(first, second)
-        left, first = left[at], first[at]
-        group, part = run_starts(first), run_starts(keys)
-        ranks[left] = first + part - group
-        size = np.diff(np.append(np.flatnonzero(part == np.arange(len(part))), len(part)))
-        left, reach = left[np.repeat(size > 1, size)], reach * 2
-    order, _ = sorted_with(ranks[flat], np.zeros(len(flat), np.int64))
-    ordered = flat[order]
+    left = flat[order]
+    ranks[left] = starts + 1
+    left = left[np.repeat(*_sizes(starts))]
+    for reach, mask in zip(reaches, wanted[1:], strict=True):
+        left = left[mask.ravel()[left]]
+        further, row = left + reach, left // width
+        second = ranks[np.where(further < row * width + ends[row], further, n * width)]
+        held = ranks[left]
+        at, keys = sorted_with(held, second)
+        left, held = left[at], held[at]
+        group, part = run_starts(held), run_starts(keys)
+        ranks[left] = held + part - group
+        left = left[np.repeat(*_sizes(part))]
+    flat = np.flatnonzero(wanted[-1])
+    ordered = flat[sorted_with(ranks[flat], np.zeros(len(flat), np.int64))[0]]
     place = np.full(n * width, -1, np.int64)
     place[ordered] = np.arange(len(ordered))
     return ordered, place
 
 
-def common_prefixes(rows: np.ndarray, begins: np.ndarray, ends: np.ndarray, ordered: np.ndarray, place: np.ndarray, most: int) -> np.ndarray:
+def _sizes(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each run, by where it starts for each place, whether it has several places, and how many."""
+    size = np.diff(np.append(np.flatnonzero(starts == np.arange(len(starts))), len(starts)))
+    return size > 1, size
+
+
+def common_prefixes(rows: np.ndarray, first: np.ndarray, last: np.ndarray, ends: np.ndarray, ordered: np.ndarray, place: np.ndarray, most: int) -> np.ndarray:
     """Kasai's common prefixes: for each place in sorted order how many bytes, up to ``most``, its suffix shares with the one before it.
 
-    The suffix one byte further on shares at least one byte less with the one before it. That
-    holds along each row, so all rows are walked at once, column by column.
+    If the suffix before it goes on to one that is sorted as well, the suffix one byte further
+    on shares at least one byte less with the one before that. So bytes are compared from there
+    on, along each row; all rows are walked at once, column by column.
     """
     n, width = rows.shape
-    text, out = rows.ravel(), np.zeros(len(ordered), np.int64)
+    text, out = np.ascontiguousarray(rows).ravel(), np.zeros(len(ordered), np.int64)
     row_end = np.arange(n) * width + ends
     shared = np.zeros(n, np.int64)
-    for column in range(int(begins.min(initial=0)), int(ends.max(initial=0))):
-        live = np.flatnonzero((begins <= column) & (column < ends))
+    for column in range(int(first.min(initial=0)), int(last.max(initial=-1)) + 1):
+        live = np.flatnonzero((first <= column) & (column <= last))
         at = live * width + column
         rank = place[at]
-        shared[live] = np.maximum(shared[live] - 1, 0)
         shared[live[rank == 0]] = 0
         live, at, rank = live[rank > 0], at[rank > 0], rank[rank > 0]
         other = ordered[rank - 1]
@@ -96,7 +103,10 @@ def common_prefixes(rows: np.ndarray, begins: np.ndarray, ends: np.ndarray, orde
             open_ = open_[text[at[open_] + h[open_]] == text[other[open_] + h[open_]]]
             h[open_] += 1
             open_ = open_[h[open_] < limit[open_]]
-        shared[live], out[rank] = h, h
+        out[rank] = h
+        goes_on = (other + 1) % width != 0
+        goes_on[goes_on] = place[other[goes_on] + 1] >= 0
+        shared[live] = np.where(goes_on, np.maximum(h - 1, 0), 0)
     return out
 
 

@@ -22,18 +22,21 @@ LAST = 2**63 - 1
 
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(3)
-    rows = rng.integers(97, 99, (40, 70)).astype(np.uint8)
-    rows[20:30] = rows[:10]
-    begins, ends = rng.integers(0, 10, 40), rng.integers(40, 71, 40)
-    ordered, place = suffix.suffix_array(rows, begins, ends, 50)
-    text = [bytes(r) for r in rows]
-    tail = lambda p: text[p // 70][p % 70 : ends[p // 70]]
-    assert len(ordered) == (ends - begins).sum() and all(place[p] == k for k, p in enumerate(ordered))
-    assert all(tail(a)[:50] <= tail(b)[:50] for a, b in zip(ordered, ordered[1:]))
-    shared = suffix.common_prefixes(rows, begins, ends, ordered, place, 50)
-    for k, (a, b) in enumerate(zip(ordered, ordered[1:]), 1):
-        x, y = tail(a)[:50], tail(b)[:50]
-        assert shared[k] == next((i for i, (c, d) in enumerate(zip(x, y)) if c != d), min(len(x), len(y)))
+    for letters in ((97, 98), (97, 122), (0, 2)):
+        rows = rng.integers(letters[0], letters[1] + 1, (60, 76)).astype(np.uint8)
+        rows[20:30], rows[30:40, 5:] = rows[:10], rows[:10, :-5]
+        first = rng.integers(0, 10, 60)
+        last = rng.integers(first, 27)
+        ends = last + 50
+        ordered, place = suffix.suffix_array(rows, first, last, ends)
+        text = [bytes(r) for r in rows]
+        tail = lambda p: text[p // 76][p % 76 : ends[p // 76]]  # noqa: B023, E731
+        assert len(ordered) == (last + 1 - first).sum() and all(place[p] == k for k, p in enumerate(ordered))
+        assert all(tail(a) <= tail(b) for a, b in zip(ordered, ordered[1:]))
+        shared = suffix.common_prefixes(rows, first, last, ends, ordered, place, 50)
+        for k, (a, b) in enumerate(zip(ordered, ordered[1:]), 1):
+            x, y = tail(a)[:50], tail(b)[:50]
+            assert shared[k] == next((i for i, (c, d) in enumerate(zip(x, y)) if c != d), min(len(x), len(y)))
 
 
 def test_merged_lists():
