@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kotonoha.functions.structured import structured_html
 from kotonoha.plans.deinflect import deinflect
+from kotonoha.plans.rules import Rule
 
 MODES = ("exact", "prefix", "suffix", "contains")
 
@@ -111,11 +112,11 @@ def batch_lookup(queries: DataFrame, terms: DataFrame, mode: str = "exact", key:
     return met.where(matches(F.col("term"), F.col(key), mode)).drop("_n", "_k", "_run")
 
 
-def search_terms(texts: DataFrame, terms: DataFrame, column: str = "text", mode: str = "exact", dictionaries: Sequence[str] = (), deinflected: bool = True, chains: bool = False) -> DataFrame:
+def search_terms(texts: DataFrame, terms: DataFrame, column: str = "text", mode: str = "exact", dictionaries: Sequence[str] = (), deinflected: bool = True, chains: bool = False, rules: list[Rule] | None = None) -> DataFrame:
     """Terms found for each distinct text, by all its candidates in order (``cand_pos``), with ``chains`` also by which rules; duplicates stay. Without ``deinflected`` by the text alone."""
     wanted = terms.where(F.col("dictionary").isin(*dictionaries)) if dictionaries else terms
     if deinflected:
-        return batch_lookup(deinflect(texts, column, chains=chains), wanted, mode)
+        return batch_lookup(deinflect(texts, column, rules, chains), wanted, mode)
     plain = texts.select(F.col(column).alias("text")).where("text is not null").distinct().withColumn("candidate", F.col("text"))
     return batch_lookup(plain, wanted, mode)
 
