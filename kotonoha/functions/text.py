@@ -98,7 +98,7 @@ def halfwidth_kana_to_full(c: Column) -> Column:
 
 
 def _raised(x: Column, by: int, allowed: str) -> Column:
-    return F.when(x.rlike(f"^[{allowed}]$"), F.translate(x, "".join(_allowed(allowed)), "".join(chr(ord(k) + by) for k in _allowed(allowed))))
+    return F.when(x.rlike(rf"^[{allowed}]\z"), F.translate(x, "".join(_allowed(allowed)), "".join(chr(ord(k) + by) for k in _allowed(allowed))))
 
 
 def _allowed(ranges: str) -> list[str]:
@@ -133,14 +133,14 @@ def normalize_radicals(c: Column) -> Column:
 
 def collapse_emphatic(c: Column, full: bool = False) -> Column:
     """Inside the text, a run of one emphatic character becomes one (or, with ``full``, none); runs at either end stay, as does a text of nothing else."""
-    head, tail = F.regexp_extract(c, f"^[{EMPHATIC}]*", 0), F.regexp_extract(c, f"[{EMPHATIC}]*$", 0)
+    head, tail = F.regexp_extract(c, f"^[{EMPHATIC}]*", 0), F.regexp_extract(c, rf"[{EMPHATIC}]*\z", 0)
     middle = F.substring(c, F.length(head) + 1, F.length(c) - F.length(head) - F.length(tail))
     inner = F.regexp_replace(middle, f"[{EMPHATIC}]", "") if full else F.regexp_replace(middle, f"([{EMPHATIC}])\\1+", "$1")
     return F.when(F.length(head) == F.length(c), c).otherwise(F.concat(head, inner, tail))
 
 
 def diacritic_type(c: Column) -> Column:
-    return F.when(c.rlike(f"^[{DAKUTEN}]$"), "dakuten").when(c.rlike(f"^[{HANDAKUTEN}]$"), "handakuten")
+    return F.when(c.rlike(rf"^[{DAKUTEN}]\z"), "dakuten").when(c.rlike(rf"^[{HANDAKUTEN}]\z"), "handakuten")
 
 
 def is_kana_point(code: Column) -> Column:
@@ -163,7 +163,7 @@ def _inside(code: Column, ranges: list[tuple[int, int]]) -> Column:
 
 
 def is_entirely_kana(c: Column) -> Column:
-    return c.rlike(f"^[{KANA_CLASS}]+$")
+    return c.rlike(rf"^[{KANA_CLASS}]+\z")
 
 
 def is_partially_japanese(c: Column) -> Column:

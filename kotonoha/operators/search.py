@@ -204,5 +204,6 @@ def rank_by_frequency(found: DataFrame, meta: DataFrame, key: Sequence[str], dic
 
 
 def group_by_sequence(terms: DataFrame) -> DataFrame:
-    """Terms that share a sequence number in a dictionary."""
-    return terms.groupBy("dictionary", "sequence_number").agg(F.array_sort(F.collect_set("term")).alias("terms"), F.count("*").alias("n"))
+    """Terms that share a sequence number in a dictionary. The number 0, which all terms of version 1 have, says nothing: there only rows of one term and reading are together."""
+    own = F.when(F.col("sequence_number") == 0, F.struct("term", "reading")).alias("own")
+    return terms.groupBy("dictionary", "sequence_number", own).agg(F.array_sort(F.collect_set("term")).alias("terms"), F.count("*").alias("n")).drop("own")

@@ -73,7 +73,7 @@ def is_inflected(text: Column, transform: str, rules: list[Rule] | None = None)
     suffixes = sorted({r.suffix for r in rules or japanese_rules() if r.transform == transform})
     if not suffixes:
         raise ValueError(f"no such transform: {transform}")
-    return text.rlike(f"(?:{'|'.join(suffixes)})$")
+    return text.rlike(rf"(?:{'|'.join(suffixes)})\z")
 
 
 def fitting_rules() -> dict[str, list[str]]:

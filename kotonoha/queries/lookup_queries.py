@@ -92,9 +92,11 @@ def count_dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TA = "|".join(sorted({x.suffix for x in japanese_rules() if x.transform == "continuative"}))
 
 
-@query(f"WITH {SURFACES_SQL} SELECT w, regexp_matches(s, '(?:{_TA})$') AS inflected FROM surfaces")
+@query(f"WITH {SURFACES_SQL} SELECT w, length(w) % 5 <> 0 AND regexp_full_match(s, '.*(?:{_TA})') AS inflected FROM surfaces")
 def is_inflected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surfaces(spark, sf_dir).select("w", ends_in(F.col("s"), "continuative").alias("inflected"))
+    """Every fifth length has a newline behind it, before which a suffix is no end."""
+    s = F.concat("s", F.when(F.length("w") % 5 == 0, "\n").otherwise(""))
+    return surfaces(spark, sf_dir).select("w", ends_in(s, "continuative").alias("inflected"))
 
 
 @query(f"WITH {TOKENS_SQL}, {META_SQL} SELECT term, dictionary, meta_type, frequency, display_frequency, downstep_position, transcription FROM meta WHERE term = 'たはて' AND dictionary = 'freq1'")
@@ -234,9 +236,12 @@ def rank_by_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.rank_by_frequency(terms(spark, sf_dir), terms_meta(spark, sf_dir), ["dictionary"], "freq1").select(*_ENTRY, "number", "rank")
 
 
-@query(f"WITH {TERMS_SQL} SELECT dictionary, sequence_number, array_to_string(list(DISTINCT term ORDER BY term), ' ') AS terms, count(*) AS n FROM terms GROUP BY dictionary, sequence_number")
+@query(f"""WITH {TERMS_SQL}, t AS (SELECT *, CASE WHEN sequence_number % 4 = 1 THEN 0 ELSE sequence_number END AS seq FROM terms)
+    SELECT dictionary, seq AS sequence_number, array_to_string(list(DISTINCT term ORDER BY term), ' ') AS terms, count(*) AS n FROM t GROUP BY dictionary, seq, CASE WHEN seq = 0 THEN [term, reading] END""")
 def group_by_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.group_by_sequence(terms(spark, sf_dir)).withColumn("terms", F.array_join("terms", " "))
+    """One in four sequences is 0, as all are in version 1: those terms stay apart but for repeats of one term and reading."""
+    old = F.when(F.col("sequence_number") % 4 == 1, F.lit(0)).otherwise(F.col("sequence_number")).cast("long")
+    return S.group_by_sequence(terms(spark, sf_dir).withColumn("sequence_number", old)).select("dictionary", "sequence_number", F.array_join("terms", " ").alias("terms"), "n")
 
 
 @query(f"WITH RECURSIVE {SURFACES_SQL}, {DEINFLECT_SQL} SELECT text, candidate, count(*) AS ways, min(cand_pos) AS first_pos FROM deinflected GROUP BY text, candidate")

@@ -28,10 +28,12 @@ def lookup_worthy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_words"), F.count_if(T.is_partially_japanese(w)).alias("n_worthy"))
 
 
-@query(f"WITH {PAGES_SQL}, p AS (SELECT book, pos, unnest(regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1)) AS body FROM spine) SELECT book, pos, count(*) AS paragraphs, sum(length(regexp_replace(body, '[^{T.COUNTED_CLASS}]', '', 'g')))::BIGINT AS characters FROM p GROUP BY book, pos")
+@query(f"""WITH {PAGES_SQL}, p AS (SELECT book, pos, regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1) AS bodies FROM spine)
+    SELECT book, pos, len(bodies) AS paragraphs, length(regexp_replace(array_to_string(bodies, ''), '[^{T.COUNTED_CLASS}]', '', 'g'))::BIGINT AS characters FROM p""")
 def char_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bodies = pages(spark, sf_dir).select("book", "pos", F.explode(F.regexp_extract_all("html", F.lit("(?s)<p>(.*?)</p>"), F.lit(1))).alias("body"))
-    return bodies.groupBy("book", "pos").agg(F.count("*").alias("paragraphs"), F.sum(T.count_characters(F.col("body"))).alias("characters"))
+    """Paragraphs of each page and their characters; pages without any have 0."""
+    bodies = pages(spark, sf_dir).select("book", "pos", F.regexp_extract_all("html", F.lit("(?s)<p>(.*?)</p>"), F.lit(1)).alias("bodies"))
+    return bodies.select("book", "pos", F.size("bodies").cast("long").alias("paragraphs"), T.count_characters(F.array_join("bodies", "")).cast("long").alias("characters"))
 
 
 @query(f"WITH t AS (SELECT doc_id, text FROM documents) SELECT doc_id, length(regexp_replace(text, '[^{T.COUNTED_CLASS}]', '', 'g'))::INT AS characters, CASE WHEN length(text) > 61 THEN left(text, 31) || ' ... ' || right(text, 31) ELSE text END AS clamped FROM t")
@@ -90,13 +92,13 @@ def compat_radicals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surfaces(spark, sf_dir).select("w", T.normalize_radicals(T.normalize_compatibility(F.translate("w", LETTERS, _ODD_LETTERS))).alias("plain"))
 
 
-@query(rf"""WITH {SURFACES_SQL}, e AS (SELECT w, translate(w, '{LETTERS}', '{_RUN_LETTERS}') AS x FROM surfaces),
-    c AS (SELECT w, x, regexp_extract(x, '^[っッー]*') AS head, regexp_extract(x, '[っッー]*$') AS tail FROM e),
+@query(rf"""WITH {SURFACES_SQL}, e AS (SELECT w, translate(w, '{LETTERS}', '{_RUN_LETTERS}') || CASE WHEN length(w) % 3 = 0 THEN chr(10) ELSE '' END AS x FROM surfaces),
+    c AS (SELECT w, x, regexp_extract(x, '^[っッー]*') AS head, regexp_extract(x, '[っッー]*\z') AS tail FROM e),
     m AS (SELECT *, x[length(head) + 1 : length(x) - length(tail)] AS mid FROM c)
     SELECT w, CASE WHEN head = x THEN x ELSE head || regexp_replace(regexp_replace(regexp_replace(mid, 'っ+', 'っ', 'g'), 'ッ+', 'ッ', 'g'), 'ー+', 'ー', 'g') || tail END AS partly,
         CASE WHEN head = x THEN x ELSE head || regexp_replace(mid, '[っッー]', '', 'g') || tail END AS fully FROM m""")
 def emphatic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.translate("w", LETTERS, _RUN_LETTERS)
+    x = F.concat(F.translate("w", LETTERS, _RUN_LETTERS), F.when(F.length("w") % 3 == 0, "\n").otherwise(""))
     return surfaces(spark, sf_dir).select("w", T.collapse_emphatic(x).alias("partly"), T.collapse_emphatic(x, full=True).alias("fully"))
 
 
@@ -105,11 +107,11 @@ def diacritics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surfaces(spark, sf_dir).select("w", T.diacritic_type(F.left("s", F.lit(1))).alias("mark"))
 
 
-@query(f"""WITH {SURFACES_SQL}, x AS (SELECT w, CASE WHEN length(w) % 2 = 0 THEN s ELSE w || s END AS x FROM surfaces)
-    SELECT w, regexp_matches(x, '^[{T.KANA_CLASS}]+$') AS kana_only, regexp_matches(x, '[{T.JAPANESE_BMP}]') AS japanese, unicode(right(x, 1)) BETWEEN 12352 AND 12543 AS last_kana,
+@query(f"""WITH {SURFACES_SQL}, x AS (SELECT w, CASE length(w) % 4 WHEN 0 THEN s WHEN 2 THEN s || chr(10) ELSE w || s END AS x FROM surfaces)
+    SELECT w, regexp_full_match(x, '[{T.KANA_CLASS}]+') AS kana_only, regexp_matches(x, '[{T.JAPANESE_BMP}]') AS japanese, unicode(right(x, 1)) BETWEEN 12352 AND 12543 AS last_kana,
         {' OR '.join(f'unicode(right(x, 1)) BETWEEN {a} AND {b}' for a, b in T.KANJI)} AS last_kanji FROM x""")
 def kana_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.when(F.length("w") % 2 == 0, F.col("s")).otherwise(F.concat("w", "s"))
+    x = F.when(F.length("w") % 4 == 0, F.col("s")).when(F.length("w") % 4 == 2, F.concat("s", F.lit("\n"))).otherwise(F.concat("w", "s"))
     last = F.conv(F.hex(F.encode(F.right(x, F.lit(1)), "UTF-16BE")), 16, 10).cast("int")
     return surfaces(spark, sf_dir).select("w", T.is_entirely_kana(x).alias("kana_only"), T.is_partially_japanese(x).alias("japanese"), T.is_kana_point(last).alias("last_kana"), T.is_kanji_point(last).alias("last_kanji"))
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 import io
 import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,9 @@ from kotonoha.functions.scratch import scratch
 
 ENTRY = "archive string, path string, content binary"
 
+#: Path of the row that stands for an archive that can't be opened, or a member that can't be read; its content says why.
+BROKEN = "\x00broken"
+
 # Bank kinds, the kinds of their items' values (see ``value_kinds``), allowed formats, metadata types, language codes.
 KINDS = ["term_bank", "term_meta_bank", "kanji_bank", "kanji_meta_bank", "tag_bank"]
 SHAPES = {"term_bank": "ss[s0]sdads", "term_meta_bank": "ss[dso]", "kanji_bank": "ssssao", "kanji_meta_bank": "ss[dso]", "tag_bank": "ssdsd"}
@@ -34,25 +39,47 @@ LANGUAGES = (
 IMPORT = "import"
 
 
-def read_archives(spark: SparkSession, path: str, glob: str = "*.zip") -> DataFrame:
-    """(archive, path, content) of every file inside the archives under ``path``. A zip is read by one task; its entries are then dealt out."""
+def read_archives(spark: SparkSession, path: str, glob: str = "*.zip", errors: bool = True) -> DataFrame:
+    """(archive, path, content) of every file inside the archives under ``path``. A zip is read by one task; its entries are then dealt out.
+
+    A zip that can't be opened, and each member that is encrypted, cut short or of an unknown
+    method, gives a row with the path BROKEN and the reason as its content, which
+    ``validate_archive`` shows as ``zip``; the other archives are read. Without ``errors`` such
+    rows are left out. Files of no bytes are not seen, as Spark's reader leaves them out.
+    """
 
     def unzip(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for archive, content in zip(frame["path"], frame["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in z.namelist():
-                        if not name.endswith("/"):
-                            yield pd.DataFrame([(archive, name, z.read(name))], columns=["archive", "path", "content"])
+                for name, data in opened_zip(content):
+                    if errors or name != BROKEN:
+                        yield pd.DataFrame([(archive, name, data)], columns=["archive", "path", "content"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInPandas(unzip, ENTRY).repartition("archive", "path")
 
 
+def opened_zip(content: bytes) -> Iterator[tuple[str, bytes]]:
+    """(name, bytes) of each file in a zip; under the name BROKEN a reason where the zip or a file can't be read."""
+    try:
+        archive = zipfile.ZipFile(io.BytesIO(content))
+    except (zipfile.BadZipFile, OSError, ValueError, EOFError, NotImplementedError) as e:
+        yield BROKEN, f"archive: {e}".encode()
+        return
+    with archive:
+        for member in archive.infolist():
+            if member.is_dir():
+                continue
+            try:
+                yield member.filename, archive.read(member)
+            except (zipfile.BadZipFile, RuntimeError, OSError, ValueError, EOFError, zlib.error, NotImplementedError) as e:
+                yield BROKEN, f"{member.filename}: {e}".encode()
+
+
 def route_entries(entries: DataFrame) -> DataFrame:
-    """Adds ``kind`` (a bank kind, ``index``, ``styles``, ``media``, or ``ignored`` for numbered JSON files of other kinds) and ``bank_no``."""
-    stem, number = F.regexp_extract("path", r"(.+)_(\d+)\.json$", 1), F.regexp_extract("path", r"(.+)_(\d+)\.json$", 2)
-    kind = F.when(F.col("path") == "index.json", "index").when(F.col("path") == "styles.css", "styles").when(stem.isin(KINDS), stem).when(stem != "", "ignored").otherwise("media")
+    """Adds ``kind`` (a bank kind, ``index``, ``styles``, ``media``, ``broken``, or ``ignored`` for numbered JSON files of other kinds) and ``bank_no``."""
+    stem, number = (F.regexp_extract("path", r"(?s)(.+)_(\d+)\.json\z", i) for i in (1, 2))
+    kind = F.when(F.col("path") == BROKEN, "broken").when(F.col("path") == "index.json", "index").when(F.col("path") == "styles.css", "styles").when(stem.isin(KINDS), stem).when(stem != "", "ignored").otherwise("media")
     return entries.withColumn("kind", kind).withColumn("bank_no", F.when(stem.isin(KINDS), number.cast("int")))
 
 
@@ -68,7 +95,13 @@ def bank_items(entries: DataFrame, kind: str) -> DataFrame:
 def broken_banks(entries: DataFrame) -> DataFrame:
     """Bank files (archive, path) that are no JSON array, such as ones cut short."""
     banks = entries.where(F.col("kind").isin(KINDS))
-    return banks.where(F.json_array_length(F.col("content").cast("string")).isNull()).select("archive", "path")
+    return banks.where(~is_array(F.col("content").cast("string"))).select("archive", "path")
+
+
+def is_array(json: Column) -> Column:
+    """Whether a text is one JSON array and nothing behind it. Readers stop at the end of the first value, so it is also read inside an array and inside an object: what is behind it breaks one of the two."""
+    inside = (F.json_array_length(F.concat(F.lit("["), json, F.lit("]"))) == 1) & (F.size(F.json_object_keys(F.concat(F.lit('{"a":'), json, F.lit("}")))) == 1)
+    return F.coalesce(F.json_array_length(json).isNotNull() & inside, F.lit(False))
 
 
 def opened(items: DataFrame, item: str = "item") -> DataFrame:
@@ -226,13 +259,33 @@ def good_item(kind: str, version: int = 3) -> Column:
     good = F.col("kinds").rlike(f"^{SHAPES[kind]}$")
     if kind in META_TYPES:
         good = good & F.coalesce(field(1), F.lit("")).isin(META_TYPES[kind])
+    if kind == "term_bank":
+        good = good & F.forall(F.from_json(field(5), "array<string>"), lambda d: d.isNotNull()) & F.forall(_variants("at[5]"), good_definition)
     if kind == "term_meta_bank":
-        parts = {"pitch": "$.pitches[0].position", "ipa": "$.transcriptions[0].ipa"}
-        for name, path in parts.items():
-            good = good & ((field(1) != name) | (F.endswith("kinds", F.lit("o")) & F.get_json_object(field(2), path).isNotNull()))
+        wanted = {"pitch": ("pitches", "position", "d"), "ipa": ("transcriptions", "ipa", "s")}
+        for name, (listed, part, letter) in wanted.items():
+            each = F.from_json(F.get_json_object(field(2), f"$.{listed}"), "array<string>")
+            kinds = F.transform(each, lambda x: value_kinds_of(x, part))  # noqa: B023
+            sound = F.endswith("kinds", F.lit("o")) & F.get_json_object(field(2), "$.reading").isNotNull() & (F.size(each) > 0) & F.forall(kinds, lambda k: F.coalesce(k == letter, F.lit(False)))  # noqa: B023
+            good = good & ((field(1) != name) | F.coalesce(sound, F.lit(False)))
     return good
 
 
+def value_kinds_of(json: Column, part: str) -> Column:
+    """The kind (see ``value_kinds``) of one value of a JSON object: d for whole numbers, s for texts, null for anything else."""
+    value = F.to_json(F.try_variant_get(F.try_parse_json(json), f"$.{part}", "variant"))
+    return F.when(F.startswith(value, F.lit('"')), "s").when(value.rlike(r"^-?[0-9]+\z"), "d")
+
+
+def good_definition(definition: Column) -> Column:
+    """Whether a definition (JSON) is a text, an object of a known type with what it needs, or ``[uninflected, [rules]]``."""
+    kind, first = F.get_json_object(definition, "$.type"), F.substring(definition, 1, 1)
+    has = lambda c: F.get_json_object(definition, f"$.{c}").isNotNull()
+    of_type = ((kind == "text") & has("text")) | ((kind == "image") & has("path")) | ((kind == "structured-content") & has("content"))
+    inflected = F.startswith(definition, F.lit('["')) & F.startswith(F.get_json_object(definition, "$[1]"), F.lit("["))
+    return (first == '"') | ((first == "{") & F.coalesce(of_type, F.lit(False))) | ((first == "[") & F.coalesce(inflected, F.lit(False)))
+
+
 def validate_items(items: DataFrame, kind: str, version: int = 3) -> DataFrame:
     """(archive, items, bad): items whose values differ in number or kind from what the bank asks for, or that are of an unknown metadata type."""
     rows = opened(items).withColumn("kinds", value_kinds("item"))
@@ -240,17 +293,18 @@ def validate_items(items: DataFrame, kind: str, version: int = 3) -> DataFrame:
 
 
 def validate_archive(entries: DataFrame) -> DataFrame:
-    """(archive, ok, reason) of routed entries: the first of a missing or unusable index, a bad format, a gap in a bank's numbers, bank files that are no JSON array or items that fail the checks of the archive's format."""
+    """(archive, ok, reason) of routed entries: the first of a zip that can't be read whole (``zip``), a missing or unusable index, a bad format, a gap in a bank's numbers, bank files that are no JSON array or items that fail the checks of the archive's format."""
     index = parse_index(entries).select("archive", "format")
     gaps = bank_contiguity(entries).where("not contiguous").select("archive").distinct().withColumn("gap", F.lit(True))
-    banks = entries.where(F.col("kind").isin(KINDS)).withColumn("json", F.col("content").cast("string")).join(index, "archive")
+    torn = entries.where("kind = 'broken'").select("archive").distinct().withColumn("torn", F.lit(True))
+    banks = entries.where(F.col("kind").isin(KINDS)).withColumn("json", F.col("content").cast("string")).join(index, "archive").withColumn("whole", is_array(F.col("json")))
     # a file that is no array has one item, null, which is bad as well
-    items = banks.select("archive", "kind", "format", F.explode_outer(F.when(F.json_array_length("json") > 0, F.from_json("json", "array<string>"))).alias("item"), (F.json_array_length("json") == 0).alias("empty"))
+    items = banks.select("archive", "kind", "format", F.explode_outer(F.when(F.col("whole") & (F.json_array_length("json") > 0), F.from_json("json", "array<string>"))).alias("item"), (F.col("whole") & (F.json_array_length("json") == 0)).alias("empty"))
     rows = opened(items.where("empty is null or not empty")).withColumn("kinds", value_kinds("item"))
     good = F.coalesce(*[F.when((F.col("kind") == kind) & (F.col("format") == version), good_item(kind, version)) for kind in KINDS for version in FORMATS], F.lit(False))
     bad = rows.where(~good).select("archive").distinct().withColumn("bad", F.lit(True))
-    joined = entries.select("archive").distinct().join(index, "archive", "left").join(gaps, "archive", "left").join(bad, "archive", "left")
-    reason = F.when(F.col("format").isNull(), "index").when(~F.col("format").isin(FORMATS), "format").when(F.col("gap"), "numbering").when(F.col("bad"), "items")
+    joined = entries.select("archive").distinct().join(index, "archive", "left").join(gaps, "archive", "left").join(bad, "archive", "left").join(torn, "archive", "left")
+    reason = F.when(F.col("torn"), "zip").when(F.col("format").isNull(), "index").when(~F.col("format").isin(FORMATS), "format").when(F.col("gap"), "numbering").when(F.col("bad"), "items")
     return joined.select("archive", reason.isNull().alias("ok"), reason.alias("reason"))
 
 
@@ -287,16 +341,17 @@ def write_files(files: DataFrame, folder: str) -> int:
 
 
 def staged(entries: DataFrame, where: str) -> DataFrame:
-    """Routed entries less media, written to a folder for each kind and read from there: archives are opened once, and a bank's reader gets its own files alone."""
-    wanted = entries.where(F.col("kind").isin("index", "styles", *KINDS))
+    """Routed entries, written to a folder for each kind and read from there: archives are opened once, and a bank's reader gets its own files alone, media none."""
+    wanted = entries.where(F.col("kind").isin("index", "styles", "broken", "media", *KINDS))
     wanted.write.partitionBy("kind").parquet(where)
     return entries.sparkSession.read.schema(wanted.schema).parquet(where)
 
 
 def import_dictionaries(entries: DataFrame, existing: DataFrame | None = None, work: str | None = None) -> dict[str, DataFrame]:
-    """Tables of all valid archives whose title is new: dictionaries, terms, kanji, terms_meta, kanji_meta, tags, each with its ``dictionary``.
+    """Tables of all valid archives whose title is new: dictionaries, terms, kanji, terms_meta, kanji_meta, tags, media, each with its ``dictionary``.
 
-    The tables are read from what is written to ``work`` first (the scratch folder where it is
+    Of several archives with one title in the batch the one whose name is smallest counts. Media
+    are the files of its zip beside banks, index and styles (path, content). The tables are read from what is written to ``work`` first (the scratch folder where it is
     not given): the banks, and which archives are valid.
     """
     spark, work = entries.sparkSession, work or scratch(entries.sparkSession)
@@ -305,6 +360,7 @@ def import_dictionaries(entries: DataFrame, existing: DataFrame | None = None, w
     dictionaries = parse_index(entries).join(valid, "archive", "left_semi")
     if existing is not None:
         dictionaries = dictionaries.join(existing.select("title").distinct(), "title", "left_anti")
+    dictionaries = first_of_title(dictionaries)
     dictionaries.write.parquet(f"{work}/dictionaries")
     dictionaries = spark.read.schema(dictionaries.schema).parquet(f"{work}/dictionaries")
     of = dictionaries.select("archive", F.col("title").alias("dictionary"), "format")
@@ -319,18 +375,29 @@ def import_dictionaries(entries: DataFrame, existing: DataFrame | None = None, w
         "terms_meta": every("term_meta_bank", parse_term_meta_bank),
         "kanji_meta": every("kanji_meta_bank", parse_kanji_meta_bank),
         "tags": every("tag_bank", parse_tag_bank),
+        "media": named(entries.where("kind = 'media'").select("archive", "path", "content")).select("path", "content", "dictionary"),
     }
 
 
+def first_of_title(dictionaries: DataFrame) -> DataFrame:
+    """Of the rows with one title the one whose archive has the smallest name."""
+    first = dictionaries.groupBy("title").agg(F.min("archive").alias("archive"))
+    return dictionaries.join(first, ["title", "archive"], "left_semi")
+
+
 def write_dictionaries(tables: dict[str, DataFrame], path: str, import_id: str | None = None) -> str:
     """Publish the tables of one import under ``path``, all or nothing, and give its id.
 
     A table is a folder with a partition for each import. The rows are written first, sorted by
-    dictionary and key within files, so that searches skip most of them; the import's list of
-    dictionaries is written last, as one file. ``read_table`` takes rows of listed imports alone, so
-    that an import which breaks off shows nothing; one that comes again with the same id replaces
-    what it left.
+    dictionary and key within files, so that searches skip most of them; then the import's list of
+    dictionaries, and last its commit: a file of the next free number in ``commits`` that names the
+    import, made only if there is none of that number yet, so that of two writers one comes
+    first and the other takes the next number. ``read_table`` takes rows of committed imports
+    alone, so that an import which breaks off shows nothing, and of each title those of the first
+    commit that has it, so that two writers who import one title don't show it twice. An
+    import that comes again with the same id replaces what it left, and is committed once.
     """
+    spark = next(iter(tables.values())).sparkSession
     import_id = f"id-{import_id or uuid.uuid4().hex}"
     for name in sorted(tables, key=lambda n: n == "dictionaries"):
         df, folder = tables[name], f"{path}/{name}/{IMPORT}={import_id}"
@@ -340,14 +407,61 @@ def write_dictionaries(tables: dict[str, DataFrame], path: str, import_id: str |
             key = df.columns[0]
             dealt = df.repartition("dictionary", F.pmod(F.xxhash64(key), F.lit(16))).sortWithinPartitions("dictionary", key)
             dealt.write.mode("overwrite").option("maxRecordsPerFile", 5_000_000).parquet(folder)
+    if "dictionaries" in tables:
+        commit(spark, path, import_id)
     return import_id
 
 
+def _commits_folder(spark: SparkSession, path: str) -> tuple:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/commits")
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def commits(spark: SparkSession, path: str) -> dict[str, int]:
+    """The number of each committed import. A number whose writer broke off before it named its import is left out."""
+    files, folder = _commits_folder(spark, path)
+    found: dict[str, int] = {}
+    for status in files.listStatus(folder) if files.exists(folder) else []:
+        stream = files.open(status.getPath())
+        name = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        if name:
+            number = int(status.getPath().getName())
+            found[name] = min(number, found.get(name, number))
+    return found
+
+
+def commit(spark: SparkSession, path: str, import_id: str) -> int:
+    """Commit an import under the next free number, unless it is committed, and give its number. A number belongs to the writer that makes its file; that fails for all others, who take the next one."""
+    files, folder = _commits_folder(spark, path)
+    if (known := commits(spark, path).get(import_id)) is not None:
+        return known
+    number = max([-1, *(int(s.getPath().getName()) for s in files.listStatus(folder))]) + 1 if files.exists(folder) else 0
+    while True:
+        file = spark._jvm.org.apache.hadoop.fs.Path(folder, f"{number:09d}")
+        try:
+            out = files.create(file, False)
+        except Py4JJavaError:
+            if not files.exists(file):
+                raise
+            number += 1
+            continue
+        out.write(bytearray(import_id.encode()))
+        out.close()
+        return number
+
+
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """A table's rows of all published imports."""
-    rows = spark.read.parquet(f"{path}/{name}")
-    if name != "dictionaries":
-        rows = rows.join(spark.read.parquet(f"{path}/dictionaries").select(IMPORT).distinct(), IMPORT, "left_semi")
+    """A table's rows of all committed imports, those of each title from the first commit that has it."""
+    order = commits(spark, path)
+    listed = spark.read.parquet(f"{path}/dictionaries")
+    numbers = F.create_map(*[F.lit(x) for pair in order.items() for x in pair]) if order else F.create_map().cast("map<string,int>")
+    numbered = listed.withColumn("_commit", F.element_at(numbers, F.col(IMPORT))).where("_commit is not null")
+    first = numbered.groupBy("title").agg(F.min_by(IMPORT, "_commit").alias(IMPORT))
+    if name == "dictionaries":
+        rows = listed.join(first, ["title", IMPORT], "left_semi")
+    else:
+        rows = spark.read.parquet(f"{path}/{name}").join(first.withColumnRenamed("title", "dictionary"), ["dictionary", IMPORT], "left_semi")
     return rows.drop(IMPORT)
 
 
@@ -357,7 +471,9 @@ def export_tables(spark: SparkSession, path: str, to: str, names: list[str]) ->
 
 
 def reset_tables(spark: SparkSession, path: str, names: list[str]) -> None:
-    """Empty tables with the schemas they have; the list of dictionaries first, so that nothing half reset shows."""
+    """Empty tables with the schemas they have; the commits go first, so that nothing half reset shows."""
     empty = {name: read_table(spark, path, name).schema for name in {*names, "dictionaries"}}
+    files, folder = _commits_folder(spark, path)
+    files.delete(folder, True)
     for name in sorted(empty, key=lambda n: n != "dictionaries"):
         spark.createDataFrame([], empty[name]).withColumn(IMPORT, F.lit("id-none")).write.mode("overwrite").parquet(f"{path}/{name}")

@@ -52,11 +52,10 @@ def import_stream(entries: DataFrame, path: str, checkpoint: str, after: Callabl
 def import_batch(batch: DataFrame, path: str, import_id: str, after: Callable[[DataFrame], None] | None = None) -> bool:
     """Import archive entries once under ``import_id``; false if that was published before."""
     spark, known = batch.sparkSession, None
+    if f"id-{import_id}" in banks.commits(spark, path):
+        return False
     if exists(spark, f"{path}/dictionaries"):
-        listed = spark.read.parquet(f"{path}/dictionaries")
-        if not listed.where(F.col(banks.IMPORT) == f"id-{import_id}").isEmpty():
-            return False
-        known = listed.select("title")
+        known = banks.read_table(spark, path, "dictionaries").select("title")
     work = scratch(spark)
     try:
         banks.write_dictionaries(banks.import_dictionaries(banks.route_entries(batch), known, work), path, import_id)

@@ -249,3 +249,75 @@ def test_large_archives_are_split(spark):
     assert names.count("a") > 1 and names.count("b") == 1
     tags = B.parse_tag_bank(B.bank_items(B.route_entries(unpacked(spark, banks, most=4)), "tag_bank"))
     assert sorted((r.archive, r.tag) for r in tags.select("archive", "tag").collect()) == sorted((a, f"n{i}") for i, (a, _) in enumerate(items))
+
+
+def _zip(files: dict[str, str]) -> bytes:
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in files.items():
+            z.writestr(name, text)
+    return buffer.getvalue()
+
+
+def _dictionary(title: str, *terms: str, definition: str = '"d"') -> dict[str, str]:
+    items = ",".join(f'["{t}","","","",1,[{definition}],1,""]' for t in terms)
+    return {"index.json": f'{{"title":"{title}","revision":"1","format":3}}', "term_bank_1.json": f"[{items}]", "img/a.png": "png"}
+
+
+def test_broken_zips_are_reasons(spark, tmp_path):
+    """A good archive is imported beside one that is no zip, one cut short, one with a torn member and one that is encrypted."""
+    good = _zip(_dictionary("good", "a", "b"))
+    torn = bytearray(_zip(_dictionary("torn", *map(str, range(200)))))
+    at = torn.index(b"term_bank_1.json") + 40
+    torn[at : at + 20] = bytes(20)
+    locked = bytearray(_zip({"index.json": "{}"}))
+    for sign, offset in ((b"PK\x03\x04", 6), (b"PK\x01\x02", 8)):
+        locked[locked.index(sign) + offset] |= 1
+    for name, data in {"good": good, "none": b"no zip", "short": good[:-30], "torn": bytes(torn), "locked": bytes(locked)}.items():
+        (tmp_path / f"{name}.zip").write_bytes(data)
+    entries = B.route_entries(B.read_archives(spark, str(tmp_path)))
+    got = {r.archive.rsplit("/", 1)[1]: r.reason for r in B.validate_archive(entries).collect()}
+    assert got == {"good.zip": None, "none.zip": "zip", "short.zip": "zip", "torn.zip": "zip", "locked.zip": "zip"}
+    tables = B.import_dictionaries(entries)
+    assert [r.title for r in tables["dictionaries"].collect()] == ["good"] and tables["terms"].count() == 2
+    assert [(r.dictionary, r.path, bytes(r.content)) for r in tables["media"].collect()] == [("good", "img/a.png", b"png")]
+    assert B.read_archives(spark, str(tmp_path), errors=False).where(F.col("path") == B.BROKEN).count() == 0
+
+
+def test_one_title_twice(spark, tmp_path):
+    """In one batch the archive with the smallest name; of two writers the first to commit; a number without a name is passed over."""
+    frame = lambda archives: B.route_entries(spark.createDataFrame([(a, p, bytearray(c.encode())) for a, files in archives.items() for p, c in files.items()], B.ENTRY))
+    path = str(tmp_path / "t")
+    one = B.import_dictionaries(frame({"x2": _dictionary("same", "late"), "x1": _dictionary("same", "early"), "y": _dictionary("other", "o")}))
+    two = B.import_dictionaries(frame({"z": _dictionary("same", "second"), "w": _dictionary("third", "t")}))  # began before the first was published
+    B.write_dictionaries(one, path, "a")
+    (tmp_path / "t" / "commits" / "000000001").write_bytes(b"")
+    B.write_dictionaries(two, path, "b")
+    B.write_dictionaries(one, path, "a")
+    assert B.commits(spark, path) == {"id-a": 0, "id-b": 2}
+    assert sorted(r.title for r in B.read_table(spark, path, "dictionaries").collect()) == ["other", "same", "third"]
+    assert sorted((r.dictionary, r.term) for r in B.read_table(spark, path, "terms").collect()) == [("other", "o"), ("same", "early"), ("third", "t")]
+    assert sorted(r.dictionary for r in B.read_table(spark, path, "media").collect()) == ["other", "same", "third"]
+
+
+@pytest.mark.parametrize("kind,item,good", [
+    ("term_bank", '["t","","","",1,["d",{"type":"text","text":"x"},{"type":"image","path":"p"},{"type":"structured-content","content":[]},["u",["v1"]]],1,""]', True),
+    ("term_bank", '["t","","","",1,[5],1,""]', False),
+    ("term_bank", '["t","","","",1,["d",{"type":"odd"}],1,""]', False),
+    ("term_bank", '["t","","","",1,[{"type":"image"}],1,""]', False),
+    ("term_bank", '["t","","","",1,[["u"]],1,""]', False),
+    ("term_meta_bank", '["t","pitch",{"reading":"r","pitches":[{"position":0},{"position":2,"nasal":1}]}]', True),
+    ("term_meta_bank", '["t","pitch",{"reading":"r","pitches":[{"position":0},{"nasal":1}]}]', False),
+    ("term_meta_bank", '["t","pitch",{"pitches":[{"position":0}]}]', False),
+    ("term_meta_bank", '["t","ipa",{"reading":"r","transcriptions":[{"ipa":"a"},{"ipa":"b"}]}]', True),
+    ("term_meta_bank", '["t","ipa",{"reading":"r","transcriptions":[{"ipa":"a"},{"ipa":5}]}]', False),
+    ("term_meta_bank", '["t","freq",5]', True),
+])
+def test_checks_of_items(spark, kind, item, good):
+    assert B.validate_items(spark.createDataFrame([("a", item)], "archive string, item string"), kind).first().bad == (0 if good else 1)
+
+
+def test_text_behind_a_bank(spark):
+    texts = {'[["t","c",1,"n",2]]': True, ' [["t","c",1,"n",2]] \n': True, "[]": True, '[["t","c",1,"n",2]] junk': False, "[1] ]": False, "[1]}": False, "[1],[2]": False, '[1],"b":[2]': False, "[1": False, "": False, "{}": False, "5": False, "null": False}
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", B.is_array(F.col("t")).alias("ok")).collect()
+    assert {r.t: r.ok for r in got} == texts
