@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kotonoha.functions.scratch import scratch
 from kotonoha.functions.structured import structured_html
 from kotonoha.plans.deinflect import deinflect
 from kotonoha.plans.rules import Rule
@@ -121,6 +122,7 @@ def search_terms(texts: DataFrame, terms: DataFrame, column: str = "text", mode:
     return batch_lookup(plain, wanted, mode)
 
 
+# The labels in ``meta_text``, which readers of the data model see.
 def meta_text(meta: DataFrame) -> Column:
     """What a reader sees of a row of metadata: its dictionary, and below it the frequency as displayed and as it is, the pitch with its morae and tags, or the transcription with its tags. Null for an unknown type. Whole numbers are shown without decimals; columns that ``meta`` lacks count as null."""
     have = lambda c, kind: F.col(c) if c in meta.columns else F.lit(None).cast(kind)
@@ -196,11 +198,29 @@ def rank_terms(found: DataFrame, key: Sequence[str], top: int | None = None) ->
     return ranked.where(F.col("rank") <= top) if top else ranked
 
 
+def ranked(rows: DataFrame, key: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """``rows`` with their rank in ``order`` within ``key``, from 1, where a key may have any number of rows.
+
+    Rows are dealt by ranges of key and order and written so; ranks inside a range come from
+    a sort of that range alone, and the numbers of a key's rows in the ranges before it are added.
+    """
+    spark, where = rows.sparkSession, scratch(rows.sparkSession)
+    rows.repartitionByRange(*key, *order).withColumn("_range", F.spark_partition_id()).write.parquet(where)
+    dealt = spark.read.schema(f"{', '.join(f'`{c}` {kind}' for c, kind in rows.dtypes)}, _range int").parquet(where)
+    counts = dealt.groupBy(*key, "_range").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(W.partitionBy(*key).orderBy("_range")) - F.col("_n")).select(*[F.col(k).alias(f"_{k}") for k in key], F.col("_range").alias("_r"), "_before")
+    inside = dealt.withColumn("_inside", F.row_number().over(W.partitionBy(*key, "_range").orderBy(*order)))
+    same = F.col("_range") == F.col("_r")
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return inside.join(before, same).select(*rows.columns, (F.col("_before") + F.col("_inside")).alias(name))
+
+
 def rank_by_frequency(found: DataFrame, meta: DataFrame, key: Sequence[str], dictionary: str, mode: str = "occurrence") -> DataFrame:
-    """Rank within ``key`` by one frequency dictionary: small numbers first if it holds ranks, large ones first if occurrences; terms without a number come last."""
+    """Rank within ``key`` by one frequency dictionary: small numbers first if it holds ranks, large ones first if occurrences; terms without a number come last. No key is sorted in one task."""
     numbers = meta.where((F.col("meta_type") == "frequency") & (F.col("dictionary") == dictionary)).groupBy("term").agg((F.min if mode == "rank" else F.max)("frequency").alias("number"))
     order = F.col("number").asc_nulls_last() if mode == "rank" else F.col("number").desc_nulls_last()
-    return found.join(numbers, "term", "left").withColumn("rank", F.row_number().over(W.partitionBy(*key).orderBy(order, "term", "dictionary", "sequence_number")))
+    return ranked(found.join(numbers, "term", "left"), key, [order, F.col("term"), F.col("dictionary"), F.col("sequence_number")])
 
 
 def group_by_sequence(terms: DataFrame) -> DataFrame:

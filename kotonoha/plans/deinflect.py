@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kotonoha.functions.scratch import scratch_root
+from kotonoha.functions.scratch import scratch
 from kotonoha.plans.rules import CONDITIONS, SINGLE_CONDITIONS, Rule, japanese_rules, widened
 
 SCHEMA, CHAIN = "text string, cand_pos int, candidate string, conditions array<string>", "chain array<struct<transform:string,rule:int,input:string>>"
@@ -68,6 +68,23 @@ def deinflect(df: DataFrame, column: str, rules: list[Rule] | None = None, chain
     return df.select(F.col(column).alias("text")).where("text is not null").distinct().mapInPandas(run, f"{SCHEMA}, {CHAIN}" if chains else SCHEMA)
 
 
+def register_deinflect(spark: SparkSession, name: str = "deinflect", rules: list[Rule] | None = None) -> None:
+    """Make ``deinflect`` a table function of SQL: ``SELECT ... FROM texts, LATERAL deinflect(text)`` gives cand_pos, candidate, conditions and chain for each row. A null text gives none. It works on each row; make texts distinct before it."""
+    table = rules or japanese_rules()
+    longest = max(len(r.suffix) for r in table)
+
+    class Deinflect:
+        def __init__(self) -> None:
+            self.index = rule_index(table)
+
+        def eval(self, text: str) -> Iterator[tuple]:
+            if text is not None:
+                for i, (form, conditions, chain) in enumerate(candidates(text, self.index, longest)):
+                    yield i, form, list(conditions), [dict(zip(("transform", "rule", "input"), step)) for step in chain]
+
+    spark.udtf.register(name, F.udtf(Deinflect, returnType=f"{SCHEMA.split(', ', 1)[1]}, {CHAIN}", useArrow=True))
+
+
 def is_inflected(text: Column, transform: str, rules: list[Rule] | None = None) -> Column:
     """Whether a rule of ``transform`` fits the end of the text, whatever its conditions."""
     suffixes = sorted({r.suffix for r in rules or japanese_rules() if r.transform == transform})
@@ -100,21 +117,23 @@ def rules_frame(spark: SparkSession) -> DataFrame:
 def deinflect_by_joins(df: DataFrame, column: str, steps: int = MOST_STEPS) -> DataFrame:
     """As ``deinflect`` (text, cand_pos, candidate, conditions as one string), by joins with the rule table on suffixes, until no row is new. An error after more than ``steps`` rules in a row.
 
-    Each step's rows are checkpointed.
+    Each step's rows are written to a scratch table of their own, which goes when the driver ends.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(scratch_root(df.sparkSession))
+    def kept(rows: DataFrame) -> DataFrame:
+        where = scratch(df.sparkSession)
+        rows.write.parquet(where)
+        return df.sparkSession.read.schema(rows.schema).parquet(where)
+
     rules = F.broadcast(rules_frame(df.sparkSession))
     front = df.select(F.col(column).alias("text")).where("text is not null").distinct().withColumns({"candidate": F.col("text"), "held": F.lit(""), "conditions": F.lit(""), "path": F.array().cast("array<int>")})
-    front = front.checkpoint()
+    front = kept(front)
     out, done = front, 0
     while not front.isEmpty():
         if done > steps:
             raise ValueError(f"over {steps} rules in a row for one text: {front.first().text[:50]!r}")
         ends = front.withColumn("suffix", F.explode(F.transform(F.sequence(F.lit(1), F.lit(6)), lambda n: F.when(n <= F.length("candidate"), F.right(F.col("candidate"), n))))).where("suffix is not null")
         met = ends.drop("conditions").join(rules, "suffix").where("held = '' or held = before")
-        front = met.select("text", F.concat(F.expr("left(candidate, length(candidate) - length(suffix))"), "plain").alias("candidate"), F.col("after").alias("held"), "conditions", F.concat("path", F.array(F.col("transform_no") * 100 + F.col("rule_no"))).alias("path")).checkpoint()
+        front = kept(met.select("text", F.concat(F.expr("left(candidate, length(candidate) - length(suffix))"), "plain").alias("candidate"), F.col("after").alias("held"), "conditions", F.concat("path", F.array(F.col("transform_no") * 100 + F.col("rule_no"))).alias("path")))
         out, done = out.unionByName(front), done + 1
     place = F.row_number().over(W.partitionBy("text").orderBy(F.size("path"), "path")) - 1
     return out.select("text", place.alias("cand_pos"), "candidate", "conditions")

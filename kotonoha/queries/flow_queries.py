@@ -98,6 +98,29 @@ def read_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.parse_tag_bank(B.bank_items(opened, "tag_bank")).groupBy("archive").agg(F.count("*").alias("tags"))
 
 
+@query(f"SELECT {_BRANDS_SQL} AS archive, min(p_partkey) % 3 <> 0 AS ok, CASE WHEN min(p_partkey) % 3 = 0 THEN 'zip' END AS reason FROM part GROUP BY ALL")
+def validate_zips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives as zips, of which those whose first part three divides are cut short; the others are sound."""
+    where, entries = scratch(spark), tag_entries(spark, sf_dir)
+    short = parts(spark, sf_dir).groupBy("archive").agg((F.min("p_partkey") % 3 == 0).alias("short"))
+    packed = zips(entries).withColumn("archive", F.split("path", "/")[0]).join(short, "archive")
+    B.write_files(packed.select("path", F.when(F.col("short"), F.substring("content", F.lit(1), F.length("content") - 30)).otherwise(F.col("content")).alias("content")), where)
+    opened = B.read_archives(spark, where).withColumn("archive", F.regexp_extract("archive", r"([^/]+)/[^/]+\.zip\z", 1))
+    return B.validate_archive(B.route_entries(opened))
+
+
+@query(f"""WITH a AS (SELECT {_BRANDS_SQL} AS archive, count(*) AS n FROM part GROUP BY ALL), f AS (SELECT left(archive, 6) AS dictionary, min(archive) AS archive FROM a GROUP BY left(archive, 6))
+    SELECT f.dictionary, n FROM f JOIN a USING (archive)""")
+def import_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several archives have one title; two writers who know nothing of each other publish them all. Each title is there once, with the tags of its first archive."""
+    where, entries = scratch(spark), tag_entries(spark, sf_dir)
+    titled = F.when(F.col("path") == "index.json", F.regexp_replace(F.col("content").cast("string"), '"title":"(.{6})[^"]*"', '"title":"$1"').cast("binary")).otherwise(F.col("content"))
+    tables = B.import_dictionaries(B.route_entries(entries.withColumn("content", titled)))
+    for writer in ("one", "two"):
+        B.write_dictionaries({name: tables[name] for name in ("dictionaries", "tags")}, f"{where}/tables", writer)
+    return B.read_table(spark, f"{where}/tables", "tags").groupBy("dictionary").agg(F.count("*").alias("n"))
+
+
 #: Documents of a book: their ids share all but what is under this.
 BOOK_IDS = 1_000
 #: A document in so many begins a chapter.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kotonoha.operators import search as S
 from kotonoha.plans.deinflect import deinflect as deinflected
-from kotonoha.plans.deinflect import deinflect_by_joins, is_inflected as ends_in
+from kotonoha.plans.deinflect import deinflect_by_joins, is_inflected as ends_in, register_deinflect
 from kotonoha.plans.deinflect import filter_by_conditions as fitting
 from kotonoha.plans.rules import japanese_rules, widened
 from kotonoha.queries.adapters import KANA, LETTERS, META_SQL, SURFACES_SQL, TERMS_SQL, TOKENS_SQL, kana, surfaces, tags, terms, terms_meta, tokens
@@ -185,6 +185,13 @@ def deinflect_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deinflect_by_joins(surfaces(spark, sf_dir), "s")
 
 
+@query(f"WITH RECURSIVE {SURFACES_SQL}, {DEINFLECT_SQL} SELECT text, cand_pos, candidate, conditions FROM deinflected")
+def deinflect_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same candidates by the table function of SQL."""
+    register_deinflect(spark)
+    return spark.sql("SELECT t.text, d.cand_pos, d.candidate, array_join(d.conditions, ' ') AS conditions FROM {texts} t, LATERAL deinflect(t.text) d", texts=surfaces(spark, sf_dir).select(F.col("s").alias("text")))
+
+
 @query(f"{LOOKUP_SQL} SELECT text, cand_pos, term, dictionary, sequence_number FROM found")
 def deinflect_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found(spark, sf_dir).select("text", "cand_pos", "term", "dictionary", "sequence_number")
@@ -231,7 +238,7 @@ def rank_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.rank_terms(distinct, ["text"], top=3).select("text", *_ENTRY, "rank")
 
 
-@query(f"WITH {TOKENS_SQL}, {META_SQL}, {TERMS_SQL}, n AS (SELECT term, max(frequency) AS number FROM meta WHERE meta_type = 'frequency' AND dictionary = 'freq1' GROUP BY term) SELECT term, dictionary, sequence_number, number, row_number() OVER (PARTITION BY dictionary ORDER BY number DESC NULLS LAST, term, dictionary, sequence_number)::INT AS rank FROM terms LEFT JOIN n USING (term)")
+@query(f"WITH {TOKENS_SQL}, {META_SQL}, {TERMS_SQL}, n AS (SELECT term, max(frequency) AS number FROM meta WHERE meta_type = 'frequency' AND dictionary = 'freq1' GROUP BY term) SELECT term, dictionary, sequence_number, number, row_number() OVER (PARTITION BY dictionary ORDER BY number DESC NULLS LAST, term, dictionary, sequence_number) AS rank FROM terms LEFT JOIN n USING (term)")
 def rank_by_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.rank_by_frequency(terms(spark, sf_dir), terms_meta(spark, sf_dir), ["dictionary"], "freq1").select(*_ENTRY, "number", "rank")
 
