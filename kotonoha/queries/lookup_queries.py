@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kotonoha.functions.scratch import scratch
 from kotonoha.operators import search as S
 from kotonoha.plans.deinflect import deinflect as deinflected
 from kotonoha.plans.deinflect import deinflect_by_joins, is_inflected as ends_in, register_deinflect
@@ -12,6 +15,7 @@ from kotonoha.plans.deinflect import filter_by_conditions as fitting
 from kotonoha.plans.rules import japanese_rules, widened
 from kotonoha.queries.adapters import KANA, LETTERS, META_SQL, SURFACES_SQL, TERMS_SQL, TOKENS_SQL, kana, surfaces, tags, terms, terms_meta, tokens
 from kotonoha.queries.registry import query
+from kotonoha.sources.index import lookup_index, write_index
 
 #: Parts of the rows of one word where they meet the dictionary.
 SALTS = 16
@@ -122,7 +126,10 @@ def is_imported(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.are_imported(terms(spark, sf_dir).select(F.col("dictionary").alias("title")), titles).select(F.col("source").alias("title"), "imported")
 
 
-@query(f"WITH {SURFACES_SQL}, {TERMS_SQL}, q AS (SELECT DISTINCT s AS text FROM surfaces), p AS (SELECT term, dictionary, sequence_number, unnest(list_distinct(flatten(list_transform(range(1, length(term) + 1), lambda i: list_transform(range(i, length(term) + 1), lambda j: term[i:j]))))) AS part FROM terms) SELECT text, term, dictionary, sequence_number FROM q JOIN p ON text = part")
+_CONTAINED_SQL = f"WITH {SURFACES_SQL}, {TERMS_SQL}, q AS (SELECT DISTINCT s AS text FROM surfaces), p AS (SELECT term, dictionary, sequence_number, unnest(list_distinct(flatten(list_transform(range(1, length(term) + 1), lambda i: list_transform(range(i, length(term) + 1), lambda j: term[i:j]))))) AS part FROM terms) SELECT text, term, dictionary, sequence_number FROM q JOIN p ON text = part"
+
+
+@query(_CONTAINED_SQL)
 def batch_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms that contain a surface: those that begin with it, and those that have it further on."""
     q, found = surfaces(spark, sf_dir).select(F.col("s").alias("text")), terms(spark, sf_dir)
@@ -131,6 +138,17 @@ def batch_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return begun.unionByName(inside).select("text", "term", "dictionary", "sequence_number")
 
 
+@query(_CONTAINED_SQL)
+def index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stored index of the terms."""
+    where, table = scratch(spark), f"index_{uuid.uuid4().hex}"
+    write_index(terms(spark, sf_dir), where, table, buckets=8)
+    q = surfaces(spark, sf_dir).select(F.col("s").alias("text"))
+    begun = lookup_index(q, table, "suffix", key="text")
+    inside = lookup_index(q, table, "contains", key="text").where(~F.startswith("term", "text"))
+    return begun.unionByName(inside).select("text", "term", "dictionary", "sequence_number")
+
+
 #: The texts of metadata and of headings as a reader of the dictionary sees them.
 _META_TEXT_SQL = """dictionary || '<br>' || CASE meta_type
     WHEN 'frequency' THEN concat_ws(' ', 'Frequency: ' || display_frequency, 'Actual Value: ' || frequency::BIGINT)

@@ -83,3 +83,46 @@ def test_ranks(spark, terms):
     meta = spark.createDataFrame([("食べる", "F", "frequency", 5.0), ("猫", "F", "frequency", 9.0)], "term string, dictionary string, meta_type string, frequency double")
     order = lambda mode: [r.term for r in S.rank_by_frequency(terms, meta, [], "F", mode).orderBy("rank").collect()]
     assert order("occurrence")[0] == "猫" and order("rank")[:2] == ["食べる", "食べる"]
+
+
+def test_stored_index(spark, tmp_path):
+    """The rows of ``batch_lookup`` in every mode, by a plan that moves neither table of the index."""
+    from kotonoha.sources.index import drop_index, lookup_index, write_index
+
+    terms = spark.createDataFrame([("a", 1), ("ab", 2), ("ab", 2), ("aab", 3), ("bab", 4), ("abcd", 5), ("", 6), (None, 7), ("ああい", 8)], "term string, n int")
+    queries = spark.createDataFrame([("a",), ("ab",), ("abc",), ("abcd",), ("",), (None,), ("あい",), ("x",)], "candidate string")
+    write_index(terms, str(tmp_path / "index"), "stored_index", buckets=4)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for mode in S.MODES:
+            found = lookup_index(queries, "stored_index", mode)
+            order = lambda rows: sorted(map(tuple, rows))
+            assert order(found.select("candidate", "term", "n").collect()) == order(S.batch_lookup(queries, terms, mode).select("candidate", "term", "n").collect())
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Bucketed: true") == 2 and plan.count("Exchange hashpartitioning") == 2  # of the queries, and of what they find
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+        drop_index(spark, "stored_index")
+
+
+def test_ranks_by_ranges(spark):
+    """A key with nearly all rows, ties, nulls and a key of null: ranks as one sort gives them."""
+    rows = [("k" if i % 50 else None, i * 7 % 40 if i % 9 else None, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "key string, x int, i int")
+    got = S.ranked(df, ["key"], [F.col("x").desc_nulls_last(), F.col("i").asc()])
+    want = {}
+    for k in ("k", None):
+        for n, r in enumerate(sorted((r for r in rows if r[0] == k), key=lambda r: (r[1] is None, -(r[1] or 0), r[2])), 1):
+            want[r[2]] = n
+    assert {r.i: r.rank for r in got.collect()} == want and got.columns == ["key", "x", "i", "rank"]
+    assert S.ranked(df.limit(0), ["key"], [F.col("x")]).collect() == []
+
+
+def test_deinflect_as_table_function(spark):
+    from kotonoha.plans.deinflect import deinflect, register_deinflect
+
+    df = spark.createDataFrame([("食べさせられた",), ("猫",), (None,), ("",)], "text string")
+    register_deinflect(spark, "deinflect_test")
+    got = spark.sql("SELECT t.text, d.* FROM {df} t, LATERAL deinflect_test(t.text) d", df=df).collect()
+    assert sorted(map(str, got)) == sorted(map(str, deinflect(df, "text").collect()))
