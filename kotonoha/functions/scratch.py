@@ -44,3 +44,15 @@ def clear(spark: SparkSession, path: str) -> None:
         raise ValueError(f"not a scratch folder: {path}")
     files.delete(folder, True)
     files.cancelDeleteOnExit(folder)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder and what it holds, if it is there."""
+    files, folder = _folder(spark, path)
+    files.delete(folder, True)
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """The names of what a folder holds."""
+    files, folder = _folder(spark, path)
+    return [status.getPath().getName() for status in files.listStatus(folder)]

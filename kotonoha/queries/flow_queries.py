@@ -227,6 +227,17 @@ def import_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.read_table(spark, f"{where}/tables", "tags").groupBy("dictionary").agg(F.count("*").alias("n"))
 
 
+@query(_TAGS_SQL)
+def import_split_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries of each archive arrive in several batches; it is imported once, when it is whole."""
+    where = scratch(spark)
+    tag_entries(spark, sf_dir).withColumn("file", F.pmod(F.xxhash64("archive", "path"), F.lit(3))).repartition(3, "file").write.partitionBy("file").parquet(f"{where}/in")
+    stream = spark.readStream.schema(B.ENTRY).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{where}/in")
+    P.held_import_stream(stream, f"{where}/tables", f"{where}/checkpoint", quiet=3).awaitTermination()
+    P.finish_held(spark, f"{where}/tables", f"{where}/checkpoint")
+    return B.read_table(spark, f"{where}/tables", "tags").groupBy("dictionary").agg(F.count("*").alias("n"))
+
+
 @query(_TAGS_SQL)
 def import_again(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One batch of archives three times under one id: broken off before it is published, whole, and once more. The tags are there once."""

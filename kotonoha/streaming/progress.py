@@ -5,11 +5,11 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from kotonoha.functions.scratch import clear, exists, scratch
+from kotonoha.functions.scratch import clear, exists, listed, remove, scratch
 from kotonoha.sources import banks
 
 
@@ -49,6 +49,62 @@ def import_stream(entries: DataFrame, path: str, checkpoint: str, after: Callabl
     return entries.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def held_import_stream(entries: DataFrame, path: str, checkpoint: str, quiet: int = 1, patience: int = 100, after: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
+    """As ``import_stream`` for archives whose entries may arrive in several batches.
+
+    Entries wait under ``path`` until their archive has an index, a bank and banks numbered without
+    a gap, and nothing of it came in the last ``quiet`` batches; then it is imported, once. An
+    archive that is still incomplete after ``patience`` batches without an entry is given up. Both are settled
+    (``settled``: archive, imported), and what comes later of them is left out. Waiting entries
+    of settled archives are removed. ``finish_held`` settles what waits when a stream has ended.
+    """
+
+    def one(batch: DataFrame, number: int) -> None:
+        banks.route_entries(batch.select("archive", "path", "content")).write.mode("overwrite").parquet(f"{path}/waiting/batch={number}")
+        _settle(batch.sparkSession, path, checkpoint, number, number - quiet, number - patience, after)
+
+    return entries.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def finish_held(spark: SparkSession, path: str, checkpoint: str, after: Callable[[DataFrame], None] | None = None) -> None:
+    """Import complete archives that still wait after their stream has ended, and give up the others."""
+    if exists(spark, f"{path}/waiting"):
+        number = 1 + max(spark.read.schema("batch int").parquet(f"{path}/{name}").agg(F.coalesce(F.max("batch"), F.lit(-1))).first()[0] for name in ("waiting", "settled"))
+        _settle(spark, path, checkpoint, number, number, number, after)
+
+
+def settled(spark: SparkSession, path: str) -> DataFrame:
+    """(archive, imported, batch) of the archives that ``held_import_stream`` is done with."""
+    if not exists(spark, f"{path}/settled"):
+        return spark.createDataFrame([], _SETTLED)
+    return spark.read.schema(_SETTLED).parquet(f"{path}/settled")
+
+
+_SETTLED = "archive string, imported boolean, batch int"
+
+
+def _settle(spark: SparkSession, path: str, checkpoint: str, number: int, quiet_since: int, given_up_since: int, after: Callable[[DataFrame], None] | None) -> None:
+    """Settle what is ready with a batch. What is settled is written first, and a batch that comes again keeps to it; the import has an id, so it isn't done twice."""
+    stream, where = hashlib.md5(checkpoint.encode()).hexdigest()[:8], f"{path}/settled/batch={number}"
+    done = settled(spark, path).where(F.col("batch") != number).select("archive")
+    waiting = spark.read.schema(f"{banks.ENTRY}, kind string, bank_no int, batch int").parquet(f"{path}/waiting").join(done, "archive", "left_anti")
+    if not exists(spark, f"{where}/_SUCCESS"):
+        gaps = banks.bank_contiguity(waiting.dropDuplicates(["archive", "path"])).groupBy("archive").agg(F.bool_and("contiguous").alias("whole"))
+        seen = waiting.groupBy("archive").agg(F.max("batch").alias("last"), F.bool_or(F.col("kind") == "index").alias("indexed")).join(gaps, "archive", "left")
+        complete = F.col("indexed") & F.coalesce("whole", F.lit(False))
+        over = (complete & (F.col("last") <= quiet_since)) | (~complete & (F.col("last") <= given_up_since))
+        seen.where(over).select("archive", complete.alias("imported")).write.mode("overwrite").parquet(where)
+    now = settled(spark, path).where((F.col("batch") == number) & F.col("imported")).select("archive")
+    if not now.isEmpty():
+        ready = waiting.join(now, "archive", "left_semi").dropDuplicates(["archive", "path"])
+        import_batch(ready.select("archive", "path", "content"), path, f"{stream}-held-{number}", after)
+    left = waiting.join(settled(spark, path).select("archive"), "archive", "left_anti").select("batch").distinct()
+    kept = {row.batch for row in left.collect()}  # a row for each batch that waits
+    for name in listed(spark, f"{path}/waiting"):
+        if name.startswith("batch=") and int(name.removeprefix("batch=")) not in kept:
+            remove(spark, f"{path}/waiting/{name}")
+
+
 def import_batch(batch: DataFrame, path: str, import_id: str, after: Callable[[DataFrame], None] | None = None) -> bool:
     """Import archive entries once under ``import_id``; false if that was published before."""
     spark, known = batch.sparkSession, None

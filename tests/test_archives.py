@@ -321,3 +321,27 @@ def test_text_behind_a_bank(spark):
     texts = {'[["t","c",1,"n",2]]': True, ' [["t","c",1,"n",2]] \n': True, "[]": True, '[["t","c",1,"n",2]] junk': False, "[1] ]": False, "[1]}": False, "[1],[2]": False, '[1],"b":[2]': False, "[1": False, "": False, "{}": False, "5": False, "null": False}
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", B.is_array(F.col("t")).alias("ok")).collect()
     assert {r.t: r.ok for r in got} == texts
+
+
+def test_archives_in_several_batches(spark, tmp_path):
+    """Three batches: one archive comes in all of them, one in the first, one never gets its index; a late entry of a settled archive is left out."""
+    bank = lambda t: f'[["{t}","","","",1,["d"],1,""]]'
+    index = lambda t: f'{{"title":"{t}","revision":"1","format":3}}'
+    batches = [
+        [("slow", "term_bank_1.json", bank("s1")), ("fast", "index.json", index("fast")), ("fast", "term_bank_1.json", bank("f")), ("lost", "term_bank_1.json", bank("l"))],
+        [("slow", "term_bank_3.json", bank("s3")), ("slow", "index.json", index("slow"))],
+        [("slow", "term_bank_2.json", bank("s2")), ("other", "index.json", index("other"))],
+        [("fast", "term_bank_2.json", bank("late"))],
+    ]
+    told: list[str] = []
+    for n, rows in enumerate(batches):
+        spark.createDataFrame([(a, p, bytearray(c.encode())) for a, p, c in rows], B.ENTRY).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(B.ENTRY).parquet(str(tmp_path / "in"))
+        P.held_import_stream(stream, str(tmp_path / "t"), str(tmp_path / "c"), quiet=1, patience=3, after=lambda new: told.extend(r.title for r in new.collect())).awaitTermination()
+        if n == 2:
+            assert told == ["fast"]
+    P.finish_held(spark, str(tmp_path / "t"), str(tmp_path / "c"), after=lambda new: told.extend(r.title for r in new.collect()))
+    assert told == ["fast", "slow"]
+    assert sorted(r.term for r in B.read_table(spark, str(tmp_path / "t"), "terms").collect()) == ["f", "s1", "s2", "s3"]
+    assert {r.archive: r.imported for r in P.settled(spark, str(tmp_path / "t")).collect()} == {"fast": True, "slow": True, "lost": False, "other": False}
+    assert not list((tmp_path / "t" / "waiting").glob("batch=*"))
