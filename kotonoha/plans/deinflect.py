@@ -137,3 +137,25 @@ def deinflect_by_joins(df: DataFrame, column: str, steps: int = MOST_STEPS) -> D
         out, done = out.unionByName(front), done + 1
     place = F.row_number().over(W.partitionBy("text").orderBy(F.size("path"), "path")) - 1
     return out.select("text", place.alias("cand_pos"), "candidate", "conditions")
+
+
+_STEPS_SQL = """WITH RECURSIVE step(text, candidate, held, conditions, path) MAX RECURSION LEVEL {levels} AS (
+        SELECT text, text, '', '', CAST(array() AS ARRAY<INT>) FROM {{texts}}
+        UNION ALL
+        SELECT /*+ BROADCAST(r) */ s.text, left(s.candidate, length(s.candidate) - w) || r.plain, r.after, r.conditions, s.path || array(r.transform_no * 100 + r.rule_no)
+        FROM (SELECT *, explode(sequence(1, least({longest}, greatest(length(candidate), 1)))) AS w FROM step) s JOIN {{rules}} r ON right(s.candidate, w) = r.suffix
+        WHERE w <= length(s.candidate) AND (s.held = '' OR s.held = r.before))
+    SELECT text, CAST(row_number() OVER (PARTITION BY text ORDER BY size(path), path) - 1 AS INT) AS cand_pos, candidate, conditions FROM step"""
+
+
+def deinflect_recursive(df: DataFrame, column: str, steps: int = MOST_STEPS) -> DataFrame:
+    """As ``deinflect_by_joins``, as one recursive query: nothing runs before its result is asked for. An error after more than ``steps`` rules in a row.
+
+    Spark keeps each step's rows as cached blocks and ends with an error where all have over
+    ``spark.sql.cteRecursionRowLimit`` rows, so that a session with more sets it (-1: no limit).
+    """
+    spark = df.sparkSession
+    rules = rules_frame(spark)
+    longest = max(len(r.suffix) for r in japanese_rules())
+    texts = df.select(F.col(column).alias("text")).where("text is not null").distinct()
+    return spark.sql(_STEPS_SQL.format(levels=steps + 1, longest=longest), texts=texts, rules=rules)

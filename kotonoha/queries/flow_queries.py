@@ -19,7 +19,7 @@ from kotonoha.queries.adapters import HIRA, KATA, SURFACES_SQL, surfaces, table
 from kotonoha.queries.bank_queries import archives_of, item, js, parts
 from kotonoha.queries.registry import query
 from kotonoha.sources import banks as B
-from kotonoha.sources import epub
+from kotonoha.sources import epub, members
 from kotonoha.streaming import progress as P
 
 _WIDE = Preprocessor("width", [T.to_fullwidth_alnum])
@@ -98,6 +98,19 @@ def read_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.parse_tag_bank(B.bank_items(opened, "tag_bank")).groupBy("archive").agg(F.count("*").alias("tags"))
 
 
+@query(f"SELECT {_BRANDS_SQL} AS archive, count(*) AS tags, 1::BIGINT AS indexed FROM part GROUP BY ALL")
+def read_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same banks by the directories of their zips: members are dealt to tasks by where they lie, pictures are left out before they are read."""
+    where, entries = scratch(spark), tag_entries(spark, sf_dir)
+    picture = entries.where("path = 'index.json'").select("archive", F.lit("img/p.png").alias("path"), F.repeat(F.lit("png"), 5_000).cast("binary").alias("content"))
+    B.write_files(zips(entries.unionByName(picture)), where)
+    wanted = B.route_entries(members.zip_members(spark, where)).where("kind <> 'media'")
+    opened = members.read_members(wanted, split=4_096).withColumn("archive", F.regexp_extract("archive", r"([^/]+)/[^/]+\.zip\z", 1))
+    routed = B.route_entries(opened)
+    tags = B.parse_tag_bank(B.bank_items(routed, "tag_bank")).groupBy("archive").agg(F.count("*").alias("tags"))
+    return tags.join(routed.where("kind = 'index'").groupBy("archive").agg(F.count("*").alias("indexed")), "archive")
+
+
 @query(f"SELECT {_BRANDS_SQL} AS archive, min(p_partkey) % 3 <> 0 AS ok, CASE WHEN min(p_partkey) % 3 = 0 THEN 'zip' END AS reason FROM part GROUP BY ALL")
 def validate_zips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives as zips, of which those whose first part three divides are cut short; the others are sound."""

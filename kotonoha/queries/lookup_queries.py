@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kotonoha.functions.scratch import scratch
 from kotonoha.operators import search as S
 from kotonoha.plans.deinflect import deinflect as deinflected
-from kotonoha.plans.deinflect import deinflect_by_joins, is_inflected as ends_in, register_deinflect
+from kotonoha.plans.deinflect import deinflect_by_joins, deinflect_recursive, is_inflected as ends_in, register_deinflect
 from kotonoha.plans.deinflect import filter_by_conditions as fitting
 from kotonoha.plans.rules import japanese_rules, widened
 from kotonoha.queries.adapters import KANA, LETTERS, META_SQL, SURFACES_SQL, TERMS_SQL, TOKENS_SQL, kana, surfaces, tags, terms, terms_meta, tokens
@@ -203,6 +203,13 @@ def deinflect_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deinflect_by_joins(surfaces(spark, sf_dir), "s")
 
 
+@query(f"WITH RECURSIVE {SURFACES_SQL}, {DEINFLECT_SQL} SELECT text, cand_pos, candidate, conditions FROM deinflected")
+def deinflect_recursion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same candidates by a recursive query of Spark's SQL, whose number of rows isn't limited."""
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    return deinflect_recursive(surfaces(spark, sf_dir), "s")
+
+
 @query(f"WITH RECURSIVE {SURFACES_SQL}, {DEINFLECT_SQL} SELECT text, cand_pos, candidate, conditions FROM deinflected")
 def deinflect_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same candidates by the table function of SQL."""

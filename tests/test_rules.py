@@ -62,3 +62,15 @@ def test_joins_end_where_no_row_is_new(spark):
     assert {(r.text, r.cand_pos, r.candidate, r.conditions) for r in D.deinflect_by_joins(df, "w").collect()} == a
     with pytest.raises(ValueError):
         D.deinflect_by_joins(df, "w", steps=8)
+
+
+def test_recursive_query(spark):
+    """The same rows as by joins, nothing run before they are asked for."""
+    df = spark.createDataFrame([("食べさせられた",), ("食べさせられた",), ("た",), ("",), (None,), ("高くなかった",)], "w string")
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    before = jobs()
+    got = D.deinflect_recursive(df, "w")
+    assert jobs() == before
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, D.deinflect_by_joins(df, "w").select(*got.columns).collect()))
+    with pytest.raises(Exception, match="RECURSION_LEVEL_LIMIT"):
+        D.deinflect_recursive(df, "w", steps=2).collect()
