@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from kotonoha.functions import text as T
 from kotonoha.functions.scratch import scratch
@@ -106,7 +108,8 @@ def read_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     B.write_files(zips(entries.unionByName(picture)), where)
     wanted = B.route_entries(members.zip_members(spark, where)).where("kind <> 'media'")
     opened = members.read_members(wanted, split=4_096).withColumn("archive", F.regexp_extract("archive", r"([^/]+)/[^/]+\.zip\z", 1))
-    routed = B.route_entries(opened)
+    opened.write.parquet(f"{where}-read")
+    routed = B.route_entries(spark.read.schema(B.ENTRY).parquet(f"{where}-read"))
     tags = B.parse_tag_bank(B.bank_items(routed, "tag_bank")).groupBy("archive").agg(F.count("*").alias("tags"))
     return tags.join(routed.where("kind = 'index'").groupBy("archive").agg(F.count("*").alias("indexed")), "archive")
 
@@ -227,6 +230,60 @@ def progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("book").agg(F.max_by(F.struct("progress", "n"), "batch").alias("s")).select("book", "s.progress", "s.n")
 
 
+#: ``events`` in three steps by their day; of the first ten days some come last, and with ``mixed`` a seventh of all comes one step late.
+_STEP_SQL = "least((day(ts) - 1) // 10, 2)"
+_ARRIVED_SQL = "CASE WHEN event_id % 50 = 0 AND {step} = 0 THEN 2 {mixed}ELSE {step} END"
+_MIXED_SQL = "WHEN event_id % 7 = 0 THEN least({step} + 1, 2) "
+
+
+def _arrivals_sql(mixed: bool) -> str:
+    """Events with their step and ``mark``, the last time of the steps before."""
+    step = _ARRIVED_SQL.format(step=_STEP_SQL, mixed=_MIXED_SQL.format(step=_STEP_SQL) if mixed else "")
+    return f"a AS (SELECT *, ({step})::INT AS step FROM events), m AS (SELECT step, max(ts) AS top FROM a GROUP BY step), e AS (SELECT a.*, (SELECT max(top) FROM m WHERE m.step < a.step) AS mark FROM a)"
+
+
+def streamed(spark: SparkSession, sf_dir: str, mixed: bool, run: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Let ``run`` read ``events`` as a stream, of which each step arrives when the one before has been read."""
+    where = scratch(spark)
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    step = F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2))
+    arrived = F.when((F.col("event_id") % 50 == 0) & (step == 0), 2)
+    arrived = (arrived.when(F.col("event_id") % 7 == 0, F.least(step + 1, F.lit(2))) if mixed else arrived).otherwise(step)
+    for n in range(3):
+        events.where(arrived == n).write.mode("append").parquet(where)
+        run(spark.readStream.schema(events.schema).parquet(where)).awaitTermination()
+
+
+@query(f"""WITH {_arrivals_sql(True)} SELECT time_bucket(INTERVAL 1 hour, ts) AS start, user_id AS book, count(*) AS n, round(sum(value), 2) AS total FROM e
+    WHERE (mark IS NULL OR time_bucket(INTERVAL 1 hour, ts) + INTERVAL 1 hour > mark - INTERVAL 2 hour) AND time_bucket(INTERVAL 1 hour, ts) + INTERVAL 1 hour <= (SELECT max(ts) FROM events) - INTERVAL 2 hour GROUP BY ALL""")
+def heartbeat_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours of the events in time, appended when the watermark has passed them; a seventh of the events comes out of order."""
+    where = scratch(spark)
+    streamed(spark, sf_dir, True, lambda events: P.append_stream(P.heartbeats(events), f"{where}/out", f"{where}/checkpoint"))
+    return spark.read.parquet(f"{where}/out").withColumns({"start": F.col("start").cast("timestamp_ntz"), "total": F.round("total", 2)})
+
+
+@query(f"""WITH {_arrivals_sql(False)}, g AS (SELECT *, lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 12 hour AS opens FROM e WHERE mark IS NULL OR ts + INTERVAL 12 hour > mark - INTERVAL 2 hour WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    s AS (SELECT *, sum(opens::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS no FROM g)
+    SELECT user_id AS book, min(ts) AS start, max(ts) AS last, floor(arg_max(value, row(ts, event_id)) / 100 * 1000 + 0.5) / 10 AS progress, count(*) AS n FROM s GROUP BY user_id, no
+    HAVING max(ts) + INTERVAL 12 hour <= (SELECT max(ts) FROM events) - INTERVAL 2 hour""")
+def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of reading, appended when they are over; late events are ignored."""
+    where = scratch(spark)
+    streamed(spark, sf_dir, False, lambda events: P.append_stream(P.reading_sessions(events), f"{where}/out", f"{where}/checkpoint"))
+    return spark.read.parquet(f"{where}/out").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "last")})
+
+
+@query(f"WITH {_arrivals_sql(True)} SELECT event_id, user_id, coalesce(ts < mark - INTERVAL 2 hour, false) AS late FROM e")
+def late_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as a stream tells those in time from those that are late."""
+    where = scratch(spark)
+    schema = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).schema
+    streamed(spark, sf_dir, True, lambda events: P.split_late_stream(events, f"{where}/out", f"{where}/checkpoint"))
+    told = [P.split_events(spark, f"{where}/out", schema, late).select("event_id", "user_id", F.lit(late).alias("late")) for late in (True, False)]
+    return told[0].unionByName(told[1])
+
+
 _TAGS_SQL = f"SELECT {_BRANDS_SQL} AS dictionary, count(*) AS n FROM part GROUP BY ALL"
 
 

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from kotonoha.functions.scratch import clear, exists, listed, remove, scratch
 from kotonoha.sources import banks
@@ -30,6 +31,47 @@ def heartbeats(events: DataFrame, window: str = "1 hour", late: str = "2 hours")
     return grouped.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "book", "n", "total")
 
 
+def reading_sessions(events: DataFrame, idle: str = "12 hours", late: str = "2 hours", extent: float = 100.0) -> DataFrame:
+    """Events -> book, start, last, progress, n: a row for each stretch of a book's events without a pause of ``idle``, with the progress at its last event.
+
+    On a stream a stretch is given, and its state dropped, once no event in time can lengthen
+    it, so that state is kept for books being read alone; events out of order join what they
+    fall into, later ones than ``late`` are ignored.
+    """
+    read = events.withWatermark("ts", late).groupBy(F.session_window("ts", idle).alias("w"), F.col("user_id").alias("book"))
+    kept = read.agg(F.max_by("value", F.struct("ts", "event_id")).alias("position"), F.max("ts").alias("last"), F.count("*").alias("n"))
+    return kept.select("book", F.col("w.start").alias("start"), "last", percent(F.col("position"), F.lit(extent)).alias("progress"), "n")
+
+
+def append_stream(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append to the table ``path`` what is final of a streamed aggregate (``heartbeats``, ``reading_sessions``): each window once, when the watermark has passed its end."""
+    return rows.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def split_late_stream(events: DataFrame, path: str, checkpoint: str, late: str = "2 hours") -> StreamingQuery:
+    """Write events to ``path``, each marked whether it is ``late``: earlier than the last event of the batches before by more than ``late``. ``split_events`` reads them.
+
+    Watermarks drop such events without a trace. Events without a time are late. A batch that
+    comes again overwrites its own files; it needs no more than the mark of the batch before.
+    """
+
+    def one(batch: DataFrame, number: int) -> None:
+        spark, where = batch.sparkSession, f"{path}/events/batch={number}"
+        before = spark.read.schema("mark timestamp").parquet(f"{path}/marks/batch={number - 1}").first().mark if number else None
+        overdue = F.lit(False) if before is None else F.col("ts") < F.lit(before) - F.expr(f"interval {late}")
+        batch.withColumn("late", F.coalesce(overdue | F.col("ts").isNull(), F.lit(True))).write.mode("overwrite").partitionBy("late").parquet(where)
+        own = spark.read.schema(batch.schema).parquet(where).agg(F.greatest(F.max("ts"), F.lit(before).cast("timestamp")).alias("mark"))
+        own.write.mode("overwrite").parquet(f"{path}/marks/batch={number}")
+
+    return events.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def split_events(spark: SparkSession, path: str, schema: StructType, late: bool) -> DataFrame:
+    """The events that ``split_late_stream`` found late, or those in time."""
+    every = StructType([*schema.fields, StructField("batch", IntegerType()), StructField("late", BooleanType())])
+    return spark.read.schema(every).parquet(f"{path}/events").where(F.col("late") == late).drop("batch", "late")
+
+
 def progress_stream(events: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None]) -> StreamingQuery:
     """Run ``latest_progress`` on what has arrived; each batch of changed books goes to ``sink``."""
     return latest_progress(events).writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
