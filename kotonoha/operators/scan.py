@@ -35,6 +35,8 @@ class Endings:
     """
 
     def __init__(self, rules: list[Rule], terms: dict[str, frozenset[str]], fits: dict[str, frozenset[str]], longest: int):
+        if any(rule.front for rule in rules):
+            raise ValueError("endings have no rules for prefixes")
         self.index, self.terms, self.fits, self.window = rule_index(rules), terms, fits, longest
         self.longest = max(map(len, self.index), default=0)
         self.partial = {s[k:] for s in self.index for k in range(1, len(s) + 1)}  # what a rule may need more text to the left of

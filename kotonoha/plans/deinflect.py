@@ -22,16 +22,18 @@ MOST_CANDIDATES = 1000
 MOST_STEPS = 64
 
 
-def rule_index(rules: list[Rule]) -> dict[str, list[tuple]]:
-    """Suffix -> its rules: place in the table, the rule, and what its conditions before and after widen to."""
+def rule_index(rules: list[Rule], front: bool = False) -> dict[str, list[tuple]]:
+    """Suffix (or with ``front`` prefix) -> its rules: place in the table, the rule, and what its conditions before and after widen to."""
     index: dict[str, list] = {}
     for place, rule in enumerate(rules):
+        if rule.front != front:
+            continue
         index.setdefault(rule.suffix, []).append((place, rule, widened(rule.before), widened(rule.after)))
     return index
 
 
-def candidates(text: str, index: dict, longest: int, most: int = MOST_CANDIDATES) -> list[tuple[str, tuple[str, ...], tuple]]:
-    """The text itself and all that rules lead to, breadth first; within one step in the order of the rule table. Equal results are not merged."""
+def candidates(text: str, index: dict, longest: int, most: int = MOST_CANDIDATES, fronts: dict | None = None) -> list[tuple[str, tuple[str, ...], tuple]]:
+    """The text itself and all that rules lead to, breadth first; within one step in the order of the rule table. Equal results are not merged. ``fronts`` is the index of rules for prefixes."""
     found: list[tuple[str, tuple[str, ...], tuple]] = [(text, (), ())]
     holds: list[frozenset[str]] = [frozenset()]
     for (form, _, chain), held in zip(found, holds):  # both grow while they are read
@@ -39,9 +41,12 @@ def candidates(text: str, index: dict, longest: int, most: int = MOST_CANDIDATES
         for n in range(1, min(longest, len(form)) + 1):
             if (hits := index.get(form[-n:])) is not None:
                 fitting += [hit for hit in hits if not held or hit[2] == held]
+            if fronts and (hits := fronts.get(form[:n])) is not None:
+                fitting += [hit for hit in hits if not held or hit[2] == held]
         fitting.sort(key=itemgetter(0))
         for _, rule, _, after in fitting:
-            found.append((form[: len(form) - len(rule.suffix)] + rule.plain, rule.after, (*chain, (rule.transform, rule.rule_no, form))))
+            left = rule.plain + form[len(rule.suffix) :] if rule.front else form[: len(form) - len(rule.suffix)] + rule.plain
+            found.append((left, rule.after, (*chain, (rule.transform, rule.rule_no, form))))
             holds.append(after)
         if len(found) > most:
             raise ValueError(f"over {most} candidates for one text: {text[:50]!r}")
@@ -57,9 +62,9 @@ def deinflect(df: DataFrame, column: str, rules: list[Rule] | None = None, chain
     longest = max(len(r.suffix) for r in table)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = rule_index(table)
+        index, fronts = rule_index(table), rule_index(table, front=True)
         for frame in frames:
-            found = [(text, i, *row) for text in frame["text"] for i, row in enumerate(candidates(text, index, longest))]
+            found = [(text, i, *row) for text in frame["text"] for i, row in enumerate(candidates(text, index, longest, fronts=fronts))]
             out = pd.DataFrame([row[:4] for row in found], columns=["text", "cand_pos", "candidate", "conditions"])
             if chains:
                 out["chain"] = [[dict(zip(("transform", "rule", "input"), step)) for step in row[4]] for row in found]
@@ -75,22 +80,23 @@ def register_deinflect(spark: SparkSession, name: str = "deinflect", rules: list
 
     class Deinflect:
         def __init__(self) -> None:
-            self.index = rule_index(table)
+            self.index, self.fronts = rule_index(table), rule_index(table, front=True)
 
         def eval(self, text: str) -> Iterator[tuple]:
             if text is not None:
-                for i, (form, conditions, chain) in enumerate(candidates(text, self.index, longest)):
+                for i, (form, conditions, chain) in enumerate(candidates(text, self.index, longest, fronts=self.fronts)):
                     yield i, form, list(conditions), [dict(zip(("transform", "rule", "input"), step)) for step in chain]
 
     spark.udtf.register(name, F.udtf(Deinflect, returnType=f"{SCHEMA.split(', ', 1)[1]}, {CHAIN}", useArrow=True))
 
 
 def is_inflected(text: Column, transform: str, rules: list[Rule] | None = None) -> Column:
-    """Whether a rule of ``transform`` fits the end of the text, whatever its conditions."""
-    suffixes = sorted({r.suffix for r in rules or japanese_rules() if r.transform == transform})
-    if not suffixes:
+    """Whether a rule of ``transform`` fits the end (or for rules of prefixes the beginning) of the text, whatever its conditions."""
+    named = {(r.front, r.suffix) for r in rules or japanese_rules() if r.transform == transform}
+    if not named:
         raise ValueError(f"no such transform: {transform}")
-    return text.rlike(rf"(?:{'|'.join(suffixes)})\z")
+    parts = [("|".join(sorted(s for front, s in named if front == side)), pattern) for side, pattern in ((False, r"(?:{})\z"), (True, r"\A(?:{})"))]
+    return text.rlike("|".join(pattern.format(some) for some, pattern in parts if some))
 
 
 def fitting_rules() -> dict[str, list[str]]:

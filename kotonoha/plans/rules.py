@@ -47,6 +47,8 @@ KANSAI_KU = [
 
 @dataclass(frozen=True)
 class Rule:
+    """``suffix`` at the end of a form gives way to ``plain``; with ``front`` both stand at its beginning instead."""
+
     transform: str
     transform_no: int
     rule_no: int
@@ -54,6 +56,7 @@ class Rule:
     plain: str
     before: tuple[str, ...]
     after: tuple[str, ...]
+    front: bool = False
 
 
 Part = tuple[str, str, tuple[str, ...]]

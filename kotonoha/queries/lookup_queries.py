@@ -12,7 +12,7 @@ from kotonoha.operators import search as S
 from kotonoha.plans.deinflect import deinflect as deinflected
 from kotonoha.plans.deinflect import deinflect_by_joins, deinflect_recursive, is_inflected as ends_in, register_deinflect
 from kotonoha.plans.deinflect import filter_by_conditions as fitting
-from kotonoha.plans.rules import japanese_rules, widened
+from kotonoha.plans.rules import Rule, japanese_rules, widened
 from kotonoha.queries.adapters import KANA, LETTERS, META_SQL, SURFACES_SQL, TERMS_SQL, TOKENS_SQL, kana, surfaces, tags, terms, terms_meta, tokens
 from kotonoha.queries.registry import query
 from kotonoha.sources.index import lookup_index, write_index
@@ -203,6 +203,18 @@ def deinflect_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deinflect_by_joins(surfaces(spark, sf_dir), "s")
 
 
+#: A prefix that goes from verbs in plain form alone, and an ending; no rule fits after the prefix is gone.
+_FRONT_RULES = [Rule("honorific", 0, 0, "お", "", ("v1",), ("adj-i",), front=True), Rule("past", 1, 0, "た", "る", (), ("v1",))]
+
+
+@query(f"""WITH {SURFACES_SQL} SELECT 'お' || s || 'た' AS text, i AS cand_pos, CASE i WHEN 0 THEN 'お' || s || 'た' WHEN 1 THEN s || 'た' WHEN 2 THEN 'お' || s || 'る' ELSE s || 'る' END AS candidate,
+    CASE i WHEN 0 THEN '' WHEN 2 THEN 'v1' ELSE 'adj-i' END AS conditions FROM (SELECT DISTINCT s FROM surfaces), (VALUES (0), (1), (2), (3)) t(i)""")
+def prefix_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Surfaces between a prefix and an ending, by a table of one rule for each."""
+    texts = surfaces(spark, sf_dir).select(F.concat(F.lit("お"), "s", F.lit("た")).alias("text"))
+    return deinflected(texts, "text", _FRONT_RULES, chains=False).select("text", "cand_pos", "candidate", F.array_join("conditions", " ").alias("conditions"))
+
+
 @query(f"WITH RECURSIVE {SURFACES_SQL}, {DEINFLECT_SQL} SELECT text, cand_pos, candidate, conditions FROM deinflected")
 def deinflect_recursion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same candidates by a recursive query of Spark's SQL, whose number of rows isn't limited."""

@@ -3,9 +3,11 @@ from __future__ import annotations
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from kotonoha.operators.scan import Endings
 from kotonoha.plans import deinflect as D
-from kotonoha.plans.rules import japanese_rules, widened
+from kotonoha.plans.rules import Rule, japanese_rules, widened
 
 COUNTS = {"-ば": 11, "-ちゃ": 17, "-しまう": 2, "-なさい": 16, "-そう": 17, "-たい": 16, "-たら": 37, "-たり": 36, "-て": 37, "-ず": 16, "causative": 19, "short causative": 17, "imperative": 20, "continuative": 35, "negative": 18, "passive": 16, "-た": 39, "-ます": 17, "potential": 14, "potential or passive": 8, "volitional": 18, "volitional slang": 17, "-まい": 9, "-おく": 6, "-いる": 8, "-え": 42, "n-slang": 5, "kansai-ben negative": 6, "kansai-ben -て": 15, "kansai-ben -く": 11}
 
@@ -74,3 +76,16 @@ def test_recursive_query(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, D.deinflect_by_joins(df, "w").select(*got.columns).collect()))
     with pytest.raises(Exception, match="RECURSION_LEVEL_LIMIT"):
         D.deinflect_recursive(df, "w", steps=2).collect()
+
+
+def test_rules_for_prefixes(spark):
+    """A rule at the front takes its prefix alone, in the order of the table, under the same conditions; the scan has no such rules."""
+    table = [Rule("past", 0, 0, "た", "る", (), ("v1",)), Rule("honorific", 1, 0, "お", "", ("v1",), ("adj-i",), front=True), Rule("reading", 2, 0, "御", "お", (), (), front=True)]
+    rows = D.deinflect(spark.createDataFrame([("お見せた",), ("見せお",), ("お",)], "w string"), "w", table).collect()
+    assert sorted((r.text, r.cand_pos, r.candidate) for r in rows) == [("お", 0, "お"), ("お", 1, ""), ("お見せた", 0, "お見せた"), ("お見せた", 1, "お見せる"), ("お見せた", 2, "見せた"), ("お見せた", 3, "見せる"), ("見せお", 0, "見せお")]
+    assert [c[0] for c in D.candidates("御た", D.rule_index(table), 1, fronts=D.rule_index(table, front=True))] == ["御た", "御る", "おた", "おる", "た", "る"]
+    df = spark.createDataFrame([("おた",), ("たお",), ("お\n",), ("た\n",)], "w string")
+    assert [r.h for r in df.select(D.is_inflected(F.col("w"), "honorific", table).alias("h")).collect()] == [True, False, True, False]
+    assert [r.h for r in df.select(D.is_inflected(F.col("w"), "past", table).alias("h")).collect()] == [True, False, False, False]
+    with pytest.raises(ValueError, match="prefixes"):
+        Endings(table, {}, {}, 5)
