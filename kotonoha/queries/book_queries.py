@@ -124,6 +124,14 @@ def xhtml_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return epub.item_parts(items).select("book", "item_id", "characters", F.size("links").alias("n_links"), F.md5("body").alias("body_md5"))
 
 
+@query(rf"""WITH {PAGES_SQL}, v AS (SELECT book, item_id, unnest(range(len(hrefs)))::INT AS link_pos, unnest(hrefs) AS value FROM (SELECT book, item_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hrefs FROM spine))
+    SELECT book::VARCHAR AS book, item_id, link_pos, 'a' AS tag, 'href' AS attribute, replace(replace(replace(replace(value, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS value FROM v""")
+def xhtml_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of each page in their order, as the walk over its markup finds them."""
+    walked = epub.item_parts(pages(spark, sf_dir).select("book", "item_id", "html"))
+    return walked.select("book", "item_id", F.posexplode("links").alias("link_pos", "l")).select("book", "item_id", "link_pos", "l.tag", "l.attribute", "l.value")
+
+
 _BOOKS_SQL = f"books AS (SELECT md5(text) AS file_hash, split_part(text, chr(10), 1) AS primary_title, (['epub', 'manga', 'mokuro'])[doc_id % 3 + 1] AS type, length(regexp_replace(text, '[^{T.COUNTED_CLASS}]', '', 'g'))::BIGINT AS length, (doc_id % 100)::DOUBLE AS current_progress, doc_id, source FROM documents)"
 
 
