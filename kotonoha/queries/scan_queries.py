@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kotonoha.functions.batches import tasks
 from kotonoha.operators import scan as S
 from kotonoha.plans.rules import japanese_rules
 from kotonoha.queries.adapters import KANA, LETTERS, TERMS_SQL, kana, table, terms
@@ -36,16 +37,16 @@ _SOURCES_SQL = f"""{TERMS_SQL}, rules(suffix, plain, before, after, conditions)
 
 def running(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` in kana without anything between words, dealt to tasks: a scan is work for the processor, and small tables come in one file."""
-    return table(spark, sf_dir, "documents").repartition("doc_id").select("doc_id", kana(F.regexp_replace(F.lower("text"), "[^a-z]", "")).alias("text"))
+    return table(spark, sf_dir, "documents").repartition(tasks(spark), "doc_id").select("doc_id", kana(F.regexp_replace(F.lower("text"), "[^a-z]", "")).alias("text"))
 
 
 @query(f"WITH RECURSIVE {_SOURCES_SQL} SELECT doc_id, count(*) AS places, sum(length)::BIGINT AS characters, md5(string_agg(start || ':' || length, ',' ORDER BY start)) AS digest FROM longest GROUP BY doc_id")
 def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At each place of the running texts the longest source of a term."""
-    places = S.scan_texts(running(spark, sf_dir), terms(spark, sf_dir), rules=RULES).select("doc_id", "start", "length")
-    listed = F.array_sort(F.collect_list(F.struct("start", "length")))
-    shown = F.array_join(F.transform(listed, lambda x: F.concat_ws(":", x["start"].cast("string"), x["length"].cast("string"))), ",")
-    return places.groupBy("doc_id").agg(F.count("*").alias("places"), F.sum("length").alias("characters"), F.md5(shown.cast("binary")).alias("digest"))
+    found = S.scan_lists(running(spark, sf_dir), terms(spark, sf_dir), rules=RULES, told=["start", "length"]).where(F.size("places") > 0)
+    shown = F.array_join(F.transform("places", lambda x: F.concat_ws(":", x["start"].cast("string"), x["length"].cast("string"))), ",")
+    characters = F.aggregate("places.length", F.lit(0).cast("long"), lambda n, x: n + x)
+    return found.select("doc_id", F.size("places").cast("long").alias("places"), characters.alias("characters"), F.md5(shown.cast("binary")).alias("digest"))
 
 
 @query(f"""WITH RECURSIVE {_SOURCES_SQL}, met AS (SELECT latin, count(*) AS n FROM longest GROUP BY latin)

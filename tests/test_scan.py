@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kotonoha.functions import text as T
+from kotonoha.operators import scan
 from kotonoha.operators.scan import scan_entries, scan_texts
 from kotonoha.plans.deinflect import candidates, fitting_rules, rule_index
 from kotonoha.plans.rules import japanese_rules
@@ -62,3 +63,20 @@ def test_entries_of_places(spark, terms):
 def test_no_terms_no_texts(spark, terms):
     df = spark.createDataFrame([(1, "本")], "id int, text string")
     assert scan_texts(df, terms.limit(0)).collect() == [] and scan_texts(df.limit(0), terms).collect() == []
+
+
+def test_scan_over_blocks_and_forgetting(spark, terms, monkeypatch):
+    """Places that take letters in small blocks, and endings forgotten in between, change nothing; lists hold the same places, of which only what is told comes back."""
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "id int, text string").withColumn("places", F.lit("x"))
+    whole = sorted((x.id, x.places, x.start, x.length, x.variant) for x in scan_texts(df, terms).collect())
+    rules = {t: frozenset(r) for t, _, r in TERMS if t}
+    rules["食べる"] = frozenset(["v1"])
+    monkeypatch.setattr(scan, "TOGETHER", 7)
+    monkeypatch.setattr(scan, "REMEMBERED", 3)
+    endings = scan.Endings(japanese_rules(), rules, {c: frozenset(r) for c, r in FITS.items()}, 24)
+    texts = [(i, t) for i, t in enumerate(TEXTS) if t]
+    found = endings.longest_sources([t for _, t in texts]).tolist()
+    places = [(i, start) for i, t in texts for start in range(len(t))]
+    assert [(i, start, n) for (i, start), n in zip(places, found, strict=True) if n] == [(i, start, n) for i, _, start, n, _ in whole]
+    lists = {x.id: x.places for x in scan.scan_lists(df, terms, told=["length", "start"]).collect()}
+    assert sorted((i, p.start, p.length) for i, listed in lists.items() for p in listed) == [(i, start, n) for i, _, start, n, _ in whole] and set(lists) == {i for i, _ in texts}
