@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kotonoha.functions.batches import slices
+from kotonoha.functions.scratch import scratch
 from kotonoha.operators.search import search_terms
 from kotonoha.plans.deinflect import MOST_CANDIDATES, filter_by_conditions, fitting_rules, rule_index
 from kotonoha.plans.rules import Rule, japanese_rules, widened
@@ -218,8 +219,11 @@ def scan_entries(places: DataFrame, terms: DataFrame, entry: Sequence[str], rule
     """``places`` of ``scan_texts`` with the entries that they lead to: the columns ``entry``, and ``chains``, each way that leads there once, as names of transforms.
 
     Each different variant is looked up once, however many places have it; a variant that very many have is a
-    hot key of a plain join, which AQE splits.
+    hot key of a plain join, which AQE splits. As places are read twice, and a scan is dear, they are written to a scratch table first.
     """
+    where = scratch(places.sparkSession)
+    places.write.parquet(where)
+    places = places.sparkSession.read.schema(places.schema).parquet(where)
     found = filter_by_conditions(search_terms(places, terms, "variant", chains=True, rules=rules))
     ways = found.groupBy(F.col("text").alias("variant"), *entry).agg(F.array_sort(F.collect_set(F.col("chain.transform"))).alias("chains"))
     return places.join(ways, "variant")

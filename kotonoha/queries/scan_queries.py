@@ -53,6 +53,6 @@ def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT term, dictionary, sequence_number, sum(n)::BIGINT AS places FROM met JOIN letters USING (latin) GROUP BY ALL""")
 def scan_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries, and at how many places of the running texts the longest source leads to them."""
-    found = S.scan_texts(running(spark, sf_dir), terms(spark, sf_dir), rules=RULES).groupBy("variant").agg(F.count("*").alias("n"))
+    found = S.scan_texts(running(spark, sf_dir), terms(spark, sf_dir), rules=RULES, told=["variant"]).groupBy("variant").agg(F.count("*").alias("n"))
     met = S.scan_entries(found, terms(spark, sf_dir), ["term", "dictionary", "sequence_number"], rules=RULES)
     return met.groupBy("term", "dictionary", "sequence_number").agg(F.sum("n").alias("places"))

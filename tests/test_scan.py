@@ -80,3 +80,9 @@ def test_scan_over_blocks_and_forgetting(spark, terms, monkeypatch):
     assert [(i, start, n) for (i, start), n in zip(places, found, strict=True) if n] == [(i, start, n) for i, _, start, n, _ in whole]
     lists = {x.id: x.places for x in scan.scan_lists(df, terms, told=["length", "start"]).collect()}
     assert sorted((i, p.start, p.length) for i, listed in lists.items() for p in listed) == [(i, start, n) for i, _, start, n, _ in whole] and set(lists) == {i for i, _ in texts}
+
+
+def test_scan_runs_once_for_entries(spark, terms):
+    """Entries of places read what was scanned from a table: no scan is left in their plan."""
+    met = scan_entries(scan_texts(spark.createDataFrame([(1, "本を食べた")], "id int, text string"), terms), terms, ["term"])
+    assert "mapInArrow" not in (plan := met._jdf.queryExecution().analyzed().toString()) and "MapInArrow" not in plan
