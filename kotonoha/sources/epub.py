@@ -7,10 +7,11 @@ from collections.abc import Iterator, Sequence
 from html import escape, unescape
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kotonoha.functions.batches import slices
 from kotonoha.functions.text import count_characters
 
 # Media types, package versions, and attributes that refer to files.
@@ -20,6 +21,9 @@ VERSIONS = ["2.0", "3.0"]
 REFERENCES = ("src", "href", "xlink:src", "xlink:href")
 UNCOUNTED = ("rt", "rp")
 
+#: Rows of short texts, one for each book, that may be broadcast.
+FEW = 200_000
+
 _PACKAGE = "`_version` string, manifest struct<item: array<struct<`_id`: string, `_href`: string, `_media-type`: string, `_properties`: string>>>, spine struct<`_toc`: string, itemref: array<struct<`_idref`: string>>>"
 
 
@@ -34,8 +38,14 @@ def read_epubs(entries: DataFrame) -> DataFrame:
     """(archive, path, content) -> (book, opf_path, opf) of archives whose mimetype entry names EPUB: the first package that the container lists."""
     text = entries.withColumn("xml", F.col("content").cast("string"))
     named = text.where((F.col("path") == "mimetype") & F.contains("xml", F.lit(EPUB))).select("archive")
-    roots = text.where("path = 'META-INF/container.xml'").join(named, "archive", "left_semi").select("archive", F.xpath_string("xml", F.lit(f"container/rootfiles/rootfile[@media-type='{OPF}'][1]/@full-path")).alias("path"))
-    return roots.join(text, ["archive", "path"]).select(F.col("archive").alias("book"), F.col("path").alias("opf_path"), F.col("xml").alias("opf"))
+    container = text.where("path = 'META-INF/container.xml'")
+    roots = container.join(named, "archive", "left_semi").select("archive", F.xpath_string("xml", F.lit(f"container/rootfiles/rootfile[@media-type='{OPF}'][1]/@full-path")).alias("path"))
+    return few(roots, container.count()).join(text, ["archive", "path"]).select(F.col("archive").alias("book"), F.col("path").alias("opf_path"), F.col("xml").alias("opf"))
+
+
+def few(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` marked to be broadcast if they are at most ``n`` and that isn't many, so that the contents that they meet aren't moved."""
+    return F.broadcast(rows) if n <= FEW else rows
 
 
 def _metadata(name: str) -> Column:
@@ -137,6 +147,11 @@ class _Parts(HTMLParser):
                 self.counted.append(escape(data, quote=False) if self.raw_entities else data)
 
 
+#: What a walk finds, as Arrow's types.
+_LINK = pa.struct([("tag", pa.string()), ("attribute", pa.string()), ("value", pa.string()), ("in_svg", pa.bool_())])
+_FOUND = {"counted": pa.string(), "body_class": pa.string(), "pieces": pa.list_(pa.string()), "links": pa.list_(_LINK), "stylesheets": pa.list_(pa.string())}
+
+
 def item_parts(items: DataFrame, raw_entities: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """(book, item_id, html) -> (book, item_id, characters, body_class, body, pieces, links, stylesheets), and the columns ``keep`` as they are.
 
@@ -148,18 +163,20 @@ def item_parts(items: DataFrame, raw_entities: bool = False, keep: Sequence[str]
     schema = "book string, item_id string, counted string, body_class string, pieces array<string>, links array<struct<tag:string,attribute:string,value:string,in_svg:boolean>>, stylesheets array<string>"
     schema = ", ".join([schema, *[f"`{c}` {items.schema[c].dataType.simpleString()}" for c in keep]])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for book, item, html in zip(frame["book"], frame["item_id"], frame["html"], strict=True):
-                p = _Parts(raw_entities)
-                p.feed(html or "")
-                p.close()
-                rows.append((book, item, "".join(p.counted), p.body_class, ["".join(x) for x in p.pieces], [dict(zip(("tag", "attribute", "value", "in_svg"), x)) for x in p.links], p.styles))
-            yield pd.DataFrame(rows, columns=["book", "item_id", "counted", "body_class", "pieces", "links", "stylesheets"]).assign(**{c: frame[c].to_numpy() for c in keep})
-
-    walked = items.select(F.col("book").cast("string").alias("book"), "item_id", "html", *keep).mapInPandas(run, schema)
-    return walked.select("book", "item_id", count_characters(F.col("counted")).cast("long").alias("characters"), "body_class", filled("pieces", "links.value").alias("body"), "pieces", "links", "stylesheets", *keep)
+    def walked(html: str | None) -> tuple:
+        p = _Parts(raw_entities)
+        p.feed(html or "")
+        p.close()
+        return "".join(p.counted), p.body_class, ["".join(x) for x in p.pieces], [dict(zip(("tag", "attribute", "value", "in_svg"), x)) for x in p.links], p.styles
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_size"):  # rows may be long: a batch holds a bounded number of characters, not of rows
+            found = zip(*[walked(html.as_py()) for html in batch.column("html")], strict=True)
+            arrays = [pa.array(list(values), kind) for values, kind in zip(found, _FOUND.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("book"), batch.column("item_id"), *arrays, *[batch.column(c) for c in keep]], names=["book", "item_id", *_FOUND, *keep])
+
+    given = items.select(F.col("book").cast("string").alias("book"), F.col("item_id").cast("string").alias("item_id"), F.length("html").alias("_size"), "html", *keep)
+    return given.mapInArrow(run, schema).select("book", "item_id", count_characters(F.col("counted")).cast("long").alias("characters"), "body_class", filled("pieces", "links.value").alias("body"), "pieces", "links", "stylesheets", *keep)
 
 
 def filled(pieces: str, values: str) -> Column:
