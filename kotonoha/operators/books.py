@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kotonoha.functions.batches import tasks
 from kotonoha.functions.scratch import scratch
 from kotonoha.sources import epub
 from kotonoha.sources.epub import SKIPPED, XHTML, resolve_path
@@ -131,11 +132,11 @@ def book_record(merged: DataFrame) -> DataFrame:
     return merged.select("book", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), F.regexp_extract("html", "(?s)<body>(.*)</body>", 1).alias("body"))
 
 
-def chapters_of(packages: DataFrame, manifest: DataFrame, entries: DataFrame) -> DataFrame:
-    """(book, item_id, chapter): for each item that the table of contents names, the first title it has there."""
+def chapters_of(packages: DataFrame, manifest: DataFrame, entries: DataFrame, n: int | None = None) -> DataFrame:
+    """(book, item_id, chapter): for each item that the table of contents names, the first title it has there. ``n`` is the number of packages, if it is known: where they are few the entries aren't moved."""
     listed = packages.select("book", "version", F.col("toc_id").alias("item_id")).join(manifest.select("book", "item_id", F.col("href").alias("toc_href")), ["book", "item_id"])
     files = entries.select(F.col("archive").alias("book"), F.col("path").alias("toc_href"), F.col("content").cast("string").alias("xml"))
-    contents = listed.join(files, ["book", "toc_href"])
+    contents = (listed if n is None else epub.few(listed, n)).join(files, ["book", "toc_href"])
     named = epub.toc_entries(contents.select("book", "version", "xml")).join(contents.select("book", "toc_href"), "book")
     placed = named.withColumn("href", resolve_path(F.col("toc_href"), F.regexp_replace("target", "[?#].*$", ""))).join(manifest.select("book", "href", "item_id"), ["book", "href"])
     return placed.groupBy("book", "item_id").agg(F.min_by("title", "no").alias("chapter"))
@@ -153,24 +154,27 @@ def ingest_books(entries: DataFrame, prefix: str = PREFIX, work: str | None = No
     """EPUB entries (archive, path, content) -> packages, sections (with characters, start and chapter), parts (bodies with their links rewritten), links (resolved and inlined), media, stylesheets, rejects, library and merged books.
 
     All but the packages, the library and the merged books are keyed by (book, item), so that
-    large books are many rows; a merged book is one row. XHTML files are walked once: what was found
-    in them is written to ``work`` (the scratch folder where it is not given), from which all
-    that follows reads its own columns. ``entries`` are read several times.
+    large books are many rows; a merged book is one row. Packages are read once, and XHTML files are
+    walked once: what was found in them is written to ``work`` (the scratch folder where it is not
+    given), from which all that follows reads its own columns. ``entries`` are read several times, and moved
+    once, to the places that the spines give their XHTML files.
     """
     spark, work = entries.sparkSession, work or scratch(entries.sparkSession)
-    packages = epub.parse_package(epub.read_epubs(entries))
+    def kept(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{work}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{work}/{name}")
+
+    packages = kept(epub.parse_package(epub.read_epubs(entries).repartition(tasks(spark), "book")), "packages")
     usable = packages.where("error is null")
     manifest, spine = epub.manifest_rows(usable), epub.spine_rows(usable)
     content = spine_content(resolve_spine(spine, manifest), entries)
-    kept = content.where("reject is null")
-    parts = epub.item_parts(kept.withColumn("item_href", F.col("href")), keep=["pos", "item_href"])
-    parts.write.parquet(f"{work}/parts")
-    parts = spark.read.schema(parts.schema).parquet(f"{work}/parts")
+    walked = epub.item_parts(content.where("reject is null").withColumn("item_href", F.col("href")), keep=["pos", "item_href"])
+    parts = kept(walked.drop("body"), "parts")  # the pieces hold the body
     links = parts.select("book", "item_id", "item_href", F.posexplode("links").alias("no", "l")).select("book", "item_id", "item_href", "no", "l.*")
     inlined = inline_links(resolve_links(links, manifest), spine, prefix)
     styles = parts.select("book", "pos", "item_id", F.explode("stylesheets").alias("link"), "item_href").select("book", "pos", "item_id", resolve_path(F.col("item_href"), F.col("link")).alias("href"))
     rejects = spine_rejects(spine, manifest).select("book", "item_id", F.lit("not in manifest").alias("reason")).unionByName(content.where("reject is not null").select("book", "item_id", F.col("reject").alias("reason")))
-    titled = parts.select("book", "pos", "item_id", "characters").join(chapters_of(usable, manifest, entries), ["book", "item_id"], "left")
+    titled = parts.select("book", "pos", "item_id", "characters").join(chapters_of(usable, manifest, entries, packages.count()), ["book", "item_id"], "left")
     sections = section_chapters(section_offsets(titled))
     bodies = relinked(parts, inlined).select("book", "pos", "item_id", "body_class", "body")
     merged = merge_parts(bodies.join(usable.select("book", F.get("titles", F.lit(0)).alias("title")), "book"), prefix)

@@ -5,8 +5,13 @@ from __future__ import annotations
 import pyarrow as pa
 
 from kotonoha.functions.batches import slices
+from kotonoha.functions.scratch import scratch
+from kotonoha.operators import books as K
+from kotonoha.queries.flow_queries import shelf
 from kotonoha.sources import epub
 
+SMALL = "/root/testdata/sf0.001"
+
 
 def test_slices():
     """A batch ends before its sizes add up to more than the most; a row that is larger is alone."""
@@ -19,4 +24,13 @@ def test_walk_takes_rows_by_their_size(spark):
     rows = [("b", f"i{n}", f"<html><body><p>{'x' * n}</p></body></html>", n) for n in (1, 1 << 20, 3, 2_000_000)] + [("b", "none", None, 0)]
     parts = epub.item_parts(spark.createDataFrame(rows, "book string, item_id string, html string, size int").coalesce(1), keep=["size"])
     assert {(x.item_id, x.characters) for x in parts.select("item_id", "characters", "size").where("characters = size").collect()} == {(i, n) for _, i, _, n in rows}
- rows}
+
+
+def test_ingestion_reads_packages_once_and_keeps_no_bodies(spark):
+    """Packages are a table that is read again, parts have pieces and no second copy of the text, and the table of contents doesn't move the entries."""
+    work = scratch(spark)
+    out = K.ingest_books(shelf(spark, SMALL, bodies=True), work=work)
+    assert spark.read.parquet(f"{work}/packages").count() == out["packages"].count() > 0
+    assert "body" not in (columns := spark.read.parquet(f"{work}/parts").columns) and "pieces" in columns
+    plan = out["sections"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan and out["parts"].where("body is null").isEmpty()
