@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kotonoha.functions.batches import tasks
 from kotonoha.functions.scratch import scratch
 from kotonoha.plans.rules import CONDITIONS, SINGLE_CONDITIONS, Rule, japanese_rules, widened
 
@@ -70,11 +71,16 @@ def deinflect(df: DataFrame, column: str, rules: list[Rule] | None = None, chain
                 out["chain"] = [[dict(zip(("transform", "rule", "input"), step)) for step in row[4]] for row in found]
             yield out
 
-    return df.select(F.col(column).alias("text")).where("text is not null").distinct().mapInPandas(run, f"{SCHEMA}, {CHAIN}" if chains else SCHEMA)
+    return surfaces(df, column).mapInPandas(run, f"{SCHEMA}, {CHAIN}" if chains else SCHEMA)
 
 
-def register_deinflect(spark: SparkSession, name: str = "deinflect", rules: list[Rule] | None = None) -> None:
-    """Make ``deinflect`` a table function of SQL: ``SELECT ... FROM texts, LATERAL deinflect(text)`` gives cand_pos, candidate, conditions and chain for each row. A null text gives none. It works on each row; make texts distinct before it."""
+def surfaces(df: DataFrame, column: str) -> DataFrame:
+    """Each different text of ``column`` once, but for null. They are short and the work on each isn't, so they are dealt to a number of tasks that doesn't shrink with their size."""
+    return df.select(F.col(column).alias("text")).where("text is not null").distinct().repartition(tasks(df.sparkSession), "text")
+
+
+def register_deinflect(spark: SparkSession, name: str = "deinflect", rules: list[Rule] | None = None, chains: bool = True) -> None:
+    """Make ``deinflect`` a table function of SQL: ``SELECT ... FROM texts, LATERAL deinflect(text)`` gives cand_pos, candidate, conditions and with ``chains`` chain for each row. A null text gives none. It works on each row, in the task that has it; make texts distinct and deal them out before it, as ``surfaces`` does."""
     table = rules or japanese_rules()
     longest = max(len(r.suffix) for r in table)
 
@@ -85,9 +91,10 @@ def register_deinflect(spark: SparkSession, name: str = "deinflect", rules: list
         def eval(self, text: str) -> Iterator[tuple]:
             if text is not None:
                 for i, (form, conditions, chain) in enumerate(candidates(text, self.index, longest, fronts=self.fronts)):
-                    yield i, form, list(conditions), [dict(zip(("transform", "rule", "input"), step)) for step in chain]
+                    yield (i, form, list(conditions), [dict(zip(("transform", "rule", "input"), step)) for step in chain]) if chains else (i, form, list(conditions))
 
-    spark.udtf.register(name, F.udtf(Deinflect, returnType=f"{SCHEMA.split(', ', 1)[1]}, {CHAIN}", useArrow=True))
+    kind = SCHEMA.split(", ", 1)[1]
+    spark.udtf.register(name, F.udtf(Deinflect, returnType=f"{kind}, {CHAIN}" if chains else kind, useArrow=True))
 
 
 def is_inflected(text: Column, transform: str, rules: list[Rule] | None = None) -> Column:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import pyarrow as pa
 
-from kotonoha.functions.batches import slices
+from kotonoha.functions.batches import slices, tasks
 from kotonoha.functions.scratch import scratch
 from kotonoha.operators import books as K
+from kotonoha.plans.deinflect import register_deinflect, surfaces
 from kotonoha.queries import lookup_queries
 from kotonoha.queries.flow_queries import shelf
 from kotonoha.sources import epub
@@ -37,6 +38,15 @@ def test_ingestion_reads_packages_once_and_keeps_no_bodies(spark):
     assert "strategy=broadcast" in plan and out["parts"].where("body is null").isEmpty()
 
 
+def test_surfaces_keep_their_tasks(spark):
+    """Few and short texts are still dealt to many tasks, and the table function can leave chains out."""
+    df = spark.createDataFrame([("食べた",), ("食べた",), (None,), ("読んだ",)], "t string")
+    assert surfaces(df, "t").rdd.getNumPartitions() == tasks(spark) >= 4 * spark.sparkContext.defaultParallelism and surfaces(df, "t").count() == 2
+    register_deinflect(spark, "bare", chains=False)
+    got = spark.sql("SELECT t.text, d.* FROM {texts} t, LATERAL bare(t.text) d", texts=surfaces(df, "t"))
+    assert got.columns == ["text", "cand_pos", "candidate", "conditions"] and got.where("candidate = '食べる'").count() > 0
+
+
 def test_entry_lookup_either_way(spark, monkeypatch):
     """Known words that are broadcast, and ones that are too many for that, give the same rows."""
     few = sorted(map(tuple, lookup_queries.entry_lookup(spark, SMALL).collect()))
