@@ -128,3 +128,14 @@ def test_malformed_definitions_have_no_html(spark):
     given = ['"plain"', "7", "[]", "{}", "null", "no JSON", '{"type":"text"}', '{"type":"structured-content","content":7}', '{"type":"text","text":"x"}', None]
     got = spark.createDataFrame(list(enumerate(given)), "i int, d string").select("i", structured.structured_html("d", F.lit("D")).alias("h")).collect()
     assert {r.i: r.h for r in got if r.h is not None} == {0: "plain", 8: "x"} and len(got) == len(given)
+
+
+def test_counted_characters_of_mixed_texts(spark):
+    """ASCII counted first and the rest by its class give what the whole class gives, letter by letter; the class doesn't see ASCII any more."""
+    texts = ["", "a b-c", "漢字かな, x9!", "𠮷𠮷 a😀", "ſK ok", "ＡＢ１ ｱ…", "a\n\tb"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    one = F.regexp_replace("t", f"[^{T.COUNTED_CLASS}]", "")
+    whole = F.length(one) + F.length(F.regexp_replace(one, r"[^\x{10000}-\x{10FFFF}]", ""))
+    got = df.select("t", T.count_characters(F.col("t")).alias("n"), whole.alias("m")).collect()
+    assert [x.n for x in got] == [x.m for x in got] and {x.t: x.n for x in got}["a b-c"] == 3
+    assert "[0-9A-Za-z]+" in df.select(T.count_characters(F.col("t")))._jdf.queryExecution().analyzed().toString()
